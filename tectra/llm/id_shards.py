@@ -60,8 +60,6 @@ class Ids(dict):
 
     def learn(self, words: list[str]) -> None:
         """Encodes new words, many in one call: each begins where an id begins with a blank."""
-        if len(self) + len(words) > common.TABLE_ENTRIES:
-            self.clear()
         for k in range(0, len(words), _TOGETHER):
             some = words[k : k + _TOGETHER]
             ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
@@ -75,7 +73,11 @@ class Ids(dict):
             return self.raw(text)
         lines = [x.split(" ") for x in text.split("\n")]
         heads = ["\n" + x[0] for x in lines[1:]]
-        if new := [w for w in set(words) if w not in self]:
+        distinct = set(words)
+        if new := [w for w in distinct if w not in self]:
+            if len(self) + len(new) > common.TABLE_ENTRIES:
+                self.clear()
+                new = list(distinct)
             self.learn(new)
         out = [self.raw(lines[0][0])]
         for k, line in enumerate(lines):
