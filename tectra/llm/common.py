@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -79,9 +78,11 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def local_tmp() -> str:
-    return tempfile.mkdtemp()
+#: Ids that a join may broadcast (8 bytes each, some 64 MB as a hash table); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
-def remove(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+def few(ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """A written table of ids, marked for broadcast if its rows are at most `limit`."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if limit is None else limit) else ids
