@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, embedding_dedup, id_shards, line_dedup, ngram_join, pieces, quality, token_counts, toxicity
+from . import common, embedding_dedup, id_shards, licenses, line_dedup, mixing, ngram_join, pieces, quality, token_counts, toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +22,19 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(common.table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(common.table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(common.table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix_sources(common.table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", mixing.source_domain(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "epoch")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(common.table(spark, sf_dir, "documents"))
 
@@ -46,7 +56,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_ngram_join": op3_ngram_join,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_piece_round_trip": op9_piece_round_trip,
@@ -84,6 +96,8 @@ reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l O
 least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(least(c.a, coalesce(l.m, c.a)), d.doc_id) AS component_id
 FROM sets d LEFT JOIN class c ON list_sort(d.s) = c.s LEFT JOIN least l ON l.a = c.a""",
+    "op4_license_scan": licenses.license_sql(),
+    "op6_mixing": mixing.mixing_sql(),
     "op7_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
