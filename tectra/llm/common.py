@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most distinct strings that a worker's table keeps; at the bound the table starts anew.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 700_000
 #: Longer strings are worked out each time instead of kept.
 TABLE_CHARS = 64
 

@@ -39,10 +39,10 @@ _TOGETHER = 500
 
 
 class Ids(dict):
-    """A worker's table from the words of a text, with the blank before them, to ids.
+    """A worker's table from words to the ids of a blank and the word; and from a line feed and a word to theirs.
 
     White space of one character between words always ends a pre-token, so texts that hold no other white space fall
-    apart there; others are encoded whole.
+    apart there; others are encoded whole. A mark of punctuation after a letter is a pre-token of its own.
     """
 
     def __init__(self, path: str):
@@ -51,46 +51,53 @@ class Ids(dict):
 
         self.tok = Tokenizer.from_file(path)
         names = self.tok.get_vocab(with_added_tokens=True)
-        self.starts = np.zeros(max(names.values()) + 1, bool)
-        self.starts[[i for x, i in names.items() if x[0] == "\u0120"]] = True  # the symbol of a blank
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if max(names.values()) < 1 << 16 else "<u4")
+        self.starts = {}
+        for first, symbol in ((" ", "\u0120"), ("\n", "\u010a")):  # the symbols of a blank and a line feed
+            self.starts[first] = np.zeros(max(names.values()) + 1, bool)
+            self.starts[first][[i for x, i in names.items() if x[0] == symbol]] = True
+        self.marks = {c: self.raw(c) for c in ",.!?;:"}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes new words, many in one call: each begins where an id begins with a blank."""
-        for k in range(0, len(words), _TOGETHER):
-            some = words[k : k + _TOGETHER]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
-            at = np.flatnonzero(self.starts[ids]).tolist()
-            for w, i, j in zip(some, at, [*at[1:], len(ids)], strict=True):
-                self[w] = ids[i:j].tobytes()
+    def learn(self, words: list[str], first: str) -> None:
+        """Encodes new words after `first`, many in one call: each begins where an id begins with `first`."""
+        before = first if first == "\n" else ""
+        ends = [(w, w[:-1]) for w in words if len(w) > 1 and w[-1] in self.marks and w[-2].isalpha()]
+        marked = {w for w, _ in ends}
+        new = list({w for w in words if w not in marked}.union(x for _, x in ends if before + x not in self))
+        width = self.dtype.itemsize
+        for k in range(0, len(new), _TOGETHER):
+            some = new[k : k + _TOGETHER]
+            ids = np.array(self.tok.encode_batch_fast([first + first.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            at = (np.flatnonzero(self.starts[first][ids]) * width).tolist()
+            raw = ids.tobytes()
+            self.update(zip([before + w for w in some] if before else some, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
+        for w, x in ends:
+            self[before + w] = self[before + x] + self.marks[w[-1]]
 
     def encode(self, text: str) -> bytes:
         words = text.split()
         if not words or len("".join(words)) + len(words) - 1 != len(text) or text.count(" ") + text.count("\n") != len(words) - 1:
             return self.raw(text)
-        lines = [x.split(" ") for x in text.split("\n")]
-        heads = ["\n" + x[0] for x in lines[1:]]
-        distinct = set(words)
-        if new := [w for w in distinct if w not in self]:
-            if len(self) + len(new) > common.TABLE_ENTRIES:
-                self.clear()
-                new = list(distinct)
-            self.learn(new)
-        out = [self.raw(lines[0][0])]
-        for k, line in enumerate(lines):
-            if k:
-                out.append(self.head(heads[k - 1]))
-            out += map(self.__getitem__, line[1:])
-        return b"".join(out)
-
-    def head(self, word: str) -> bytes:
-        """A line feed and the line's first word."""
-        if (out := self.get(word)) is None:
-            self[word] = out = self.raw(word)
-        return out
+        if len(self) > common.TABLE_ENTRIES:
+            self.clear()
+        heads = [0]
+        for line in text.split("\n")[:-1]:
+            heads.append(heads[-1] + line.count(" ") + 1)
+        keys = words.copy()
+        for h in heads:
+            keys[h] = "\n" + words[h]
+        out = list(map(self.get, keys))
+        if None in out:
+            new = {k for k, x in zip(keys, out) if x is None}
+            if lines := [k[1:] for k in new if k[0] == "\n"]:
+                self.learn(lines, "\n")
+            if rest := [k for k in new if k[0] != "\n"]:
+                self.learn(rest, " ")
+            out = list(map(self.__getitem__, keys))
+        return b"".join(out)[self.dtype.itemsize :]  # the text's first word has no line feed before it
 
 
 _tables: dict[str, Ids] = {}
