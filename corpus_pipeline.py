@@ -1,18 +1,51 @@
-"""Documents through quality rules, line dedup, near-duplicate join, mixing and SentencePiece, one after another."""
+"""Documents through quality rules, line dedup, n-gram Jaccard join, mixing and SentencePiece, one after another.
+
+Each stage works on what the one before kept and, but for the last, returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tectra.llm import common, line_dedup, mixing, ngram_join, pieces, quality
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 20 characters that three documents hold stay in one of them."""
+    kept = line_dedup.dedup_lines(docs, n_lines=None, n_dropped=None)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group of near copies: five words, a similarity of 0.8."""
+    return ngram_join.one_of_each(docs, width=5, percent=80)
+
 
-from tectra.llm import common, pieces
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by target weights; a document that several epochs take has a row for each."""
+    return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of ids and of what they decode to, a row a document."""
     return pieces.piece_digests(docs)
 
 
-STAGES = [("SentencePiece encoding and decoding", encode)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
 
+#: The label model's verdicts can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

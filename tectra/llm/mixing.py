@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 TREE = ["domain", "lang", "source"]
 #: Target weights, whole numbers; a node that isn't listed has weight 1.
 WEIGHTS = {"domain": {"web": 50, "books": 30, "code": 20}, "lang": {"en": 40, "de": 25, "fr": 25, "es": 10}, "source": {}}
@@ -81,7 +83,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, p
 
     leaves = rows.groupBy(*TREE).agg(F.sum(tokens).alias("tokens")).filter("tokens > 0")
     plan = leaf_budgets(leaves, weights, percent, max_epochs)
-    plan = plan.select(*TREE, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest"))
+    # a written table has a known size, so that Spark joins documents to it without a shuffle where it is small
+    plan = common.cut(plan.select(*TREE, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest")))
 
     def placed(plan: DataFrame) -> DataFrame:
         at = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), "id"))
@@ -90,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, p
     sums = placed(plan).groupBy(*TREE, "epochs", "rest", "bucket").agg(F.sum(tokens).alias("n"))
     run = sums.withColumn("through", F.sum("n").over(Window.partitionBy(*TREE).orderBy("bucket")))
     edge = run.filter("through > rest").groupBy(*TREE, "epochs", "rest").agg(F.min_by(F.struct("bucket", (F.col("through") - F.col("n")).alias("before")), "bucket").alias("edge"))
-    rows = placed(edge.select(*TREE, "epochs", "rest", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before")))
+    rows = placed(common.cut(edge.select(*TREE, "epochs", "rest", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))))
 
     whole = rows.filter("bucket <> edge").withColumn("take", F.col("epochs") + F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
     last = rows.filter("bucket = edge").withColumn("n", tokens)

@@ -264,8 +264,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, signer: Signer) ->
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are the least id of their component, with all their columns. Of repeated rows of one id, the
-    least text stays; rows with a null id stay."""
+    """The rows of `docs` that are the least id of their component, with all their columns. Repeated rows of
+    one id go or stay together; rows with a null id or an empty set stay."""
     found = ngram_join(docs, width, percent, id_col, text_col).filter("component_id is not null and doc_id <> component_id")
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
+    gone = common.few(found.select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
