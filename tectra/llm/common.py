@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 TABLE_ENTRIES = 700_000
 #: Longer strings are worked out each time instead of kept.
 TABLE_CHARS = 64
+#: Rows that a task works on at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +59,13 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """`make` runs once in each task and returns the function from batch to batch."""
+    """`make` runs once in each task and returns the function from batch to batch; a batch has at most BATCH_ROWS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            for k in range(0, b.num_rows, BATCH_ROWS):
+                yield f(b.slice(k, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 #: Bytes of payload after which a shard ends; a longer document has a shard to itself.
 SHARD_BYTES = 4 << 20
 _NULL = -(1 << 63)
+#: Texts that are empty or hold white space other than single blanks and line feeds between words.
+_IRREGULAR = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts that are encoded at once; more of them share more words.
+_AT_ONCE = 3000
+#: Marks that end no special token.
+_MARKS = ",.!?;:*$%&#"
 #: New words that are encoded in one call.
 _TOGETHER = 500
 
@@ -42,7 +49,8 @@ class Ids(dict):
     """A worker's table from words to the ids of a blank and the word; and from a line feed and a word to theirs.
 
     White space of one character between words always ends a pre-token, so texts that hold no other white space fall
-    apart there; others are encoded whole. A mark of punctuation after a letter is a pre-token of its own.
+    apart there; others are encoded whole. Marks of punctuation after a letter or digit are a pre-token of their own.
+    When the table is full it is laid aside, and words are taken over from it as they come again.
     """
 
     def __init__(self, path: str):
@@ -56,7 +64,8 @@ class Ids(dict):
         for first, symbol in ((" ", "\u0120"), ("\n", "\u010a")):  # the symbols of a blank and a line feed
             self.starts[first] = np.zeros(max(names.values()) + 1, bool)
             self.starts[first][[i for x, i in names.items() if x[0] == symbol]] = True
-        self.marks = {c: self.raw(c) for c in ",.!?;:"}
+        self.tails: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -64,9 +73,16 @@ class Ids(dict):
     def learn(self, words: list[str], first: str) -> None:
         """Encodes new words after `first`, many in one call: each begins where an id begins with `first`."""
         before = first if first == "\n" else ""
-        ends = [(w, w[:-1]) for w in words if len(w) > 1 and w[-1] in self.marks and w[-2].isalpha()]
-        marked = {w for w, _ in ends}
-        new = list({w for w in words if w not in marked}.union(x for _, x in ends if before + x not in self))
+        bases, ends = [], []
+        for w in words:
+            x = w.rstrip(_MARKS)
+            if len(x) < len(w) and x and x[-1].isalnum():
+                ends.append((w, x))
+                if before + x not in self:
+                    bases.append(x)
+            else:
+                bases.append(w)
+        new = list(set(bases))
         width = self.dtype.itemsize
         for k in range(0, len(new), _TOGETHER):
             some = new[k : k + _TOGETHER]
@@ -75,29 +91,52 @@ class Ids(dict):
             raw = ids.tobytes()
             self.update(zip([before + w for w in some] if before else some, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
         for w, x in ends:
-            self[before + w] = self[before + x] + self.marks[w[-1]]
+            if (tail := self.tails.get(w[len(x) :])) is None:
+                tail = self.tails[w[len(x) :]] = self.raw(w[len(x) :])
+                if len(self.tails) > 10_000:
+                    self.tails = {w[len(x) :]: tail}
+            self[before + w] = self[before + x] + tail
 
     def encode(self, text: str) -> bytes:
-        words = text.split()
-        if not words or len("".join(words)) + len(words) - 1 != len(text) or text.count(" ") + text.count("\n") != len(words) - 1:
-            return self.raw(text)
-        if len(self) > common.TABLE_ENTRIES:
+        return self.encode_batch(pa.array([text], pa.string()))[0]
+
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, none of which is null. The batch's distinct words are looked up once, and ids gathered by position."""
+        plain = pc.invert(pc.match_substring_regex(texts, _IRREGULAR))
+        # a line feed stays with the word after it; each text's first word has one put before it, whose id goes again
+        lines = pc.binary_join_element_wise("\n", pc.replace_substring(texts.filter(plain), "\n", " \n"), "")
+        parts = pc.split_pattern(lines, " ")
+        coded = parts.flatten().dictionary_encode()
+        keys, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = self.known(keys)
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        ids, starts = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[parts.offsets.to_numpy()].tolist()
+        raw = ids.tobytes()
+        whole = iter([raw[(i + 1) * width : j * width] for i, j in zip(bounds, bounds[1:])])
+        return [next(whole) if ok else self.raw(text) for ok, text in zip(plain.to_pylist(), texts.to_pylist())]
+
+    def known(self, keys: list[str]) -> list[bytes]:
+        if len(self) + len(keys) > common.TABLE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        heads = [0]
-        for line in text.split("\n")[:-1]:
-            heads.append(heads[-1] + line.count(" ") + 1)
-        keys = words.copy()
-        for h in heads:
-            keys[h] = "\n" + words[h]
         out = list(map(self.get, keys))
         if None in out:
             new = {k for k, x in zip(keys, out) if x is None}
+            if self.old:
+                again = [k for k in new if k in self.old]
+                self.update(zip(again, map(self.old.__getitem__, again)))
+                new.difference_update(again)
             if lines := [k[1:] for k in new if k[0] == "\n"]:
                 self.learn(lines, "\n")
             if rest := [k for k in new if k[0] != "\n"]:
                 self.learn(rest, " ")
             out = list(map(self.__getitem__, keys))
-        return b"".join(out)[self.dtype.itemsize :]  # the text's first word has no line feed before it
+        return out
 
 
 _tables: dict[str, Ids] = {}
@@ -181,9 +220,10 @@ def write_id_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, types)], _COLUMNS)
 
         types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in SCHEMA.split(", ")]
-        for b in batches:
-            for key, text in zip(b.column("doc_id").to_pylist(), common.texts(b)):
-                ids = table.encode(text) + tail
+        slices = (b.slice(k, _AT_ONCE) for b in batches for k in range(0, b.num_rows, _AT_ONCE))
+        for b in slices:
+            for key, ids in zip(b.column("doc_id").to_pylist(), table.encode_batch(pc.fill_null(b.column("text"), ""))):
+                ids += tail
                 if keys and held + len(ids) > shard_bytes:
                     yield out()
                     keys, raw, held, start, seq = [], [], 0, start + held // width, seq + 1

@@ -13,7 +13,6 @@ exceeds the true difference, spares most false candidates.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -172,9 +171,14 @@ def _groups(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int,
     known = signed.select("doc_id", F.col("n_shingles").alias("size"), "histogram").join(common.few(met.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     known = common.cut(known)
 
-    # first each set against the least one of each signature
-    stars = common.cut(met.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = common.cut(_verified(_hopeful(stars, known, signer), rows, width, signer))
+    # first each set against the least one of each signature: one of these, then those that are still apart
+    stars = met.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = common.cut(_hopeful(stars, known, signer))
+    sets = common.cut(_sets_of(stars, rows, width))
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = common.cut(_verified(first, sets, signer))
+    group = components(links)
+    links = common.cut(links.unionByName(_verified(_apart(stars.join(first, ["a", "b"], "left_anti"), group), sets, signer)))
     group = components(links)
 
     # then, where a signature still has several components, all that are in different ones, in blocks
@@ -185,23 +189,47 @@ def _groups(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int,
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("blocks", blocks)
     left = left.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))))
+    member = F.struct("doc_id", "component", "size", (F.col("block") == F.col("pair.i")).alias("in_i"), (F.col("block") == F.col("pair.j")).alias("in_j"), "histogram")
+    # signatures of the same members are one piece of work; a piece has two blocks at most
+    work = left.groupBy("sign", "pair").agg(F.sort_array(F.collect_list(member)).alias("m")).select("m", F.transform("m", lambda x: F.struct(x["doc_id"], x["in_i"], x["in_j"])).alias("who")).dropDuplicates(["who"])
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            m = batch.column("m")
+            ends, flat = (m.offsets.to_numpy() - m.offsets[0].as_py()).tolist(), m.flatten()
+            ids, comp, size, in_i, in_j = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "size", "in_i", "in_j"))
+            h = np.frombuffer(b"".join(flat.field("histogram").to_pylist()), "<u2").reshape(-1, _BUCKETS).astype(np.int32)
+            a, b = [], []
+            for lo, hi in zip(ends, ends[1:]):
+                for k in range(lo, hi):
+                    others = np.arange(k + 1, hi)
+                    others = others[(comp[k + 1 : hi] != comp[k]) & (in_i[k] & in_j[k + 1 : hi] | in_j[k] & in_i[k + 1 : hi])]
+                    if len(others):
+                        ok = others[_may_link(h[others], h[k], size[others], size[k], signer.percent)]
+                        a += np.minimum(ids[k], ids[ok]).tolist()
+                        b += np.maximum(ids[k], ids[ok]).tolist()
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return f
 
-    def near(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        h = np.frombuffer(b"".join(frame["histogram"]), "<u2").reshape(-1, _BUCKETS).astype(np.int32)
-        size, ids, comp, block = (frame[c].to_numpy() for c in ("size", "doc_id", "component", "block"))
-        a, b = [], []
-        for k in np.flatnonzero(block == key[1]).tolist():
-            others = np.flatnonzero((block == key[2]) & (comp != comp[k]) & ((ids > ids[k]) | (key[1] != key[2])))
-            ok = others[_may_link(h[others], h[k], size[others], size[k], signer.percent)]
-            a += np.minimum(ids[k], ids[ok]).tolist()
-            b += np.maximum(ids[k], ids[ok]).tolist()
-        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")})
-
-    more = left.select("sign", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "doc_id", "component", "block", "size", "histogram").groupBy("sign", "i", "j").applyInPandas(near, "a long, b long")
-    more = common.cut(more.distinct().join(stars, ["a", "b"], "left_anti"))
+    more = common.map_batches(work.select("m"), make, "a long, b long").distinct()
+    more = common.cut(more.join(stars, ["a", "b"], "left_anti"))
     if not more.limit(1).count():
         return group
-    return components(links.unionByName(_verified(more, rows, width, signer)))
+    extra = _verified(more, common.cut(_sets_of(more, rows, width)), signer)
+    return components(links.unionByName(extra))
+
+
+def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    c = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    met = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left")
+    return met.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _sets_of(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    wanted = common.few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return _sets(rows.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])
 
 
 def _may_link(h, k, size, other, percent: int) -> np.ndarray:
@@ -236,11 +264,8 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     return common.map_batches(rows, make, "doc_id long, elements array<long>")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, width: int, signer: Signer) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, signer: Signer) -> DataFrame:
     """Those of the pairs (a, b) that link, by the sets themselves."""
-    pairs = common.cut(pairs)
-    wanted = common.few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = common.cut(_sets(rows.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
     left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     fits = F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * signer.percent
@@ -249,8 +274,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, signer: Signer) ->
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             x, y = batch.column("x"), batch.column("y")
-            xs, ys = (c.values.to_numpy().view(np.uint64) for c in (x, y))
-            xo, yo = x.offsets.to_numpy().tolist(), y.offsets.to_numpy().tolist()
+            xs, ys = (c.flatten().to_numpy().view(np.uint64) for c in (x, y))
+            xo, yo = ((c.offsets.to_numpy() - c.offsets[0].as_py()).tolist() for c in (x, y))
             ok = []
             for k in range(batch.num_rows):
                 p, q = xs[xo[k] : xo[k + 1]], ys[yo[k] : yo[k + 1]]

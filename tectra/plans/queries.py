@@ -466,7 +466,7 @@ _RJ = "greatest(0, pow(CAST(10 AS DOUBLE), CAST(-1.67 AS DOUBLE) + (mag - min_ma
 
 @query(f"""WITH e AS (SELECT id, mag, ({NOW_US} - epoch_us(time)) / CAST(86400000000 AS DOUBLE) AS el FROM cat WHERE mag >= 5.0),
 g AS (SELECT id, mag, el, min_mag, period, CASE period WHEN 'remaining' THEN el ELSE 0 END AS t1, CASE period WHEN '7d' THEN 7 ELSE 30 END AS t2
-    FROM e, (SELECT unnest([3.0, 4.0])::DOUBLE AS min_mag), (SELECT unnest(['7d', '30d', 'remaining']) AS period) WHERE period <> 'remaining' OR el < 30),
+    FROM e JOIN (VALUES (CAST(3 AS DOUBLE), '7d'), (3, '30d'), (3, 'remaining'), (4, '7d'), (4, '30d'), (4, 'remaining')) p(min_mag, period) ON period <> 'remaining' OR el < 30),
 x AS (SELECT *, {_RJ} AS n FROM g)
 SELECT id, mag, round(el, 6) AS elapsed_days, min_mag, period, round(n, 6) AS expected,
     CASE WHEN n < 0.5 THEN '~0' ELSE CAST(floor(n * CAST(0.4 AS DOUBLE) + 0.5) AS BIGINT) || '–' || CAST(floor(greatest(1, n * CAST(2.3 AS DOUBLE)) + 0.5) AS BIGINT) END AS band FROM x""")
