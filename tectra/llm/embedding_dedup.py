@@ -26,7 +26,7 @@ _STEPS = (8, 16, 32)
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
-    ok = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
+    ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     ok &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.col(label_col).cast("string").alias("label")).withColumn("ok", F.coalesce(ok, F.lit(False)))
 
@@ -118,7 +118,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     Rows link when their labels are equal and not null and their cosine is at least the threshold (> 0). Vectors that
     are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different lengths.
     Repeated rows count as rows of their own, equal vectors are compared once and counted as often as they stand; an
-    empty table gives an empty one; other columns are ignored. A null vec_id is a row without component.
+    empty table gives an empty one; other columns are ignored. A null vec_id links with nothing
+    and has no component.
     """
     rows = _clean(vectors, id_col, vector_col, label_col)
     good = rows.filter("ok")
@@ -171,7 +172,7 @@ def _links(classes: DataFrame, dims: int, threshold: float, tile: int) -> DataFr
     right = placed.drop("tiles").withColumnsRenamed({"x": "x2", "y": "y2", "t": "t2"}).join(pairs, ["label", "x2", "y2"])
     right = right.withColumn("t", F.explode(F.expr("sequence(0, if(same, t2, tiles - 1))"))).filter("not same or t < t2").select(*base, "t", "t2", F.lit(1).alias("side"), "class_id", "n", "v")
 
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "class_id"], kind="stable")
         side = frame["side"].to_numpy()
         v, ids, n = np.stack(frame["v"].to_numpy()), frame["class_id"].to_numpy(), frame["n"].to_numpy()

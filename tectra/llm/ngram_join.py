@@ -55,7 +55,7 @@ class Signer:
     """Signatures of sets for one threshold."""
 
     def __init__(self, percent: int):
-        self.percent, self.firsts = percent, bands(1 << 31, percent)
+        self.percent, self.firsts = percent, bands(1 << 31, percent) if percent < 100 else []
 
     def band(self, size: int) -> int:
         return int(np.searchsorted(self.firsts, size, "right")) - 1
@@ -69,6 +69,8 @@ class Signer:
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Of a set that isn't empty. A set signs for its own band and the one before, so that neighbours meet. Where
         similar sets are equal sets there is no signature, as these are one class already."""
+        if not self.firsts:
+            return np.zeros(0, np.uint64)
         own = self.band(len(s))
         out = [np.zeros(0, np.uint64)]
         for band in {own, max(0, own - 1)}:
