@@ -177,7 +177,7 @@ def test_surface_skill_and_gate(spark):
     s = skill.surface_skill(good, NATIONAL, n_boot=100, min_mag=3.0).first()
     assert s.area_skill_score > 0 and s.ci_low <= s.area_skill_score <= s.ci_high and s.n_test_events > 0
     assert skill.surface_skill(bad, NATIONAL, min_mag=3.0).first().area_skill_score < s.area_skill_score
-    none = skill.surface_skill(hotspots(spark, (80, 0, 0), (0, 0, 9)), NATIONAL, min_mag=3.0).first()
+    none = skill.surface_skill(hotspots(spark, (9, 0, 0), (0, 0, 3)), NATIONAL, min_mag=3.0).first()
     assert none.n_test_events == 0 and none.area_skill_score is None
     with pytest.raises(CatalogError):
         integrity.science_gate(good, NATIONAL, {"mc": 9.0, "cell_deg": 0.25, "area_skill_score": 0.5}, min_mag=3.5, cell_deg=0.25)
