@@ -108,13 +108,14 @@ def test_join_sql(spark, duck):
     assert len({c for *_, c in want}) < len(want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast_nodes", [None, 0])
+def test_components(spark, broadcast_nodes):
     r = random.Random(1)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000 + k) for k in range(200)] + [(7, 7)]
     low = least_of({x for p in links if p[0] != p[1] for x in p}, links)
-    got = components(spark.createDataFrame([*links, *links[:5], (None, 3)], "a long, b long"))
+    got = components(spark.createDataFrame([*links, *links[:5], (None, 3)], "a long, b long"), broadcast_nodes=broadcast_nodes)
     assert tuples(got, "node", "component") == sorted(low.items())
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), broadcast_nodes=broadcast_nodes).count() == 0
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, n string, kept string, class_id int, links string, v int, x string"
