@@ -72,10 +72,11 @@ _OTHER = "[^A-Za-z0-9\x1e]+"
 
 
 def sentences(text: Column) -> Column:
-    """Sentences in normal form. One ends at marks before white space, and at the end of a line."""
+    """Sentences in normal form. One ends at marks before white space, and at the end of a line;
+    what holds no letter or digit is none."""
     plain = F.regexp_replace(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), _ENDS, _BREAK)
     plain = F.lower(F.regexp_replace(plain, _OTHER, " "))
-    return F.transform(F.split(plain, _BREAK), lambda s: F.trim(s))
+    return F.filter(F.transform(F.split(plain, _BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _sequence(ids: list[int]) -> str:
@@ -111,7 +112,7 @@ def license_sql() -> str:
 WITH plain AS (
     SELECT doc_id, lower(regexp_replace(regexp_replace(coalesce(text, '') || ' ', '{_ENDS}', chr(30), 'g'), '[^A-Za-z0-9\x1e]+', ' ', 'g')) AS p FROM documents),
 found AS (
-    SELECT doc_id, list_transform(string_split(p, chr(30)), lambda x: coalesce(list_position([{known}], trim(x)), 0)) AS ids FROM plain),
+    SELECT doc_id, list_transform(list_filter(string_split(p, chr(30)), lambda x: trim(x) <> ''), lambda x: coalesce(list_position([{known}], trim(x)), 0)) AS ids FROM plain),
 seq AS (
     SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(list_transform(list_filter(ids, lambda i: i > 0), lambda i: '<' || i || '>'), '') AS recognised FROM found),
 rules(rule, license, noncommercial, seq) AS (VALUES {rules})

@@ -68,8 +68,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, p
     """The rows of `docs` that are taken, once for each epoch that takes them, with all their columns and the number of the epoch.
 
     Tokens are words between ASCII white space. The budget is percent of all tokens. Null languages and sources are the
-    empty name. Null and empty texts have no tokens: they go with the epochs of a leaf that has tokens; a leaf without
-    tokens gives nothing. Equal ids in one leaf have equal places and are ordered by their text. An empty table gives
+    empty name. Null and empty texts have no tokens: they go with the epochs of a leaf that has tokens, and with its
+    prefix where that has tokens; a leaf without tokens gives nothing. Equal ids in one leaf have equal places and are ordered by their text. An empty table gives
     an empty one. A column named as epoch_col is replaced.
 
     A leaf may hold any share of the rows: its running sum goes over buckets of the seeded order, which are summed
@@ -95,10 +95,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, p
     edge = run.filter("through > rest").groupBy(*TREE, "epochs", "rest").agg(F.min_by(F.struct("bucket", (F.col("through") - F.col("n")).alias("before")), "bucket").alias("edge"))
     rows = placed(common.cut(edge.select(*TREE, "epochs", "rest", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))))
 
-    whole = rows.filter("bucket <> edge").withColumn("take", F.col("epochs") + F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
+    whole = rows.filter("bucket <> edge").withColumn("take", F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("bucket") < F.col("edge")), 1).otherwise(0))
     last = rows.filter("bucket = edge").withColumn("n", tokens)
     through = F.sum("n").over(Window.partitionBy(*TREE).orderBy("at", "id", F.md5("words"), "n").rowsBetween(Window.unboundedPreceding, 0))
-    last = last.withColumn("take", F.col("epochs") + F.when(F.col("before") + through <= F.col("rest"), 1).otherwise(0))
+    last = last.withColumn("take", F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("before") + through <= F.col("rest")), 1).otherwise(0))
     taken = whole.select("row", "take").unionByName(last.select("row", "take")).filter("take > 0")
     return taken.withColumn(epoch_col, F.explode(F.sequence(F.lit(0), (F.col("take") - 1).cast("int")))).select("row.*", epoch_col)
 
@@ -132,5 +132,5 @@ leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens FROM base
 plan AS (SELECT domain, lang, source, budget // tokens AS epochs, budget % tokens AS rest FROM leaf JOIN g3 USING (domain, lang, source)),
 placed AS (SELECT *, md5(concat_ws('|', '{seed}', epochs, doc_id)) AS h FROM base JOIN plan USING (domain, lang, source)),
 run AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS through FROM placed),
-taken AS (SELECT doc_id, domain, lang, source, epochs + CASE WHEN through <= rest THEN 1 ELSE 0 END AS take FROM run)
+taken AS (SELECT doc_id, domain, lang, source, epochs + CASE WHEN rest > 0 AND through <= rest THEN 1 ELSE 0 END AS take FROM run)
 SELECT doc_id, domain, lang, source, CAST(unnest(range(take)) AS INT) AS epoch FROM taken"""
