@@ -25,7 +25,7 @@ from .mph import mix
 _G = np.uint64(0x9E3779B97F4A7C15)
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 #: Buckets of a histogram; members of one block where many sets share a signature.
-_BUCKETS, _BLOCK = 64, 512
+_BUCKETS, _BLOCK = 256, 512
 #: Bits of a signature. Signatures that are equal by chance only cost a comparison.
 _SIGN_BITS = 48
 
@@ -97,7 +97,8 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((mix(s) >> np.uint64(58)).astype(np.int64), minlength=_BUCKETS), 65535).astype("<u2").tobytes()
+    """Elements in each bucket; what a byte can't hold only loosens the bound."""
+    return np.minimum(np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=_BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +201,7 @@ def _groups(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int,
             m = batch.column("m")
             ends, flat = (m.offsets.to_numpy() - m.offsets[0].as_py()).tolist(), m.flatten()
             ids, comp, size, in_i, in_j = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "size", "in_i", "in_j"))
-            h = np.frombuffer(b"".join(flat.field("histogram").to_pylist()), "<u2").reshape(-1, _BUCKETS).astype(np.int32)
+            h = np.frombuffer(b"".join(flat.field("histogram").to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16)
             a, b = [], []
             for lo, hi in zip(ends, ends[1:]):
                 for k in range(lo, hi):
@@ -236,7 +237,7 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
 def _may_link(h, k, size, other, percent: int) -> np.ndarray:
     """False only where the histograms differ by more than sets that link can."""
-    return np.abs(h - k).sum(1) * (100 + percent) <= (size + other) * (100 - percent)
+    return np.abs(h - k).sum(1, dtype=np.int64) * (100 + percent) <= (size + other) * (100 - percent)
 
 
 def _hopeful(pairs: DataFrame, known: DataFrame, signer: Signer) -> DataFrame:
@@ -245,7 +246,7 @@ def _hopeful(pairs: DataFrame, known: DataFrame, signer: Signer) -> DataFrame:
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            g, h = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, _BUCKETS).astype(np.int32) for c in "gh")
+            g, h = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for c in "gh")
             x, y = (batch.column(c).to_numpy() for c in "xy")
             return pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(_may_link(g, h, x, y, signer.percent)))
 

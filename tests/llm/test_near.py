@@ -91,7 +91,7 @@ def test_signatures_never_miss():
             b = np.unique(np.concatenate([a[x:], r.integers(0, 1 << 63, y).astype(np.uint64)]))
             if len(a) != len(b) or (a != b).any():
                 assert np.isin(signer.signatures(a), signer.signatures(b)).any()
-            h = [np.frombuffer(ngram_join._histogram(s), "<u2").astype(np.int32) for s in (a, b)]
+            h = [np.frombuffer(ngram_join._histogram(s), np.uint8).astype(np.int16) for s in (a, b)]
             assert ngram_join._may_link(h[0][None], h[1], np.array([len(a)]), len(b), percent).all()
 
 
