@@ -2,10 +2,16 @@
 
 A text falls apart into sentences; a sentence in normal form is looked up among known licence sentences; the ids of the
 known ones, in order, are matched against rules, each of which is a sequence of ids.
+
+Licences come wrapped at some column, so a line feed with its comment prefix may be a blank within a known sentence as
+well as the end of a notice of one line. A known sentence is found where it fills whole lines, sentences or clauses from
+mark to mark, the longest first.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +85,48 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, _BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
+# Marks between words: of a clause or an address, an empty line, a sentence and a line.
+_CLAUSE, _EMPTY, _END, _LINE = "\x1c", "\x1d", "\x1e", "\x1f"
+_MARKS = "\x1c-\x1f"
+
+
+def _marked(text: Column) -> Column:
+    """The text's words in normal form with a mark where a clause, a line or a sentence ends."""
+    plain = F.translate(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), _CLAUSE + _EMPTY + _LINE, "   ")
+    plain = F.regexp_replace(plain, r"[.!?]+[\x20\x09-\x0D]+", _END)
+    plain = F.regexp_replace(plain, r"(https?://[^\x20\x09-\x0D\x1e]+)[\x20\x09]+", f"$1{_CLAUSE}")
+    plain = F.regexp_replace(plain, r"[:;]+[\x20\x09]+", _CLAUSE)
+    plain = F.regexp_replace(plain, r"\x0D\x0A|[\x0A\x0D]", _LINE)
+    plain = F.lower(F.regexp_replace(plain, f"[^A-Za-z0-9{_MARKS}]+", " "))
+    plain = F.regexp_replace(plain, f" ?([{_MARKS}]) ?", "$1")
+    plain = F.regexp_replace(plain, f"([{_LINE}{_END}])(?:dnl|rem)(?: |(?=[{_MARKS}]))", "$1")  # comment prefixes of letters
+    return F.trim(F.regexp_replace(plain, f"{_LINE}{{2,}}", _EMPTY))
+
+
+def _pattern(known: list[str]) -> str:
+    """Any known sentence from mark to mark. Lines and clauses may end within it, an address may stand by itself between
+    empty lines, and an abbreviated version ("v. 2.0") ends no sentence."""
+
+    def gap(a: str, b: str) -> str:
+        more = _EMPTY if re.fullmatch("https?", b) else _END if a == "v" and b[:1].isdigit() else ""
+        return f"[ {_CLAUSE}{_LINE}{more}]++"
+
+    def one(sentence: str) -> str:
+        words = sentence.split(" ")
+        return "".join((gap(words[k - 1], w) if k else "") + ("https?+" if w in ("http", "https") else w) for k, w in enumerate(words))
+
+    longest = sorted({s for s in known if re.fullmatch("[a-z0-9]+(?: [a-z0-9]+)*", s)}, key=lambda s: (-len(s), s))
+    return f"(?<![^{_MARKS}])(?:{'|'.join(map(one, longest))})(?![^{_MARKS}])" if longest else "(?!)"
+
+
+def _found(text: Column, known: list[str]) -> Column:
+    """Ids of the known sentences that the text holds, in order."""
+    plain = lambda s: s.replace("https ", "http ")
+    table = F.array(*[F.lit(plain(s)) for s in known])
+    found = F.regexp_extract_all(_marked(text), F.lit(_pattern(known)), F.lit(0))
+    return F.transform(found, lambda x: F.array_position(table, F.replace(F.regexp_replace(x, f"[{_MARKS} ]+", " "), F.lit("https "), F.lit("http "))))
+
+
 def _sequence(ids: list[int]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
@@ -88,14 +136,15 @@ def license_scan(docs: DataFrame, known: list[str] | None = None, rules: list[tu
     of known sentences in order, as "<7><13>").
 
     A rule matches where its sentences follow one another among the text's known sentences; others may stand between.
+    Known sentences are in normal form and count wrapped over lines too, also behind comment prefixes; n_sentences has
+    lines as sentences of their own.
     A rule within a longer one that matches is reported too. Null and empty texts match nothing; repeated rows are
     reported each, a null id stays null, an empty table gives an empty one, other columns are ignored. Whole texts, no
     shuffle, no Python. Known sentences and rules are literals of the plan: some hundreds at most.
     """
     known, rules = SENTENCES if known is None else known, RULES if rules is None else rules
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), sentences(F.col(text_col)).alias("s"))
-    table = F.array(*map(F.lit, known))
-    ids = F.filter(F.transform("s", lambda x: F.array_position(table, x)), lambda i: i > 0)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), sentences(F.col(text_col)).alias("s"), _found(F.col(text_col), known).alias("ids"))
+    ids = F.filter("ids", lambda i: i > 0)
     rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">")))).alias("recognised"))
     all_rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"), F.lit(nc).alias("noncommercial"), F.lit(_sequence(seq)).alias("seq")) for name, lic, seq, nc in rules])
     met = rows.filter("recognised <> ''").withColumn("r", F.explode(F.filter(all_rules, lambda r: F.contains(F.col("recognised"), r["seq"]))))

@@ -1,5 +1,6 @@
 """Licence scans, quality rules, mixing, toxicity and the pipeline."""
 
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -220,3 +221,74 @@ def test_pipeline_of_little(spark, empty, odd):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             some = common.cut(stage(spark, some, SF))
             assert k == 4 or some.columns == docs.columns
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+#: Text as published, its rules.
+PUBLISHED = [
+    (MIT, {"mit-text", "mit-grant"}),
+    (APACHE, {"apache-header"}),
+    (GPL.format(3), {"gpl3-header"}),
+    (GPL.format(2), {"gpl2-header"}),
+    (BSD, {"bsd2-text", "bsd3-text"}),
+    (ISC, {"isc-grant"}),
+    (MPL, {"mpl-header"}),
+    (MPL.replace("https", "http"), {"mpl-header"}),
+    (CC.format(""), {"cc-by-sentence"}),
+    (CC.format("-NonCommercial"), {"cc-by-nc-sentence"}),
+    ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+    ("Released under the MIT License.", {"mit-notice"}),
+    ("Licensed under the MIT License", {"mit-notice-licensed"}),
+    ("Licensed under the Apache License, Version 2.0.", {"apache-notice"}),
+    ("This work is licensed under the GNU General Public License, version 3.", {"gpl3-notice"}),
+    ("Licensed under CC BY-NC 4.0", {"cc-by-nc-notice"}),
+    ("Licensed under CC BY 4.0", {"cc-by-notice"}),
+    ("Licensed under CC BY-SA 4.0", {"cc-by-sa-notice"}),
+]
+
+
+def test_published_licenses(spark, empty):
+    """Every rule on the published text, as one line, by paragraphs, wrapped, and wrapped in a comment."""
+    assert set().union(*(rules for _, rules in PUBLISHED)) == {r[0] for r in licenses.RULES}
+    texts, want = [], {}
+    for text, rules in PUBLISHED:
+        forms = [text, " ".join(text.split())]
+        for width, prefix, end in ((80, "", "\n"), (70, "", "\r\n"), (72, " * ", "\n"), (40, "# ", "\n"), (76, "dnl ", "\n")):
+            lines = [line for part in text.split("\n\n") for line in [*textwrap.wrap(part.strip(), width), ""]]
+            forms.append(end.join(["Copyright 2020 Someone", *[prefix + line for line in lines], prefix + "import this"]))
+        for form in forms:
+            want[len(texts) + 1] = rules
+            texts.append(form)
+    found = defaultdict(set)
+    for r in licenses.license_scan(spark.createDataFrame(rows_of(texts), empty.schema)).collect():
+        found[r.doc_id].add(r.rule)
+    assert {i: (found[i], texts[i - 1]) for i in want if found[i] != want[i]} == {}
+
+
+def test_licenses_in_part(spark, empty):
+    """A known sentence within a line or sentence of other words is none."""
+    texts = ["It is not released under the MIT license", "Released under the MIT\n\nlicense", "released under the MIT license of\nolden days", "\n" * 100_000 + "Released under\r\nthe MIT license" + "\n" * 100_000]
+    got = licenses.license_scan(spark.createDataFrame(rows_of(texts), empty.schema))
+    assert [(r.doc_id, r.rule) for r in got.collect()] == [(4, "mit-notice")]
