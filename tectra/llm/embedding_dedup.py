@@ -5,6 +5,10 @@ differ by no more than it on any axis, so a grid on the two leading axes leaves
 cells are cut into tiles. Within a pair of tiles the products of the leading coordinates are summed first, the rest is
 bounded by the product of the suffix norms, and a pair stops when the bound falls short of the threshold. What is left
 is decided by the cosine of the original vectors in double precision.
+
+Vectors of all lengths go through the same jobs; the length is a part of the label. Axes are found by length. Bounds
+hold on any orthonormal axes, so where the axes of many lengths would fill the driver (AXES_CELLS), the lengths of
+fewest vectors keep their own coordinates: that costs comparisons there, and no pair.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from .components import components
 
 #: Rows of a tile, on average.
 TILE = 1024
+#: Cells of all axes together (8 bytes each); a length has its square of them.
+AXES_CELLS = 1 << 22
 #: Room for rounding in bounds; the decision itself has none.
 _SLACK = 1e-9
 _STEPS = (8, 16, 32)
@@ -36,24 +42,36 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
 
 
-def _axes(classes: DataFrame, dims: int) -> np.ndarray:
-    """Principal axes of the unit vectors, from sums over all of them; what comes to the driver has dims^2 cells."""
+def _axes(classes: DataFrame, most: int | None = None) -> dict[int, np.ndarray]:
+    """By length, the principal axes of the unit vectors, from sums over all of them; what comes to the driver has at most
+    `most` cells. Lengths of most vectors first; a length of fewer vectors than coordinates has no axes of its own."""
+    most, lengths = AXES_CELLS if most is None else most, []
+    for d, n in sorted(classes.groupBy(F.size("v")).count().collect(), key=lambda r: (-r[1], r[0])):
+        if n >= d and d * d <= most:
+            most -= d * d
+            lengths.append(d)
+    if not lengths:
+        return {}
 
     def sums(frames):
-        total = np.zeros((dims, dims))
+        total = {}
         for f in frames:
-            x = np.stack(f["v"].to_numpy())
-            x = _unit(x)
-            total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(dims), "row": list(total)})
-
-    rows = classes.select("v").mapInPandas(sums, "i int, row array<double>")
-    cells = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    m = np.zeros((dims, dims))
-    for i, j, x in cells:
-        m[i, j] = x
-    values, axes = np.linalg.eigh((m + m.T) / 2)
-    return axes[:, np.argsort(-values, kind="stable")]
+            for d, part in f.groupby(f["v"].map(len)):
+                x = _unit(np.stack(part["v"].to_numpy()))
+                total[d] = total.get(d, 0) + x.T @ x
+        for d, m in total.items():
+            yield pd.DataFrame({"d": d, "i": np.arange(d), "row": list(m)})
+
+    rows = classes.filter(F.size("v").isin(lengths)).select("v").mapInPandas(sums, "d int, i int, row array<double>")
+    cells = rows.select("d", "i", F.posexplode("row").alias("j", "x")).groupBy("d", "i", "j").agg(F.sum("x").alias("x")).toArrow()
+    of, i, j, x = (cells.column(c).to_numpy() for c in ("d", "i", "j", "x"))
+    axes = {}
+    for d in lengths:
+        m, here = np.zeros((d, d)), of == d
+        m[i[here], j[here]] = x[here]
+        values, vectors = np.linalg.eigh((m + m.T) / 2)
+        axes[d] = vectors[:, np.argsort(-values, kind="stable")]
+    return axes
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -124,14 +142,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     rows = _clean(vectors, id_col, vector_col, label_col)
     good = rows.filter("ok")
     classes = common.cut(_classes(good).withColumn("label", F.concat_ws("/", F.size("v").cast("string"), "label")))
-    sizes = [r[0] for r in classes.select(F.size("v")).distinct().orderBy(F.size("v")).limit(100).collect()]
-    parts = [_links(classes.filter(F.size("v") == d), d, threshold, tile) for d in sizes]
-    if not parts:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = common.cut(found)
+    found = common.cut(_links(classes, threshold, tile))
     group = components(found.filter("other is not null").select(F.col("class_id").alias("a"), F.col("other").alias("b")))
     more = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     each = classes.select("class_id", "n").join(more, "class_id", "left").join(group, F.col("class_id") == F.col("node"), "left")
@@ -143,17 +154,19 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     return out.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def _links(classes: DataFrame, dims: int, threshold: float, tile: int) -> DataFrame:
-    """class_id, links (rows linked in a pair of tiles), other (a class of the same component, or null)."""
-    axes = _axes(classes, dims)
+def _links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """class_id, links (rows linked in a pair of tiles), other (a class of the same component, or null). Vectors of a label
+    have one length."""
+    axes = classes.sparkSession.sparkContext.broadcast(_axes(classes))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) * (1 + 1e-6) + 1e-9
 
     def place(frames):
         for f in frames:
-            if len(f):
-                z = _unit(np.stack(f["v"].to_numpy())) @ axes
-                f["x"], f["y"] = (np.floor(z[:, k] / reach).astype(np.int64) if dims > k else 0 for k in (0, 1))
-                yield f[["label", "class_id", "n", "v", "x", "y"]]
+            for d, part in f.groupby(f["v"].map(len)):
+                z = _unit(np.stack(part["v"].to_numpy()))
+                z = z @ axes.value[d][:, :2] if d in axes.value else z
+                x, y = (np.floor(z[:, k] / reach).astype(np.int64) if d > k else 0 for k in (0, 1))
+                yield part.assign(x=x, y=y)[["label", "class_id", "n", "v", "x", "y"]]
 
     placed = common.cut(classes.mapInPandas(place, "label string, class_id long, n long, v array<double>, x long, y long"))
     cells = placed.groupBy("label", "x", "y").count().select("label", "x", "y", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
@@ -176,7 +189,8 @@ def _links(classes: DataFrame, dims: int, threshold: float, tile: int) -> DataFr
         frame = frame.sort_values(["side", "class_id"], kind="stable")
         side = frame["side"].to_numpy()
         v, ids, n = np.stack(frame["v"].to_numpy()), frame["class_id"].to_numpy(), frame["n"].to_numpy()
-        z = _unit(v) @ axes
+        z = _unit(v)
+        z = z @ axes.value[v.shape[1]] if v.shape[1] in axes.value else z
         same = key[1:3] == key[3:5] and key[5] == key[6]
         k = int((side == 0).sum())
         a, b = (slice(0, k), slice(0, k)) if same else (slice(0, k), slice(k, len(v)))

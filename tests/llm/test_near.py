@@ -218,3 +218,19 @@ def test_perfect_hash():
 
 def test_few(spark):
     assert common.few(spark.range(5).select("id"), 3).count() == common.few(spark.range(5).select("id")).count() == 5
+
+
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    """Each length has its links, however many shorter ones there are, and with axes or without."""
+    r = np.random.default_rng(5)
+    vs = [r.normal(size=d).tolist() for d in range(1, 111)]
+    for d in (30, 120):
+        for c in r.normal(size=(40, d)):
+            vs += [(c + r.normal(size=d) * s).tolist() for s in (0, 0.05, 0.15, 0.2)]
+    rows = [(i, v, 1, "n", "k", 0, "l", 1, "x") for i, v in enumerate(vs)]
+    want = brute_vectors(rows, 0.98)
+    assert sum(x[1] > 0 for x in want if x[0] >= 270) > 20
+    for most in (1 << 22, 1000):
+        monkeypatch.setattr(embedding_dedup, "AXES_CELLS", most)
+        got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, VECTORS))
+        assert tuples(got, "vec_id", "n_links", "component_id", "kept") == want
