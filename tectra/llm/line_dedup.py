@@ -63,7 +63,7 @@ class Shards:
 
 
 def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """hi, lo, n, keeper of each line key that at least min_docs rows hold; counts are combined before the shuffle."""
+    """hi, lo, n, keeper of each line key that at least min_docs ids hold, however many rows an id has."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -80,7 +80,7 @@ def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         return f
 
     lines = common.map_batches(docs, make, "hi long, lo long, doc_id long")
-    return lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(_NULL_ID)).alias("keeper")).filter(F.col("n") >= min_docs)
+    return lines.distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(_NULL_ID)).alias("keeper")).filter(F.col("n") >= min_docs)
 
 
 def line_index(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, int, int]:
@@ -116,8 +116,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     """`docs` with the text of each row less its repeated lines, and two counts (a name of None leaves a count out).
 
     A line's key is the line stripped of ASCII white space, with A-Z in lower case. A key of at least min_chars code
-    points that at least min_docs rows hold keeps its lines in the rows of the largest id that holds it, and loses
-    them elsewhere. Rows count as documents, also where an id repeats; a null id is less than any other. Null and
+    points that at least min_docs ids hold keeps its lines in the rows of the largest id that holds it, and loses
+    them elsewhere. Rows of one id count as one document, those without id too; a null id is less than any other. Null and
     empty texts have one empty line. An empty table gives an empty one. All columns stay; a count whose name a column
     has already takes that column's place.
     """

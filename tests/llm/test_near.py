@@ -234,3 +234,13 @@ def test_vectors_of_many_lengths(spark, monkeypatch):
         monkeypatch.setattr(embedding_dedup, "AXES_CELLS", most)
         got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, VECTORS))
         assert tuples(got, "vec_id", "n_links", "component_id", "kept") == want
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_lines_of_repeated_ids(spark, empty, broadcast_bytes):
+    """A line needs min_docs ids, not rows."""
+    two, three = "a line that two documents hold in three rows", "a line that three documents hold in four rows"
+    rows = [*rows_of([two, two], 1), *rows_of([two], 1), *rows_of([three] * 3, 10), *rows_of([three], 10)]
+    rows += [(None, three + x, *rows[0][2:]) for x in ("!", "!", "!")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, empty.schema), broadcast_bytes=broadcast_bytes)
+    assert tuples(got, "doc_id", "n_dropped") == ordered([(1, 0), (1, 0), (2, 0), (10, 1), (10, 1), (11, 1), (12, 0), *[(None, 0)] * 3])
