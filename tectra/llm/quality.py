@@ -25,6 +25,8 @@ _P = np.int64(1_000_003)
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_shouts", "n_stops", "n_distinct", "n_filled_lines", "n_symbol_words"]
 GOOD, BAD, ABSTAIN = 1, 0, 2
+#: Distinct words are counted in windows of so many words, as their share in a whole text falls with its length alone.
+WINDOW = 1000
 
 
 def repeated_words(words: list[bytes], width: int = 5) -> int:
@@ -48,6 +50,12 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
+def distinct_words(words: list[bytes]) -> int:
+    """Sum of the distinct words of each window. Windows follow one another; the last one ends with the text, so that all have one size."""
+    n = len(words)
+    return sum(len(set(words[max(0, min(k, n - WINDOW)) : k + WINDOW])) for k in range(0, n, WINDOW))
+
+
 def features(text: str) -> list[int]:
     raw = text.encode()
     words = raw.split()
@@ -55,7 +63,7 @@ def features(text: str) -> list[int]:
     gone = lambda drop: len(raw) - len(raw.translate(None, drop))
     symbols = gone(_SYMBOLS)
     marked = sum(w.translate(None, _SYMBOLS) != w for w in words) if symbols else 0
-    return [len(words), len(text) - gone(_BLANKS), symbols, len(lines) - len(set(lines)), repeated_words(words), gone(_UPPER), len(raw) - gone(_NOT_LETTERS), raw.count(b"!"), gone(b".!?"), len(set(words)), len(lines), marked]
+    return [len(words), len(text) - gone(_BLANKS), symbols, len(lines) - len(set(lines)), repeated_words(words), gone(_UPPER), len(raw) - gone(_NOT_LETTERS), raw.count(b"!"), gone(b".!?"), distinct_words(words), len(lines), marked]
 
 
 def votes(f: np.ndarray) -> np.ndarray:
@@ -68,13 +76,14 @@ def votes(f: np.ndarray) -> np.ndarray:
         return np.where(~(np.ones(len(share), bool) & holds), ABSTAIN, np.where(share <= good, GOOD, np.where(share >= bad, BAD, ABSTAIN)))
 
     length = chars / per
+    in_windows = np.maximum(np.ceil(n / WINDOW) * np.minimum(n, WINDOW), 1)
     return np.stack(
         [
             rule(repeat / per, 0.1, 0.3, n >= 10),
             rule(symbols / per, 0.02, 0.1),
             rule(upper / np.maximum(letters, 1), 0.1, 0.3),
             rule(shouts / per, 0.05, 0.3),
-            rule(-distinct / per, -0.5, -0.3, (n >= 30) & (n <= 20_000)),
+            rule(-distinct / in_windows, -0.5, -0.3, n >= 30),
             rule(np.abs(length - 5), 1.2, 2, n >= 30),
             rule(dup / np.maximum(lines, 1), 0.1, 0.3, lines >= 3),
             np.where(n < 30, ABSTAIN, np.where((stops >= 0.03 * n) & (stops <= 0.3 * n), GOOD, np.where((stops < 0.01 * n) | (stops > 0.6 * n), BAD, ABSTAIN))),

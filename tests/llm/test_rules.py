@@ -292,3 +292,13 @@ def test_licenses_in_part(spark, empty):
     texts = ["It is not released under the MIT license", "Released under the MIT\n\nlicense", "released under the MIT license of\nolden days", "\n" * 100_000 + "Released under\r\nthe MIT license" + "\n" * 100_000]
     got = licenses.license_scan(spark.createDataFrame(rows_of(texts), empty.schema))
     assert [(r.doc_id, r.rule) for r in got.collect()] == [(4, "mit-notice")]
+
+
+def test_distinct_words_of_any_length():
+    """The vote on distinct words depends on the words, not on how many they are."""
+    r, at = np.random.default_rng(0), 4
+    vote = lambda words: quality.votes(np.array([quality.features(" ".join(words))]))[0, at]
+    for n in (1000, 1001, 5000, 20_000, 20_001, 100_000):
+        assert vote([f"w{k}" for k in r.integers(0, 50, n)]) == quality.BAD
+        assert vote([f"w{k}" for k in r.integers(0, 5000, n)]) == quality.GOOD
+    assert quality.distinct_words([b"a", b"b"] * 750) == 4 and quality.distinct_words([]) == 0
