@@ -34,12 +34,13 @@ def vocabulary_path(name: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the shared place that the cluster names, or in a local one where it names none."""
+    """A new folder in the shared place that the cluster names. Only a session within one machine may name none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = os.path.join(tempfile.gettempdir(), "tectra-shared")
         os.makedirs(base, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/tectra-{uuid.uuid4().hex}"
 
 
@@ -50,10 +51,10 @@ def cut(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a table made by `cut` that nothing will read again."""
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes the files of tables made by `cut` that nothing will read again."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in {os.path.dirname(x) for x in df.inputFiles() if "/tectra-" in x}:
+    for path in {os.path.dirname(x) for df in tables for x in df.inputFiles() if "/tectra-" in x}:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
@@ -86,5 +87,9 @@ BROADCAST_IDS = 2_000_000
 
 def few(ids: DataFrame, limit: int | None = None) -> DataFrame:
     """A written table of ids, marked for broadcast if its rows are at most `limit`."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if limit is None else limit) else ids
+    return hinted(cut(ids), limit)
+
+
+def hinted(table: DataFrame, limit: int | None = None) -> DataFrame:
+    """A table of a few whole numbers a row, marked for broadcast if its rows are at most `limit`."""
+    return F.broadcast(table) if table.count() <= (BROADCAST_IDS if limit is None else limit) else table

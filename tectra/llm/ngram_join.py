@@ -1,17 +1,25 @@
 """Jaccard join of documents on word shingles with PartEnum signatures.
 
 Sets are put into bands of sizes; two sets that are similar enough lie in one band or in neighbouring ones, and within
-a band they differ in at most `reach` elements. The domain of shingles is dealt by hash into first-level partitions, of
-which one differs in at most one element, and each of these into three second-level ones; so two of the three agree
-whole. Each pair of them is one signature of a set, and similar sets share one. Equal sets are one class before that.
-
-Candidates that share a signature are held against the least of them, then against one another where components still
-differ, and each link is decided by the sizes of intersection and union. A bound from small histograms, which never
-exceeds the true difference, spares most false candidates.
+a band they differ in at most `reach` elements. The domain of shingles is dealt by hash into first-level parts, and each
+of these into second-level cells. Of the first-level parts at least one, and by `spare` more than that, differ in so few
+elements that some subset of their cells agrees whole. Each such subset is one signature of a set, and similar sets share one.
+
+A subset of empty cells says nothing, and unrelated sets would meet there in numbers that grow with the square of the
+rows. The spare parts pay for leaving these out: a set in which at most `spare` parts have an empty subset signs none of
+them. Of the parts that two similar sets agree in, at most so many are lost as the one of them that has fewer empty
+subsets has parts with such; so one at least is left. Sets with more empty subsets sign all of them, and meet one another there.
+
+Equal sets are one class before that. Candidates that share a signature are held against the least of them, then against
+one another where components still differ, and each link is decided by the sizes of intersection and union. A bound from
+histograms, whose buckets grow with the set and which never exceeds the true difference, spares most false candidates.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,11 +31,20 @@ from .components import components
 from .mph import mix
 
 _G = np.uint64(0x9E3779B97F4A7C15)
-_SUBSETS = ((0, 1), (0, 2), (1, 2))
-#: Buckets of a histogram; members of one block where many sets share a signature.
-_BUCKETS, _BLOCK = 256, 512
+#: Cells of a part and cells left out of a subset, for choice: the fewest signatures whose subsets hold _FULL elements of a
+#: band's least sets, or the fullest subsets within the most signatures.
+_SHAPES = ((1, 0), (2, 1), (3, 1), (4, 1), (4, 2), (5, 2), (5, 3), (6, 3), (6, 4), (7, 4))
+_FULL = 5.0
+#: Most signatures of a set in one band: so many and this share of its least size.
+_SIGNS, _SIGNS_SHARE = 20, 0.6
+#: Of sets of a band's least size, about this share or less has more empty subsets than there are spare parts (in standard deviations).
+_SPARE_SD = 2.4
+#: Least buckets of a histogram, and elements for each bucket of a longer one; members of one block where many sets share a signature.
+_BUCKETS, _FILL, _BLOCK = 256, 4, 512
 #: Bits of a signature. Signatures that are equal by chance only cost a comparison.
 _SIGN_BITS = 48
+#: Sets that one set is compared with in one group; a centre of more of them is sent once for each such group.
+_GROUP = 1000
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -51,11 +68,29 @@ def bands(limit: int, percent: int) -> list[int]:
     return firsts
 
 
+def _spare(bad: int, cells: int, out: int, size: int) -> int | None:
+    """Parts beyond the bad ones and a good one, enough for the empty subsets of most sets of this size; None if there is no such number."""
+    spare = 0
+    for _ in range(60):
+        parts = bad + 1 + spare
+        empty = (1 - 1 / (parts * cells)) ** size
+        # a part has an empty subset where as many cells are empty as a subset has
+        share = sum(math.comb(cells, k) * empty**k * (1 - empty) ** (cells - k) for k in range(cells - out, cells + 1))
+        need = math.ceil(parts * share + _SPARE_SD * math.sqrt(parts * share * (1 - share)) - 0.5)
+        if need <= spare:
+            return spare
+        if need > 2 * (bad + 2):
+            return None
+        spare = need
+    return None
+
+
 class Signer:
     """Signatures of sets for one threshold."""
 
     def __init__(self, percent: int):
         self.percent, self.firsts = percent, bands(1 << 31, percent) if percent < 100 else []
+        self._shapes: dict[int, tuple[int, int, int, list]] = {}
 
     def band(self, size: int) -> int:
         return int(np.searchsorted(self.firsts, size, "right")) - 1
@@ -66,6 +101,21 @@ class Signer:
         and u is at most 100 / (100 + percent) of the two sizes' sum."""
         return (self.firsts[band + 1] + self.firsts[band + 2] - 2) * (100 - self.percent) // (100 + self.percent)
 
+    def shape(self, band: int) -> tuple[int, int, int, list[tuple[int, ...]]]:
+        """Parts, spare ones among them, cells of a part, and the subsets of cells that sign."""
+        if band not in self._shapes:
+            reach, size, found = self.reach(band), self.firsts[band], []
+            for cells, out in _SHAPES:
+                bad = reach // (out + 1)  # so many parts at most differ in more than `out` elements
+                spare = _spare(bad, cells, out, size)
+                parts, subsets = bad + 1 + (spare or 0), math.comb(cells, out)
+                fits = parts * subsets <= _SIGNS + _SIGNS_SHARE * size
+                full = min(_FULL, size * (cells - out) / (parts * cells))
+                found.append((spare is not None and fits, fits, full, -parts * subsets, parts, spare or 0, cells, out))
+            *_, parts, spare, cells, out = max(found)
+            self._shapes[band] = parts, spare, cells, list(itertools.combinations(range(cells), cells - out))
+        return self._shapes[band]
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Of a set that isn't empty. A set signs for its own band and the one before, so that neighbours meet. Where
         similar sets are equal sets there is no signature, as these are one class already."""
@@ -73,19 +123,23 @@ class Signer:
             return np.zeros(0, np.uint64)
         own = self.band(len(s))
         out = [np.zeros(0, np.uint64)]
+        element = mix(s ^ _G)
         for band in {own, max(0, own - 1)}:
-            reach = self.reach(band)
-            if not reach:
+            if not self.reach(band):
                 continue
-            parts = reach // 2 + 1  # one of them differs in at most one element
-            cell = mix(s + np.uint64(7 * band + 1)) % np.uint64(3 * parts)
-            sums = np.zeros(3 * parts, np.uint64)
-            np.add.at(sums, cell.astype(np.int64), mix(s ^ _G))
-            sums = sums.reshape(parts, 3)
-            place = np.arange(parts, dtype=np.uint64) * np.uint64(4) + (np.uint64(band) << np.uint64(40))
-            for k, (i, j) in enumerate(_SUBSETS):
-                out.append(mix(mix(sums[:, i] + _G) + mix(sums[:, j] ^ _G) * np.uint64(3) + mix(place + np.uint64(k))) >> np.uint64(64 - _SIGN_BITS))
-        return np.concatenate(out)
+            parts, spare, cells, subsets = self.shape(band)
+            at = (mix(s + np.uint64(7 * band + 1)) % np.uint64(parts * cells)).astype(np.int64)
+            sums = np.zeros(parts * cells, np.uint64)
+            np.add.at(sums, at, element)
+            full = np.bincount(at, minlength=parts * cells).reshape(parts, cells) > 0
+            sums = mix(sums.reshape(parts, cells) + np.arange(1, cells + 1, dtype=np.uint64) * _G)
+            place = (np.uint64(band) << np.uint64(48)) + np.arange(parts, dtype=np.uint64) * np.uint64(64)
+            signs = np.stack([mix(sums[:, c].sum(1, dtype=np.uint64) + mix(place + np.uint64(k))) for k, c in enumerate(map(list, subsets))], 1)
+            says = np.stack([full[:, list(c)].any(1) for c in subsets], 1)
+            if (~says.all(1)).sum() <= spare:
+                signs = signs[says]
+            out.append(signs.ravel() >> np.uint64(64 - _SIGN_BITS))
+        return np.unique(np.concatenate(out))
 
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
@@ -97,8 +151,25 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _histogram(s: np.ndarray) -> bytes:
-    """Elements in each bucket; what a byte can't hold only loosens the bound."""
-    return np.minimum(np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=_BUCKETS), 255).astype(np.uint8).tobytes()
+    """Elements in each bucket, a power of two of them; what a byte can't hold only loosens the bound."""
+    bits = max(_BUCKETS.bit_length() - 1, (len(s) // _FILL).bit_length())
+    return np.minimum(np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _folded(h: bytes, buckets: int) -> np.ndarray:
+    x = np.frombuffer(h, np.uint8)
+    return x.astype(np.int32) if len(x) == buckets else x.reshape(buckets, -1).sum(1, dtype=np.int32)
+
+
+def _differ(g: bytes, h: bytes) -> int:
+    """At most the number of elements in which the sets of two histograms differ, but for counts a byte can't hold."""
+    n = min(len(g), len(h))
+    return int(np.abs(_folded(g, n) - _folded(h, n)).sum())
+
+
+def _may_link(differ, size, other, percent: int):
+    """False only where the sets differ in more elements than sets that link can."""
+    return differ * (100 + percent) <= (size + other) * (100 - percent)
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,121 +177,167 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles. Null and empty
     texts and texts of blanks have empty sets, which link with nothing; a text of fewer words than width is one shingle.
-    Equal sets are one class: its copies cost one row each and no pairs. Repeated rows and ids share their class; a null
-    id takes part in no class and is its own row, with a null component. An empty table gives an empty one; other
-    columns are ignored.
+    Equal sets are one class: its copies cost one row each and no pairs. All rows of one id are one document, which
+    links wherever one of its texts does, and so they share their component; a null id takes part in no class and is its
+    own row, with a null component. An empty table gives an empty one; other columns are ignored.
     """
     rows = common.keyed(docs, id_col, text_col)
-    signer = Signer(percent)
-    signed = common.cut(_signed(rows, width, signer))
-    classes = common.cut(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id")))
-    group = _groups(rows, signed, classes, width, signer)
-    of = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"], "left")
+    signed = common.cut(_signed(rows, width))
+    known = signed.filter("n_shingles > 0 and doc_id is not null")
+    # a written number for each class, as one id may be the least of several classes
+    classes = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"))
+    classes = common.cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    links = _links(rows, known, classes, width, Signer(percent))
+    name = lambda x: classes.select(F.col("node").alias(x), F.col("class_id").alias(f"{x}_id"))
+    ids = links.join(name("a"), "a").join(name("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    # copies hang on the least id of their class
+    of = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes.drop("node"), ["hi", "lo"], "left")
+    several = known.select("doc_id", "hi", "lo").distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    shared = common.few(several)
+    ids = ids.unionByName(of.filter("class_id <> doc_id").join(shared, "doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
+    group = components(ids)
     of = of.join(group, F.col("class_id") == F.col("node"), "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).otherwise(F.col("doc_id"))
-    return of.select("doc_id", "n_shingles", own.alias("component_id"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
+    # an id's rows without a set share the component of those with one
+    low = of.filter("n_shingles > 0").join(shared_empty(signed), "doc_id").groupBy("doc_id").agg(F.min(own).alias("low"))
+    of = of.withColumn("own", own).join(low, "doc_id", "left")
+    return of.select("doc_id", "n_shingles", F.coalesce("own", "low", "doc_id").alias("component_id"))
+
+
+def shared_empty(signed: DataFrame) -> DataFrame:
+    """Ids that have rows without a set."""
+    return common.few(signed.filter("n_shingles = 0 and doc_id is not null").select("doc_id").distinct())
 
 
-def _signed(rows: DataFrame, width: int, signer: Signer) -> DataFrame:
-    """doc_id, n_shingles, hi and lo (of the set), histogram and signatures of each row."""
+def _signed(rows: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, hi and lo (of the set) and histogram of each row."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(x, width) for x in common.texts(batch)]
             d = [_digest(s) for s in sets]
-            signs = [signer.signatures(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, signs)])
-            return pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array([_histogram(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(signs), pa.int64()))],
-                ["doc_id", "n_shingles", "hi", "lo", "histogram", "signs"],
-            )
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array([_histogram(s) for s in sets], pa.binary())]
+            return pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "hi", "lo", "histogram"])
 
         return f
 
-    return common.map_batches(rows, make, "doc_id long, n_shingles long, hi long, lo long, histogram binary, signs array<long>")
+    return common.map_batches(rows, make, "doc_id long, n_shingles long, hi long, lo long, histogram binary")
+
+
+def _by_class(rows: DataFrame, classes: DataFrame, width: int, name: str, kind: str, value) -> DataFrame:
+    """node and value(set) as a list of integers, from a row of each class that holds its least id. Rows whose id is the least
+    of a class of another text are let go; repeated rows give repeated ones."""
+    few = classes.select("class_id", "hi", "lo", "node")
+    met = rows.join(few, rows["doc_id"] == few["class_id"]).select("text", "hi", "lo", "node")
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nodes, values = [], []
+            for text, hi, lo, node in zip(common.texts(batch), *(batch.column(c).to_pylist() for c in ("hi", "lo", "node"))):
+                s = shingle_set(text, width)
+                if _digest(s) == (hi, lo):
+                    nodes.append(node)
+                    values.append(value(s).view(np.int64))
+            ends = np.cumsum([0, *map(len, values)])
+            flat = np.concatenate([np.zeros(0, np.int64), *values])
+            return pa.record_batch([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["node", name])
+
+        return f
+
+    return common.map_batches(met, make, f"node long, {name} {kind}")
 
 
 def _met(signs: DataFrame) -> DataFrame:
-    """Of rows sign, doc_id: those whose sign another id has too, with the least id of the sign. One shuffle; each task
+    """Of rows sign, node: those whose sign another node has too, with the least node of the sign. One shuffle; each task
     runs through its sorted rows and holds no group."""
 
     def run(batches):
-        held = None  # the last row, while it may yet prove alone: sign, doc_id
+        held = None  # the last row, while it may yet prove alone: sign, node
         least, last = None, None  # of the sign that is going on
         for b in batches:
-            sign, doc = b.column("sign").to_numpy(), b.column("doc_id").to_numpy()
+            sign, node = b.column("sign").to_numpy(), b.column("node").to_numpy()
             if not len(sign):
                 continue
             new = np.concatenate(([last is None or sign[0] != last], sign[1:] != sign[:-1]))
             start = np.maximum.accumulate(np.where(new, np.arange(len(sign)), -1))
-            low = np.where(start < 0, 0 if least is None else least, doc[np.maximum(start, 0)])
+            low = np.where(start < 0, 0 if least is None else least, node[np.maximum(start, 0)])
             more = np.concatenate((~new[1:], [False]))  # the sign goes on after this row
             keep = ~new | more
-            out = [(sign[keep], doc[keep], low[keep])]
+            out = [(sign[keep], node[keep], low[keep])]
             if held is not None and not new[0]:
                 out.insert(0, tuple(np.array([x], np.int64) for x in (*held, held[1])))
-            held = (int(sign[-1]), int(doc[-1])) if new[-1] else None
+            held = (int(sign[-1]), int(node[-1])) if new[-1] else None
             last, least = sign[-1], int(low[-1])
-            yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["sign", "doc_id", "least"])
+            yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["sign", "node", "least"])
 
-    return signs.repartition("sign").sortWithinPartitions("sign", "doc_id").mapInArrow(run, "sign long, doc_id long, least long")
+    return signs.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(run, "sign long, node long, least long")
 
 
-def _groups(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, signer: Signer) -> DataFrame:
-    """node (a class with links), component."""
-    copies = signed.select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).filter("doc_id <> class_id").select("doc_id")
-    reps = signed.filter("n_shingles > 0 and doc_id is not null").join(common.few(copies.distinct()), "doc_id", "left_anti")
-    met = common.cut(_met(reps.select("doc_id", F.explode(F.array_distinct("signs")).alias("sign"))))
-    known = signed.select("doc_id", F.col("n_shingles").alias("size"), "histogram").join(common.few(met.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    known = common.cut(known)
+def _links(rows: DataFrame, known: DataFrame, classes: DataFrame, width: int, signer: Signer) -> DataFrame:
+    """a, b: pairs of nodes that link, enough of them to hold every component together."""
+    spark = rows.sparkSession
+    signs = _by_class(rows, common.hinted(classes), width, "signs", "array<long>", signer.signatures)
+    met = common.cut(_met(signs.select("node", F.explode("signs").alias("sign"))))
+    nodes = common.few(met.select("node").distinct())
+    wanted = classes.join(nodes, "node", "left_semi")
+    bounds = known.join(common.hinted(wanted), ["hi", "lo"]).filter("doc_id = class_id").select("node", F.col("n_shingles").alias("size"), "histogram")
+    bounds = common.cut(bounds.dropDuplicates(["node"]))
 
     # first each set against the least one of each signature: one of these, then those that are still apart
-    stars = met.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = common.cut(_hopeful(stars, known, signer))
-    sets = common.cut(_sets_of(stars, rows, width))
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    stars = met.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    stars = common.cut(_hopeful(stars, bounds, signer))
+    sets = common.cut(_sets_of(stars, rows, classes, width))
+    first = common.cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = common.cut(_verified(first, sets, signer))
     group = components(links)
     links = common.cut(links.unionByName(_verified(_apart(stars.join(first, ["a", "b"], "left_anti"), group), sets, signer)))
     group = components(links)
+    common.forget(spark, sets, first)
 
     # then, where a signature still has several components, all that are in different ones, in blocks
-    held = met.join(group, F.col("doc_id") == F.col("node"), "left").select("sign", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    held = met.join(group.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sign", "node", F.coalesce("component", "node").alias("component"))
     # of two rows, the stars have decided
     open_ = held.groupBy("sign").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 < c2 and n > 2").select("sign", "n")
-    left = held.join(open_, "sign").join(known, "doc_id")
+    left = held.join(open_, "sign").join(bounds, "node")
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("blocks", blocks)
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
     left = left.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))))
-    member = F.struct("doc_id", "component", "size", (F.col("block") == F.col("pair.i")).alias("in_i"), (F.col("block") == F.col("pair.j")).alias("in_j"), "histogram")
+    member = F.struct("node", "component", "size", (F.col("block") == F.col("pair.i")).alias("in_i"), (F.col("block") == F.col("pair.j")).alias("in_j"), "histogram")
     # signatures of the same members are one piece of work; a piece has two blocks at most
-    work = left.groupBy("sign", "pair").agg(F.sort_array(F.collect_list(member)).alias("m")).select("m", F.transform("m", lambda x: F.struct(x["doc_id"], x["in_i"], x["in_j"])).alias("who")).dropDuplicates(["who"])
+    work = left.groupBy("sign", "pair").agg(F.sort_array(F.collect_list(member)).alias("m")).select("m", F.transform("m", lambda x: F.struct(x["node"], x["in_i"], x["in_j"])).alias("who")).dropDuplicates(["who"])
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             m = batch.column("m")
             ends, flat = (m.offsets.to_numpy() - m.offsets[0].as_py()).tolist(), m.flatten()
-            ids, comp, size, in_i, in_j = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "size", "in_i", "in_j"))
-            h = np.frombuffer(b"".join(flat.field("histogram").to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16)
+            ids, comp, size, in_i, in_j = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "size", "in_i", "in_j"))
+            hists = flat.field("histogram").to_pylist()
             a, b = [], []
             for lo, hi in zip(ends, ends[1:]):
+                # the same coarse buckets for the whole piece, then the pair's own
+                coarse = np.stack([_folded(x, _BUCKETS) for x in hists[lo:hi]])
                 for k in range(lo, hi):
                     others = np.arange(k + 1, hi)
                     others = others[(comp[k + 1 : hi] != comp[k]) & (in_i[k] & in_j[k + 1 : hi] | in_j[k] & in_i[k + 1 : hi])]
                     if len(others):
-                        ok = others[_may_link(h[others], h[k], size[others], size[k], signer.percent)]
-                        a += np.minimum(ids[k], ids[ok]).tolist()
-                        b += np.maximum(ids[k], ids[ok]).tolist()
+                        d = np.abs(coarse[others - lo] - coarse[k - lo]).sum(1, dtype=np.int64)
+                        for o in others[_may_link(d, size[others], size[k], signer.percent)].tolist():
+                            if len(hists[o]) == len(hists[k]) == _BUCKETS or _may_link(_differ(hists[o], hists[k]), int(size[o]), int(size[k]), signer.percent):
+                                a.append(min(ids[k], ids[o]))
+                                b.append(max(ids[k], ids[o]))
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         return f
 
     more = common.map_batches(work.select("m"), make, "a long, b long").distinct()
     more = common.cut(more.join(stars, ["a", "b"], "left_anti"))
+    common.forget(spark, met, bounds, stars, group)
     if not more.limit(1).count():
-        return group
-    extra = _verified(more, common.cut(_sets_of(more, rows, width)), signer)
-    return components(links.unionByName(extra))
+        return links
+    sets = common.cut(_sets_of(more, rows, classes, width))
+    links = common.cut(links.unionByName(_verified(more, sets, signer)))
+    common.forget(spark, sets, more)
+    return links
 
 
 def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
@@ -230,70 +347,65 @@ def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
     return met.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _sets_of(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    wanted = common.few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    return _sets(rows.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])
-
+def _sets_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """node, elements of the sets that the pairs name."""
+    wanted = common.few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = common.hinted(classes.join(wanted, "node", "left_semi"))
+    return _by_class(rows, wanted, width, "elements", "array<long>", lambda s: s).dropDuplicates(["node"])
 
-def _may_link(h, k, size, other, percent: int) -> np.ndarray:
-    """False only where the histograms differ by more than sets that link can."""
-    return np.abs(h - k).sum(1, dtype=np.int64) * (100 + percent) <= (size + other) * (100 - percent)
 
-
-def _hopeful(pairs: DataFrame, known: DataFrame, signer: Signer) -> DataFrame:
-    """The pairs that the histograms don't rule out."""
-    met = pairs.join(known.selectExpr("doc_id as a", "size as x", "histogram as g"), "a").join(known.selectExpr("doc_id as b", "size as y", "histogram as h"), "b")
+def _hopeful(pairs: DataFrame, bounds: DataFrame, signer: Signer) -> DataFrame:
+    """The pairs that neither sizes nor histograms rule out."""
+    met = pairs.join(bounds.selectExpr("node as a", "size as x", "histogram as g"), "a").join(bounds.selectExpr("node as b", "size as y", "histogram as h"), "b")
+    met = met.filter(F.least("x", "y") * 100 >= F.greatest("x", "y") * signer.percent)
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            g, h = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for c in "gh")
             x, y = (batch.column(c).to_numpy() for c in "xy")
-            return pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(_may_link(g, h, x, y, signer.percent)))
+            d = np.array([_differ(g, h) for g, h in zip(batch.column("g").to_pylist(), batch.column("h").to_pylist())], np.int64)
+            return pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(_may_link(d, x, y, signer.percent)))
 
         return f
 
     return common.map_batches(met.select("a", "b", "x", "y", "g", "h"), make, "a long, b long")
 
 
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    def make():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(x, width) for x in common.texts(batch)]
-            ends = np.cumsum([0, *map(len, sets)])
-            return pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))], ["doc_id", "elements"])
-
-        return f
-
-    return common.map_batches(rows, make, "doc_id long, elements array<long>")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, signer: Signer) -> DataFrame:
-    """Those of the pairs (a, b) that link, by the sets themselves."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    fits = F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * signer.percent
-    met = pairs.join(left, "a").join(right, "b").filter(fits)
+    """Those of the pairs (a, b) that link, by the sets themselves. A group is a set a and at most some _GROUP sets b: each b
+    is sent once a pair, and a once a group. Tasks run through sorted rows and hold the set a alone."""
+    sizes = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / _GROUP).cast("int").alias("groups"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
+    centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(True).alias("centre"), F.col("a").alias("node"))
+    needs = dealt.select("a", "part", F.lit(False).alias("centre"), F.col("b").alias("node")).unionByName(centres)
+    met = needs.join(sets, "node").repartition("a", "part").sortWithinPartitions("a", "part", F.desc("centre"), "node").select("a", "centre", "node", "elements")
 
-    def make():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = batch.column("x"), batch.column("y")
-            xs, ys = (c.flatten().to_numpy().view(np.uint64) for c in (x, y))
-            xo, yo = ((c.offsets.to_numpy() - c.offsets[0].as_py()).tolist() for c in (x, y))
-            ok = []
-            for k in range(batch.num_rows):
-                p, q = xs[xo[k] : xo[k + 1]], ys[yo[k] : yo[k + 1]]
-                s = np.sort(np.concatenate([p, q]))
-                ok.append(signer.linked(int((s[1:] == s[:-1]).sum()), len(p), len(q)))
-            return pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
-
-        return f
-
-    return common.map_batches(met.select("a", "b", "x", "y"), make, "a long, b long")
+    def run(batches):
+        at, own = None, None
+        for batch in batches:
+            for k in range(0, batch.num_rows, common.BATCH_ROWS):
+                b = batch.slice(k, common.BATCH_ROWS)
+                e = b.column("elements")
+                flat, ends = e.flatten().to_numpy().view(np.uint64), (e.offsets.to_numpy() - e.offsets[0].as_py()).tolist()
+                left, right = [], []
+                for i, (a, centre, node) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "centre", "node")))):
+                    s = flat[ends[i] : ends[i + 1]]
+                    if centre:
+                        at, own = a, s.copy()
+                    elif a != at:
+                        raise ValueError("a set of a pair is missing")
+                    elif 100 * min(len(own), len(s)) >= signer.percent * max(len(own), len(s)):
+                        both = np.sort(np.concatenate([own, s]))
+                        if signer.linked(int((both[1:] == both[:-1]).sum()), len(own), len(s)):
+                            left.append(a)
+                            right.append(node)
+                yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are the least id of their component, with all their columns. Repeated rows of
-    one id go or stay together; rows with a null id or an empty set stay."""
+    """The rows of `docs` that are the least id of their component, with all their columns. Rows of one id go or stay
+    together; rows with a null id or an empty set stay. An empty table gives an empty one."""
     found = ngram_join(docs, width, percent, id_col, text_col).filter("component_id is not null and doc_id <> component_id")
-    gone = common.few(found.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = common.few(found.select("doc_id").distinct())
+    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")

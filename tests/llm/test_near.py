@@ -70,6 +70,8 @@ def test_join(spark, width, percent):
     r.shuffle(texts)
     rows = rows_of(texts)
     rows += [rows[7], (None, *rows[9][1:])]
+    # ids that different texts share, and one whose other text has no words
+    rows += [(rows[k][0], rows[k + 9][1], *rows[k][2:]) for k in (3, 20, 21, 40)] + [(rows[11][0], " ", *rows[11][2:]), (rows[12][0], "a text of its own alone", *rows[12][2:])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, kept int, n_lines double, pattern string, label string, row int, leaf int, words int, bucket int, component_id string, epoch string, hash string")
     sets, low = brute_join([x[:2] for x in rows], width, percent)
     want = ordered((i, len(s), low.get(i)) for i, s in sets)
@@ -91,8 +93,46 @@ def test_signatures_never_miss():
             b = np.unique(np.concatenate([a[x:], r.integers(0, 1 << 63, y).astype(np.uint64)]))
             if len(a) != len(b) or (a != b).any():
                 assert np.isin(signer.signatures(a), signer.signatures(b)).any()
-            h = [np.frombuffer(ngram_join._histogram(s), np.uint8).astype(np.int16) for s in (a, b)]
-            assert ngram_join._may_link(h[0][None], h[1], np.array([len(a)]), len(b), percent).all()
+            d = ngram_join._differ(ngram_join._histogram(a), ngram_join._histogram(b))
+            assert d <= x + y and ngram_join._may_link(d, len(a), len(b), percent)
+
+
+def test_signatures_of_long_sets():
+    r = np.random.default_rng(6)
+    for percent, n in ((80, 5000), (85, 3000)):
+        signer = ngram_join.Signer(percent)
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        x = len(a) * (100 - percent) // 100
+        y = (100 * (len(a) - x // 2) - percent * len(a)) // percent
+        for b in (a[x:], np.unique(np.concatenate([a[x // 2 :], r.integers(0, 1 << 63, y).astype(np.uint64)]))):
+            assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+            assert np.isin(signer.signatures(a), signer.signatures(b)).any()
+            d = ngram_join._differ(ngram_join._histogram(a), ngram_join._histogram(b))
+            assert ngram_join._may_link(d, len(a), len(b), percent)
+        c = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        d = ngram_join._differ(ngram_join._histogram(a), ngram_join._histogram(c))
+        assert not ngram_join._may_link(d, len(a), len(c), percent)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize(("size", "sets"), [(12, 700), (40, 700), (300, 1000), (3000, 200)])
+def test_unrelated_sets_hardly_meet(percent, size, sets):
+    """Under one pair in a thousand shares a signature."""
+    r, signer, where = np.random.default_rng(size), ngram_join.Signer(percent), defaultdict(list)
+    for i in range(sets):
+        for x in signer.signatures(np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))).tolist():
+            where[x].append(i)
+    met = {(i, j) for v in where.values() if len(v) > 1 for i in v for j in v if i < j}
+    assert len(met) < 0.001 * sets * (sets - 1) / 2
+
+
+def test_join_of_repeated_ids(spark, empty):
+    """An id with two texts links wherever one of them does."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    texts = [(1, a), (3, a), (3, b), (5, b.replace("b30", "c")), (6, a[::-1]), (6, "")]
+    docs = spark.createDataFrame([(i, *rows_of([t])[0][1:]) for i, t in texts], empty.schema)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {(1, 57, 1), (3, 57, 1), (5, 57, 1), (6, 57, 6), (6, 0, 6)}
 
 
 def test_join_of_little(spark, empty):
