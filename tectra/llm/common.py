@@ -60,7 +60,11 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """`make` runs once in each task and returns the function from batch to batch; a batch has at most BATCH_ROWS rows."""
+    """`make` runs once in each task and returns the function from batch to batch; a batch has at most BATCH_ROWS rows. The session
+    is set to send no larger ones, as texts may be long and a batch stands in memory on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -18,6 +18,8 @@ from . import common
 
 _MARK = "▁"
 _CHUNKS = re.compile(f"\n[^ \n{_MARK}]*|[ {_MARK}]+[^ \n{_MARK}]*")
+#: Most chunks that a worker's table keeps (some 300 bytes each); at the bound the table starts anew.
+_KEPT = 300_000
 #: New chunks that are segmented in one call.
 _TOGETHER = 500
 
@@ -69,7 +71,7 @@ class Pieces:
             found = list(map(self.known.__getitem__, chunks))
             raw.append(b"".join([first, *[x for x, _ in found], last]))
             back.append("".join([x for _, x in found])[1:])
-            if len(self.known) > common.TABLE_ENTRIES:
+            if len(self.known) > _KEPT:
                 self.known.clear()
         return raw, back
 
