@@ -6,11 +6,11 @@ Frames over the k rows before go block by block, each block with the k rows that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block.
-BLOCK = 100_000
+#: Rows of a block; ranges that values are counted in, and distinct values of a range that are looked at one by one.
+BLOCK, RANGES, FEW = 100_000, 1024, 10_000
 
 
 def with_index(df: DataFrame, time: str = "time", *ties: str, index: str = "idx") -> DataFrame:
@@ -33,3 +33,35 @@ def with_rows_before(df: DataFrame, k: int, index: str = "idx", block: int = BLO
 
 def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("__own").drop("__own", "__block")
+
+
+def quantile(df: DataFrame, x: Column, q: float) -> float | None:
+    """The quantile of a column's values, linear between neighbours; None without values. Values are counted in ranges, and the range
+    that holds the place wanted is counted in ranges again until few distinct values are left: no task or driver sees them all."""
+    rows = df.select(x.cast("double").alias("x")).dropna()
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    place = q * (n - 1)
+    low = _at(rows, int(place), lo, hi)
+    return low if place == int(place) else low + (place - int(place)) * (_at(rows, int(place) + 1, lo, hi) - low)
+
+
+def _at(rows: DataFrame, k: int, lo: float, hi: float) -> float:
+    """The value at place k, from 0, of those between lo and hi."""
+    while True:
+        within = rows.filter(F.col("x").between(lo, hi))
+        some = within.groupBy("x").count().limit(FEW + 1)
+        if some.count() <= FEW:
+            for value, count in some.orderBy("x").collect():
+                if k < count:
+                    return value
+                k -= count
+            raise ValueError("no value has this place")
+        width = (hi - lo) / RANGES
+        spot = F.least(F.lit(RANGES - 1), F.floor((F.col("x") - lo) / width).cast("int"))
+        for _, count, first, last in within.groupBy(spot.alias("r")).agg(F.count(F.lit(1)), F.min("x"), F.max("x")).orderBy("r").collect():
+            if k < count:
+                lo, hi = first, last
+                break
+            k -= count

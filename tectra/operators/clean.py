@@ -51,13 +51,14 @@ def clean_catalog(raw: DataFrame, order: list | None = None) -> DataFrame:
 
 def completeness_summary(df: DataFrame) -> DataFrame:
     """One row; all but the count null if there are no events."""
+    median = ordering.quantile(df, exprs.finite(F.col("depth")), 0.5)
     return df.agg(
         F.count(F.lit(1)).alias("n_events"),
         F.min(exprs.micros(F.col("time"))).alias("date_min"),
         F.max(exprs.micros(F.col("time"))).alias("date_max"),
         F.min("mag").alias("mag_min"),
         F.max("mag").alias("mag_max"),
-        F.percentile("depth", F.lit(0.5)).alias("depth_median_km"),
+        F.lit(median).cast("double").alias("depth_median_km"),
     )
 
 
@@ -98,5 +99,5 @@ def coverage_gaps(intervals: DataFrame, start: str = "start", end: str = "end",
 
 def quantile_split(df: DataFrame, fraction: float) -> DataFrame:
     """Adds is_train: time up to the quantile (linear between events)."""
-    cut = df.agg(F.percentile(exprs.micros(F.col("time")), F.lit(fraction)).alias("__cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("is_train", exprs.micros(F.col("time")) <= F.col("__cut")).drop("__cut")
+    cut = ordering.quantile(df, exprs.micros(F.col("time")), fraction)
+    return df.withColumn("is_train", exprs.micros(F.col("time")) <= F.lit(cut).cast("double"))

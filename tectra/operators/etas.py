@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tectra.functions import exprs
-from tectra.schemas import CatalogError, Region
+from tectra.functions import exprs, ordering
+from tectra.schemas import DAY_US, CatalogError, Region
 
 
 @dataclass(frozen=True)
@@ -41,25 +41,52 @@ def _gain(p: Params, mag: Column) -> Column:
     return F.lit(p.K) * F.exp(F.lit(p.alpha) * (mag - p.m0))
 
 
+#: Events of a block, and windows of one; pairs are summed within a task, block against block, and are never rows.
+BLOCK, WINDOW_BLOCK = 2000, 256
+
+
+def _numbered(events: DataFrame) -> tuple[DataFrame, int]:
+    """t, mag, id, idx (from 1, by t and id) and block of each event, and the number of blocks."""
+    us = F.timestamp_micros(F.round(F.col("t") * DAY_US).cast("long"))
+    rows = ordering.with_index(events.select("id", "t", "mag").withColumn("__at", us), "__at", "t", "id").drop("__at")
+    blocks = -(-events.count() // BLOCK)
+    return rows.withColumn("block", F.floor((F.col("idx") - 1) / BLOCK).cast("int")), blocks
+
+
 def intensity(events: DataFrame, p: Params, horizon_days: float | None = None, block_days: float = 1.0) -> DataFrame:
     """id, t, rate: background plus what each earlier event (by t, then id) adds.
 
-    Events meet by an equality of time blocks. Without a horizon every earlier event counts and the sum is the pairs'
-    number, which suits thousands of strong events; with one, an event looks back so many days at most.
+    Without a horizon every earlier event counts: events are dealt into blocks in order, a task sums one pair of blocks with
+    whole arrays, and what is shuffled grows with events times blocks. With a horizon, an event looks back so many days at
+    most and events meet by an equality of time blocks.
     """
+    if horizon_days is None:
+        rows, blocks = _numbered(events)
+        own = rows.select("idx", "t", "mag", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("j"))
+        if blocks > 1:
+            later = rows.filter(F.col("block") < blocks - 1)
+            own = own.unionByName(later.select("idx", "t", "mag", F.explode(F.sequence(F.col("block") + 1, F.lit(blocks - 1))).alias("i"), F.col("block").alias("j")))
+
+        def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            block = (frame["idx"].to_numpy() - 1) // BLOCK
+            a, b = frame[block == key[0]], frame[block == key[1]]
+            dt = a["t"].to_numpy()[:, None] - b["t"].to_numpy()[None] + p.c
+            earlier = b["idx"].to_numpy()[None] < a["idx"].to_numpy()[:, None]
+            gain = p.K * np.exp(p.alpha * (b["mag"].to_numpy() - p.m0))
+            part = np.where(earlier, np.where(earlier, dt, 1.0) ** -p.p, 0.0) @ gain
+            return pd.DataFrame({"idx": a["idx"].to_numpy(), "part": part})
+
+        sums = own.groupBy("i", "j").applyInPandas(run, "idx long, part double").groupBy("idx").agg(F.sum("part").alias("part"))
+        return rows.join(sums, "idx").select("id", "t", (F.lit(p.mu) + F.col("part")).alias("rate"))
     a = events.select("id", "t", "mag")
     b = events.select(F.col("id").alias("i"), F.col("t").alias("s"), F.col("mag").alias("m"))
     earlier = (F.col("s") < F.col("t")) | (F.col("s") == F.col("t")) & (F.col("i") < F.col("id"))
     part = _gain(p, F.col("m")) * F.pow(F.col("t") - F.col("s") + p.c, F.lit(-p.p))
-    if horizon_days is None:
-        met = a.join(b, earlier, "left")
-    else:
-        span = math.ceil(horizon_days / block_days)
-        left = a.withColumn("k", F.floor(F.col("t") / block_days))
-        right = b.withColumn("k", F.explode(F.sequence(F.floor(F.col("s") / block_days), F.floor(F.col("s") / block_days) + span)))
-        on = (left["k"] == right["k"]) & earlier & (F.col("t") - F.col("s") <= horizon_days)
-        met = left.join(right, on, "left")
-    return met.groupBy("id", "t").agg((F.lit(p.mu) + F.coalesce(F.sum(part), F.lit(0.0))).alias("rate"))
+    span = math.ceil(horizon_days / block_days)
+    left = a.withColumn("k", F.floor(F.col("t") / block_days))
+    right = b.withColumn("k", F.explode(F.sequence(F.floor(F.col("s") / block_days), F.floor(F.col("s") / block_days) + span)))
+    on = (left["k"] == right["k"]) & earlier & (F.col("t") - F.col("s") <= horizon_days)
+    return left.join(right, on, "left").groupBy("id", "t").agg((F.lit(p.mu) + F.coalesce(F.sum(part), F.lit(0.0))).alias("rate"))
 
 
 def _omori(p: Params, t1: Column, t2: Column) -> Column:
@@ -81,11 +108,26 @@ def negative_log_likelihood(events: DataFrame, p: Params, t_start: float, t_end:
 
 
 def expected_counts(windows: DataFrame, events: DataFrame, p: Params) -> DataFrame:
-    """windows: win_idx, ws, we. Adds expected, from events before each window's start. A window adds up all events before it, so the join has
-    windows times events pairs; sums are combined before the shuffle."""
-    part = _gain(p, F.col("mag")) * (_omori(p, F.lit(0.0), F.col("we") - F.col("t")) - _omori(p, F.lit(0.0), F.col("ws") - F.col("t")))
-    met = windows.join(events.select("t", "mag"), F.col("t") < F.col("ws"), "left")
-    return met.groupBy("win_idx", "ws", "we").agg((F.lit(p.mu) * (F.col("we") - F.col("ws")) + F.coalesce(F.sum(part), F.lit(0.0))).alias("expected"))
+    """windows: win_idx, ws, we. Adds expected, from events before each window's start. Blocks of windows meet blocks of events in a task,
+    which sums with whole arrays."""
+    rows, blocks = _numbered(events)
+    wins = windows.withColumn("w", F.floor(F.col("win_idx") / WINDOW_BLOCK).cast("int"))
+    n = (wins.agg(F.max("w")).first()[0] or 0) + 1
+    none = F.lit(None).cast("double")
+    left = wins.select("w", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("block"), "win_idx", "ws", "we", none.alias("t"), none.alias("mag"))
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("w"), "block", F.lit(None).cast("int").alias("win_idx"), none.alias("ws"), none.alias("we"), "t", "mag")
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        w, e = frame[frame["win_idx"].notna()], frame[frame["win_idx"].isna()]
+        ws, we, t = w["ws"].to_numpy()[:, None], w["we"].to_numpy()[:, None], e["t"].to_numpy()[None]
+        before = t < ws
+        since = np.where(before, t, ws)  # what comes later adds nothing
+        gain = p.K * np.exp(p.alpha * (e["mag"].to_numpy() - p.m0))
+        part = np.where(before, ((we - since + p.c) ** (1 - p.p) - (ws - since + p.c) ** (1 - p.p)) / (1 - p.p), 0.0) @ gain
+        return pd.DataFrame({"win_idx": w["win_idx"].astype("int32"), "part": part})
+
+    sums = left.unionByName(right).groupBy("w", "block").applyInPandas(run, "win_idx int, part double").groupBy("win_idx").agg(F.sum("part").alias("part"))
+    return windows.join(sums, "win_idx", "left").select(*windows.columns, (F.lit(p.mu) * (F.col("we") - F.col("ws")) + F.coalesce("part", F.lit(0.0))).alias("expected"))
 
 
 def fixed_windows(events: DataFrame, start: float, end: float, width: float) -> DataFrame:
@@ -99,6 +141,12 @@ def fixed_windows(events: DataFrame, start: float, end: float, width: float) ->
     return wins.join(met.groupBy("win_idx").agg(F.count(F.lit(1)).alias("n")), "win_idx", "left").fillna({"n": 0})
 
 
+def branching(K: Column, c: Column, p: Column, alpha: Column, b: Column) -> Column:
+    """`branching_ratio` of a table's rows; null where it has no finite value."""
+    beta = b * math.log(10)
+    return F.when((alpha < beta) & (p > 1), K * F.pow(c, 1 - p) / (p - 1) * beta / (beta - alpha))
+
+
 def branching_ratio(p: Params, b: float) -> float | None:
     """Mean direct offspring; None where it has no finite value."""
     beta = b * math.log(10)
@@ -290,6 +338,16 @@ def aftershock_panel(events: DataFrame, now_us: Column, least: float = 4.5) -> D
     return rows.select("id", "mag", "elapsed_days", "min_mag", "period", n.alias("expected"), display_band(n).alias("band"))
 
 
+def recent_events(events: DataFrame, now_us: Column, region: Region, days: int = 30, min_mag: float = 3.0) -> DataFrame:
+    """Events of the box since the midnight so many days ago, newest first: id, time_us, mag, elapsed, band, radius, is_fresh."""
+    start = exprs.micros(F.date_trunc("day", F.timestamp_micros(now_us - days * DAY_US)))
+    us = exprs.micros(F.col("time"))
+    rows = events.filter((F.col("mag") >= min_mag) & (us >= start) & exprs.in_box(F.col("latitude"), F.col("longitude"), region))
+    d = exprs.days((now_us - us).cast("double"))
+    band, radius = recent_style(F.col("mag"))
+    return rows.select("id", us.alias("time_us"), "mag", elapsed_text(d).alias("elapsed"), band.alias("band"), radius.alias("radius"), (d < 1).alias("is_fresh")).orderBy(F.desc("time_us"), "id")
+
+
 def elapsed_text(days: Column) -> Column:
     half_up = lambda x: F.floor(x + 0.5).cast("long").cast("string")
     return (

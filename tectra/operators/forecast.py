@@ -30,6 +30,11 @@ def supervised(series: DataFrame, n_lags: int = 6, target: str = "n_events") ->
     return series.select("win_idx", *lags, F.col(target).cast("double").alias("target"), F.row_number().over(w).alias("rn")).filter(F.col("rn") > n_lags).drop("rn")
 
 
+def strong_windows(series: DataFrame, least: float = 5.0) -> DataFrame:
+    """Adds strong: 1 where a window's greatest magnitude is at least so much, else 0."""
+    return series.withColumn("strong", (F.col("max_mag") >= least).cast("int"))
+
+
 def event_features(df: DataFrame, min_mag: float = 4.0, k: int = 10) -> DataFrame:
     """Of each strong event after the first k: id, time_us, last_mag, mean_mag, max_mag, std_mag (population), days_since_last,
     rate (k over the days of the k before it), target. Nothing of the event itself enters but the target."""
@@ -102,10 +107,16 @@ def brier(df: DataFrame, y: str, p: str) -> DataFrame:
     return a.withColumn("skill", skill(F.col("brier"), F.col("base")))
 
 
-def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """auc by average ranks; null without both classes. Scores are summed by distinct value first, so the window has a row for each."""
-    by = df.groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    by = by.withColumn("below", F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def roc_auc(df: DataFrame, y: str, p: str, buckets: int = 1024) -> DataFrame:
+    """auc by average ranks; null without both classes. Scores are summed by distinct value, then by range: the window over ranges has
+    `buckets` rows, and those within a range have its distinct values."""
+    by = df.groupBy(F.col(p).cast("double").alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    span = by.agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    place = F.floor((F.col("p") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * (buckets - 1))
+    by = by.crossJoin(F.broadcast(span)).select("p", "pos", "neg", F.coalesce(place, F.lit(0)).cast("int").alias("bucket"))
+    sums = by.groupBy("bucket").agg(F.sum("neg").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).drop("n")
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = by.join(F.broadcast(sums), "bucket").withColumn("below", F.col("before") + below)
     a = by.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return a.select(F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
 
@@ -118,25 +129,45 @@ def r_squared(df: DataFrame, y: str, p: str, least: float = 0.05) -> DataFrame:
     return a.withColumn("predictable", F.coalesce(F.col("r2") >= least, F.lit(False)))
 
 
-def bootstrap_mean_ci(df: DataFrame, x: str, n_boot: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """mean, low, high. Each row falls into each resample as often as a Poisson variate says, drawn from the row's own value and the seed: no
-    resample is ever gathered, and partial sums are all that is shuffled."""
+#: Rows that weights are drawn for at once.
+_DRAWN = 256
+
+
+def poisson_weights(keys, n_boot: int, seed: int):
+    """Poisson(1) variates, a row a key: they depend on the key, the resample and the seed alone, not on where a row is."""
+    import numpy as np
+
+    u64 = np.uint64
+    x = keys.astype(np.int64).view(u64)[:, None] + (np.arange(n_boot, dtype=u64) + u64(1))[None] * u64(0x9E3779B97F4A7C15) + u64(seed) * u64(0xD1B54A32D192ED03)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> u64(shift))) * u64(factor)
+    u = ((x ^ (x >> u64(31))) >> u64(11)) / 2.0**53
+    steps, p, total = [], np.exp(-1.0), 0.0
+    for k in range(20):
+        total += p
+        steps.append(total)
+        p /= k + 1
+    return np.searchsorted(np.array(steps), u, "right")
+
+
+def bootstrap_mean_ci(df: DataFrame, x: str, n_boot: int = 2000, confidence: float = 0.95, seed: int = 0, key: str = "id") -> DataFrame:
+    """mean, low, high. Each row falls into each resample as often as a Poisson variate says, drawn from the row's key and the seed, so
+    that partitions don't matter: no resample is ever gathered, and partial sums are all that is shuffled."""
     import numpy as np
     import pandas as pd
 
     def run(frames):
-        total, weight, row = np.zeros(n_boot), np.zeros(n_boot), 0
-        from pyspark import TaskContext
-
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        total, weight = np.zeros(n_boot), np.zeros(n_boot)
         for f in frames:
-            for v in f["x"].to_numpy():
-                k = rng.poisson(1.0, n_boot)
-                total += k * v
-                weight += k
+            keys, values = f["k"].to_numpy(), f["x"].to_numpy()
+            for i in range(0, len(f), _DRAWN):
+                w = poisson_weights(keys[i : i + _DRAWN], n_boot, seed)
+                total += values[i : i + _DRAWN] @ w
+                weight += w.sum(0)
         yield pd.DataFrame({"boot": np.arange(n_boot), "s": total, "w": weight})
 
-    means = df.select(F.col(x).cast("double").alias("x")).dropna().mapInPandas(run, "boot int, s double, w double").groupBy("boot").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    rows = df.select(F.xxhash64(key).alias("k"), F.col(x).cast("double").alias("x")).dropna()
+    means = rows.mapInPandas(run, "boot int, s double, w double").groupBy("boot").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     a = (1 - confidence) / 2
     ci = means.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))
     return df.agg(F.avg(x).alias("mean")).crossJoin(ci)
@@ -151,20 +182,62 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, kind: str) -> DataFrame:
-    """test with a column prediction. kind: poisson_glm, boosted or boosted_class (the probability of 1)."""
+def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, kind: str, rounds: int = 100) -> DataFrame:
+    """test with a column prediction. kind: poisson_glm, boosted or boosted_class (the probability of 1), with so many trees."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 
     made = {
         "poisson_glm": lambda: GeneralizedLinearRegression(family="poisson", link="log", regParam=1e-3, maxIter=50, labelCol=target),
-        "boosted": lambda: GBTRegressor(maxDepth=3, maxIter=20, seed=0, labelCol=target),
-        "boosted_class": lambda: GBTClassifier(maxDepth=3, maxIter=20, seed=0, labelCol=target),
+        "boosted": lambda: GBTRegressor(maxDepth=3, maxIter=rounds, seed=0, labelCol=target),
+        "boosted_class": lambda: GBTClassifier(maxDepth=3, maxIter=rounds, seed=0, labelCol=target),
     }
     if kind not in made:
         raise CatalogError(f"no learner is named {kind}")
+    if kind == "boosted_class" and train.select(target).distinct().limit(2).count() < 2:
+        only = train.agg(F.avg(target).alias("prediction"))  # one class alone: its share
+        return test.crossJoin(F.broadcast(only))
     model = made[kind]().fit(_vectors(train, features))
     out = model.transform(_vectors(test, features))
     p = vector_to_array("probability")[1] if kind == "boosted_class" else F.greatest(F.col("prediction"), F.lit(0.0)) if kind == "poisson_glm" else F.col("prediction")
     return out.withColumn("p", p).select(*test.columns, F.col("p").alias("prediction"))
+
+
+def magnitude_models(features: DataFrame, rounds: int = 100, test_frac: float = 0.25) -> DataFrame:
+    """model, mae, r2, predictable for the next event's magnitude from `event_features`: the mean, the last magnitude, and boosted trees."""
+    inputs = ["last_mag", "mean_mag", "max_mag", "std_mag", "days_since_last", "rate"]
+    rows = ordering.with_index(features.withColumn("time", F.timestamp_micros("time_us")), "time", "id")
+    n = rows.count()
+    k = round(n * (1 - test_frac))
+    train, test = rows.filter(F.col("idx") <= k), rows.filter(F.col("idx") > k)
+    mean = train.agg(F.avg("target").alias("climatology"))
+    out = fit_predict(train, test, inputs, "target", "boosted", rounds).withColumnRenamed("prediction", "boosted")
+    out = out.crossJoin(F.broadcast(mean)).withColumn("persistence", F.col("last_mag"))
+    scored = [r_squared(out, "target", m).select(F.lit(m).alias("model"), "mae", "r2", "predictable") for m in ("climatology", "persistence", "boosted")]
+    return scored[0].unionByName(scored[1]).unionByName(scored[2])
+
+
+def strong_window_verdict(series: DataFrame, least: float = 5.0, rounds: int = 100) -> DataFrame:
+    """brier, base, skill, auc, positive_rate of boosted trees that tell from lags whether a window has a strong event. The base is the
+    training share."""
+    x = supervised(strong_windows(series, least), target="strong")
+    split = temporal_split(x, "win_idx")
+    train, test = split.filter("is_train"), split.filter("not is_train")
+    share = train.agg(F.avg("target").alias("share"))
+    out = fit_predict(train, test, [c for c in x.columns if "_lag" in c], "target", "boosted_class", rounds).crossJoin(F.broadcast(share))
+    a = out.agg(F.avg((F.col("prediction") - F.col("target")) ** 2).alias("brier"), F.avg((F.col("share") - F.col("target")) ** 2).alias("base"), F.avg("target").alias("positive_rate"))
+    return a.crossJoin(roc_auc(out, "target", "prediction")).select("brier", "base", skill(F.col("brier"), F.col("base")).alias("skill"), "auc", "positive_rate")
+
+
+def model_leaderboard(series: DataFrame, rounds: int = 100) -> DataFrame:
+    """`leaderboard` of climatology, persistence, the Poisson GLM and boosted trees on the same later windows."""
+    x = supervised(series)
+    split = temporal_split(x, "win_idx")
+    train, test = split.filter("is_train"), split.filter("not is_train")
+    inputs = [c for c in x.columns if "_lag" in c]
+    out = baselines(x, "win_idx", "target")
+    for kind in ("poisson_glm", "boosted"):
+        p = fit_predict(train, test, inputs, "target", kind, rounds).select("win_idx", F.greatest("prediction", F.lit(0.0)).alias(kind))
+        out = out.join(p, "win_idx")
+    return leaderboard(scores(out, "y", ["climatology", "persistence", "poisson_glm", "boosted"]), "climatology")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,29 @@ def fold(c: Column) -> Column:
     return F.lower(F.translate(c, "İI", "iı"))
 
 
+#: Characters of a piece of text that is searched at once.
+PIECE = 2000
+
+
 def claims(df: DataFrame, text: str, phrases: tuple[str, ...] = CLAIMS, denials: tuple[str, ...] = DENIALS, reach: int = REACH, id_col: str = "id") -> DataFrame:
     """id, phrase, idx (from 0, in the folded text) of each occurrence, overlapping ones too, that no denial stands near.
 
-    Work grows with the text and the occurrences: the pieces between occurrences give their places."""
+    A text is searched piece by piece, each with what its last occurrence and its neighbourhood need beyond it, so that work
+    and what is copied for an occurrence don't grow with the text's length."""
+    most = max(map(len, phrases), default=1)
     rows = df.select(F.col(id_col).alias("id"), fold(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    found = rows.withColumn("phrase", F.explode(F.array(*map(F.lit, phrases)))).filter(F.contains("t", F.col("phrase")))
-    # a look-ahead matches at every place, so that the running sum of the pieces' lengths names the places
-    found = found.withColumn("lens", F.expr(r"transform(split(t, concat('(?=\\Q', phrase, '\\E)')), x -> length(x))"))
-    found = found.withColumn("idx", F.explode(F.expr("array_append(transform(sequence(1, size(lens)), k -> aggregate(slice(lens, 1, k), 0, (a, x) -> a + x)), 0)")))
-    found = found.filter(F.expr("substring(t, idx + 1, length(phrase)) = phrase")).select("id", "phrase", "idx", "t")
-    near = F.expr(f"substring(t, greatest(idx - {reach}, 0) + 1, idx - greatest(idx - {reach}, 0) + length(phrase) + {reach})")
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(PIECE))).alias("start")
+    # from `first` on, the piece and its neighbourhood
+    wide = rows.select("id", "t", starts).withColumn("first", F.greatest(F.col("start") - reach, F.lit(0)))
+    wide = wide.select("id", "start", "first", F.expr(f"substring(t, first + 1, start - first + {PIECE + most + reach})").alias("t"))
+    each = F.array(*[F.struct(F.lit(x).alias("phrase"), F.split(F.expr(f"substring(t, start - first + 1, {PIECE + len(x) - 1})"), f"(?={re.escape(x)})").alias("parts")) for x in phrases])
+    found = wide.select("*", F.inline(F.filter(each, lambda e: F.contains(F.col("t"), e["phrase"]))))
+    # a look-ahead matches at every place, so that the lengths of the parts before it name a place
+    found = found.withColumn("lens", F.transform("parts", F.length)).drop("parts")
+    at = F.expr("array_append(transform(sequence(1, size(lens)), k -> aggregate(slice(lens, 1, k), 0, (a, x) -> a + x)), 0)")
+    found = found.withColumn("at", F.explode(F.array_distinct(at))).withColumn("idx", F.col("at") + F.col("start"))
+    found = found.filter((F.col("idx") < F.col("start") + PIECE) & F.expr("substring(t, idx - first + 1, length(phrase)) = phrase"))
+    near = F.expr(f"substring(t, greatest(idx - {reach}, 0) - first + 1, idx - greatest(idx - {reach}, 0) + length(phrase) + {reach})")
     denied = F.lit(False)
     for d in denials:
         denied = denied | near.contains(d)
@@ -50,6 +63,52 @@ def missing_keys(json: Column, required: list[str]) -> Column:
     return F.array_sort(F.array_except(F.array(*map(F.lit, required)), keys))
 
 
+def catalog_faults(df: DataFrame, required: list[str]) -> DataFrame:
+    """One row: n_rows, missing (required columns that aren't there), sound."""
+    gone = sorted(set(required) - set(df.columns))
+    missing = F.array(*map(F.lit, gone)).cast("array<string>")
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", missing.alias("missing"), (F.lit(not gone) & (F.col("n_rows") > 0)).alias("sound"))
+
+
+def _sound(c: Column) -> Column:
+    """Finite, tested before any comparison, as NaN is greater than every number."""
+    return F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
+
+
+def stamp_faults(min_mag: Column, mc: Column, area_skill: Column, gain: Column) -> Column:
+    """What a gate refuses a surface's numbers for, in order; empty where they are sound."""
+    faults = [
+        (~(_sound(min_mag) & _sound(mc)) | (min_mag < mc), "below completeness"),
+        (~_sound(area_skill), "skill isn't finite"),
+        (_sound(area_skill) & ~(area_skill > 0), "no skill"),
+        (~_sound(gain), "gain isn't finite"),
+        (_sound(gain) & ~(gain > 1), "no gain"),
+    ]
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for bad, name in faults]), lambda x: x.isNotNull())
+
+
+def drift_faults(stamped_mc: Column, mc: Column, b: Column, stamped_skill: Column, skill_: Column, drift: float = 0.05) -> Column:
+    """What a recomputed completeness, b and skill refuse a stamp for, in order."""
+    faults = [
+        (~(_sound(stamped_mc) & (F.abs(stamped_mc - mc) <= drift)), "mc has drifted"),
+        (~(_sound(b) & b.between(0.6, 1.4)), "b is out of range"),
+        (~(_sound(stamped_skill) & (F.abs(stamped_skill - skill_) <= drift)), "skill has drifted"),
+    ]
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for bad, name in faults]), lambda x: x.isNotNull())
+
+
+def etas_faults(json: Column) -> Column:
+    """What the gate refuses an ETAS stamp for, in order. Values are read with their JSON kinds, so that true is no number."""
+    core = "$.canonical_etas"
+    numbers = []
+    for k in ("mu", "K", "c", "p", "alpha", "skill_vs_climatology_pct"):
+        raw = F.get_json_object(json, f"{core}.{k}")
+        numbers.append(F.when(F.coalesce(~raw.rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$"), F.lit(True)), F.lit(k)))
+    source = F.get_json_object(json, f"{core}.source")
+    numbers.append(F.when(F.coalesce(source.contains("UNKNOWN") | (source == ""), F.lit(True)), F.lit("source")))
+    return F.filter(F.array(*numbers), lambda x: x.isNotNull())
+
+
 def require_columns(df: DataFrame, required: list[str]) -> None:
     if gone := sorted(set(required) - set(df.columns)):
         raise CatalogError(f"columns are missing: {', '.join(gone)}")
@@ -151,3 +210,44 @@ def etas_gate(stamp: dict) -> None:
         require_finite(core["branching_ratio"], "branching_ratio")
     if not core.get("source") or "UNKNOWN" in str(core["source"]):
         raise CatalogError("the source is unknown")
+
+
+# What a summary, a stamp and a cell's properties hold.
+SUMMARY_KEYS = ["source", "n_events", "date_min", "date_max"]
+STAMP_KEYS = ["source", "n_cells", "n_big_events", "disclaimer", "mc", "use_restriction"]
+CELL_KEYS = ["risk_model", "risk_index", "annual_rate", "recent_rate", "recency_days", "energy_index", "shallow_fraction"]
+SITE_KEYS = ["site_risk", "site_class", "amp", "liq_class"]
+
+
+def output_faults(catalog: DataFrame, summary: DataFrame, meta: DataFrame, cells: DataFrame, big_events: DataFrame, source: str, site_layer: bool = True) -> DataFrame:
+    """faults, n_events, n_cells, n_big_events: what the contract of all outputs refuses, in order. summary and meta: one row json; cells and
+    big_events: GeoJSON features in a column feature. Every feature is checked, and counts alone meet in one row."""
+    text = lambda k: F.get_json_object("json", f"$.{k}")
+    required = CELL_KEYS + (SITE_KEYS if site_layer else [])
+    s = summary.select(missing_keys(F.col("json"), SUMMARY_KEYS).alias("s_gone"), text("source").alias("s_source"))
+    m = meta.select(missing_keys(F.col("json"), STAMP_KEYS).alias("m_gone"), text("source").alias("m_source"), has_restriction(text("use_restriction")).alias("restricted"), fold(F.coalesce(text("disclaimer"), F.lit(""))).contains("tahmini").alias("denies"))
+    props = F.get_json_object("feature", "$.properties")
+    c = cells.agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.size(missing_keys(props, required)) > 0).alias("poor"))
+    b = big_events.agg(F.count(F.lit(1)).alias("n_big_events"), F.count_if(F.coalesce(~props.startswith("{"), F.lit(True))).alias("bare"))
+    one = catalog.agg(F.count(F.lit(1)).alias("n_events")).crossJoin(c).crossJoin(b).crossJoin(s).crossJoin(m)
+    faults = [
+        (F.col("n_events") == 0, "no events"),
+        (F.size("s_gone") > 0, "summary lacks keys"),
+        (F.coalesce(F.col("s_source") != source, F.lit(True)), "summary's source"),
+        (F.size("m_gone") > 0, "stamp lacks keys"),
+        (~F.col("restricted"), "use isn't restricted"),
+        (F.coalesce(F.col("m_source") != source, F.lit(True)), "stamp's source"),
+        (~F.col("denies"), "disclaimer"),
+        ((F.col("n_cells") == 0) | (F.col("poor") > 0), "cells lack keys"),
+        ((F.col("n_big_events") == 0) | (F.col("bare") > 0), "events lack properties"),
+    ]
+    listed = F.filter(F.array(*[F.when(bad, F.lit(name)) for bad, name in faults]), lambda x: x.isNotNull())
+    return one.select(listed.alias("faults"), "n_events", "n_cells", "n_big_events")
+
+
+def output_gate(*tables, **options) -> dict:
+    """The counts, or an error with what `output_faults` finds."""
+    r = output_faults(*tables, **options).first()
+    if r is None or r.faults:
+        raise CatalogError(", ".join(r.faults) if r else "nothing to check")
+    return {k: r[k] for k in ("n_events", "n_cells", "n_big_events")}

@@ -70,6 +70,37 @@ def amplification_band(amp: Column) -> Column:
     return F.when(amp >= 2.0, 4).when(amp >= 1.6, 3).when(amp >= 1.3, 2).when(amp >= 1.1, 1).otherwise(0)
 
 
+# Colours of the risk index, of amplification and of liquefaction.
+RISK_COLOURS = [(85, "#d10000"), (70, "#ff3b00"), (55, "#ff8c00"), (40, "#ffd500"), (0, "#6b6b1a")]
+AMP_COLOURS = [(2.0, "#54278f"), (1.6, "#756bb1"), (1.3, "#9e9ac8"), (1.1, "#cbc9e2")]
+AMP_LEAST = "#f2f0f7"
+LIQUEFACTION_COLOURS = {"yüksek": "#d10000", "orta": "#ff8c00", "düşük": "#ffd500", "çok düşük": "#6b6b1a"}
+OTHER_COLOUR = "#333"
+
+
+def _steps(value: Column, steps: list[tuple], least: str) -> Column:
+    out = F.lit(least)
+    for bound, colour in sorted(steps):
+        out = F.when(value >= bound, colour).otherwise(out)
+    return out
+
+
+def metric_colour(metric: str, index: Column, amp: Column, liquefaction: Column, site: Column) -> Column:
+    """A cell's colour by the metric shown: risk, amp, liq or site_risk. A cell without a site has amplification 1 and site risk 0."""
+    if metric == "amp":
+        return _steps(F.coalesce(amp, F.lit(1.0)), AMP_COLOURS, AMP_LEAST)
+    if metric == "liq":
+        known = F.create_map(*[F.lit(x) for pair in LIQUEFACTION_COLOURS.items() for x in pair])
+        return F.coalesce(F.try_element_at(known, liquefaction), F.lit(OTHER_COLOUR))
+    return _steps(F.coalesce(site, F.lit(0)) if metric == "site_risk" else index, RISK_COLOURS, RISK_COLOURS[-1][1])
+
+
+def polygon_centre(ring: Column) -> tuple[Column, Column]:
+    """Latitude and longitude, four digits, midway between a square's first and third corner ([lon, lat])."""
+    middle = lambda k: exprs.half_even((ring[0][k] + ring[2][k]) / 2, 4)
+    return middle(1), middle(0)
+
+
 def displayed(cells: DataFrame, least: int = 40) -> DataFrame:
     return cells.filter(F.col("risk_index") >= least)
 

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tectra.functions import exprs
+from tectra.functions import exprs, tables
 from tectra.operators import clean, risk
 from tectra.schemas import CatalogError, Region
 
 
 def _checked(counts: DataFrame, n: str) -> DataFrame:
-    bad = F.col(n).isNull() | F.isnan(F.col(n).cast("double")) | (F.abs(F.col(n).cast("double")) == float("inf")) | (F.col(n) < 0)
+    bad = count_fault(F.col(n)).isNotNull()
     return counts.withColumn(n, F.when(bad, F.raise_error(F.lit("counts have to be finite and not negative")).cast("double")).otherwise(F.col(n).cast("double")))
 
 
+def count_fault(n: Column) -> Column:
+    """Why a count is refused; null where it is sound."""
+    x = n.cast("double")
+    return F.when(x.isNull(), "missing").when(F.isnan(x) | (F.abs(x) == float("inf")), "not finite").when(x < 0, "negative")
+
+
 def area_skill(counts: DataFrame, place: str, n: str) -> DataFrame:
     """area_skill_score of cells in descending risk (`place` from 1): twice the area under the share captured, less 1; four digits. No
     events are an error. Cells are a few thousand, so one window holds them."""
@@ -72,7 +78,7 @@ def surface_counts(df: DataFrame, region: Region, *, min_mag: float = 4.0, cell_
 
 def surface_skill(df: DataFrame, region: Region, n_boot: int = 0, seed: int = 0, **options) -> DataFrame:
     """area_skill_score, gain_top25, ci_low, ci_high, n_train_cells, n_test_events; scores are null where no later event falls into a cell."""
-    counts = surface_counts(df, region, **options)
+    counts = tables.written(surface_counts(df, region, **options).coalesce(1))
     a = counts.agg(F.count(F.lit(1)).alias("n_train_cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_test_events"))
     total = F.sum("n").over(Window.partitionBy())
     hit = counts.withColumn("t", total).filter("t > 0")

@@ -116,6 +116,17 @@ def depth_histogram(df: DataFrame, bins: int = 60, top: float = 200.0) -> DataFr
     return d.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna({"n": 0})
 
 
+def fmd_plot(df: DataFrame, bin_width: float = 0.1) -> DataFrame:
+    """bin_center, cumulative, and incremental no less than 0.1, for a logarithmic axis."""
+    f = frequency_magnitude(df, bin_width)
+    return f.select("bin_center", "cumulative", F.greatest(F.col("incremental").cast("double"), F.lit(0.1)).alias("incremental"))
+
+
+def epicentres(df: DataFrame, min_mag: float = 4.0) -> DataFrame:
+    """id, longitude, latitude, mag of all events, and whether they are strong."""
+    return df.select("id", "longitude", "latitude", "mag", F.coalesce(F.col("mag") >= min_mag, F.lit(False)).alias("is_strong"))
+
+
 def cumulative_strong(df: DataFrame, min_mag: float = 4.5) -> DataFrame:
     """id, time_us, n: how many strong events there have been by then."""
     strong = df.filter(F.col("mag") >= min_mag)

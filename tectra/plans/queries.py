@@ -390,7 +390,7 @@ def boosted_classifier(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return forecast.bootstrap_mean_ci(catalog(spark, sf_dir), "mag", n_boot=200)
+    return forecast.bootstrap_mean_ci(catalog(spark, sf_dir), "mag", n_boot=2000)
 
 
 # --- point process ---------------------------------------------------------------------------------------------------
@@ -464,7 +464,7 @@ def zone_flags(spark, sf_dir):
 _RJ = "greatest(0, pow(CAST(10 AS DOUBLE), CAST(-1.67 AS DOUBLE) + (mag - min_mag)) * (pow(t2 + CAST(0.05 AS DOUBLE), CAST(-0.08 AS DOUBLE)) - pow(t1 + CAST(0.05 AS DOUBLE), CAST(-0.08 AS DOUBLE))) / CAST(-0.08 AS DOUBLE))"
 
 
-@query(f"""WITH e AS (SELECT id, mag, ({NOW_US} - epoch_us(time)) / CAST(86400000000 AS DOUBLE) AS el FROM cat WHERE mag >= 5.0),
+@query(f"""WITH e AS (SELECT id, mag, ({NOW_US} - epoch_us(time)) / CAST(86400000000 AS DOUBLE) AS el FROM cat WHERE mag >= 4.5),
 g AS (SELECT id, mag, el, min_mag, period, CASE period WHEN 'remaining' THEN el ELSE 0 END AS t1, CASE period WHEN '7d' THEN 7 ELSE 30 END AS t2
     FROM e JOIN (VALUES (CAST(3 AS DOUBLE), '7d'), (3, '30d'), (3, 'remaining'), (4, '7d'), (4, '30d'), (4, 'remaining')) p(min_mag, period) ON period <> 'remaining' OR el < 30),
 x AS (SELECT *, {_RJ} AS n FROM g)
@@ -507,7 +507,7 @@ def concentration_gain(spark, sf_dir):
 
 @query()
 def area_skill_ci(spark, sf_dir):
-    return skill.area_skill_ci(_ranked(spark, sf_dir), "place", "n", n_boot=300)
+    return skill.area_skill_ci(_ranked(spark, sf_dir), "place", "n", n_boot=1000)
 
 
 _LATER = _RISK.replace("FROM cat)", "FROM early)").replace("FROM cat, span", "FROM early, span")
@@ -522,7 +522,7 @@ def surface_counts(spark, sf_dir):
 
 @query()
 def surface_skill(spark, sf_dir):
-    return skill.surface_skill(catalog(spark, sf_dir), NATIONAL, n_boot=200, **RISK)
+    return skill.surface_skill(catalog(spark, sf_dir), NATIONAL, n_boot=1000, **RISK)
 
 
 # --- texts, gates, exports, live ---------------------------------------------------------------------------------------

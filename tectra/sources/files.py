@@ -9,6 +9,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tectra.functions import tables
 from tectra.operators import clean
 from tectra.schemas import CATALOG, CATALOG_COLUMNS, YEAR_DAYS, CatalogError
 
@@ -35,44 +36,40 @@ def read_seed(spark: SparkSession, path: str) -> DataFrame:
     return df.select(CATALOG_COLUMNS)
 
 
-def _text(spark: SparkSession, path: str) -> str | None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-
-
 def catalog_source(spark: SparkSession, path: str) -> str:
     """The source that a summary names; UNKNOWN where there is none, never a guess."""
     try:
-        found = json.loads(_text(spark, path) or "{}")
+        found = json.loads(tables.read_text(spark, path) or "{}")
     except ValueError:
         return UNKNOWN
     return (found.get("source") or UNKNOWN) if isinstance(found, dict) else UNKNOWN
 
 
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    """Names of the archive's manifests, the oldest first."""
+    fs, root = tables.file_system(spark, path)
+    if not fs.exists(root):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(root)]
+    return sorted(x for x in names if x.startswith("manifest-") and x.endswith(".json"))
+
+
 def load_archive(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """Events and manifest; an empty table and {} where there are none."""
-    manifest = json.loads(_text(spark, f"{path}/manifest.json") or "{}")
+    """Events and manifest of the last version; an empty table and {} where there are none."""
+    found = _manifests(spark, path)
+    manifest = json.loads(tables.read_text(spark, f"{path}/{found[-1]}")) if found else {}
     if not manifest.get("version"):
         return spark.createDataFrame([], CATALOG), manifest
     return spark.read.schema(CATALOG).parquet(f"{path}/{manifest['version']}"), manifest
 
 
 def save_archive(spark: SparkSession, path: str, events: DataFrame, manifest: dict) -> dict:
-    """Writes events as a new version and then the manifest that names it: a reader sees the old archive or the new one."""
+    """Writes events as a new version and then a manifest of its own that names it. Neither replaces a file, so a reader sees the old archive
+    or the new one, whenever the writer stops."""
     version = f"events-{datetime.now(timezone.utc).strftime('%Y%m%dT%H%M%S%f')}"
-    events.withColumn("part_year", F.year("time")).repartition("part_year").drop("part_year").write.parquet(f"{path}/{version}")
+    events.repartitionByRange("time").write.parquet(f"{path}/{version}")
     manifest = manifest | {"version": version}
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, fresh = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in ("manifest.json", "manifest.json.new"))
-    fs = target.getFileSystem(conf)
-    out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps(manifest, indent=1).encode()))
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(fresh, target):
-        raise CatalogError("the manifest couldn't be put in place")
+    tables.write_text(spark, f"{path}/manifest-{version}.json", json.dumps(manifest, indent=1))
     return manifest
 
 
@@ -143,8 +140,14 @@ def update_archive(spark: SparkSession, path: str, now: datetime, fetch, *, min_
 
 
 def write_processed(events: DataFrame, manifest: dict, path: str, min_mag: float) -> DataFrame:
-    """Writes the clean catalog and returns its summary with the coverage."""
+    """Writes the clean catalog as Parquet and CSV and its summary, with the coverage, as JSON; returns the summary."""
+    spark = events.sparkSession
     df = clean.clean_catalog(events.filter(F.col("mag") >= min_mag))
     df.write.mode("overwrite").parquet(f"{path}/catalog.parquet")
-    lit = lambda k: F.lit(manifest.get(k)).cast("string").alias(k if k.startswith("covered") or k == "source" else k)
-    return clean.completeness_summary(df).select("*", lit("source"), lit("covered_from"), lit("covered_until"), F.lit(float(min_mag)).alias("min_mag"), F.lit(json.dumps(manifest.get("gaps") or [])).alias("gaps"), F.lit(history_years(manifest)).alias("history_years"))
+    df = spark.read.parquet(f"{path}/catalog.parquet")
+    df.write.mode("overwrite").option("header", True).csv(f"{path}/catalog.csv")
+    lit = lambda k: F.lit(manifest.get(k)).cast("string").alias(k)
+    summary = clean.completeness_summary(df).select("*", lit("source"), lit("covered_from"), lit("covered_until"), F.lit(float(min_mag)).alias("min_mag"), F.lit(json.dumps(manifest.get("gaps") or [])).alias("gaps"), F.lit(history_years(manifest)).alias("history_years"))
+    row = summary.first().asDict()
+    tables.write_text(spark, f"{path}/summary.json", json.dumps(row | {"gaps": json.loads(row["gaps"])}, indent=1))
+    return summary

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tectra.functions import tables
 from tectra.operators import clean
 from tectra.schemas import NATIONAL, CatalogError, Region
 
@@ -38,8 +39,11 @@ def get(url: str, timeout: float = 90) -> bytes | None:
 
 
 def load(name: str) -> Callable:
-    module, _, function = name.partition(":")
-    return getattr(importlib.import_module(module), function)
+    """The transport "module:function", or what "module:function:argument" makes of its argument."""
+    module, _, rest = name.partition(":")
+    function, _, argument = rest.partition(":")
+    found = getattr(importlib.import_module(module), function)
+    return found(argument) if argument else found
 
 
 def fdsn_url(region: Region, start: str, end: str, min_mag: float) -> str:
@@ -147,7 +151,22 @@ def fetch_windows(spark: SparkSession, service: str, windows: list[tuple[str, st
     return spark.read.format("event_service").options(**o).load()
 
 
+@dataclass(frozen=True)
+class FetchResult:
+    """Events, one row an id, and how many windows were asked for, couldn't be read, or held too few events."""
+
+    events: DataFrame
+    n_windows: int
+    n_failed: int
+    thin: tuple[int, ...]
+
+
 def backfill(spark: SparkSession, service: str, first: int, last: int, *, least_per_year: int = 1, on_gap: str = "fail", **options) -> DataFrame:
+    """The events of `backfill_result`."""
+    return backfill_result(spark, service, first, last, least_per_year=least_per_year, on_gap=on_gap, **options).events
+
+
+def backfill_result(spark: SparkSession, service: str, first: int, last: int, *, least_per_year: int = 1, on_gap: str = "fail", **options) -> FetchResult:
     """Years of events, one row an id, the first kept. Years that are missing or too thin are an error unless on_gap is "allow"; with no
     readable year at all it is one anyway."""
     got = fetch_windows(spark, service, year_windows(first, last), on_gap=on_gap, **options).cache()
@@ -155,7 +174,8 @@ def backfill(spark: SparkSession, service: str, first: int, last: int, *, least_
     thin = [first + k for k in range(last - first + 1) if per.get(k, (0, False))[0] < least_per_year]
     if thin and on_gap != "allow" or len(thin) == last - first + 1:
         raise CatalogError(f"too few events in {thin}")
-    return clean.one_per_id(got.filter("not failed").drop("failed"), ["window", "ord"]).drop("window", "ord")
+    events = clean.one_per_id(got.filter("not failed").drop("failed"), ["window", "ord"]).drop("window", "ord")
+    return FetchResult(events, last - first + 1, sum(bool(bad) for _, bad in per.values()), tuple(thin))
 
 
 def window_events(spark: SparkSession, start: datetime, end: datetime, *, chunk_hours: float = 24, service: str = "afad", **options) -> DataFrame:
@@ -165,25 +185,28 @@ def window_events(spark: SparkSession, start: datetime, end: datetime, *, chunk_
 
 
 class _LiveReader(SimpleDataSourceStreamReader):
-    """Each poll reads the lookback again; merging by id makes the overlap harmless."""
+    """Each poll reads the lookback again; merging by id makes the overlap harmless. An offset holds the window it stands for, so that a batch
+    that is done again asks for the same one."""
 
     def __init__(self, options: dict):
         self.o = options
 
     def initialOffset(self) -> dict:
-        return {"poll": 0}
+        return {"poll": 0, "from": None, "to": None}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        o = self.o
         now = datetime.now(timezone.utc)
-        url = afad_url(Region(**json.loads(o["region"])), (now - timedelta(minutes=float(o["lookback"]))).strftime("%Y-%m-%dT%H:%M:%S"), now.strftime("%Y-%m-%dT%H:%M:%S"), float(o["min_mag"]))
-        rows = with_retry(lambda: parse_json(load(o["transport"])(url)), int(o.get("tries", 4)), float(o.get("backoff", 5)))
-        poll = start["poll"] + 1
-        out = [tuple(None if r[c] is None else str(r[c]) for c in ("id", "time", "latitude", "longitude", "depth", "mag", "magType", "place")) + (k, poll, False) for k, r in enumerate(rows)]
-        return iter(out), {"poll": poll}
+        text = lambda t: t.strftime("%Y-%m-%dT%H:%M:%S")
+        end = {"poll": start["poll"] + 1, "from": text(now - timedelta(minutes=float(self.o["lookback"]))), "to": text(now)}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.read(start)[0]
+        o = self.o
+        if end["to"] is None:
+            return iter(())
+        url = afad_url(Region(**json.loads(o["region"])), end["from"], end["to"], float(o["min_mag"]))
+        rows = with_retry(lambda: parse_json(load(o["transport"])(url)), int(o.get("tries", 4)), float(o.get("backoff", 5)))
+        return iter([tuple(None if r[c] is None else str(r[c]) for c in ("id", "time", "latitude", "longitude", "depth", "mag", "magType", "place")) + (k, end["poll"], False) for k, r in enumerate(rows)])
 
 
 class LiveService(DataSource):
@@ -234,3 +257,19 @@ def elevations(points: DataFrame, known: DataFrame, *, transport: str = "tectra.
 
     asked = new.mapInPandas(run, "key string, elevation double")
     return points.select("key").distinct().join(known, "key").select("key", "elevation").unionByName(asked)
+
+
+def fetch_elevations(points: DataFrame, cache: str, *, round_points: int = 50_000, **options) -> DataFrame:
+    """As `elevations`, with a cache in a folder of Parquet: points are asked for in rounds, and each round's answers are in the cache before
+    the next one starts, so that a run that stops goes on where it was."""
+    spark = points.sparkSession
+    fs, at = tables.file_system(spark, cache)
+    known = lambda: spark.read.schema("key string, elevation double").parquet(cache) if fs.exists(at) else spark.createDataFrame([], "key string, elevation double")
+    wanted = points.select("key").distinct()
+    n = wanted.join(known(), "key", "left_anti").count()
+    rounds = -(-n // round_points)
+    for k in range(rounds):
+        some = wanted.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k)
+        new = elevations(some, known(), **options).join(known().select("key"), "key", "left_anti")
+        new.write.mode("append").parquet(cache)
+    return wanted.join(known(), "key").select("key", "elevation")

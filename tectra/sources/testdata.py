@@ -9,9 +9,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as a catalog: users are places on a grid, values are magnitudes."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return (table(spark, sf_dir, "events") if events is None else events).selectExpr(
         "CAST(event_id AS STRING) AS id",
         "CAST(ts AS TIMESTAMP) AS time",
         "35.5D + (user_id % 28) * 0.25D + 0.125D AS latitude",

@@ -34,6 +34,40 @@ def live_status(events: DataFrame, checked_at: Column, stale_minutes: float = ST
     return a.select(status.alias("status"), lag.alias("lag_minutes"), "n_events", "newest_us")
 
 
+# Fixed value: the note that a live feed carries.
+LIVE_NOTE = "AFAD yakın-canlı katalog verisidir; gecikme olabilir. Deprem tahmini değildir."
+
+
+def live_features(events: DataFrame, source: str = "AFAD") -> DataFrame:
+    """time_us, id, feature: a point an event, places to five digits."""
+    r = lambda c, d: exprs.half_even(F.col(c), d)
+    point = F.struct(F.lit("Point").alias("type"), F.array(r("longitude", 5), r("latitude", 5)).alias("coordinates"))
+    time = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    props = F.struct(F.coalesce("id", F.lit("")).alias("event_id"), time.alias("time"), r("mag", 2).alias("mag"), F.col("magType").alias("mag_type"), r("depth", 2).alias("depth_km"), F.coalesce("place", F.lit("")).alias("place"), F.lit(source).alias("source"))
+    whole = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), props.alias("properties"))
+    return events.select(exprs.micros(F.col("time")).alias("time_us"), "id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def write_live(events: DataFrame, path: str, checked_at: Column, **stated) -> None:
+    """Overwrites the feed's features (a line each, newest first) and its one-row stamp with status, lag and count."""
+    live_features(events).orderBy(F.desc("time_us"), "id").select(F.col("feature").alias("value")).write.mode("overwrite").text(f"{path}/live_events.geojsonl")
+    newest = F.date_format(F.timestamp_micros("newest_us"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    fixed = [F.lit(v).alias(k) for k, v in ({"source": "AFAD", "disclaimer": LIVE_NOTE} | stated).items()]
+    stamp = F.struct(*fixed, "status", "lag_minutes", "n_events", newest.alias("latest_event_time"), F.date_format(F.timestamp_micros(checked_at), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("checked_at"))
+    live_status(events, checked_at).select(F.to_json(stamp, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}/live_meta.json")
+
+
+def live_stream(stream: DataFrame, path: str, checkpoint: str, *, lookback_minutes: int = LOOKBACK_MINUTES, checked_at: Column | None = None, once: bool = True):
+    """Writes the feed anew with every poll. A poll holds a whole lookback, so no state is kept between polls. Returns the running query."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        now = F.unix_micros(F.current_timestamp()) if checked_at is None else checked_at
+        write_live(live_events(batch, now, lookback_minutes), path, now, lookback_minutes=lookback_minutes, stale_after_minutes=STALE_MINUTES)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
+
+
 def upsert_stream(stream: DataFrame, spark, path: str, checkpoint: str, once: bool = True):
     """Merges each micro-batch into the archive in a folder; later batches win. Returns the running query.
 
