@@ -1,14 +1,16 @@
-"""Line dedup with a sharded minimal perfect hash over the hashes of lines that many documents hold.
+"""Line dedup with a sharded minimal perfect hash over the hashes of all distinct lines.
 
-The index is a table of shards; a shard has a perfect hash and, by index, arrays of fingerprints, counts and keepers
-(the largest id that holds the line). Documents probe the arrays. Lines in fewer documents than the threshold need no
-entry: a probe for one meets another line's 64-bit fingerprint and so misses.
+The index is a table of shards; a shard has a perfect hash and, by index, arrays of fingerprints, counts (of the ids that
+hold the line) and keepers (the largest such id). Documents send the hashes of their lines to the shards and probe the
+arrays there: a shard is loaded once for a run of probes that streams past it, and a shard of more probes than PROBES, as
+of a line that very many documents hold, is sent to several tasks. What comes back is each document's lines to drop.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +22,10 @@ from .mph import PerfectHash
 _BLANK = b" \t\n\x0b\x0c\r"
 #: Keys of a shard, on average.
 SHARD_KEYS = 50_000
-#: An index of at most so many bytes is broadcast; a larger one meets the documents' line hashes shard by shard.
-BROADCAST_BYTES = 64 << 20
-_ENTRY_BYTES = 24
+#: Probes of a shard that go to one task, on average.
+PROBES = 500_000
+#: Lines to drop are broadcast up to so many bytes; more of them are joined to the documents by a shuffle.
+BROADCAST_BYTES = 16 << 20
 _NULL_ID = -(1 << 63)
 _INDEX = "shard int, hash binary, prints binary, counts binary, keepers binary"
 
@@ -39,31 +42,24 @@ def line_keys(text: str, min_chars: int) -> tuple[list[bytes], list[int], np.nda
     return lines, at, np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-class Shards:
-    """Index shards in a task's memory, by number."""
+class Shard:
+    """A shard of the index in a task's memory."""
 
-    def __init__(self, rows, n: int):
-        self.n = n
-        self.parts = {r[0]: (PerfectHash.from_bytes(bytes(r[1])), np.frombuffer(bytes(r[2]), "<u8"), np.frombuffer(bytes(r[3]), "<u4"), np.frombuffer(bytes(r[4]), "<i8")) for r in rows}
+    def __init__(self, hash_: bytes, prints: bytes, counts: bytes, keepers: bytes):
+        self.hash = PerfectHash.from_bytes(hash_)
+        self.prints, self.counts, self.keepers = np.frombuffer(prints, "<u8"), np.frombuffer(counts, "<u4"), np.frombuffer(keepers, "<i8")
 
-    def drops(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Whether the document ids[i] loses the line hashes[i]."""
-        out = np.zeros(len(hashes), bool)
-        shard = hashes[:, 0] % np.uint64(self.n)
-        for k in np.unique(shard).tolist():
-            if part := self.parts.get(k):
-                ph, prints, _, keepers = part
-                here = np.flatnonzero(shard == k)
-                at = ph.index(hashes[here, 0], hashes[here, 1])
-                ok = at >= 0
-                ok[ok] = prints[at[ok]] == hashes[here[ok], 1]
-                ok[ok] = keepers[at[ok]] != ids[here[ok]]
-                out[here] = ok
-        return out
+    def drops(self, hi: np.ndarray, lo: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
+        """Whether the document ids[i] loses the line (hi[i], lo[i])."""
+        at = self.hash.index(hi, lo)
+        ok = at >= 0
+        ok[ok] = self.prints[at[ok]] == lo[ok]
+        ok[ok] = (self.counts[at[ok]] >= min_docs) & (self.keepers[at[ok]] != ids[ok])
+        return ok
 
 
-def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """hi, lo, n, keeper of each line key that at least min_docs ids hold, however many rows an id has."""
+def document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """hi, lo, doc_id: the line keys of each id, once an id, however many rows it has. A null id is the least integer."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -73,21 +69,19 @@ def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
                 if len(h) > 1:
                     h = np.unique(h, axis=0)
                 found.append(h)
-                ids += [i] * len(h)
-            h = np.concatenate(found).view(np.int64)
+                ids += [_NULL_ID if i is None else i] * len(h)
+            h = np.concatenate([np.zeros((0, 2), np.uint64), *found]).view(np.int64)
             return pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64())], ["hi", "lo", "doc_id"])
 
         return f
 
-    lines = common.map_batches(docs, make, "hi long, lo long, doc_id long")
-    return lines.distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(_NULL_ID)).alias("keeper")).filter(F.col("n") >= min_docs)
+    return common.map_batches(docs, make, "hi long, lo long, doc_id long").distinct()
 
 
-def line_index(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, int, int]:
-    """The index's table, its number of shards and of keys."""
-    lines = common.cut(line_counts(docs, min_chars, min_docs))
-    keys = lines.count()
-    n = max(1, -(-keys // SHARD_KEYS))
+def line_index(lines: DataFrame) -> tuple[DataFrame, int]:
+    """The index's table and its number of shards."""
+    keys = common.cut(lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")))
+    n = max(1, -(-keys.count() // SHARD_KEYS))
 
     def build(frame):
         import pandas as pd
@@ -99,10 +93,41 @@ def line_index(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFram
         prints[at], counts[at], keepers[at] = lo, np.minimum(frame["n"].to_numpy(), 2**32 - 1), frame["keeper"].to_numpy()
         return pd.DataFrame([[int(frame["shard"].iloc[0]), ph.to_bytes(), prints.tobytes(), counts.tobytes(), keepers.tobytes()]], columns=["shard", "hash", "prints", "counts", "keepers"])
 
-    # the shard is the unsigned rest of hi by n; 2^64 mod n mends the sign
-    rest = F.pmod(F.pmod("hi", F.lit(n)) + F.when(F.col("hi") < 0, F.lit((1 << 64) % n)).otherwise(F.lit(0)), F.lit(n))
-    index = lines.withColumn("shard", rest.cast("int")).groupBy("shard").applyInPandas(build, _INDEX)
-    return common.cut(index), n, keys
+    index = common.cut(keys.withColumn("shard", F.pmod("hi", F.lit(n)).cast("int")).groupBy("shard").applyInPandas(build, _INDEX))
+    common.forget(lines.sparkSession, keys)
+    return index, n
+
+
+def dropped_lines(lines: DataFrame, index: DataFrame, n: int, min_docs: int) -> DataFrame:
+    """doc_id and lo of each line that an id loses. Shards and probes meet in the sorted rows of a task, the shard first."""
+    probes = lines.withColumn("shard", F.pmod("hi", F.lit(n)).cast("int"))
+    parts = common.cut(probes.groupBy("shard").count().select("shard", F.ceil(F.col("count") / PROBES).cast("int").alias("parts")))
+    parts = common.hinted(parts)
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    probes = probes.join(parts, "shard").select("shard", part.alias("part"), F.lit(1).alias("probe"), "doc_id", "hi", "lo")
+    shards = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    shards = shards.select("shard", "part", F.lit(0).alias("probe"), "hash", "prints", "counts", "keepers")
+
+    def run(batches):
+        at, shard = None, None
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("shard", "part", "probe")], 1)
+            ids, hi, lo = (pc.fill_null(b.column(c), 0).to_numpy() for c in ("doc_id", "hi", "lo"))
+            edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))).tolist() if len(key) else []
+            out = []
+            for i, j in zip(edges, [*edges[1:], len(key)]):
+                if key[i, 2] == 0:
+                    at, shard = (key[i, 0], key[i, 1]), Shard(*(b.column(c)[i].as_py() for c in ("hash", "prints", "counts", "keepers")))
+                    continue
+                if at != (key[i, 0], key[i, 1]):
+                    raise ValueError("a shard of the index is missing")
+                gone = shard.drops(hi[i:j].view(np.uint64), lo[i:j].view(np.uint64), ids[i:j], min_docs)
+                out.append((ids[i:j][gone], lo[i:j][gone]))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["doc_id", "lo"])
+
+    met = probes.unionByName(shards, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", "probe")
+    return met.mapInArrow(run, "doc_id long, lo long")
 
 
 def _without(lines: list[bytes], at: list[int], drop: np.ndarray) -> str:
@@ -121,79 +146,43 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     empty texts have one empty line. An empty table gives an empty one. All columns stay; a count whose name a column
     has already takes that column's place.
     """
-    spark = docs.sparkSession
-    pairs = common.keyed(docs, id_col, text_col)
-    index, n, keys = line_index(pairs, min_chars, min_docs)
+    lines = common.cut(document_lines(common.keyed(docs, id_col, text_col), min_chars))
+    index, n = line_index(lines)
+    gone = dropped_lines(lines, index, n, min_docs).groupBy("doc_id").agg(F.collect_list("lo").alias("gone"))
+    gone = common.cut(gone)
+    common.forget(docs.sparkSession, lines, index)
+    if (gone.agg(F.sum(F.size("gone") * 8 + 32)).first()[0] or 0) <= broadcast_bytes:
+        gone = F.broadcast(gone)
+
     counts = [(name, kind) for name, kind in ((n_lines, 0), (n_dropped, 1)) if name]
     kept = docs.drop(*[name for name, _ in counts])
     kept = kept.withColumns({text_col: F.coalesce(F.col(text_col).cast("string"), F.lit("")), id_col: F.col(id_col).cast("long")})
     schema = T.StructType([*kept.schema.fields, *[T.StructField(name, T.LongType()) for name, _ in counts]])
-
-    if keys * _ENTRY_BYTES <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in index.collect()])
-        source, hits = kept, None
-    else:
-        hits = _drops_by_shard(pairs, index, n, min_chars)
-        hits = hits.withColumnRenamed("doc_id", "__drop_id").groupBy("__drop_id").agg(F.collect_set("hash").alias("__drops"))
-        source, shared = kept.join(hits, kept[id_col].eqNullSafe(hits["__drop_id"]), "left").select(*kept.columns, "__drops"), None
+    names = kept.columns
+    # one struct a row, so that no column's name can clash
+    rows = kept.select(F.struct(*names).alias("row"), F.coalesce(F.col(id_col), F.lit(_NULL_ID)).alias("id"))
+    source = rows.join(gone, rows["id"] == gone["doc_id"], "left").select("row", "gone")
 
     def make():
-        shards = Shards(shared.value, n) if shared else None
-
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [line_keys(x, min_chars) for x in common.texts(batch, text_col)]
-            if shards:
-                ids = np.array([_NULL_ID if x is None else x for x in batch.column(id_col).to_pylist()], np.int64)
-                sizes = [len(at) for _, at, _ in parts]
-                drop = shards.drops(np.concatenate([h for _, _, h in parts]), np.repeat(ids, sizes))
-                drops = np.split(drop, np.cumsum(sizes)[:-1])
-            else:
-                drops = []
-                for (_, _, h), some in zip(parts, batch.column("__drops").to_pylist()):
-                    gone = set(some or ())
-                    drops.append(np.array([x.tobytes() in gone for x in h], bool))
-            new = {text_col: pa.array([_without(lines, at, d) for (lines, at, _), d in zip(parts, drops)], pa.string())}
-            values = [pa.array([len(x) for x, _, _ in parts], pa.int64()), pa.array([int(d.sum()) for d in drops], pa.int64())]
-            columns = [new.get(c, batch.column(c) if c in kept_names else None) for c in kept_names] + [values[k] for _, k in counts]
-            return pa.record_batch(columns, [x.name for x in schema.fields])
+            row = batch.column("row")
+            columns = dict(zip(names, row.flatten()))
+            texts, totals, lost = [], [], []
+            for text, drop in zip(columns[text_col].to_pylist(), batch.column("gone")):
+                lines, at, h = line_keys(text, min_chars)
+                gone = np.isin(h[:, 1], drop.values.to_numpy().view(np.uint64)) if drop.is_valid else np.zeros(len(h), bool)
+                texts.append(_without(lines, at, gone))
+                totals.append(len(lines))
+                lost.append(int(gone.sum()))
+            columns[text_col] = pa.array(texts, pa.string())
+            values = pa.array(totals, pa.int64()), pa.array(lost, pa.int64())
+            return pa.record_batch([columns[c] for c in names] + [values[k] for _, k in counts], [x.name for x in schema.fields])
 
         return f
 
-    kept_names = kept.columns
     return common.map_batches(source, make, schema)
 
 
-def _drops_by_shard(pairs: DataFrame, index: DataFrame, n: int, min_chars: int) -> DataFrame:
-    """doc_id and hash (16 bytes) of each line to drop. Line hashes, packed by batch and shard, meet the shards in a join."""
-
-    def pack():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = np.array([_NULL_ID if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
-            found = [line_keys(x, min_chars)[2] for x in common.texts(batch)]
-            owner, h = np.repeat(ids, [len(x) for x in found]), np.concatenate(found)
-            shard = (h[:, 0] % np.uint64(n)).astype(np.int64)
-            some = np.unique(shard).tolist()
-            return pa.record_batch([pa.array(some, pa.int32()), pa.array([owner[shard == k].tobytes() for k in some], pa.binary()), pa.array([h[shard == k].tobytes() for k in some], pa.binary())], ["of", "ids", "hashes"])
-
-        return f
-
-    def probe():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            owners, gone = [], []
-            for r in batch.to_pylist():
-                h, ids = np.frombuffer(r["hashes"], np.uint64).reshape(-1, 2), np.frombuffer(r["ids"], np.int64)
-                drop = Shards([(r["shard"], r["hash"], r["prints"], r["counts"], r["keepers"])], n).drops(h, ids)
-                owners += ids[drop].tolist()
-                gone += [x.tobytes() for x in h[drop]]
-            return pa.record_batch([pa.array([None if x == _NULL_ID else x for x in owners], pa.int64()), pa.array(gone, pa.binary())], ["doc_id", "hash"])
-
-        return f
-
-    packed = common.map_batches(pairs, pack, "of int, ids binary, hashes binary")
-    met = packed.join(index, packed["of"] == index["shard"]).drop("of")
-    return common.map_batches(met, probe, "doc_id long, hash binary")
-
-
 def line_digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of what is kept."""
     kept = dedup_lines(common.keyed(docs, options.pop("id_col", "doc_id"), options.pop("text_col", "text")), **options)

@@ -221,7 +221,9 @@ def brute_lines(rows, min_chars=20, min_docs=3):
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_lines(spark, odd, broadcast_bytes, monkeypatch):
+    """Over many shards, some of which go to several tasks, and with drops broadcast or joined."""
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(line_dedup, "PROBES", 10)
     r = random.Random(2)
     lines = [f"a line that {k} documents or so may hold" for k in range(30)] + ["short", "", "x" * 19, "é" * 20, "É" * 20, "  \tPADDED line that is long enough  "]
     texts = ["\n".join(x.upper() if r.random() < 0.2 and x.isascii() else x for x in r.choices(lines, k=r.randint(1, 8))) for _ in range(60)]
@@ -284,3 +286,33 @@ def test_lines_of_repeated_ids(spark, empty, broadcast_bytes):
     rows += [(None, three + x, *rows[0][2:]) for x in ("!", "!", "!")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, empty.schema), broadcast_bytes=broadcast_bytes)
     assert tuples(got, "doc_id", "n_dropped") == ordered([(1, 0), (1, 0), (2, 0), (10, 1), (10, 1), (11, 1), (12, 0), *[(None, 0)] * 3])
+
+
+def test_line_index_holds_every_line(spark, empty, monkeypatch):
+    """Each distinct line has a place of its own with its count, and lines that aren't there are turned away."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)
+    lines = [f"a line that stands by itself, number {k}" for k in range(40)]
+    docs = spark.createDataFrame(rows_of(["\n".join(lines[k : k + 3]) for k in range(38)]), empty.schema)
+    found = line_dedup.document_lines(docs, 20)
+    index, n = line_dedup.line_index(found)
+    counts, places = {r.lo: r.n for r in found.groupBy("hi", "lo").count().withColumnRenamed("count", "n").collect()}, 0
+    rows = {(r.hi, r.lo) for r in found.select("hi", "lo").distinct().collect()}
+    assert n == 8 and len(rows) == 40
+    for r in index.collect():
+        shard = line_dedup.Shard(*(bytes(x) for x in r[1:]))
+        own = [x for x in rows if x[0] % n == r.shard]
+        hi, lo = (np.array([x[k] for x in own], np.int64).view(np.uint64) for k in (0, 1))
+        at = shard.hash.index(hi, lo)
+        assert sorted(at.tolist()) == list(range(len(own)))
+        assert shard.counts[at].tolist() == [counts[x[1]] for x in own]
+        assert not shard.drops(hi, lo + np.uint64(1), np.full(len(hi), -5), 1).any()
+        places += len(own)
+    assert places == 40
+
+
+def test_lines_with_clashing_columns(spark, empty):
+    three = "a line that three documents hold"
+    docs = spark.createDataFrame([(i, three, "x", None, [1]) for i in range(4)], "doc_id long, text string, row string, gone string, id array<int>")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.text, r.row, r.id) for r in got.collect()) == [(0, "", "x", [1]), (1, "", "x", [1]), (2, "", "x", [1]), (3, three, "x", [1])]
