@@ -12,7 +12,8 @@ subsets has parts with such; so one at least is left. Sets with more empty subse
 
 Equal sets are one class before that. Candidates that share a signature are held against the least of them, then against
 one another where components still differ, and each link is decided by the sizes of intersection and union. A bound from
-histograms, whose buckets grow with the set and which never exceeds the true difference, spares most false candidates.
+parities, whose buckets grow with the set and which comes near the true difference but never exceeds it, spares most false
+candidates.
 """
 
 from __future__ import annotations
@@ -39,12 +40,12 @@ _FULL = 5.0
 _SIGNS, _SIGNS_SHARE = 20, 0.6
 #: Of sets of a band's least size, about this share or less has more empty subsets than there are spare parts (in standard deviations).
 _SPARE_SD = 2.4
-#: Least buckets of a histogram, and elements for each bucket of a longer one; members of one block where many sets share a signature.
-_BUCKETS, _FILL, _BLOCK = 256, 4, 512
+#: Least buckets of parities, and buckets for each element of a larger set; members of one block where many sets share a signature.
+_BUCKETS, _ROOM, _BLOCK = 2048, 4, 512
 #: Bits of a signature. Signatures that are equal by chance only cost a comparison.
 _SIGN_BITS = 48
 #: Sets that one set is compared with in one group; a centre of more of them is sent once for each such group.
-_GROUP = 1000
+_GROUP = 64
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -150,21 +151,26 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def _histogram(s: np.ndarray) -> bytes:
-    """Elements in each bucket, a power of two of them; what a byte can't hold only loosens the bound."""
-    bits = max(_BUCKETS.bit_length() - 1, (len(s) // _FILL).bit_length())
-    return np.minimum(np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+def _parities(s: np.ndarray) -> bytes:
+    """A bit a bucket: whether it holds an odd number of elements. Buckets are a power of two, some four to eight an element."""
+    bits = max(_BUCKETS.bit_length() - 1, (_ROOM * len(s) - 1).bit_length())
+    n = np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((n & 1).astype(bool)).tobytes()
 
 
-def _folded(h: bytes, buckets: int) -> np.ndarray:
+def _folded(h: bytes, n: int) -> np.ndarray:
+    """n bytes: buckets that become one are odd where an odd number of them was."""
     x = np.frombuffer(h, np.uint8)
-    return x.astype(np.int32) if len(x) == buckets else x.reshape(buckets, -1).sum(1, dtype=np.int32)
+    while len(x) > n:
+        bits = np.unpackbits(x)
+        x = np.packbits(bits[::2] ^ bits[1::2])
+    return x
 
 
 def _differ(g: bytes, h: bytes) -> int:
-    """At most the number of elements in which the sets of two histograms differ, but for counts a byte can't hold."""
+    """At most the number of elements in which two sets differ: a bucket whose parities differ holds one of these at least."""
     n = min(len(g), len(h))
-    return int(np.abs(_folded(g, n) - _folded(h, n)).sum())
+    return int(np.bitwise_count(_folded(g, n) ^ _folded(h, n)).sum())
 
 
 def _may_link(differ, size, other, percent: int):
@@ -210,18 +216,18 @@ def shared_empty(signed: DataFrame) -> DataFrame:
 
 
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, hi and lo (of the set) and histogram of each row."""
+    """doc_id, n_shingles, hi and lo (of the set) and parities of each row."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(x, width) for x in common.texts(batch)]
             d = [_digest(s) for s in sets]
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array([_histogram(s) for s in sets], pa.binary())]
-            return pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "hi", "lo", "histogram"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array([_parities(s) for s in sets], pa.binary())]
+            return pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "hi", "lo", "parities"])
 
         return f
 
-    return common.map_batches(rows, make, "doc_id long, n_shingles long, hi long, lo long, histogram binary")
+    return common.map_batches(rows, make, "doc_id long, n_shingles long, hi long, lo long, parities binary")
 
 
 def _by_class(rows: DataFrame, classes: DataFrame, width: int, name: str, kind: str, value) -> DataFrame:
@@ -280,7 +286,7 @@ def _links(rows: DataFrame, known: DataFrame, classes: DataFrame, width: int, si
     met = common.cut(_met(signs.select("node", F.explode("signs").alias("sign"))))
     nodes = common.few(met.select("node").distinct())
     wanted = classes.join(nodes, "node", "left_semi")
-    bounds = known.join(common.hinted(wanted), ["hi", "lo"]).filter("doc_id = class_id").select("node", F.col("n_shingles").alias("size"), "histogram")
+    bounds = known.join(common.hinted(wanted), ["hi", "lo"]).filter("doc_id = class_id").select("node", F.col("n_shingles").alias("size"), "parities")
     bounds = common.cut(bounds.dropDuplicates(["node"]))
 
     # first each set against the least one of each signature: one of these, then those that are still apart
@@ -302,7 +308,7 @@ def _links(rows: DataFrame, known: DataFrame, classes: DataFrame, width: int, si
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
     left = left.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))))
-    member = F.struct("node", "component", "size", (F.col("block") == F.col("pair.i")).alias("in_i"), (F.col("block") == F.col("pair.j")).alias("in_j"), "histogram")
+    member = F.struct("node", "component", "size", (F.col("block") == F.col("pair.i")).alias("in_i"), (F.col("block") == F.col("pair.j")).alias("in_j"), "parities")
     # signatures of the same members are one piece of work; a piece has two blocks at most
     work = left.groupBy("sign", "pair").agg(F.sort_array(F.collect_list(member)).alias("m")).select("m", F.transform("m", lambda x: F.struct(x["node"], x["in_i"], x["in_j"])).alias("who")).dropDuplicates(["who"])
 
@@ -311,18 +317,18 @@ def _links(rows: DataFrame, known: DataFrame, classes: DataFrame, width: int, si
             m = batch.column("m")
             ends, flat = (m.offsets.to_numpy() - m.offsets[0].as_py()).tolist(), m.flatten()
             ids, comp, size, in_i, in_j = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "size", "in_i", "in_j"))
-            hists = flat.field("histogram").to_pylist()
+            odd = flat.field("parities").to_pylist()
             a, b = [], []
             for lo, hi in zip(ends, ends[1:]):
                 # the same coarse buckets for the whole piece, then the pair's own
-                coarse = np.stack([_folded(x, _BUCKETS) for x in hists[lo:hi]])
+                coarse = np.stack([_folded(x, _BUCKETS // 8) for x in odd[lo:hi]])
                 for k in range(lo, hi):
                     others = np.arange(k + 1, hi)
                     others = others[(comp[k + 1 : hi] != comp[k]) & (in_i[k] & in_j[k + 1 : hi] | in_j[k] & in_i[k + 1 : hi])]
                     if len(others):
-                        d = np.abs(coarse[others - lo] - coarse[k - lo]).sum(1, dtype=np.int64)
+                        d = np.bitwise_count(coarse[others - lo] ^ coarse[k - lo]).sum(1, dtype=np.int64)
                         for o in others[_may_link(d, size[others], size[k], signer.percent)].tolist():
-                            if len(hists[o]) == len(hists[k]) == _BUCKETS or _may_link(_differ(hists[o], hists[k]), int(size[o]), int(size[k]), signer.percent):
+                            if len(odd[o]) == len(odd[k]) == _BUCKETS // 8 or _may_link(_differ(odd[o], odd[k]), int(size[o]), int(size[k]), signer.percent):
                                 a.append(min(ids[k], ids[o]))
                                 b.append(max(ids[k], ids[o]))
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -355,8 +361,8 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int)
 
 
 def _hopeful(pairs: DataFrame, bounds: DataFrame, signer: Signer) -> DataFrame:
-    """The pairs that neither sizes nor histograms rule out."""
-    met = pairs.join(bounds.selectExpr("node as a", "size as x", "histogram as g"), "a").join(bounds.selectExpr("node as b", "size as y", "histogram as h"), "b")
+    """The pairs that neither sizes nor parities rule out."""
+    met = pairs.join(bounds.selectExpr("node as a", "size as x", "parities as g"), "a").join(bounds.selectExpr("node as b", "size as y", "parities as h"), "b")
     met = met.filter(F.least("x", "y") * 100 >= F.greatest("x", "y") * signer.percent)
 
     def make():

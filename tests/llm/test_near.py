@@ -81,7 +81,7 @@ def test_join(spark, width, percent):
 
 
 def test_signatures_never_miss():
-    """Sets that differ in any way that a link allows share a signature; the bound of the histograms holds too."""
+    """Sets that differ in any way that a link allows share a signature; the bound of the parities holds too."""
     r = np.random.default_rng(5)
     for percent in (60, 80, 85, 95):
         signer = ngram_join.Signer(percent)
@@ -93,7 +93,7 @@ def test_signatures_never_miss():
             b = np.unique(np.concatenate([a[x:], r.integers(0, 1 << 63, y).astype(np.uint64)]))
             if len(a) != len(b) or (a != b).any():
                 assert np.isin(signer.signatures(a), signer.signatures(b)).any()
-            d = ngram_join._differ(ngram_join._histogram(a), ngram_join._histogram(b))
+            d = ngram_join._differ(ngram_join._parities(a), ngram_join._parities(b))
             assert d <= x + y and ngram_join._may_link(d, len(a), len(b), percent)
 
 
@@ -107,10 +107,10 @@ def test_signatures_of_long_sets():
         for b in (a[x:], np.unique(np.concatenate([a[x // 2 :], r.integers(0, 1 << 63, y).astype(np.uint64)]))):
             assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
             assert np.isin(signer.signatures(a), signer.signatures(b)).any()
-            d = ngram_join._differ(ngram_join._histogram(a), ngram_join._histogram(b))
+            d = ngram_join._differ(ngram_join._parities(a), ngram_join._parities(b))
             assert ngram_join._may_link(d, len(a), len(b), percent)
         c = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-        d = ngram_join._differ(ngram_join._histogram(a), ngram_join._histogram(c))
+        d = ngram_join._differ(ngram_join._parities(a), ngram_join._parities(c))
         assert not ngram_join._may_link(d, len(a), len(c), percent)
 
 
