@@ -1,168 +1,277 @@
-"""Toxicity by two Kneser-Ney models of the letters within words, one of toxic and one of ordinary documents.
-
-Both models back off to the same continuation counts, so that an expression that is rare in either class leans on what
-all labelled documents hold. A document's evidence is the greatest length-normalised log-likelihood ratio of its words:
-a few toxic words weigh the same in a short and in a long document. The models are dense tables over four symbols out of
-SYMBOLS, so their size is fixed (SYMBOLS^4 cells), while the counts in them come from every labelled row.
+"""Toxicity by Kneser-Ney models of whole texts, one of toxic and one of ordinary documents.
+
+Either model gives a word's probability after the word before it, from pairs of words and from words. As in Kneser and Ney's
+lower orders, what counts is in how many contexts a pair or a word stands, so that a passage that many copies repeat
+counts once. Counts are discounted, and what is taken off goes to counts that both classes share, which so smooth rare
+expressions. A pair without an entry leaves the word by itself, and a word without one has the shared counts alone.
+
+There are far fewer toxic documents than ordinary ones, and the better known class would win wherever a word is rare. So the
+counts of either class are scaled to the smaller class's total before they are discounted, and both are smoothed alike.
+And as a toxic document is ordinary text with a few toxic expressions, its likelihood is a mixture: each word is toxic
+speech with probability SHARE, and toxic speech is SHARPNESS times as far from ordinary speech as the model of toxic
+documents, which holds both. A document's evidence is the log-likelihood ratio by the number of its words, with some words
+more in the divisor, so that a single odd word doesn't decide a very short text.
+
+Spark counts, smooths and joins the tables. A table of checked size is broadcast to score; a larger one is joined to the
+documents' keys.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-
-ORDER, SYMBOLS = 4, 48
-CELLS = SYMBOLS**ORDER
-DISCOUNT = 0.75
+from .mph import mix
+
+#: What is taken off each word's and each pair's count; contexts from which either has an entry, rarer ones leave their mass to the backoff.
+DISCOUNT, PAIR_DISCOUNT, MIN_COUNT = 0.75, 2.0, 2
+#: The share of a toxic document's words that are toxic speech, and how far that is from ordinary speech.
+SHARE, SHARPNESS = 0.0003, 2.0
+#: Words that a document's length counts more than it has.
+PRIOR_WORDS = 50
 #: Labels of at most so many rows are broadcast (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Evidence is sorted into so many bins to fit the probability; a document's evidence lies between the two bounds.
-_BINS, _LEAST, _MOST = 400, -4.0, 12.0
-_START, _END = "\x01", "\x02"
-
-
-def _symbol(cp: int) -> int:
-    c = chr(cp)
-    if "a" <= c <= "z" or "A" <= c <= "Z":
-        return 2 + (cp | 32) - 97
-    if c.isdigit():
-        return 28
-    if cp < 128:
-        return 29 + cp % 3
-    return 32 + (cp * 2654435761 >> 7) % 16
-
-
-_TABLE = np.array([_symbol(c) for c in range(0x3000)], np.int64)
-
-
-def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of all words' grams, one word after another, and how many each word has: its letters and the end."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    text = "".join([_START * (ORDER - 1) + w + _END for w in words])
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    size = lengths + ORDER - 1
-    first = np.cumsum(size) - size
-    pad = np.zeros(len(points), bool)
-    for k in range(ORDER - 1):
-        pad[first + k] = True
-    s = _TABLE[np.minimum(points, len(_TABLE) - 1)]
-    s[pad] = 0
-    s[first + size - 1] = 1
-    cells = np.zeros(len(s), np.int64)
-    for k in range(ORDER):
-        cells[ORDER - 1 :] = cells[ORDER - 1 :] * SYMBOLS + s[k : len(s) - ORDER + 1 + k]
-    return cells[~pad], lengths
+#: A table of at most so many keys is broadcast (12 bytes each); documents' keys are joined to a larger one.
+BROADCAST_KEYS = 4_000_000
+#: Evidence is sorted into so many bins to fit the probability, between two bounds.
+_BINS, _LEAST, _MOST = 4000, -12.0, 4.0
+#: Evidence is taken as a logarithm, and this much is added to it first.
+_FLOOR = 1e-5
+_G = np.uint64(0x9E3779B97F4A7C15)
+#: What tells pairs' keys from words'; what stands before the first word of a text.
+_PAIR, _START = np.uint64(0xB2), "\x02"
+_TOKENS = re.compile(r"\w+|[^\w\s]+")
+_COUNTS = ("toxic", "ordinary")
 
 
 def words_of(text: str) -> list[str]:
-    return text.encode().replace(b"\x01", b"?").replace(b"\x02", b"?").lower().decode().split()
+    """Runs of letters and digits and runs of marks, in lower case."""
+    return _TOKENS.findall(text.lower())
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+
 
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix(mix(before + _PAIR) + after * _G)
 
-def _shared(counts: np.ndarray) -> np.ndarray:
-    """P(last | those before) of the shared model: counts are of continuations, at every order."""
-    if counts.ndim == 1:
-        return (counts + 0.5) / (counts.sum() + 0.5 * SYMBOLS)
-    return _smoothed(counts, _shared((counts > 0).sum(0).astype(np.float32)))
 
+def _tokens(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the word before the first one as the first of them; places of all words, texts one after another, each
+    with that word before it; and the text of each place."""
+    found = [[_START, *words_of(x)] for x in common.texts(batch)]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(found)), n)
 
-def _smoothed(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    n, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-    p = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds * lower[None]) / np.maximum(n, 1)
-    return np.where(n > 0, p, lower[None]).astype(np.float32)
 
+def _unsigned(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64), pa.int64())
 
-def log_ratio(cells: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """log P(gram | toxic) - log P(gram | ordinary) for every cell."""
-    shape = (SYMBOLS,) * ORDER
-    counts = []
-    for n in (toxic, ordinary):
-        c = np.zeros(CELLS, np.float32)
-        c[cells] = n
-        counts.append(c.reshape(shape))
-    lower = _shared(((counts[0] + counts[1]) > 0).sum(0).astype(np.float32))
-    return (np.log(_smoothed(counts[0], lower)) - np.log(_smoothed(counts[1], lower))).ravel().astype(np.float32)
 
+def pair_counts(labelled: DataFrame) -> DataFrame:
+    """a, b (keys of a word and of the one after it), toxic, ordinary: after how many different words the pair stands in the texts of
+    either label, and n: after how many in all."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words, at, of = _tokens(batch)
+            toxic, keys = batch.column("toxic").to_numpy()[of] == 1, word_keys(words)
+            same = np.flatnonzero(of[1:] == of[:-1])
+            # the word before the pair, or none where the pair begins the text
+            before = np.where((same > 0) & (of[same - 1] == of[same]), at[same - 1], -1)
+            code = np.stack([at[same] * len(words) + at[same + 1], before], 1)
+            code, back = np.unique(code, axis=0, return_inverse=True)
+            seen = [np.bincount(back.ravel(), x, len(code)) > 0 for x in (toxic[same], ~toxic[same])]
+            a, b = (keys[x] for x in (code[:, 0] // max(1, len(words)), code[:, 0] % max(1, len(words))))
+            x = np.where(code[:, 1] < 0, np.uint64(0), keys[code[:, 1]])
+            return pa.record_batch([_unsigned(a), _unsigned(b), _unsigned(x), *[pa.array(k) for k in seen]], ["a", "b", "x", *_COUNTS])
+
+        return f
 
-class Scorer(dict):
-    """Words already scored: word -> log-likelihood ratio over its length."""
+    found = common.map_batches(labelled.select("toxic", "text"), make, "a long, b long, x long, toxic boolean, ordinary boolean")
+    # batches have summed up already; one shuffle serves both groupings
+    found = found.repartition("a", "b").groupBy("a", "b", "x").agg(*[F.max(c).alias(c) for c in _COUNTS])
+    return found.groupBy("a", "b").agg(*[F.count_if(F.col(c)).alias(c) for c in _COUNTS], F.count(F.lit(1)).alias("n"))
 
-    def __init__(self, ratios: np.ndarray):
-        super().__init__()
-        self.ratios = ratios
 
-    def evidence(self, text: str) -> float:
-        words = set(words_of(text))
-        if not words:
-            return 0.0
-        if new := [w for w in words if w not in self]:
-            if len(self) + len(new) > common.TABLE_ENTRIES:
-                self.clear()
-                new = list(words)
-            cells, lengths = word_grams(new)
-            sums = np.add.reduceat(self.ratios[cells].astype(np.float64), np.cumsum(lengths) - lengths)
-            self.update(zip(new, (sums / (lengths + 1)).tolist()))
-        return max(map(self.__getitem__, words))
+def _past(c: str, discount: float) -> Column:
+    return F.greatest(F.col(c) - discount, F.lit(0.0))
 
 
-_scorers: dict[str, Scorer] = {}
+def _scaled(counts: DataFrame, discount: float) -> tuple[DataFrame, float, float, dict[str, float]]:
+    """counts: toxic, ordinary (contexts in either class), n (in both). The entries with the classes' counts scaled to the smaller total,
+    that total, the sum of n, and what the entries of either class leave over, as a share. A class without any stays as it is."""
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*_COUNTS, "n")]).first()
+    least = float(min((sums[c] for c in _COUNTS if sums[c]), default=1))
+    counts = counts.withColumns({c: F.col(c) * (least / (sums[c] or least)) for c in _COUNTS}).filter(F.col("n") >= MIN_COUNT)
+    past = counts.agg(*[F.coalesce(F.sum(_past(c, discount)), F.lit(0.0)).alias(c) for c in _COUNTS]).first()
+    return counts, least, float(sums["n"] or 1), {c: 1.0 - past[c] / least if sums[c] else 1.0 for c in _COUNTS}
 
 
-def _scorer(name: str, shared) -> Scorer:
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(shared.value)
-    return _scorers[name]
+def word_values(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """a, b, value: of words (a; b is null) and of pairs, and the value of a word without an entry.
 
+    A word's value is log P(toxic) - log P(ordinary), where P(w) is past(w) / all + rest * n(w) / all n. A pair's P(ab) backs off to
+    P(a) P(b), times what the pair's shared count is above chance; its value is what P(ab) / P(a) adds to the second word's."""
+    words = pairs.groupBy(F.col("b").alias("w")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in _COUNTS], F.count(F.lit(1)).alias("n"))
+    words, total, all_n, rest = _scaled(common.cut(words), DISCOUNT)
+    p = {c: _past(c, DISCOUNT) / total + rest[c] * F.col("n") / all_n for c in _COUNTS}
+    words = common.cut(words.select("w", *[(p[c] / (F.col("n") / all_n)).alias(c) for c in _COUNTS], (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("value")))
+    beyond = float(np.log(rest["toxic"]) - np.log(rest["ordinary"]))
 
-def gram_counts(labelled: DataFrame) -> DataFrame:
-    """cell, toxic, ordinary: how often each gram stands in the texts of either label. A task adds up before the shuffle."""
+    both, total, all_n, rest = _scaled(pairs, PAIR_DISCOUNT)
+    # where nothing of a pair is left in either class, it says no more than its words
+    both = both.filter((_past("toxic", PAIR_DISCOUNT) > 0) | (_past("ordinary", PAIR_DISCOUNT) > 0))
+    of = lambda end: words.select(F.col("w").alias(end), F.col("value").alias(f"{end}_value"), *[F.col(c).alias(f"{end}_{c}") for c in _COUNTS])
+    met = both.join(of("b"), "b").join(of("a"), "a", "left").fillna(0.0, ["a_value"]).fillna(1.0, [f"a_{c}" for c in _COUNTS])
+    q = lambda c: _past(c, PAIR_DISCOUNT) / total + rest[c] * F.col("n") / all_n * F.col(f"a_{c}") * F.col(f"b_{c}")
+    value = F.log(q("toxic")) - F.log(q("ordinary")) - F.col("a_value") - F.col("b_value") - float(np.log(rest["toxic"]) - np.log(rest["ordinary"]))
+    met = met.select("a", "b", value.alias("value"))
+    return words.select(F.col("w").alias("a"), F.lit(None).cast("long").alias("b"), "value").unionByName(met), beyond
+
+
+def key_values(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """key, value of all entries of the model, and the value of a word without one."""
+    values, beyond = word_values(common.cut(pair_counts(labelled)))
 
     def run(batches):
-        counts = np.zeros((2, CELLS), np.uint32)
-        for b in batches:
-            for label, text in zip(b.column("toxic").to_pylist(), common.texts(b)):
-                if words := words_of(text):
-                    cells, _ = word_grams(words)
-                    np.add.at(counts[label], cells, 1)
-        cells = np.flatnonzero(counts.any(0))
-        for k in range(0, len(cells), 100_000):
-            some = cells[k : k + 100_000]
-            yield pa.record_batch([pa.array(some, pa.int32()), pa.array(counts[1, some].astype(np.int64)), pa.array(counts[0, some].astype(np.int64))], ["cell", "toxic", "ordinary"])
-
-    return labelled.select("toxic", "text").mapInArrow(run, "cell int, toxic long, ordinary long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def evidences(docs: DataFrame, name: str, shared, keep: list[str]) -> DataFrame:
-    """The columns `keep` and evidence."""
+        for x in batches:
+            a, b = x.column("a").to_numpy().view(np.uint64), pc.fill_null(x.column("b"), 0).to_numpy().view(np.uint64)
+            key = np.where(x.column("b").is_null().to_numpy(zero_copy_only=False), a, pair_keys(a, b))
+            yield pa.record_batch([_unsigned(key), x.column("value").cast(pa.float32())], ["key", "value"])
+
+    return common.cut(values.mapInArrow(run, "key long, value float")), beyond
+
+
+def mixed(ratio: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of a word where a share of a toxic document's words is toxic speech."""
+    return np.log1p(SHARE * np.expm1(np.minimum(SHARPNESS * ratio, 50.0)))
+
+
+class Values:
+    """A table of keys in a task's memory, and the words already looked up."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, beyond: float):
+        self.keys, self.values, self.beyond = keys, values, beyond
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.known = np.zeros((2, 0))  # value, key's bits
+        self.learn([_START])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where a key has none) and whether the keys have one."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        ok = self.keys[at] == keys
+        return np.where(ok, self.values[at], 0).astype(np.float64), ok
+
+    def learn(self, words: list[str]) -> None:
+        keys = word_keys(words)
+        value, ok = self.find(keys)
+        value[~ok] = self.beyond
+        first = self.known.shape[1]
+        self.known = np.concatenate([self.known, np.stack([value, keys.view(np.float64)])], 1)
+        self.places.update(zip(words, range(first, first + len(words))))
+
+    def evidences(self, batch: pa.RecordBatch) -> np.ndarray:
+        words, at, of = _tokens(batch)
+        if len(self.places) + len(words) > common.TABLE_ENTRIES:
+            self.forget()
+        if new := [w for w in words if w not in self.places]:
+            self.learn(new)
+        here = self.known[:, np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
+        value, keys = here[0], np.ascontiguousarray(here[1]).view(np.uint64)
+        same = np.flatnonzero(of[1:] == of[:-1])
+        code, back, n = np.unique(at[same] * len(words) + at[same + 1], return_inverse=True, return_counts=True)
+        a, b = code // max(1, len(words)), code % max(1, len(words))
+        each = mixed(value[b] + self.find(pair_keys(keys[a], keys[b]))[0])
+        rows = batch.num_rows
+        mean = np.bincount(of[same], each[back], rows) / (np.bincount(of[same], minlength=rows) + PRIOR_WORDS)
+        return np.log(_FLOOR + np.maximum(mean, 0))
+
+
+_tables: dict[str, Values] = {}
+
+
+def _table(name: str, shared) -> Values:
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = Values(*shared.value)
+    return _tables[name]
+
+
+def evidences(docs: DataFrame, values: DataFrame, beyond: float, keep: list[str], broadcast_keys: int) -> DataFrame:
+    """The columns `keep` and evidence of each row."""
+    if values.count() > broadcast_keys:
+        return _joined(docs, values, beyond, keep)
+    table = values.toArrow()
+    keys, of = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+    order = np.argsort(keys)
+    shared, name = docs.sparkSession.sparkContext.broadcast((keys[order], of[order], beyond)), uuid.uuid4().hex
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", evidence double"
 
     def make():
-        scorer = _scorer(name, shared)
+        table = _table(name, shared)
+        return lambda batch: pa.record_batch([*[batch.column(c) for c in keep], pa.array(table.evidences(batch))], [*keep, "evidence"])
+
+    return common.map_batches(docs.select(*dict.fromkeys([*keep, "text"])), make, schema)
+
 
+def _joined(docs: DataFrame, values: DataFrame, beyond: float, keep: list[str]) -> DataFrame:
+    """The same by joins: documents' words and pairs meet the table. Equal texts are one."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc"])
+
+    def of_docs():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([*[batch.column(c) for c in keep], pa.array([scorer.evidence(x) for x in common.texts(batch)], pa.float64())], [*keep, "evidence"])
+            words, at, of = _tokens(batch)
+            keys, same = word_keys(words), np.flatnonzero(of[1:] == of[:-1])
+            code, n = np.unique((of[same] * len(words) + at[same]) * len(words) + at[same + 1], return_counts=True)
+            size = max(1, len(words))
+            a, b = keys[code // size % size], keys[code % size]
+            return pa.record_batch([batch.column("doc").take(pa.array(code // size**2)), _unsigned(b), _unsigned(pair_keys(a, b)), pa.array(n, pa.int64())], ["doc", "word", "pair", "n"])
 
         return f
 
-    return common.map_batches(docs.select(*dict.fromkeys([*keep, "text"])), make, schema)
+    keys = common.map_batches(texts, of_docs, "doc string, word long, pair long, n long")
+    met = keys.join(values.select(F.col("key").alias("word"), "value"), "word", "left").join(values.select(F.col("key").alias("pair"), F.col("value").alias("more")), "pair", "left")
+    ratio = F.coalesce(F.col("value").cast("double"), F.lit(beyond)) + F.coalesce(F.col("more").cast("double"), F.lit(0.0))
+    ratio = F.least(F.lit(50.0), SHARPNESS * ratio)
+    sums = met.groupBy("doc").agg(F.sum(F.col("n") * F.log1p(SHARE * F.expm1(ratio))).alias("sum"))
+
+    def sizes():
+        return lambda batch: pa.record_batch([batch.column("doc"), pa.array([len(words_of(x)) for x in common.texts(batch)], pa.int64())], ["doc", "words"])
+
+    sums = common.map_batches(texts, sizes, "doc string, words long").join(sums, "doc", "left")
+    sums = sums.select("doc", F.log(_FLOOR + F.greatest(F.lit(0.0), F.coalesce("sum", F.lit(0.0)) / (F.col("words") + PRIOR_WORDS))).alias("evidence"))
+    rows = docs.select(*keep, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("doc"))
+    return rows.join(sums, "doc").select(*keep, "evidence")
 
 
-def fit_probability(bins: list[tuple[int, int, int]], rounds: int = 60) -> tuple[float, float]:
+def fit_probability(bins: list[tuple[int, int, int]], rounds: int = 100) -> tuple[float, float]:
     """Slope and offset of the probability of label 1, from (bin, label, documents). Both labels weigh the same, so that 0.5
     lies midway between them; without one of them, a default holds."""
     x = np.array([_LEAST + (b + 0.5) * (_MOST - _LEAST) / _BINS for b, _, _ in bins])
     y, n = np.array([t for _, t, _ in bins]), np.array([c for _, _, c in bins], float)
     if len(set(y.tolist())) < 2:
-        return 5.0, -6.5
+        return 3.0, 15.0
     n = n / np.where(y == 1, n[y == 1].sum(), n[y == 0].sum())
+    mean = (n * x).sum() / n.sum()
+    scale = max(1e-3, float(np.sqrt((n * (x - mean) ** 2).sum() / n.sum())))
     w = np.zeros(2)
-    design = np.stack([x, np.ones(len(x))], 1)
+    design = np.stack([(x - mean) / scale, np.ones(len(x))], 1)
     for _ in range(rounds):  # Newton's steps with a slight pull to zero on the slope alone
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (n * (p - y)) + [1e-3 * w[0], 0]
@@ -171,10 +280,10 @@ def fit_probability(bins: list[tuple[int, int, int]], rounds: int = 60) -> tuple
         w -= step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_labels: int = BROADCAST_LABELS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_labels: int = BROADCAST_LABELS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted.
 
     Labels come only from ids whose crc32 (as text) leaves a rest other than 0 by `folds`; of these, rest 1 fits the
@@ -182,21 +291,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "
     none. Null and empty texts have evidence 0. Repeated rows score alike, a null id is not held out, an empty table
     gives an empty one, and without labels of both kinds scores are the default's. Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = common.keyed(docs, id_col, text_col).withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % folds)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter((F.crc32(F.col("doc_id").cast("string")) % folds != 0) & F.col("toxic").isin(0, 1))
     if labels.count() <= broadcast_labels:
         known = F.broadcast(known)
     labelled = rows.join(known, "doc_id").filter("fold <> 0")
-    counts = gram_counts(labelled.filter("fold <> 1")).toArrow()
-    ratios = log_ratio(*(counts.column(c).to_numpy() for c in ("cell", "toxic", "ordinary")))
-    shared, name = spark.sparkContext.broadcast(ratios), uuid.uuid4().hex
-    tried = evidences(labelled.filter("fold = 1"), name, shared, ["toxic"])
+    values, beyond = key_values(labelled.filter("fold <> 1"))
+    tried = evidences(labelled.filter("fold = 1"), values, beyond, ["toxic"], broadcast_keys)
     width = (_MOST - _LEAST) / _BINS
     bins = tried.groupBy(F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), F.floor((F.col("evidence") - _LEAST) / width))).cast("int").alias("bin"), "toxic").count()
     slope, offset = fit_probability([tuple(r) for r in bins.orderBy("bin", "toxic").collect()])
-    scored = evidences(rows, name, shared, ["doc_id", "fold"])
+    scored = evidences(rows, values, beyond, ["doc_id", "fold"], broadcast_keys)
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("evidence") + offset))))
     out = scored.select("doc_id", F.coalesce(F.col("fold") == 0, F.lit(False)).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -147,44 +147,74 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
     held = [(r.toxic, rows[r.doc_id].predicted) for r in labels.collect() if rows[r.doc_id].held_out]
     right = {k: np.mean([p == t for t, p in held if t == k]) for k in (0, 1)}
-    assert len(held) > 500 and right[0] >= 0.95 and (right[0] + right[1]) / 2 >= 0.8, right
+    assert len(held) > 500 and min(right.values()) >= 0.9, right
     # held-out labels and other columns sway no score
     other = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.toxicity(docs.withColumn("lang", F.lit("x")).withColumn("toxic", F.lit(1)), other, broadcast_labels=0)
     assert {r.doc_id: round(r.score, 9) for r in again.collect()} == {i: round(r.score, 9) for i, r in rows.items()}
 
 
-def test_kneser_ney():
-    """The tables against sums by hand, for a few grams of two classes."""
-    cells, lengths = toxicity.word_grams(["ab", "abc", "b"])
-    assert lengths.tolist() == [3, 4, 2] and len(cells) == 9
-    kinds, n = np.unique(cells, return_counts=True)
-    toxic, ordinary = n.astype(np.int64), np.where(np.arange(len(n)) % 2, n, 0)
-    got = toxicity.log_ratio(kinds, toxic, ordinary)
-    S, D = toxicity.SYMBOLS, toxicity.DISCOUNT
-    every = {tuple(int(c) // S**k % S for k in (3, 2, 1, 0)) for c in kinds}
-
-    def lower(gram):  # continuation counts of ever shorter grams, shared by the classes
-        longer = {g[-len(gram) - 1 :] for g in every}
-        count = lambda g: len({x for x in longer if x[1:] == g})
-        if len(gram) == 1:
-            total = sum(count((s,)) for s in range(S))
-            return (count(gram) + 0.5) / (total + 0.5 * S)
-        heads = [count((*gram[:-1], s)) for s in range(S)]
-        if not sum(heads):
-            return lower(gram[1:])
-        return (max(count(gram) - D, 0) + D * sum(x > 0 for x in heads) * lower(gram[1:])) / sum(heads)
-
-    def p(gram, counts):
-        table = {tuple(int(c) // S**k % S for k in (3, 2, 1, 0)): x for c, x in zip(kinds, counts)}
-        heads = [table.get((*gram[:-1], s), 0) for s in range(S)]
-        if not sum(heads):
-            return lower(gram[1:])
-        return (max(table.get(gram, 0) - D, 0) + D * sum(x > 0 for x in heads) * lower(gram[1:])) / sum(heads)
-
-    for c in kinds.tolist():
-        gram = tuple(c // S**k % S for k in (3, 2, 1, 0))
-        assert abs(got[c] - np.log(p(gram, toxic) / p(gram, ordinary))) < 1e-4
+def brute_evidence(train, texts):
+    """The models by dictionaries: train holds (text, toxic)."""
+    T = toxicity
+    seen = [set(), set()]  # by label: (before, a, b)
+    for text, label in train:
+        w = [None, T._START, *T.words_of(text)]
+        seen[label] |= set(zip(w, w[1:], w[2:]))
+    pair = [Counter((a, b) for _, a, b in s) for s in seen]
+    both = Counter((a, b) for _, a, b in seen[0] | seen[1])
+    word = [Counter(b for _, b in p) for p in pair]
+    words = Counter(b for _, b in both)
+
+    def model(counts, n, discount):
+        """P of each class for entries, as a share of the backoff, given the backoff; and what is left over."""
+        sums = [sum(c.values()) for c in counts]
+        least = min(x for x in sums if x)
+        past = [{k: max(x * least / s - discount, 0) for k, x in c.items() if n[k] >= T.MIN_COUNT} for c, s in zip(counts, sums)]
+        rest = [1 - sum(x.values()) / least for x in past]
+        return [lambda k, back=1.0, p=p, r=r: p.get(k, 0) / least + r * n[k] / sum(n.values()) * back for p, r in zip(past, rest)], rest, past
+
+    P, rest, _ = model(word, words, T.DISCOUNT)
+    Q, rest2, past2 = model(pair, both, T.PAIR_DISCOUNT)
+    beyond = np.log(rest[1] / rest[0])
+    known = lambda w: words[w] >= T.MIN_COUNT
+    own = lambda w: np.log(P[1](w) / P[0](w)) if known(w) else beyond
+    lift = lambda k, w: P[k](w) / (words[w] / sum(words.values())) if known(w) else 1.0
+    out = []
+    for text in texts:
+        w, total = [T._START, *T.words_of(text)], 0.0
+        for a, b in zip(w, w[1:]):
+            r = own(b)
+            if both[a, b] >= T.MIN_COUNT and known(b) and max(p.get((a, b), 0) for p in past2) > 0:
+                q = [Q[k]((a, b), lift(k, a) * lift(k, b)) for k in (0, 1)]
+                r = np.log(q[1] / q[0]) - (own(a) if known(a) else 0.0) - np.log(rest2[1] / rest2[0])
+            total += np.log(1 + T.SHARE * (np.exp(min(T.SHARPNESS * r, 50)) - 1))
+        out.append(np.log(T._FLOOR + max(0.0, total / (len(w) - 1 + T.PRIOR_WORDS))))
+    return out
+
+
+def test_kneser_ney(spark):
+    """Evidence against the same model by dictionaries, with the table broadcast and joined; a phrase of ordinary words tells too."""
+    r = np.random.default_rng(8)
+    plain = [f"w{k}" for k in range(12)] + ["go", "home", "中文", "한국어", "😀"]
+    train = []
+    for k in range(160):
+        w = [str(x) for x in r.choice(plain, int(r.integers(3, 25)))]
+        if k % 4 == 0:
+            at = int(r.integers(0, len(w)))
+            w[at:at] = ["Go", "home"] if k % 8 else ["scum"]
+        train.append((" ".join(w) + r.choice(["", ".", "\n!"]), int(k % 4 == 0)))
+    texts = [t for t, _ in train] + ["", "scum", "go home", "home go", "never seen words", "中文 한국어 😀", None, "scum " * 40]
+    want = brute_evidence(train, [t or "" for t in texts])
+    labelled = spark.createDataFrame(train, "text string, toxic int").repartition(3)
+    values, beyond = toxicity.key_values(labelled)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    for broadcast_keys in (1_000_000, 0):
+        got = {x.id: x.evidence for x in toxicity.evidences(docs, values, beyond, ["id"], broadcast_keys).collect()}
+        assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-5)
+    by = dict(zip(texts, want))
+    assert by["scum"] > by["home go"] < by["go home"]
+    assert len({toxicity.word_keys([w])[0] for w in ("中文", "한국어", "😀", "中")}) == 4
 
 
 def test_toxicity_of_odd_rows(spark, odd, empty):
