@@ -81,19 +81,27 @@ def mix_sources(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, p
     rows = rows.select("row", "leaf.*", "id", "words")
     tokens = F.regexp_count("words", F.lit(_WORD)).cast("long")
 
-    leaves = rows.groupBy(*TREE).agg(F.sum(tokens).alias("tokens")).filter("tokens > 0")
+    # texts are counted once: what follows reads ids and counts alone
+    counted = common.cut(rows.select(*TREE, "id", tokens.alias("n")))
+    leaves = counted.groupBy(*TREE).agg(F.sum("n").alias("tokens")).filter("tokens > 0")
     plan = leaf_budgets(leaves, weights, percent, max_epochs)
     # a written table has a known size, so that Spark joins documents to it without a shuffle where it is small
     plan = common.cut(plan.select(*TREE, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest")))
 
-    def placed(plan: DataFrame) -> DataFrame:
+    def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
         at = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), "id"))
         return rows.join(plan, TREE).withColumn("at", at).withColumn("bucket", F.substring("at", 1, _DIGITS))
 
-    sums = placed(plan).groupBy(*TREE, "epochs", "rest", "bucket").agg(F.sum(tokens).alias("n"))
-    run = sums.withColumn("through", F.sum("n").over(Window.partitionBy(*TREE).orderBy("bucket")))
+    sums = placed(counted, plan).groupBy(*TREE, "epochs", "rest", F.substring("bucket", 1, 1).alias("part"), "bucket").agg(F.sum("n").alias("n"))
+    sums = common.cut(sums)
+    common.forget(docs.sparkSession, counted)
+    # what comes before a bucket: the parts before its own, and in it the buckets before
+    parts = sums.groupBy(*TREE, "part").agg(F.sum("n").alias("all"))
+    parts = parts.select(*TREE, "part", (F.sum("all").over(Window.partitionBy(*TREE).orderBy("part")) - F.col("all")).alias("earlier"))
+    run = sums.join(parts, [*TREE, "part"])
+    run = run.withColumn("through", F.col("earlier") + F.sum("n").over(Window.partitionBy(*TREE, "part").orderBy("bucket")))
     edge = run.filter("through > rest").groupBy(*TREE, "epochs", "rest").agg(F.min_by(F.struct("bucket", (F.col("through") - F.col("n")).alias("before")), "bucket").alias("edge"))
-    rows = placed(common.cut(edge.select(*TREE, "epochs", "rest", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))))
+    rows = placed(rows, common.cut(edge.select(*TREE, "epochs", "rest", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))))
 
     whole = rows.filter("bucket <> edge").withColumn("take", F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("bucket") < F.col("edge")), 1).otherwise(0))
     last = rows.filter("bucket = edge").withColumn("n", tokens)
