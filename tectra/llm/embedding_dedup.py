@@ -1,8 +1,10 @@
 """Near-duplicate vectors by cosine, label by label, in tiles of PCA-ordered coordinates.
 
-Coordinates are rotated to the principal axes of all vectors, scaled to length one. Two vectors within a distance
-differ by no more than it on any axis, so a grid on the two leading axes leaves only neighbouring cells to compare;
-cells are cut into tiles. Within a pair of tiles the products of the leading coordinates are summed first, the rest is
+Coordinates are rotated to the principal axes of all vectors, scaled to length one. Two vectors within a distance differ by
+no more than it on any axis, so on a grid of that width a vector meets only its own and the next cell on every axis. The
+two leading axes give cells that meet by equality; within one, vectors are ordered by their places on the axes after
+these and cut into tiles, each of which knows the range of its places. Pairs of tiles whose ranges are apart on any axis go
+before a vector moves. Within a pair of tiles the products of the leading coordinates are summed first, the rest is
 bounded by the product of the suffix norms, and a pair stops when the bound falls short of the threshold. What is left
 is decided by the cosine of the original vectors in double precision.
 
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -28,6 +30,10 @@ AXES_CELLS = 1 << 22
 #: Room for rounding in bounds; the decision itself has none.
 _SLACK = 1e-9
 _STEPS = (8, 16, 32)
+#: Axes after the first two whose places order the vectors of a cell.
+_AXES = 4
+#: Equal vectors are told by two 64-bit hashes.
+_KEY = ["label", "h1", "h2"]
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -37,9 +43,11 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.col(label_col).cast("string").alias("label")).withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """Equal vectors of a label are one class: label, v, class_id (the least vec_id), n. -0.0 counts as 0.0."""
-    return rows.groupBy("label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+def _hashed(rows: DataFrame) -> DataFrame:
+    """label (with the length), h1, h2, v. -0.0 counts as 0.0."""
+    v = F.transform("v", lambda x: x + F.lit(0.0))
+    rows = rows.select("vec_id", F.concat_ws("/", F.size("v").cast("string"), "label").alias("label"), v.alias("v"))
+    return rows.select("vec_id", "label", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), F.reverse("v")).alias("h2"), "v")
 
 
 def _axes(classes: DataFrame, most: int | None = None) -> dict[int, np.ndarray]:
@@ -140,15 +148,15 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     and has no component.
     """
     rows = _clean(vectors, id_col, vector_col, label_col)
-    good = rows.filter("ok")
-    classes = common.cut(_classes(good).withColumn("label", F.concat_ws("/", F.size("v").cast("string"), "label")))
+    good = _hashed(rows.filter("ok"))
+    # equal vectors of a label are one class: class_id (the least vec_id) and n
+    classes = common.cut(good.groupBy(*_KEY).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.any_value("v").alias("v")))
     found = common.cut(_links(classes, threshold, tile))
     group = components(found.filter("other is not null").select(F.col("class_id").alias("a"), F.col("other").alias("b")))
     more = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    each = classes.select("class_id", "n").join(more, "class_id", "left").join(group, F.col("class_id") == F.col("node"), "left")
-    each = each.select("class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "class_id").alias("component"))
-    member = good.select("vec_id", F.concat_ws("/", F.size("v").cast("string"), "label").alias("label"), F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
-    of = member.join(classes.select("label", "v", "class_id"), ["label", "v"]).select("vec_id", "class_id").join(each, "class_id").select("vec_id", "links", "component")
+    each = classes.select(*_KEY, "class_id", "n").join(more, "class_id", "left").join(group, F.col("class_id") == F.col("node"), "left")
+    each = common.cut(each.select(*_KEY, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "class_id").alias("component")))
+    of = good.select("vec_id", *_KEY).join(common.hinted(each), _KEY).select("vec_id", "links", "component")
     lone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
     out = of.unionByName(lone)
     return out.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))
@@ -160,30 +168,41 @@ def _links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
     axes = classes.sparkSession.sparkContext.broadcast(_axes(classes))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) * (1 + 1e-6) + 1e-9
 
+    grid = [f"g{k}" for k in range(_AXES)]
+
     def place(frames):
         for f in frames:
             for d, part in f.groupby(f["v"].map(len)):
                 z = _unit(np.stack(part["v"].to_numpy()))
-                z = z @ axes.value[d][:, :2] if d in axes.value else z
-                x, y = (np.floor(z[:, k] / reach).astype(np.int64) if d > k else 0 for k in (0, 1))
-                yield part.assign(x=x, y=y)[["label", "class_id", "n", "v", "x", "y"]]
-
-    placed = common.cut(classes.mapInPandas(place, "label string, class_id long, n long, v array<double>, x long, y long"))
-    cells = placed.groupBy("label", "x", "y").count().select("label", "x", "y", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    cells = common.cut(cells)
-    part = F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int")
-    placed = placed.join(cells, ["label", "x", "y"]).withColumn("t", part)
-
+                z = z @ axes.value[d][:, : 2 + _AXES] if d in axes.value else z
+                cells = {c: np.floor(z[:, k] / reach).astype(np.int64) if d > k else 0 for k, c in enumerate(["x", "y", *grid])}
+                yield part.assign(**cells)[["label", "class_id", "n", "v", "x", "y", *grid]]
+
+    schema = "label string, class_id long, n long, v array<double>, x long, y long, " + ", ".join(f"{g} long" for g in grid)
+    placed = common.cut(classes.select("label", "class_id", "n", "v").mapInPandas(place, schema))
+    cell = ["label", "x", "y"]
+    # places in order are cut into tiles; a place of more vectors than a tile is dealt over several by hash
+    spots = placed.groupBy(*cell, *grid).count()
+    before = F.sum("count").over(Window.partitionBy(*cell).orderBy(*grid)) - F.col("count")
+    spots = spots.withColumn("first", F.floor(before / tile).cast("int")).withColumn("parts", F.ceil(F.col("count") / tile).cast("int"))
+    spots = common.cut(spots.withColumn("t", F.when(F.col("parts") > 1, F.concat_ws("/", "first", *grid)).otherwise(F.col("first").cast("string"))))
+    placed = placed.join(common.hinted(spots.select(*cell, *grid, "t", "parts")), [*cell, *grid])
+    placed = placed.withColumn("t", F.when(F.col("parts") > 1, F.concat_ws("#", "t", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("string"))).otherwise(F.col("t")))
+
+    tiles = spots.withColumn("t", F.explode(F.when(F.col("parts") > 1, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.concat_ws("#", "t", k.cast("string")))).otherwise(F.array("t"))))
+    tiles = common.cut(tiles.groupBy(*cell, "t").agg(*[f(g).alias(f"{name}_{g}") for g in grid for name, f in (("lo", F.min), ("hi", F.max))]))
     # a cell meets itself and the four neighbours after it; the other four meet it from their side
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    pairs = cells.select("*", F.explode(steps).alias("s")).select("label", "x", "y", "tiles", (F.col("x") + F.col("s.dx")).alias("x2"), (F.col("y") + F.col("s.dy")).alias("y2"))
-    other = cells.select("label", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("tiles").alias("tiles2"))
-    pairs = common.cut(pairs.join(other, ["label", "x2", "y2"]).withColumn("same", (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))))
-    base = ["label", "x", "y", "x2", "y2"]
-    left = placed.drop("tiles").join(pairs, ["label", "x", "y"])
-    left = left.withColumn("t2", F.explode(F.expr("sequence(if(same, t, 0), tiles2 - 1)"))).select(*base, "t", "t2", F.lit(0).alias("side"), "class_id", "n", "v")
-    right = placed.drop("tiles").withColumnsRenamed({"x": "x2", "y": "y2", "t": "t2"}).join(pairs, ["label", "x2", "y2"])
-    right = right.withColumn("t", F.explode(F.expr("sequence(0, if(same, t2, tiles - 1))"))).filter("not same or t < t2").select(*base, "t", "t2", F.lit(1).alias("side"), "class_id", "n", "v")
+    pairs = tiles.withColumn("s", F.explode(steps)).withColumns({"x2": F.col("x") + F.col("s.dx"), "y2": F.col("y") + F.col("s.dy")}).drop("s")
+    other = tiles.select("label", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"), *[F.col(f"{n}_{g}").alias(f"{n}2_{g}") for g in grid for n in ("lo", "hi")])
+    near = (F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")) | (F.col("t") <= F.col("t2"))
+    for g in grid:
+        near &= (F.col(f"lo_{g}") <= F.col(f"hi2_{g}") + 1) & (F.col(f"lo2_{g}") <= F.col(f"hi_{g}") + 1)
+    base = ["label", "x", "y", "x2", "y2", "t", "t2"]
+    pairs = common.cut(pairs.join(other, ["label", "x2", "y2"]).filter(near).select(*base))
+    left = placed.select(*cell, "t", "class_id", "n", "v").join(pairs, [*cell, "t"]).select(*base, F.lit(0).alias("side"), "class_id", "n", "v")
+    right = placed.select("label", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"), "class_id", "n", "v").join(pairs, ["label", "x2", "y2", "t2"])
+    right = right.filter("x <> x2 or y <> y2 or t <> t2").select(*base, F.lit(1).alias("side"), "class_id", "n", "v")
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "class_id"], kind="stable")
@@ -201,4 +220,4 @@ def _links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
         some = np.flatnonzero(links)
         return pd.DataFrame({"class_id": np.concatenate([ids[some], np.array(x, np.int64)]), "links": np.concatenate([links[some].astype(np.int64), np.zeros(len(x), np.int64)]), "other": pd.array([None] * len(some) + y, "Int64")})
 
-    return left.unionByName(right).groupBy(*base, "t", "t2").applyInPandas(compare, "class_id long, links long, other long")
+    return left.unionByName(right).groupBy(*base).applyInPandas(compare, "class_id long, links long, other long")
