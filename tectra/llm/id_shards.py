@@ -179,10 +179,6 @@ class Shard:
         ok[ok] = self.prints[at[ok]] == fingerprints(hi[ok], lo[ok])
         return np.where(ok, at, -1)
 
-    def get(self, doc_id: int, occurrence: int = 0) -> np.ndarray | None:
-        at = int(self.find(np.array([doc_id]), np.array([occurrence]))[0])
-        return None if at < 0 else self.ids[int(self.offsets[at]) : int(self.offsets[at] + self.lengths[at])]
-
 
 def _shard(part: int, seq: int, start: int, keys: list[int | None], raw: list[bytes], width: int) -> list:
     ids = np.array([_NULL if k is None else k for k in keys], np.int64)
@@ -269,10 +265,20 @@ def shard_documents(shards: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def get_ids(shards: DataFrame, doc_id: int) -> list[int] | None:
-    """Keyed access: the ids of one document (its first row, if the id repeats). Reads only shards whose range holds it."""
-    for r in shards.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("part", "seq").toLocalIterator():
-        s = Shard(r["width"], bytes(r["index"]), bytes(r["prints"]), bytes(r["offsets"]), bytes(r["lengths"]), bytes(r["payload"]))
-        if (ids := s.get(doc_id)) is not None:
-            return ids.tolist()
+def get_ids(shards: DataFrame, doc_id: int | None) -> list[int] | None:
+    """Keyed access: the ids of one document (its first row, if the id repeats; None for the document without id). Of shards whose range
+    may hold it only the index is read, and the payload only of the one that does."""
+    if doc_id is None:
+        near = shards.filter("n_null > 0")
+    else:
+        near = shards.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    key = np.array([_NULL if doc_id is None else doc_id])
+    for r in near.select("part", "seq", "width", "index", "prints", "offsets", "lengths").orderBy("part", "seq").toLocalIterator():
+        s = Shard(r["width"], bytes(r["index"]), bytes(r["prints"]), bytes(r["offsets"]), bytes(r["lengths"]), b"")
+        at = int(s.find(key, np.array([0]))[0])
+        if at >= 0:
+            first, n, width = int(s.offsets[at]), int(s.lengths[at]), r["width"]
+            here = shards.filter((F.col("part") == r["part"]) & (F.col("seq") == r["seq"]))
+            raw = here.select(F.substring("payload", first * width + 1, n * width)).first()[0]
+            return np.frombuffer(bytes(raw), f"<u{width}").tolist()
     return None

@@ -35,7 +35,9 @@ class WordCounter(dict):
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[ids[a] << 32 | ids[b]] = rank, ids[a + b]
-        added = [t["content"] for t in spec["added_tokens"] if t["special"]]
+        if odd := [t["content"] for t in spec["added_tokens"] if not t["special"] or t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]:
+            raise ValueError(f"added tokens that this counter doesn't know: {odd}")
+        added = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.hints = tuple({x[:2].encode() for x in added})
         tok = Tokenizer.from_file(path)

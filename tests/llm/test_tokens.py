@@ -98,7 +98,7 @@ def test_pieces_of_any_text(text):
 
 
 def test_pieces_when_the_table_is_full(monkeypatch, piece_bpe):
-    monkeypatch.setattr(common, "TABLE_ENTRIES", 5)
+    monkeypatch.setattr(pieces, "_KEPT", 5)
     table = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     texts = random_texts(60, 4)
     raw, back = table.encode_batch(texts)
@@ -130,6 +130,8 @@ def test_shards_of_odd_rows(spark, odd, byte_bpe):
     for i, text in odd.filter("doc_id > 18").limit(12).select("doc_id", "text").collect():
         assert id_shards.get_ids(shards, i) == [*byte_bpe.encode(text, add_special_tokens=False).ids, 2]
     assert id_shards.get_ids(shards, 10**9) is None and id_shards.get_ids(shards, -5) is None
+    without = [[*byte_bpe.encode(r.text or "", add_special_tokens=False).ids, 2] for r in odd.filter("doc_id is null").collect()]
+    assert id_shards.get_ids(shards, None) in without
 
 
 @settings(max_examples=400, deadline=None)
