@@ -58,7 +58,8 @@ def words_of(text: str) -> list[str]:
 
 
 def word_keys(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+    """Hashes of 40 bits, so that a pair's counts are shuffled in few bytes. Words that share one share their counts."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words)) >> np.uint64(24)
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -88,20 +89,25 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
             toxic, keys = batch.column("toxic").to_numpy()[of] == 1, word_keys(words)
             same = np.flatnonzero(of[1:] == of[:-1])
             # the word before the pair, or none where the pair begins the text
-            before = np.where((same > 0) & (of[same - 1] == of[same]), at[same - 1], -1)
-            code = np.stack([at[same] * len(words) + at[same + 1], before], 1)
-            code, back = np.unique(code, axis=0, return_inverse=True)
-            seen = [np.bincount(back.ravel(), x, len(code)) > 0 for x in (toxic[same], ~toxic[same])]
-            a, b = (keys[x] for x in (code[:, 0] // max(1, len(words)), code[:, 0] % max(1, len(words))))
-            x = np.where(code[:, 1] < 0, np.uint64(0), keys[code[:, 1]])
-            return pa.record_batch([_unsigned(a), _unsigned(b), _unsigned(x), *[pa.array(k) for k in seen]], ["a", "b", "x", *_COUNTS])
+            before = np.where((same > 0) & (of[same - 1] == of[same]), at[same - 1] + 1, 0)
+            pair, of_pair = np.unique(at[same] * len(words) + at[same + 1], return_inverse=True)
+            code, back = np.unique(of_pair * (len(words) + 1) + before, return_inverse=True)
+            seen = [np.bincount(back, x, len(code)) > 0 for x in (toxic[same], ~toxic[same])]
+            size = max(1, len(words))
+            pair, before = pair[code // (size + 1)], code % (size + 1)
+            a, b = keys[pair // size], keys[pair % size]
+            x = np.concatenate([np.zeros(1, np.uint64), keys])[before].astype(np.uint32).view(np.int32)
+            high, low = (a << np.uint64(24)) | (b >> np.uint64(16)), (b & np.uint64(0xFFFF)).astype(np.int32)
+            return pa.record_batch([_unsigned(high), pa.array(low), pa.array(x), pa.array((seen[0] + 2 * seen[1]).astype(np.int8))], ["high", "low", "x", "seen"])
 
         return f
 
-    found = common.map_batches(labelled.select("toxic", "text"), make, "a long, b long, x long, toxic boolean, ordinary boolean")
+    found = common.map_batches(labelled.select("toxic", "text"), make, "high long, low int, x int, seen byte")
     # batches have summed up already; one shuffle serves both groupings
-    found = found.repartition("a", "b").groupBy("a", "b", "x").agg(*[F.max(c).alias(c) for c in _COUNTS])
-    return found.groupBy("a", "b").agg(*[F.count_if(F.col(c)).alias(c) for c in _COUNTS], F.count(F.lit(1)).alias("n"))
+    found = found.repartition("high", "low").groupBy("high", "low", "x").agg(F.bit_or("seen").alias("seen"))
+    found = found.groupBy("high", "low").agg(F.count_if(F.col("seen").bitwiseAND(1) > 0).alias("toxic"), F.count_if(F.col("seen").bitwiseAND(2) > 0).alias("ordinary"), F.count(F.lit(1)).alias("n"))
+    a, b = F.shiftrightunsigned("high", 24), F.shiftleft(F.col("high").bitwiseAND(0xFFFFFF), 16).bitwiseOR(F.col("low").cast("long"))
+    return found.select(a.alias("a"), b.alias("b"), *_COUNTS, "n")
 
 
 def _past(c: str, discount: float) -> Column:
