@@ -48,6 +48,25 @@ SENTENCES = [
     "this source code form is subject to the terms of the mozilla public license v 2 0",
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "this is free and unencumbered software released into the public domain",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "see the gnu lesser general public license for more details",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "see the gnu affero general public license for more details",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this software is provided as is without any express or implied warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "distributed under the boost software license version 1 0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution and is available at http www eclipse org legal epl v20 html",
+    "licensed under the bsd 3 clause license",
+    "licensed under the bsd 2 clause license",
+    "licensed under the isc license",
+    "licensed under the gnu general public license version 3",
+    "licensed under the mozilla public license version 2 0",
 ]
 # Rule, licence, ids of its sentences in order, whether the licence forbids commercial use.
 RULES = [
@@ -70,7 +89,42 @@ RULES = [
     ("cc-by-nc-sentence", "CC-BY-NC-4.0", [27], True),
     ("mpl-header", "MPL-2.0", [28, 29], False),
     ("unlicense", "Unlicense", [30], False),
+    ("lgpl21-header", "LGPL-2.1-or-later", [31, 33, 34], False),
+    ("lgpl3-header", "LGPL-3.0-or-later", [32, 33, 34], False),
+    ("lgpl3-program-header", "LGPL-3.0-or-later", [38, 16, 34], False),
+    ("agpl3-header", "AGPL-3.0-or-later", [35, 16, 36], False),
+    ("gpl2-only-header", "GPL-2.0-only", [37, 16, 17], False),
+    ("zlib-text", "Zlib", [39, 40, 41], False),
+    ("boost-notice", "BSL-1.0", [42], False),
+    ("epl2-notice", "EPL-2.0", [43], False),
+    ("epl2-notice-v", "EPL-2.0", [44], False),
+    ("bsd3-notice", "BSD-3-Clause", [45], False),
+    ("bsd2-notice", "BSD-2-Clause", [46], False),
+    ("isc-notice", "ISC", [47], False),
+    ("gpl3-notice-licensed", "GPL-3.0-only", [48], False),
+    ("mpl2-notice", "MPL-2.0", [49], False),
 ]
+# Identifiers that a source file's licence line may hold, and the parts of a Creative Commons name.
+IDENTIFIERS = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0"]
+CREATIVE_COMMONS = {"by": "attribution", "nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}
+_KINDS = [["by"], ["by", "sa"], ["by", "nd"], ["by", "nc"], ["by", "nc", "sa"], ["by", "nc", "nd"]]
+
+
+def _add(sentence: str, rule: str, license_: str, noncommercial: bool = False) -> None:
+    """A rule of one sentence, unless the sentence is known."""
+    if sentence not in SENTENCES:
+        SENTENCES.append(sentence)
+        RULES.append((rule, license_, [len(SENTENCES)], noncommercial))
+
+
+for _name in IDENTIFIERS:
+    _add("spdx license identifier " + re.sub("[^a-z0-9]+", " ", _name.lower()), f"identifier-{_name.lower()}", _name)
+for _kind in _KINDS:
+    _code, _nc = "-".join(_kind), "nc" in _kind
+    _words = " ".join(CREATIVE_COMMONS[k] for k in _kind)
+    _add(f"licensed under cc {' '.join(_kind)} 4 0", f"cc-{_code}-short", f"CC-{_code.upper()}-4.0", _nc)
+    for _article in ("a", "the"):
+        _add(f"this work is licensed under {_article} creative commons {_words} 4 0 international license", f"cc-{_code}-work-{_article}", f"CC-{_code.upper()}-4.0", _nc)
 
 _BREAK = "\x1e"
 _ENDS = r"[.!?]+[\x20\x09-\x0D]+|[\x0A\x0D]+"

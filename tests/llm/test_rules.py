@@ -276,6 +276,16 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented"""
+BOOST = "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License {} {}available at https://www.eclipse.org/legal/{}"
 #: Text as published, its rules.
 PUBLISHED = [
     (MIT, {"mit-text", "mit-grant"}),
@@ -296,6 +306,28 @@ PUBLISHED = [
     ("Licensed under CC BY-NC 4.0", {"cc-by-nc-notice"}),
     ("Licensed under CC BY 4.0", {"cc-by-notice"}),
     ("Licensed under CC BY-SA 4.0", {"cc-by-sa-notice"}),
+    (LGPL.format("2.1"), {"lgpl21-header"}),
+    (LGPL.format("3"), {"lgpl3-header"}),
+    (GPL.format(3).replace("GNU General", "GNU Lesser General"), {"lgpl3-program-header"}),
+    (GPL.format(3).replace("GNU General", "GNU Affero General"), {"agpl3-header"}),
+    (GPL.format(2).replace(" as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.", " version 2 as published by the Free Software Foundation."), {"gpl2-only-header"}),
+    (ZLIB, {"zlib-text"}),
+    (BOOST, {"boost-notice"}),
+    (EPL.format("2.0", "which is ", "epl-2.0/"), {"epl2-notice"}),
+    (EPL.format("v2.0", "which accompanies this distribution, and is ", "epl-v20.html"), {"epl2-notice-v"}),
+    ("Licensed under the BSD 3-Clause License.", {"bsd3-notice"}),
+    ("Licensed under the BSD 2-Clause License.", {"bsd2-notice"}),
+    ("Licensed under the ISC License", {"isc-notice"}),
+    ("Licensed under the GNU General Public License, version 3.", {"gpl3-notice-licensed"}),
+    ("Licensed under the Mozilla Public License, Version 2.0", {"mpl2-notice"}),
+    *[(f"SPDX-License-Identifier: {x}", {f"identifier-{x.lower()}"}) for x in licenses.IDENTIFIERS],
+    *[(f"Licensed under CC {'-'.join(k).upper()} 4.0", {f"cc-{'-'.join(k)}-short"}) for k in licenses._KINDS if k not in (["by"], ["by", "sa"], ["by", "nc"])],
+    *[
+        (f"This work is licensed under {a} Creative Commons {'-'.join(licenses.CREATIVE_COMMONS[x] for x in k).title()} 4.0 International License.", {f"cc-{'-'.join(k)}-work-{a}"})
+        for k in licenses._KINDS
+        for a in ("a", "the")
+        if a == "the" or k not in (["by"], ["by", "nc"])
+    ],
 ]
 
 
