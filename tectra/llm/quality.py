@@ -104,8 +104,12 @@ def code(v: np.ndarray) -> np.ndarray:
 def label_model(patterns: Iterable[tuple[int, int]], rounds: int = 200, n_rules: int = N_RULES) -> dict[int, float]:
     """Posterior probability of good for each pattern. patterns: (code, documents).
 
-    Starts from the votes, a bad one weighing as eight good ones; each class has its own rates of good, bad and abstaining for each rule, smoothed
-    towards a rule that is right four times in five. Ties and no votes lean on the classes' shares.
+    Starts from the votes; each class has its own rates of good, bad and abstaining for each rule, smoothed towards a rule that is
+    right four times in five. Ties and no votes lean on the classes' shares.
+
+    The start names the classes, as without labels either could be the good one: rules are made so that ordinary text gets
+    good votes from nearly all of the ten, so one bad vote among them has to count more than the rest together (eight to
+    one), and a text that no rule can judge is taken for good (0.9), since most texts are. Later rounds use the counts alone.
     """
     patterns = sorted(patterns)
     if not patterns:
@@ -179,7 +183,10 @@ def quality(docs: DataFrame, min_posterior: float = 0.5, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, min_posterior: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `quality` keeps, with all their columns. Texts are read twice and never shuffled."""
+    """The rows of `docs` that `quality` keeps, with all their columns. Texts are read twice and never shuffled.
+
+    Null and empty texts have no words and go. Repeated rows vote and stay or go each for itself, a null id doesn't matter, an
+    empty table gives an empty one; texts of any length are judged whole."""
     post = fit(document_features(docs, id_col, text_col))
     good = np.zeros(3**N_RULES, bool)
     good[[p for p, x in post.items() if x >= min_posterior]] = True
