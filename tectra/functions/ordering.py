@@ -1,6 +1,6 @@
 """Order over a whole table without one task that holds it.
 
-Rows are numbered by day: days are counted first, and a row's number is its place in the day after all earlier days.
+Rows are numbered by ranges: a row's number is its place in its task's range after all earlier ranges.
 Frames over the k rows before go block by block, each block with the k rows that precede it.
 """
 
@@ -9,17 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tectra.functions import tables
+
 #: Rows of a block; ranges that values are counted in, and distinct values of a range that are looked at one by one.
 BLOCK, RANGES, FEW = 100_000, 1024, 10_000
 
 
 def with_index(df: DataFrame, time: str = "time", *ties: str, index: str = "idx") -> DataFrame:
-    """Adds a number from 1, by time and ties; rows without time come last. The window over days has a row a day."""
-    df = df.withColumn("__day", F.to_date(time))
-    days = df.groupBy("__day").count()
-    before = days.select(F.col("__day").alias("__d"), (F.sum("count").over(Window.orderBy(F.col("__day").asc_nulls_last())) - F.col("count")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__day").orderBy(time, *ties))
-    return df.join(before, F.col("__day").eqNullSafe(F.col("__d"))).withColumn(index, (F.col("__before") + place).cast("long")).drop("__day", "__d", "__before")
+    """Adds a number from 1, by time and ties; rows without time come last. Tasks take ranges of (time, ties), so that no day or time of many
+    rows is one task's alone, and number their own rows; the sums of rows before them have a row a task. The rows are a written table."""
+    order = [F.col(time).asc_nulls_last(), *ties]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = tables.written(rows)
+    part = F.shiftright("__at", 33)
+    parts = rows.groupBy(part.alias("__part")).count()
+    before = parts.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
+    out = rows.join(F.broadcast(before), part == F.col("__part"))
+    return out.withColumn(index, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__before")
 
 
 def with_rows_before(df: DataFrame, k: int, index: str = "idx", block: int = BLOCK) -> tuple[DataFrame, Window]:
