@@ -56,8 +56,12 @@ def brute_join(rows, width, percent):
     return sets, low
 
 
-@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (2, 60), (1, 100)])
-def test_join(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "small"), [(4, 85, False), (5, 80, True), (2, 60, True), (1, 100, False)])
+def test_join(spark, width, percent, small, monkeypatch):
+    """Also where signatures have several blocks and sets several tasks and groups."""
+    if small:
+        for name, value in (("_BLOCK", 3), ("_TOGETHER", 5), ("_GROUP", 2)):
+            monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(width * percent)
     base = [[f"w{r.randint(0, 60)}" for _ in range(r.choice([1, 3, 4, 5, 8, 20, 60, 200]))] for _ in range(30)]
     texts = [None, "", " \n", "A b", "a B"]
