@@ -81,7 +81,7 @@ def _unsigned(values: np.ndarray) -> pa.Array:
 
 def pair_counts(labelled: DataFrame) -> DataFrame:
     """a, b (keys of a word and of the one after it), toxic, ordinary: after how many different words the pair stands in the texts of
-    either label, and n: after how many in all."""
+    either label, and n: after how many in all. A pair that has no entry is a row without a."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -107,7 +107,8 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
     found = found.repartition("high", "low").groupBy("high", "low", "x").agg(F.bit_or("seen").alias("seen"))
     found = found.groupBy("high", "low").agg(F.count_if(F.col("seen").bitwiseAND(1) > 0).alias("toxic"), F.count_if(F.col("seen").bitwiseAND(2) > 0).alias("ordinary"), F.count(F.lit(1)).alias("n"))
     a, b = F.shiftrightunsigned("high", 24), F.shiftleft(F.col("high").bitwiseAND(0xFFFFFF), 16).bitwiseOR(F.col("low").cast("long"))
-    return found.select(a.alias("a"), b.alias("b"), *_COUNTS, "n")
+    # a pair without an entry counts for its second word alone, so its first one needs no room
+    return found.select(F.when(F.col("n") >= MIN_COUNT, a).alias("a"), b.alias("b"), *_COUNTS, "n")
 
 
 def _past(c: str, discount: float) -> Column:
