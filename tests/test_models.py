@@ -64,7 +64,7 @@ def test_scores(spark):
     ranked = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1)], "y int, p double")
     assert forecast.roc_auc(ranked, "y", "p").first().auc == 0.875
     assert forecast.roc_auc(ranked.filter("y = 1"), "y", "p").first().auc is None
-    ci = forecast.bootstrap_mean_ci(spark.range(1000).selectExpr("id % 10 as x"), "x", 300).first()
+    ci = forecast.bootstrap_mean_ci(spark.range(1000).selectExpr("id", "id % 10 as x"), "x", 300).first()
     assert ci.low < 4.5 < ci.high and ci.high - ci.low < 0.6
 
 
