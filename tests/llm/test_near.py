@@ -320,3 +320,24 @@ def test_lines_with_clashing_columns(spark, empty):
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert sorted((r.doc_id, r.text, r.row, r.id) for r in got.collect()) == [(0, "", "x", [1]), (1, "", "x", [1]), (2, "", "x", [1]), (3, three, "x", [1])]
+
+
+def test_no_scratch_folder_of_one_machine_on_a_cluster(tmp_path):
+    """Where the cluster names no shared folder, none is made up."""
+    from types import SimpleNamespace
+
+    def named(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert common.scratch_dir(named("spark://one:7077", str(tmp_path))).startswith(f"{tmp_path}/tectra-")
+    assert common.scratch_dir(named("local[2]", None))
+    with pytest.raises(ValueError):
+        common.scratch_dir(named("spark://one:7077", None))
+
+
+def test_joined_columns_of_any_name(spark, empty):
+    """Columns named as the join's own ones don't clash."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(k, text, 1, 2, 3) for k in range(3)], "doc_id long, text string, node long, component long, class_id long")
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(0, text, 1, 2, 3)]
