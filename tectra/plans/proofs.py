@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from tectra.functions import exprs, tables
 from tectra.operators import clean, coverage, etas, export, forecast, integrity, risk, skill, stats
-from tectra.plans.queries import _CNT, _FMD, _LATER, _MC, _RISK, _SITE, _WIN, NOW_US, RECENT_YEARS, RISK, _risk, _series, _sites, query, r6
+from tectra.plans.queries import _FMD, _LATER, _RISK, _SITE, _WIN, NOW_US, RISK, _risk, _series, _sites, query, r6
 from tectra.schemas import NATIONAL
-from tectra.sources import files, http, replay
+from tectra.sources import files, http
 from tectra.sources.testdata import catalog, table
 from tectra.streaming import live
 
@@ -183,9 +183,6 @@ def catalog_verdict(spark, sf_dir):
     return integrity.catalog_faults(catalog(spark, sf_dir), ["id", "time", "mag", "depth_error"])
 
 
-_TEXT_MAG = "CASE CAST(id AS BIGINT) % 6 WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN 'strong' ELSE CAST(round(mag, 1) AS VARCHAR) END"
-
-
 @query(f"WITH t AS (SELECT CASE WHEN CAST(id AS BIGINT) % 6 >= 3 THEN round(mag, 1) END AS m FROM cat) SELECT count(m) AS n, round(sum(m), 4) AS total FROM t")
 def magnitudes_read(spark, sf_dir):
     """Magnitudes out of texts, of which half are blank, no number or not finite."""
