@@ -12,7 +12,7 @@ import corpus_pipeline
 from tectra.llm import common, licenses, line_dedup, mixing, ngram_join, pieces, quality, queries, toxicity
 from tests.conftest import DATA
 from tests.llm.conftest import ordered, rows_of, tuples
-from tests.llm.test_near import BLANKS, words_of
+from tests.llm.test_near import words_of
 
 SF = f"{DATA}/sf0.001"
 
