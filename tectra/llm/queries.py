@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_dedup, id_shards, licenses, line_dedup, mixing, ngram_join, pieces, quality, token_counts, toxicity
+from . import common, conversation_sql, embedding_dedup, id_shards, licenses, line_dedup, mixing, ngram_join, packing, pieces, prefix_trie, quality, token_counts, toxicity, turn_repair
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.shard_documents(shards)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(common.table(spark, sf_dir, "conversations"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.turn_repair(common.table(spark, sf_dir, "conversations"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_piece_round_trip": op9_piece_round_trip,
     "op10_id_shards": op10_id_shards,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +125,6 @@ marked AS (SELECT k.*, m.key IS NOT NULL AND k.doc_id <> m.keeper AS gone FROM k
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op11_prefix_trie": conversation_sql.trie_sql(),
+    "op12_turn_repair": conversation_sql.repair_sql(),
 }
