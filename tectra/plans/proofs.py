@@ -10,7 +10,7 @@ from tectra.functions import exprs, tables
 from tectra.operators import clean, coverage, etas, export, forecast, integrity, risk, skill, stats
 from tectra.plans.queries import _FMD, _LATER, _RISK, _SITE, _WIN, NOW_US, RISK, _risk, _series, _sites, query, r6
 from tectra.schemas import NATIONAL
-from tectra.sources import files, http
+from tectra.sources import archive, files, http
 from tectra.sources.testdata import catalog, table
 from tectra.streaming import live
 
@@ -313,7 +313,7 @@ def _stream(spark, sf_dir):
 def stream_archive(spark, sf_dir):
     """An archive that a stream of events merges into, by ids and the later record, after a first batch with other magnitudes."""
     path, df = tables.shared_dir(spark), catalog(spark, sf_dir)
-    clean.merge_events(df.limit(0), df.withColumn("mag", F.lit(0.0))).write.parquet(f"{path}/v=-00000000001")
+    archive.upsert(spark, path, df.withColumn("mag", F.lit(0.0)))
     live.upsert_stream(_stream(spark, sf_dir), spark, path, f"{path}/checkpoint").awaitTermination()
     return r6(live.read_archive(spark, path).select("id", exprs.micros(F.col("time")).alias("time_us"), "mag"))
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tectra.functions import tables
 from tectra.operators import clean
-from tectra.schemas import CATALOG, CATALOG_COLUMNS, YEAR_DAYS, CatalogError
+from tectra.schemas import CATALOG_COLUMNS, YEAR_DAYS, CatalogError
+from tectra.sources import archive
 
 UNKNOWN = "UNKNOWN"
 # How far back the service answers, how much is read again, and how many years an export takes.
@@ -45,32 +46,16 @@ def catalog_source(spark: SparkSession, path: str) -> str:
     return (found.get("source") or UNKNOWN) if isinstance(found, dict) else UNKNOWN
 
 
-def _manifests(spark: SparkSession, path: str) -> list[str]:
-    """Names of the archive's manifests, the oldest first."""
-    fs, root = tables.file_system(spark, path)
-    if not fs.exists(root):
-        return []
-    names = [x.getPath().getName() for x in fs.listStatus(root)]
-    return sorted(x for x in names if x.startswith("manifest-") and x.endswith(".json"))
-
-
 def load_archive(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """Events and manifest of the last version; an empty table and {} where there are none."""
-    found = _manifests(spark, path)
-    manifest = json.loads(tables.read_text(spark, f"{path}/{found[-1]}")) if found else {}
-    if not manifest.get("version"):
-        return spark.createDataFrame([], CATALOG), manifest
-    return spark.read.schema(CATALOG).parquet(f"{path}/{manifest['version']}"), manifest
+    state = archive.current(spark, path)
+    return archive.read(spark, path, state), state.manifest if state else {}
 
 
 def save_archive(spark: SparkSession, path: str, events: DataFrame, manifest: dict) -> dict:
-    """Writes events as a new version and then a manifest of its own that names it. Neither replaces a file, so a reader sees the old archive
-    or the new one, whenever the writer stops."""
-    version = f"events-{datetime.now(timezone.utc).strftime('%Y%m%dT%H%M%S%f')}"
-    events.repartitionByRange("time").write.parquet(f"{path}/{version}")
-    manifest = manifest | {"version": version}
-    tables.write_text(spark, f"{path}/manifest-{version}.json", json.dumps(manifest, indent=1))
-    return manifest
+    """Writes events as a new version that holds nothing else. No file is replaced, so a reader sees the old archive or the new one,
+    whenever the writer stops."""
+    return archive.replace(spark, path, events, manifest).manifest
 
 
 @dataclass(frozen=True)
@@ -120,23 +105,22 @@ def export_ready(manifest: dict, least: float = MIN_HISTORY_YEARS) -> bool:
 
 
 def update_archive(spark: SparkSession, path: str, now: datetime, fetch, *, min_mag: float = 2.5, seed: DataFrame | None = None) -> dict:
-    """Merges what `fetch(plan, min_mag)` brings into the archive. A window of a day or more without any event is an error, and then
-    nothing is saved. Returns the manifest."""
-    events, manifest = load_archive(spark, path)
+    """Merges what `fetch(plan, min_mag)` brings into the archive, and a seed beneath it; only buckets of their ids are written. A window
+    of a day or more without any event is an error, and then nothing is saved. Returns the manifest."""
+    state = archive.current(spark, path)
+    manifest, under = state.manifest if state else {}, None
     if seed is not None:
         typed = clean.conform(seed)
         lo, hi = typed.agg(F.min("time"), F.max("time")).first()
         if lo is not None:
             manifest = apply_seed(manifest, lo.replace(tzinfo=timezone.utc), hi.replace(tzinfo=timezone.utc))
-            events = clean.merge_events(typed, events)
+            under = typed
     plan = plan_fetch(manifest, now)
     new = fetch(plan, min_mag)
     n_new = new.count()
     if not n_new and plan.end - plan.start >= timedelta(days=1):
         raise CatalogError("no events in a window of a day or more")
-    merged = clean.merge_events(events, new)
-    manifest = update_manifest(manifest, plan, n_events=merged.count(), n_new=n_new, now=now)
-    return save_archive(spark, path, merged, manifest)
+    return archive.upsert(spark, path, new, under=under, manifest=lambda n: update_manifest(manifest, plan, n_events=n, n_new=n_new, now=now)).manifest
 
 
 def write_processed(events: DataFrame, manifest: dict, path: str, min_mag: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tectra.functions import exprs
 from tectra.operators import clean
 from tectra.schemas import CATALOG_COLUMNS
+from tectra.sources import archive
 
 LOOKBACK_MINUTES, STALE_MINUTES, POLL_SECONDS = 120, 30, 60
 
@@ -71,35 +72,26 @@ def live_stream(stream: DataFrame, path: str, checkpoint: str, *, lookback_minut
 def upsert_stream(stream: DataFrame, spark, path: str, checkpoint: str, once: bool = True):
     """Merges each micro-batch into the archive in a folder; later batches win. Returns the running query.
 
-    A batch writes a new version of the archive beside the old one and then names it, so that a batch that is done
-    again, after a lost driver, replaces its own version and nothing else. Late records are merged, never dropped.
+    A batch writes its own rows into the buckets of their ids (see `tectra.sources.archive`); one that is done again, after a lost
+    driver, finds that it has been merged and changes nothing. Late records are merged, never dropped.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        known = _version(batch.sparkSession, path, below=n)
-        old = batch.sparkSession.read.parquet(known) if known else batch.sparkSession.createDataFrame([], batch.schema)
-        clean.merge_events(old, batch).write.mode("overwrite").parquet(f"{path}/v={n:012d}")
+        archive.upsert(batch.sparkSession, path, batch, stream=checkpoint, batch=n)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
 
 
-def _version(spark, path: str, below: int | None = None) -> str | None:
-    """The last complete version's folder."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    names = sorted(p.getName() for p in found)
-    names = [x for x in names if below is None or int(x[2:]) < below]
-    return f"{path}/{names[-1]}" if names else None
+def _version(spark, path: str) -> int | None:
+    """The archive's version; None before the first batch."""
+    state = archive.current(spark, path)
+    return state.version if state else None
 
 
 def read_archive(spark, path: str) -> DataFrame | None:
-    at = _version(spark, path)
-    return spark.read.parquet(at) if at else None
+    state = archive.current(spark, path)
+    return archive.read(spark, path, state) if state else None
 
 
 def closed_windows(stream: DataFrame, time: str = "time", late: str = "2 hours", width: str = "1 day") -> DataFrame:
