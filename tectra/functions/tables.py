@@ -28,6 +28,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Removes the files of written tables that nothing will read again."""
+    for df in frames:
+        for path in {os.path.dirname(x) for x in df.inputFiles() if "/tectra-" in x}:
+            fs, p = file_system(df.sparkSession, path)
+            fs.delete(p, True)
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system and path object."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

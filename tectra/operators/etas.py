@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tectra.functions import exprs, ordering
+from tectra.functions import exprs, ordering, tables
+from tectra.operators import stats
 from tectra.schemas import DAY_US, CatalogError, Region
 
 
@@ -187,47 +189,213 @@ def _nll(x: np.ndarray, t: np.ndarray, m: np.ndarray, m0: float, t1: float) -> t
     return (float(total), grad) if np.isfinite(total) and np.isfinite(grad).all() else (1e12, np.zeros(5))
 
 
-def fit_vectors(t: np.ndarray, m: np.ndarray, m0: float, t1: float, rounds: int = 200) -> tuple[Params, float]:
-    """Parameters of greatest likelihood and minus its logarithm: projected quasi-Newton steps in log parameters."""
+def _descent(z: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int):
+    """Projected quasi-Newton steps from z in log parameters, as a conversation: yields the points that it wants the likelihood and gradient
+    of, at once, and returns the last point and value. A step that fails is halved, four halves being asked for together."""
+    ((f, g),) = yield [np.exp(z)]
+    g = g * np.exp(z)
+    H = np.eye(5) / max(1.0, np.abs(g).max())
+    for _ in range(rounds):
+        held = (z <= low) & (g > 0) | (z >= high) & (g < 0)
+        if np.abs(np.where(held, 0, g)).max() < 1e-5 * max(1.0, abs(f)):
+            break
+        d = -H @ np.where(held, 0, g)
+        d[held] = 0
+        if d @ g >= 0:
+            H, d = np.eye(5) / max(1.0, np.abs(g).max()), np.where(held, 0, -g) / max(1.0, np.abs(g).max())
+        steps, taken = [1.0], None
+        while taken is None and steps[0] > 1e-8:
+            points = [np.clip(z + step * d, low, high) for step in steps]
+            found = yield [np.exp(x) for x in points]
+            taken = next(((x, *y) for x, y in zip(points, found) if y[0] < f + 1e-4 * (g @ (x - z))), None)
+            steps = [steps[-1] / 2**k for k in range(1, 5)]
+        if taken is None:
+            break
+        z2, f2, g2 = taken
+        g2 = g2 * np.exp(z2)
+        s, y = z2 - z, g2 - g
+        if s @ y > 1e-12:
+            r = 1 / (s @ y)
+            V = np.eye(5) - r * np.outer(s, y)
+            H = V @ H @ V.T + r * np.outer(s, s)
+        done = abs(f - f2) < 1e-9 * max(1.0, abs(f))
+        z, f, g = z2, f2, g2
+        if done:
+            break
+    return z, f
+
+
+def greatest_likelihood(objective, n: int, m0: float, t1: float, rounds: int = 200) -> tuple[Params, float]:
+    """Parameters of greatest likelihood of n events over (0, t1) and minus its logarithm. `objective` takes points (mu, K, c, p, alpha) and
+    gives each one's minus log-likelihood and gradient; two starts go side by side, so that one call serves both."""
     low, high = np.log(LOWER), np.log(np.where(np.isinf(UPPER), 1e6, UPPER))
-    n = len(t)
-    best = None
-    for start in ([0.5 * n / max(t1, 1e-9), 0.1, 0.01, 1.1, 1.0], [0.8 * n / max(t1, 1e-9), 0.02, 0.05, 1.3, 0.6]):
-        z = np.clip(np.log(np.maximum(start, 1e-12)), low, high)
-        f, g = _nll(np.exp(z), t, m, m0, t1)
-        g = g * np.exp(z)
-        H = np.eye(5) / max(1.0, np.abs(g).max())
-        for _ in range(rounds):
-            held = (z <= low) & (g > 0) | (z >= high) & (g < 0)
-            if np.abs(np.where(held, 0, g)).max() < 1e-5 * max(1.0, abs(f)):
-                break
-            d = -H @ np.where(held, 0, g)
-            d[held] = 0
-            if d @ g >= 0:
-                H, d = np.eye(5) / max(1.0, np.abs(g).max()), np.where(held, 0, -g) / max(1.0, np.abs(g).max())
-            step, ok = 1.0, False
-            while step > 1e-8:
-                z2 = np.clip(z + step * d, low, high)
-                f2, g2 = _nll(np.exp(z2), t, m, m0, t1)
-                if f2 < f + 1e-4 * (g @ (z2 - z)):
-                    ok = True
-                    break
-                step /= 2
-            if not ok:
-                break
-            g2 = g2 * np.exp(z2)
-            s, y = z2 - z, g2 - g
-            if s @ y > 1e-12:
-                r = 1 / (s @ y)
-                V = np.eye(5) - r * np.outer(s, y)
-                H = V @ H @ V.T + r * np.outer(s, s)
-            done = abs(f - f2) < 1e-9 * max(1.0, abs(f))
-            z, f, g = z2, f2, g2
-            if done:
-                break
-        if best is None or f < best[1]:
-            best = np.exp(z), f
-    return Params(*map(float, best[0]), m0), best[1]
+    starts = ([0.5 * n / max(t1, 1e-9), 0.1, 0.01, 1.1, 1.0], [0.8 * n / max(t1, 1e-9), 0.02, 0.05, 1.3, 0.6])
+    runs = [_descent(np.clip(np.log(np.maximum(x, 1e-12)), low, high), low, high, rounds) for x in starts]
+    asked, ends = {k: next(run) for k, run in enumerate(runs)}, {}
+    while asked:
+        answers = iter(objective([x for points in asked.values() for x in points]))
+        again = {}
+        for k, points in asked.items():
+            try:
+                again[k] = runs[k].send([next(answers) for _ in points])
+            except StopIteration as end:
+                ends[k] = end.value
+        asked = again
+    z, f = min((ends[k] for k in sorted(ends)), key=lambda x: x[1])
+    return Params(*map(float, np.exp(z)), m0), float(f)
+
+
+def fit_vectors(t: np.ndarray, m: np.ndarray, m0: float, t1: float, rounds: int = 200) -> tuple[Params, float]:
+    """The fit of a zone's events within one task."""
+    return greatest_likelihood(lambda points: [_nll(x, t, m, m0, t1) for x in points], len(t), m0, t1, rounds)
+
+
+# --- fitting over the cluster: pairs of time blocks are summed in tasks, the driver sees six numbers a point -------------
+
+
+def _block_pairs(events: DataFrame) -> DataFrame:
+    """i, j, ti, tj, mj: the times of block i with times and magnitudes of each block j no later, in order of (i, j); a written table."""
+    rows, _ = _numbered(events)
+    blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("idx", "t", "mag"))).alias("e"))
+    blocks = tables.written(blocks.select("block", F.transform("e", lambda x: x["t"]).alias("t"), F.transform("e", lambda x: x["mag"]).alias("m")))
+    later = blocks.select(F.col("block").alias("i"), F.col("t").alias("ti"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("j"))
+    pairs = later.join(blocks.select(F.col("block").alias("j"), F.col("t").alias("tj"), F.col("m").alias("mj")), "j").select("i", "j", "ti", "tj", "mj")
+    return tables.written(pairs.repartitionByRange("i", "j").sortWithinPartitions("i", "j"))
+
+
+_SIX = ["f", *(f"g{k}" for k in range(5))]
+
+
+def _pair_sums(ti, tj, mj, same: bool, x: np.ndarray, m0: float) -> np.ndarray:
+    """For each event of block i, sums over those of block j before it: of the kernel, and of its derivatives' parts by c, p and alpha."""
+    _, _, c, p, alpha = x
+    dm = mj - m0
+    g, out = np.exp(alpha * dm), np.empty((4, len(ti)))
+    for lo in range(0, len(ti), 256):  # rows in blocks, so that memory stays small
+        dt = ti[lo : lo + 256, None] - tj[None] + c
+        if same:
+            earlier = np.arange(len(tj))[None] < np.arange(lo, min(lo + 256, len(ti)))[:, None]
+            dt = np.where(earlier, dt, 1.0)
+        ld = np.log(dt)
+        base = np.exp(-p * ld) * g
+        if same:
+            base = np.where(earlier, base, 0.0)
+        out[:, lo : lo + 256] = base.sum(1), (base / dt).sum(1), (base * ld).sum(1), base @ dm
+    return out
+
+
+def _integral_parts(t: np.ndarray, m: np.ndarray, x: np.ndarray, m0: float, t1: float) -> np.ndarray:
+    """What a block's events add to the integral of the intensity, and to its gradient; without the background."""
+    _, K, c, p, alpha = x
+    dm = m - m0
+    g, q, u = np.exp(alpha * dm), 1 - p, t1 - t + c
+    U, C = u**q, c**q
+    h = (U - C) / q
+    dh_dp = (-U * np.log(u) + C * np.log(c)) / q + (U - C) / q**2
+    return np.array([K * (g * h).sum(), 0.0, (g * h).sum(), K * (g * (u**-p - c**-p)).sum(), K * (g * dh_dp).sum(), K * (g * dm * h).sum()])
+
+
+def _evaluate(pairs: DataFrame, points: list[np.ndarray], m0: float, t1: float) -> list[tuple[float, np.ndarray]]:
+    """Minus log-likelihood and gradient at each point, in one job."""
+
+    def sums(batches):
+        at, held = None, []
+
+        def out():
+            return pa.record_batch([pa.array([at] * len(points), pa.int32()), pa.array(range(len(points)), pa.int32()), pa.array([h.tobytes() for h in held], pa.binary()), *(pa.array(v) for v in own.T)], ["i", "k", "sums", *_SIX])
+
+        for b in batches:
+            for r in range(b.num_rows):
+                i, j = b.column("i")[r].as_py(), b.column("j")[r].as_py()
+                ti, tj, mj = (b.column(c)[r].values.to_numpy() for c in ("ti", "tj", "mj"))
+                if i != at:
+                    if at is not None:
+                        yield out()
+                    at, held, own = i, [np.zeros((4, len(ti))) for _ in points], np.zeros((len(points), 6))
+                for k, x in enumerate(points):
+                    held[k] += _pair_sums(ti, tj, mj, i == j, x, m0)
+                    if i == j:
+                        own[k] += _integral_parts(tj, mj, x, m0, t1)
+        if at is not None:
+            yield out()
+
+    def whole(table: pa.Table) -> pa.Table:
+        k = table.column("k")[0].as_py()
+        mu, K, _, p, _ = points[k]
+        s, by_c, by_p, by_alpha = sum(np.frombuffer(x, float).reshape(4, -1) for x in table.column("sums").to_pylist())
+        own = np.array([sum(table.column(c).to_pylist()) for c in _SIX])
+        rate = mu + K * s
+        if not (rate > 0).all():
+            own[:] = np.nan
+        else:
+            r = 1 / rate
+            own -= [np.log(rate).sum(), r.sum(), (s * r).sum(), (-K * p * by_c * r).sum(), (-K * by_p * r).sum(), (K * by_alpha * r).sum()]
+        return pa.table({"k": pa.array([k], pa.int32())} | {c: [v] for c, v in zip(_SIX, own.tolist())})
+
+    six = ", ".join(f"{c} double" for c in _SIX)
+    parts = pairs.mapInArrow(sums, f"i int, k int, sums binary, {six}").groupBy("i", "k").applyInArrow(whole, f"k int, {six}")
+    found = {r.k: np.array([r[c] for c in _SIX]) for r in parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in _SIX]).collect()}
+    out = []
+    for k, x in enumerate(points):
+        v = found[k] + [x[0] * t1, t1, 0, 0, 0, 0]
+        out.append((float(v[0]), v[1:]) if np.isfinite(v).all() else (1e12, np.zeros(5)))
+    return out
+
+
+def fit_events(events: DataFrame, m0: float, t1: float, rounds: int = 200) -> tuple[Params, float]:
+    """The fit of any number of events (id, t, mag; t in days from the start), like `fit_vectors` on one task's: each point of the search is a
+    job over pairs of time blocks, whose tasks keep one pair and a block's sums."""
+    n = events.count()
+    if n <= BLOCK:  # one block: its pairs are one task's in any case, and so is the whole search
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["t", "id"])
+            p, f = fit_vectors(frame["t"].to_numpy(), frame["mag"].to_numpy(), m0, t1, rounds)
+            return pd.DataFrame([[p.mu, p.K, p.c, p.p, p.alpha, f]], columns=["mu", "K", "c", "p", "alpha", "f"])
+
+        r = events.select("id", "t", "mag").groupBy().applyInPandas(run, "mu double, K double, c double, p double, alpha double, f double").first()
+        return Params(r.mu, r.K, r.c, r.p, r.alpha, m0), r.f
+    pairs = _block_pairs(events)
+    best = greatest_likelihood(lambda points: _evaluate(pairs, points, m0, t1), n, m0, t1, rounds)
+    tables.forget(pairs)
+    return best
+
+
+def fit_catalog(events: DataFrame, m0: float, train_frac: float = 0.75, window_days: float = 30.0, least_train: int = 30, least_test: int = 8, bin_width: float = 0.1, label: str = "national") -> DataFrame:
+    """events: time, mag (strong ones). One row like `fit_zones`' of all events together, as jobs over blocks of them: fit, expected counts
+    of later windows, and their deviance against climatology and persistence."""
+    spark = events.sparkSession
+    numbered = ordering.with_index(events.select("time", "mag").withColumn("id", F.xxhash64("time", "mag").cast("string")), "time", "mag", "id", index="n")
+    first = numbered.agg(F.min(exprs.micros(F.col("time"))).alias("t0"))
+    rows = numbered.crossJoin(F.broadcast(first)).select("n", F.lpad(F.col("n").cast("string"), 12, "0").alias("id"), "mag", exprs.days((exprs.micros(F.col("time")) - F.col("t0")).cast("double")).alias("t"))
+    n = rows.count()
+    k = int(n * train_frac)
+    row = dict.fromkeys([x.split()[0] for x in ZONE_SCHEMA.split(", ")]) | {"zone": label, "n_events": n}
+
+    def out(**found) -> DataFrame:
+        return spark.createDataFrame([tuple((row | found).values())], ZONE_SCHEMA)
+
+    if k < least_train or n - k < least_test:
+        return out(status="too few events")
+    split, end = (rows.filter(F.col("n") == x).first()["t"] for x in (k + 1, n))
+    wins, past = fixed_windows(rows, split, end, window_days), fixed_windows(rows, 0.0, split, window_days)
+    if not wins.count() or not past.count():
+        return out(status="no window fits into training or test")
+    p, _ = fit_events(rows.filter(F.col("n") <= k).select("id", "t", "mag"), m0, split)
+    history = past.agg(F.avg("n").alias("mean"), F.max_by("n", "win_idx").alias("last")).first()
+    seen = expected_counts(wins, rows.select("id", "t", "mag"), p).withColumn("before", F.coalesce(F.lag("n").over(Window.orderBy("win_idx")), F.lit(history["last"])))
+
+    def deviance(q: Column) -> Column:
+        q = F.greatest(q.cast("double"), F.lit(1e-9))
+        return 2 * F.avg(F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / q)).otherwise(0.0) - (F.col("n") - q))
+
+    d = seen.agg(F.count(F.lit(1)).alias("n"), *[deviance(q).alias(c) for c, q in (("etas", F.col("expected")), ("climatology", F.lit(history["mean"])), ("persistence", F.col("before")))]).first()
+    against = lambda b: 0.0 if d[b] == 0 else 1 - d["etas"] / d[b]
+    mc = stats.completeness_magnitude(events, bin_width).first()["mc"]
+    above = events.filter(F.col("mag") >= mc - 1e-9).agg(F.count(F.lit(1)).alias("n"), F.avg("mag").alias("mean")).first()
+    room = above["mean"] - (mc - bin_width / 2) if above["n"] >= 2 else 0
+    b = math.log10(math.e) / room if room > 0 else 1.0
+    return out(status="fitted", mu=p.mu, K=p.K, c=p.c, p=p.p, alpha=p.alpha, b_value=b, branching=branching_ratio(p, b), n_windows=d["n"], skill_climatology=against("climatology"), skill_persistence=against("persistence"))
 
 
 def _windows(start: float, end: float, width: float) -> np.ndarray:

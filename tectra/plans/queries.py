@@ -449,10 +449,9 @@ def zone_assign(spark, sf_dir):
 
 @query()
 def zone_etas(spark, sf_dir):
-    """Fits of zones and of all strong events."""
+    """Fits of zones, each within a task, and of all strong events, over blocks of them."""
     strong = clean.at_least(catalog(spark, sf_dir), 4.0)
-    all_ = strong.withColumn("zone", F.lit("national"))
-    return etas.fit_zones(etas.assign_zones(strong, ZONES, 20).unionByName(all_), 4.0, window_days=1.0)
+    return etas.fit_zones(etas.assign_zones(strong, ZONES, 20), 4.0, window_days=1.0).unionByName(etas.fit_catalog(strong, 4.0, window_days=1.0))
 
 
 @query("""SELECT unnest(['sub', 'super', 'undefined']) AS name, unnest([0.4, 1.6, NULL]::DOUBLE[]) AS n, unnest(['sub-critical', 'super-critical', 'undefined']) AS flag""", with_catalog=False)
