@@ -46,8 +46,6 @@ _BUCKETS, _ROOM, _BLOCK = 2048, 4, 512
 _SIGN_BITS = 48
 #: Sets that one set is compared with in one group; a centre of more of them is sent once for each such group.
 _GROUP = 64
-#: Rows of a signature and a set that go to one task where many sets share many signatures.
-_TOGETHER = 20_000
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -305,62 +303,60 @@ def _links(rows: DataFrame, known: DataFrame, classes: DataFrame, width: int, si
     # then, where a signature still has several components, all that are in different ones, in blocks
     held = met.join(group.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sign", "node", F.coalesce("component", "node").alias("component"))
     # of two rows, the stars have decided
-    open_ = held.groupBy("sign").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("c1 < c2 and n > 2").select("sign", "n", "low")
-    # sets that are much alike share many signatures with one least set; these go to one task while they are few, so that a pair is named once
-    parts = open_.groupBy("low").agg(F.ceil(F.sum("n") / _TOGETHER).cast("int").alias("parts"))
-    open_ = open_.join(parts, "low").withColumn("part", F.pmod(F.xxhash64("sign"), F.col("parts")).cast("int")).drop("parts")
-    left = held.join(open_, "sign").join(bounds, "node")
+    open_ = held.groupBy("sign").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("c1 < c2 and n > 2").select("sign", "low")
+    # sets that are much alike share many signatures with one least set: there they are one group, in which a pair is tested once,
+    # whatever the number of these. A bit for each signature tells most pairs that share none. The least set itself has been held against all
+    one = F.expr("shiftleft(1L, cast(pmod(xxhash64(sign), 64) as int))")
+    left = held.join(open_.select("sign", "low"), "sign").filter("node <> low").groupBy("low", "node").agg(F.min("component").alias("component"), F.bit_or(one).alias("signs"))
+    left = common.cut(left)
+    groups = left.groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2")
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
-    left = left.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))))
-    member = ["node", "component", "size", (F.col("block") == F.col("pair.i")).alias("in_i"), (F.col("block") == F.col("pair.j")).alias("in_j"), "parities"]
-    left = left.select("low", "part", "sign", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), *member)
-    left = left.repartition("low", "part").sortWithinPartitions("low", "part", "sign", "i", "j", "node").drop("low", "part")
-
-    def near(rows: list[tuple], seen: set) -> tuple[list, list]:
-        """New pairs of a piece (a signature's sets in two blocks at most) in different components that may link."""
-        ids, comp, size, in_i, in_j, odd = zip(*rows)
-        ids, comp, size, in_i, in_j = (np.array(x) for x in (ids, comp, size, in_i, in_j))
+    dealt = left.join(groups.select("low", blocks.alias("blocks")), "low").join(bounds, "node")
+    # pairs of blocks are dealt over all tasks
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))))
+    dealt = dealt.select("low", "pair.i", "pair.j", "node", "component", "size", "signs", (F.col("block") == F.col("pair.i")).alias("in_i"), (F.col("block") == F.col("pair.j")).alias("in_j"), "parities")
+    dealt = dealt.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j", "node")
+
+    def near(rows: list[tuple]) -> tuple[list, list]:
+        """Pairs of a piece (a group's sets in two blocks at most) in different components that share a signature and may link."""
+        ids, comp, size, signs, in_i, in_j, odd = zip(*rows)
+        ids, comp, size, signs, in_i, in_j = (np.array(x) for x in (ids, comp, size, signs, in_i, in_j))
         # the same coarse buckets for the whole piece, then the pair's own
-        coarse = np.stack([_folded(x, _BUCKETS // 8) for x in odd])
+        coarse = np.stack([_folded(x, _BUCKETS // 8) for x in odd]).view(np.uint64)
+        fine = np.array([len(x) > _BUCKETS // 8 for x in odd])
         a, b = [], []
-        for k in range(len(rows)):
-            others = np.arange(k + 1, len(rows))
-            others = others[(comp[k + 1 :] != comp[k]) & (in_i[k] & in_j[k + 1 :] | in_j[k] & in_i[k + 1 :])]
+        for k in range(len(rows) - 1):
+            rest = slice(k + 1, None)
+            others = k + 1 + np.flatnonzero((comp[rest] != comp[k]) & (signs[rest] & signs[k] != 0) & (in_i[k] & in_j[rest] | in_j[k] & in_i[rest]))
             if len(others):
                 d = np.bitwise_count(coarse[others] ^ coarse[k]).sum(1, dtype=np.int64)
                 for o in others[_may_link(d, size[others], size[k], signer.percent)].tolist():
-                    pair = int(ids[k]), int(ids[o])  # rows are in the order of their nodes
-                    if pair not in seen and (len(odd[o]) == len(odd[k]) == _BUCKETS // 8 or _may_link(_differ(odd[o], odd[k]), int(size[o]), int(size[k]), signer.percent)):
-                        seen.add(pair)
-                        a.append(pair[0])
-                        b.append(pair[1])
+                    if not (fine[o] or fine[k]) or _may_link(_differ(odd[o], odd[k]), int(size[o]), int(size[k]), signer.percent):
+                        a.append(int(ids[k]))  # rows are in the order of their nodes
+                        b.append(int(ids[o]))
         return a, b
 
     def run(batches):
-        at, rows, seen, last = None, [], set(), None
+        at, rows = None, []
         for batch in batches:
             a, b = [], []
-            columns = [batch.column(c).to_pylist() for c in ("sign", "i", "j", "node", "component", "size", "in_i", "in_j", "parities")]
-            for sign, i, j, *row in zip(*columns):
-                if (sign, i, j) != at:
-                    # a piece of the same sets as the one before says nothing new
-                    if len(rows) > 1 and (who := [x[:1] + x[3:5] for x in rows]) != last:
-                        last = who
-                        for x, y in zip((a, b), near(rows, seen)):
+            columns = [batch.column(c).to_pylist() for c in ("low", "i", "j", "node", "component", "size", "signs", "in_i", "in_j", "parities")]
+            for low, i, j, *row in zip(*columns):
+                if (low, i, j) != at:
+                    if len(rows) > 1:
+                        for x, y in zip((a, b), near(rows)):
                             x += y
-                    at, rows = (sign, i, j), []
-                    if len(seen) > common.TABLE_ENTRIES:
-                        seen.clear()
+                    at, rows = (low, i, j), []
                 rows.append(tuple(row))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if len(rows) > 1:
-            a, b = near(rows, seen)
+            a, b = near(rows)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    more = left.mapInArrow(run, "a long, b long").distinct()
+    more = dealt.mapInArrow(run, "a long, b long").distinct()
     more = common.cut(more.join(stars, ["a", "b"], "left_anti"))
-    common.forget(spark, met, bounds, stars, group)
+    common.forget(spark, met, bounds, stars, group, left)
     if not more.limit(1).count():
         return links
     sets = common.cut(_sets_of(more, rows, classes, width))
