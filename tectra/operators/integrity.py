@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-import re
+from bisect import bisect_left, bisect_right
+from functools import reduce
+from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,33 +26,61 @@ def fold(c: Column) -> Column:
     return F.lower(F.translate(c, "İI", "iı"))
 
 
-#: Characters of a piece of text that is searched at once.
-PIECE = 2000
+class Scanner:
+    """Finds phrases that no denial stands near. One automaton holds phrases and denials; it walks a text once and gives the ends of all
+    their occurrences in order, so that the work grows with the text's length alone."""
+
+    def __init__(self, phrases: tuple[str, ...], denials: tuple[str, ...], reach: int):
+        import ahocorasick
+
+        self.reach, self.automaton = reach, ahocorasick.Automaton()
+        for x in {*phrases, *denials} - {""}:
+            self.automaton.add_word(x, (x, x in phrases, x in denials))
+        self.any = len(self.automaton) > 0
+        if self.any:
+            self.automaton.make_automaton()
+
+    def hits(self, text: str) -> list[tuple[str, int]]:
+        """(phrase, place of its first character), by place and phrase."""
+        found, starts, ends = [], [], {}  # the shortest denial's end by its start
+        for last, (word, claimed, denies) in self.automaton.iter(text) if self.any else ():
+            first = last + 1 - len(word)
+            if claimed:
+                found.append((first, word))
+            if denies:
+                starts.append(first)
+                ends[first] = min(last + 1, ends.get(first, last + 1))
+        starts.sort()
+        return [(word, at) for at, word in sorted(found) if not self._denied(at, at + len(word), starts, ends)]
+
+    def _denied(self, at: int, end: int, starts: list[int], ends: dict[int, int]) -> bool:
+        """A denial lies whole within reach of the phrase. No more starts are looked at than fit there."""
+        k = bisect_left(starts, at - self.reach)
+        while k < len(starts) and starts[k] < end + self.reach:
+            if ends[starts[k]] <= end + self.reach:
+                return True
+            k = bisect_right(starts, starts[k])
+        return False
 
 
 def claims(df: DataFrame, text: str, phrases: tuple[str, ...] = CLAIMS, denials: tuple[str, ...] = DENIALS, reach: int = REACH, id_col: str = "id") -> DataFrame:
     """id, phrase, idx (from 0, in the folded text) of each occurrence, overlapping ones too, that no denial stands near.
 
-    A text is searched piece by piece, each with what its last occurrence and its neighbourhood need beyond it, so that work
-    and what is copied for an occurrence don't grow with the text's length."""
-    most = max(map(len, phrases), default=1)
+    Texts without any phrase stay in the JVM; others are walked once, whatever their length and the number of phrases. Null and empty texts
+    have no occurrence; a text that stands in several rows has its own in each."""
     rows = df.select(F.col(id_col).alias("id"), fold(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(PIECE))).alias("start")
-    # from `first` on, the piece and its neighbourhood
-    wide = rows.select("id", "t", starts).withColumn("first", F.greatest(F.col("start") - reach, F.lit(0)))
-    wide = wide.select("id", "start", "first", F.expr(f"substring(t, first + 1, start - first + {PIECE + most + reach})").alias("t"))
-    each = F.array(*[F.struct(F.lit(x).alias("phrase"), F.split(F.expr(f"substring(t, start - first + 1, {PIECE + len(x) - 1})"), f"(?={re.escape(x)})").alias("parts")) for x in phrases])
-    found = wide.select("*", F.inline(F.filter(each, lambda e: F.contains(F.col("t"), e["phrase"]))))
-    # a look-ahead matches at every place, so that the lengths of the parts before it name a place
-    found = found.withColumn("lens", F.transform("parts", F.length)).drop("parts")
-    at = F.expr("array_append(transform(sequence(1, size(lens)), k -> aggregate(slice(lens, 1, k), 0, (a, x) -> a + x)), 0)")
-    found = found.withColumn("at", F.explode(F.array_distinct(at))).withColumn("idx", F.col("at") + F.col("start"))
-    found = found.filter((F.col("idx") < F.col("start") + PIECE) & F.expr("substring(t, idx - first + 1, length(phrase)) = phrase"))
-    near = F.expr(f"substring(t, greatest(idx - {reach}, 0) - first + 1, idx - greatest(idx - {reach}, 0) + length(phrase) + {reach})")
-    denied = F.lit(False)
-    for d in denials:
-        denied = denied | near.contains(d)
-    return found.filter(~denied).select("id", "phrase", F.col("idx").cast("int"))
+    some = reduce(or_, [F.contains("t", F.lit(x)) for x in phrases if x], F.lit(False))
+    kind = rows.schema["id"].dataType
+
+    def run(batches):
+        scanner = Scanner(phrases, denials, reach)
+        for b in batches:
+            for k in range(b.num_rows):  # a text at a time, as they may be long
+                found = scanner.hits(b.column("t")[k].as_py())
+                ids = pa.concat_arrays([b.column("id").slice(k, 1)] * len(found)) if found else b.column("id").slice(0, 0)
+                yield pa.record_batch([ids, pa.array([x for x, _ in found], pa.string()), pa.array([at for _, at in found], pa.int32())], ["id", "phrase", "idx"])
+
+    return rows.filter(some).mapInArrow(run, f"id {kind.simpleString()}, phrase string, idx int")
 
 
 def has_restriction(text: Column) -> Column:

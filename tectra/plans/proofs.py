@@ -335,14 +335,14 @@ def output_verdict(spark, sf_dir):
 @query()
 def magnitude_models(spark, sf_dir):
     """Can the next event's magnitude be told?"""
-    return forecast.magnitude_models(forecast.event_features(catalog(spark, sf_dir), 3.5, 10), rounds=20)
+    return forecast.magnitude_models(forecast.event_features(catalog(spark, sf_dir), 3.5, 10))
 
 
 @query()
 def strong_window_verdict(spark, sf_dir):
-    return forecast.strong_window_verdict(_series(spark, sf_dir), 4.2, rounds=20)
+    return forecast.strong_window_verdict(_series(spark, sf_dir), 4.2)
 
 
 @query()
 def model_leaderboard(spark, sf_dir):
-    return forecast.model_leaderboard(_series(spark, sf_dir), rounds=20)
+    return forecast.model_leaderboard(_series(spark, sf_dir))

@@ -383,6 +383,11 @@ def boosted_regressor(spark, sf_dir):
     return _learn(spark, sf_dir, "boosted")
 
 
+@query()
+def boosted_counts(spark, sf_dir):
+    return _learn(spark, sf_dir, "boosted_poisson")
+
+
 @query()
 def boosted_classifier(spark, sf_dir):
     return _learn(spark, sf_dir, "boosted_class", binary=True)

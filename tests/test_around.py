@@ -278,8 +278,7 @@ def test_shared_folder(spark, tmp_path):
     assert tables.written(spark.range(3)).count() == 3
 
 
-def test_claims_over_pieces(spark, monkeypatch):
-    monkeypatch.setattr(integrity, "PIECE", 10)
+def test_claims_in_one_walk(spark):
     r = np.random.default_rng(4)
     for _ in range(5):
         text = "".join(r.choice(list("aab "), 200))
@@ -288,3 +287,27 @@ def test_claims_over_pieces(spark, monkeypatch):
         got = integrity.claims(spark.createDataFrame([(1, text)], "id int, t string"), "t", phrases, denials, reach)
         assert sorted((x.phrase, x.idx) for x in got.collect()) == want
     assert integrity.claims(spark.createDataFrame([(1, None), (2, "")], "id int, t string"), "t").count() == 0
+
+
+def test_claims_grow_with_the_text():
+    """Four times the text takes four times the walk, also where phrases and denials stand close."""
+    import time
+
+    scanner = integrity.Scanner(integrity.CLAIMS, integrity.DENIALS, integrity.REACH)
+    part = "bir deprem tahmini değil, ama burada erken uyarı var. " + "uzun bir metin " * 12
+
+    def seconds(times):
+        text = part * times
+        began = time.process_time()
+        assert len(scanner.hits(text)) >= times
+        return time.process_time() - began
+
+    seconds(1000)
+    small = min(seconds(17_000) for _ in range(3))  # some 4 million characters
+    assert min(seconds(68_000) for _ in range(2)) < 4.5 * small + 0.5
+
+
+def test_claims_that_deny_themselves():
+    s = integrity.Scanner(("ab", "abc", "no"), ("no", "none"), 2)
+    assert s.hits("abc") == [("ab", 0), ("abc", 0)] and s.hits("abc no") == [("ab", 0)] and s.hits("ab none") == [] and s.hits("no") == []
+    assert integrity.Scanner((), (), 5).hits("abc") == []
