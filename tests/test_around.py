@@ -294,7 +294,7 @@ def test_claims_grow_with_the_text():
     import time
 
     scanner = integrity.Scanner(integrity.CLAIMS, integrity.DENIALS, integrity.REACH)
-    part = "bir deprem tahmini değil, ama burada erken uyarı var. " + "uzun bir metin " * 12
+    part = "bir deprem tahmini değil, " + "uzun bir metin " * 6 + "burada erken uyarı var. " + "uzun bir metin " * 6
 
     def seconds(times):
         text = part * times
