@@ -1,19 +1,19 @@
 """Toxicity by Kneser-Ney models of whole texts, one of toxic and one of ordinary documents.
 
-Either model gives a word's probability after the word before it, from pairs of words and from words. As in Kneser and Ney's
-lower orders, what counts is in how many contexts a pair or a word stands, so that a passage that many copies repeat
-counts once. Counts are discounted, and what is taken off goes to counts that both classes share, which so smooth rare
-expressions. A pair without an entry leaves the word by itself, and a word without one has the shared counts alone.
-
-There are far fewer toxic documents than ordinary ones, and the better known class would win wherever a word is rare. So the
-counts of either class are scaled to the smaller class's total before they are discounted, and both are smoothed alike.
-And as a toxic document is ordinary text with a few toxic expressions, its likelihood is a mixture: each word is toxic
-speech with probability SHARE, and toxic speech is SHARPNESS times as far from ordinary speech as the model of toxic
-documents, which holds both. A document's evidence is the log-likelihood ratio by the number of its words, with some words
-more in the divisor, so that a single odd word doesn't decide a very short text.
-
-Spark counts, smooths and joins the tables. A table of checked size is broadcast to score; a larger one is joined to the
-documents' keys.
+Each class has P(b | a), from pairs of words, which backs off to P(b), from words, which backs off to counts that both classes share and
+which so smooth rare expressions. As in Kneser and Ney's lower orders, what counts is in how many contexts a pair or a word stands, so that
+a passage that many copies repeat counts once. One is taken off every count; what is taken off a history's pairs, its number of different
+next words, is the weight of its backoff, so that every history's probabilities add up to one. An expression of one context is then the
+backoff's alone. That makes the tables short without loss: only entries that say something else than the backoff are kept.
+
+A toxic document is ordinary text with a few toxic expressions, so its likelihood is a mixture: each word is toxic speech with some share,
+and toxic speech lies some power as far from ordinary speech as the model of toxic documents, which holds both; a share and a power of
+one are the model itself. As few toxic documents tell little of most pairs, a word's ratio of likelihoods lies between that of the word alone
+and that after the word before it. A document's evidence is the difference of the two log-likelihoods by its number of words, and some words more, so
+that a single odd word doesn't decide a very short text. Share, power, these words and the trust in pairs are chosen in the job itself, by the likelihood of
+labelled documents that neither fill the models nor are held out.
+
+Spark counts, smooths and joins the tables. A table of checked size is broadcast to score; a larger one is joined to the documents' keys.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,20 +30,17 @@ from pyspark.sql import functions as F
 from . import common
 from .mph import mix
 
-#: What is taken off each word's and each pair's count; contexts from which either has an entry, rarer ones leave their mass to the backoff.
-DISCOUNT, PAIR_DISCOUNT, MIN_COUNT = 0.75, 2.0, 2
-#: The share of a toxic document's words that are toxic speech, and how far that is from ordinary speech.
-SHARE, SHARPNESS = 0.0003, 2.0
-#: Words that a document's length counts more than it has.
-PRIOR_WORDS = 50
+#: What is tried: shares of a toxic document's words that are toxic speech with the powers of that, words added to a length, and how far the
+#: word before is trusted, from not at all to wholly.
+TRIED = [(share, power, more, trust) for trust in (0.0, 0.5, 1.0) for more in (10, 100) for share, power in [(1.0, 1.0), *((s, p) for s in (1e-2, 1e-3, 1e-4) for p in (1.0, 2.0, 3.0))]]
 #: Labels of at most so many rows are broadcast (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
-#: A table of at most so many keys is broadcast (12 bytes each); documents' keys are joined to a larger one.
+#: A table of at most so many keys is broadcast (16 bytes each); documents' keys are joined to a larger one.
 BROADCAST_KEYS = 4_000_000
 #: Evidence is sorted into so many bins to fit the probability, between two bounds.
-_BINS, _LEAST, _MOST = 4000, -12.0, 4.0
-#: Evidence is taken as a logarithm, and this much is added to it first.
-_FLOOR = 1e-5
+_BINS, _LEAST, _MOST = 4000, -15.0, 15.0
+#: Evidence is taken as an inverse hyperbolic sine, close to a logarithm of either sign, of so small a unit.
+_UNIT = 1e-5
 _G = np.uint64(0x9E3779B97F4A7C15)
 #: What tells pairs' keys from words'; what stands before the first word of a text.
 _PAIR, _START = np.uint64(0xB2), "\x02"
@@ -81,7 +77,7 @@ def _unsigned(values: np.ndarray) -> pa.Array:
 
 def pair_counts(labelled: DataFrame) -> DataFrame:
     """a, b (keys of a word and of the one after it), toxic, ordinary: after how many different words the pair stands in the texts of
-    either label, and n: after how many in all. A pair that has no entry is a row without a."""
+    either label. What a batch repeats is one row before the shuffle."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -96,118 +92,115 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
             size = max(1, len(words))
             pair, before = pair[code // (size + 1)], code % (size + 1)
             a, b = keys[pair // size], keys[pair % size]
-            x = np.concatenate([np.zeros(1, np.uint64), keys])[before].astype(np.uint32).view(np.int32)
-            high, low = (a << np.uint64(24)) | (b >> np.uint64(16)), (b & np.uint64(0xFFFF)).astype(np.int32)
-            return pa.record_batch([_unsigned(high), pa.array(low), pa.array(x), pa.array((seen[0] + 2 * seen[1]).astype(np.int8))], ["high", "low", "x", "seen"])
+            x = np.concatenate([np.zeros(1, np.uint64), keys])[before] & np.uint64(0xFFFFFFFF)
+            high = (a << np.uint64(24)) | (b >> np.uint64(16))
+            low = ((b & np.uint64(0xFFFF)) << np.uint64(34)) | (x << np.uint64(2)) | (seen[0] + 2 * seen[1]).astype(np.uint64)
+            return pa.record_batch([_unsigned(high), _unsigned(low)], ["high", "low"])
 
         return f
 
-    found = common.map_batches(labelled.select("toxic", "text"), make, "high long, low int, x int, seen byte")
-    # batches have summed up already; one shuffle serves both groupings
-    found = found.repartition("high", "low").groupBy("high", "low", "x").agg(F.bit_or("seen").alias("seen"))
-    found = found.groupBy("high", "low").agg(F.count_if(F.col("seen").bitwiseAND(1) > 0).alias("toxic"), F.count_if(F.col("seen").bitwiseAND(2) > 0).alias("ordinary"), F.count(F.lit(1)).alias("n"))
-    a, b = F.shiftrightunsigned("high", 24), F.shiftleft(F.col("high").bitwiseAND(0xFFFFFF), 16).bitwiseOR(F.col("low").cast("long"))
-    # a pair without an entry counts for its second word alone, so its first one needs no room
-    return found.select(F.when(F.col("n") >= MIN_COUNT, a).alias("a"), b.alias("b"), *_COUNTS, "n")
+    found = common.map_batches(labelled.select("toxic", "text"), make, "high long, low long")
+    # one shuffle serves both groupings
+    found = found.repartition("high").select("high", F.shiftright("low", 34).alias("end"), F.shiftright("low", 2).bitwiseAND(0xFFFFFFFF).alias("x"), F.col("low").bitwiseAND(3).alias("seen"))
+    found = found.groupBy("high", "end", "x").agg(F.bit_or("seen").alias("seen"))
+    found = found.groupBy("high", "end").agg(F.count_if(F.col("seen").bitwiseAND(1) > 0).cast("int").alias("toxic"), F.count_if(F.col("seen").bitwiseAND(2) > 0).cast("int").alias("ordinary"))
+    return found.select(F.shiftrightunsigned("high", 24).alias("a"), F.shiftleft(F.col("high").bitwiseAND(0xFFFFFF), 16).bitwiseOR(F.col("end")).alias("b"), *_COUNTS)
 
 
-def _past(c: str, discount: float) -> Column:
-    return F.greatest(F.col(c) - discount, F.lit(0.0))
+def _past(c: Column) -> Column:
+    return F.greatest(c - 1, F.lit(0)).cast("double")
 
 
-def _scaled(counts: DataFrame, discount: float) -> tuple[DataFrame, float, float, dict[str, float]]:
-    """counts: toxic, ordinary (contexts in either class), n (in both). The entries with the classes' counts scaled to the smaller total,
-    that total, the sum of n, and what the entries of either class leave over, as a share. A class without any stays as it is."""
-    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*_COUNTS, "n")]).first()
-    least = float(min((sums[c] for c in _COUNTS if sums[c]), default=1))
-    counts = counts.withColumns({c: F.col(c) * (least / (sums[c] or least)) for c in _COUNTS}).filter(F.col("n") >= MIN_COUNT)
-    past = counts.agg(*[F.coalesce(F.sum(_past(c, discount)), F.lit(0.0)).alias(c) for c in _COUNTS]).first()
-    return counts, least, float(sums["n"] or 1), {c: 1.0 - past[c] / least if sums[c] else 1.0 for c in _COUNTS}
-
-
-def word_values(pairs: DataFrame) -> tuple[DataFrame, float]:
-    """a, b, value: of words (a; b is null) and of pairs, and the value of a word without an entry.
-
-    A word's value is log P(toxic) - log P(ordinary), where P(w) is past(w) / all + rest * n(w) / all n. A pair's P(ab) backs off to
-    P(a) P(b), times what the pair's shared count is above chance; its value is what P(ab) / P(a) adds to the second word's."""
+def word_values(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Of words: w, value (log P_toxic(w) - log P_ordinary(w)) and weight (the same of the backoff's weight after w). Of pairs: a, b, value
+    (the same of P(b | a)). And the value of a word without an entry, whose weight is 0. What a row left out has follows from these:
+    a word's defaults, and for a pair the first word's weight and the second one's value."""
     words = pairs.groupBy(F.col("b").alias("w")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in _COUNTS], F.count(F.lit(1)).alias("n"))
-    words, total, all_n, rest = _scaled(common.cut(words), DISCOUNT)
-    p = {c: _past(c, DISCOUNT) / total + rest[c] * F.col("n") / all_n for c in _COUNTS}
-    words = common.cut(words.select("w", *[(p[c] / (F.col("n") / all_n)).alias(c) for c in _COUNTS], (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("value")))
+    words = common.cut(words)
+    sums = words.agg(*[F.sum(c).alias(c) for c in (*_COUNTS, "n")], *[F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in _COUNTS]).first()
+    total = {c: float(sums[c] or 0) for c in (*_COUNTS, "n")}
+    rest = {c: sums[f"{c}_types"] / total[c] if total[c] else 1.0 for c in _COUNTS}
+    p = {c: _past(F.col(c)) / (total[c] or 1.0) + rest[c] * F.col("n") / (total["n"] or 1.0) for c in _COUNTS}
     beyond = float(np.log(rest["toxic"]) - np.log(rest["ordinary"]))
-
-    both, total, all_n, rest = _scaled(pairs, PAIR_DISCOUNT)
-    # where nothing of a pair is left in either class, it says no more than its words
-    both = both.filter((_past("toxic", PAIR_DISCOUNT) > 0) | (_past("ordinary", PAIR_DISCOUNT) > 0))
-    of = lambda end: words.select(F.col("w").alias(end), F.col("value").alias(f"{end}_value"), *[F.col(c).alias(f"{end}_{c}") for c in _COUNTS])
-    met = both.join(of("b"), "b").join(of("a"), "a", "left").fillna(0.0, ["a_value"]).fillna(1.0, [f"a_{c}" for c in _COUNTS])
-    q = lambda c: _past(c, PAIR_DISCOUNT) / total + rest[c] * F.col("n") / all_n * F.col(f"a_{c}") * F.col(f"b_{c}")
-    value = F.log(q("toxic")) - F.log(q("ordinary")) - F.col("a_value") - F.col("b_value") - float(np.log(rest["toxic"]) - np.log(rest["ordinary"]))
-    met = met.select("a", "b", value.alias("value"))
-    return words.select(F.col("w").alias("a"), F.lit(None).cast("long").alias("b"), "value").unionByName(met), beyond
+    lone = (F.col("toxic") <= 1) & (F.col("ordinary") <= 1)
+    words = words.select("w", *[p[c].alias(f"p_{c}") for c in _COUNTS], F.when(lone, beyond).otherwise(F.log(p["toxic"]) - F.log(p["ordinary"])).alias("value"))
+    after = pairs.groupBy(F.col("a").alias("w")).agg(*[F.sum(c).cast("double").alias(f"all_{c}") for c in _COUNTS], *[F.count_if(F.col(c) > 0).cast("double").alias(f"next_{c}") for c in _COUNTS])
+    left = {c: F.when(F.col(f"all_{c}") > 0, F.col(f"next_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in _COUNTS}
+    after = after.select("w", *[F.col(f"all_{c}") for c in _COUNTS], *[left[c].alias(f"left_{c}") for c in _COUNTS])
+    words = common.cut(words.join(after, "w", "full").withColumn("weight", F.coalesce(F.log("left_toxic") - F.log("left_ordinary"), F.lit(0.0))).withColumn("value", F.coalesce("value", F.lit(beyond))))
+
+    both = pairs.filter("toxic > 1 or ordinary > 1")
+    b = words.select(F.col("w").alias("b"), *[F.col(f"p_{c}") for c in _COUNTS])
+    a = words.select(F.col("w").alias("a"), *[F.col(f"{k}_{c}") for c in _COUNTS for k in ("all", "left")])
+    met = both.join(b, "b").join(a, "a")
+    q = {c: F.when(F.col(f"all_{c}") > 0, _past(F.col(c)) / F.col(f"all_{c}")).otherwise(0.0) + F.col(f"left_{c}") * F.col(f"p_{c}") for c in _COUNTS}
+    met = met.select("a", "b", (F.log(q["toxic"]) - F.log(q["ordinary"])).alias("value"))
+    return words.filter((F.col("value") != beyond) | (F.col("weight") != 0)).select("w", "value", "weight"), met, beyond
 
 
 def key_values(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """key, value of all entries of the model, and the value of a word without one."""
-    values, beyond = word_values(common.cut(pair_counts(labelled)))
+    """key, value, weight of all entries of the models, and the value of a word without one."""
+    words, pairs, beyond = word_values(common.cut(pair_counts(labelled)))
 
     def run(batches):
         for x in batches:
-            a, b = x.column("a").to_numpy().view(np.uint64), pc.fill_null(x.column("b"), 0).to_numpy().view(np.uint64)
-            key = np.where(x.column("b").is_null().to_numpy(zero_copy_only=False), a, pair_keys(a, b))
-            yield pa.record_batch([_unsigned(key), x.column("value").cast(pa.float32())], ["key", "value"])
+            a, b = (x.column(c).to_numpy().view(np.uint64) for c in "ab")
+            yield pa.record_batch([_unsigned(pair_keys(a, b)), x.column("value").cast(pa.float32()), pa.array(np.zeros(x.num_rows, np.float32))], ["key", "value", "weight"])
 
-    return common.cut(values.mapInArrow(run, "key long, value float")), beyond
+    pairs = pairs.mapInArrow(run, "key long, value float, weight float")
+    return common.cut(pairs.unionByName(words.select(F.col("w").alias("key"), F.col("value").cast("float").alias("value"), F.col("weight").cast("float").alias("weight")))), beyond
 
 
-def mixed(ratio: np.ndarray) -> np.ndarray:
+def mixed(ratio: np.ndarray, share: float, power: float) -> np.ndarray:
     """The log-likelihood ratio of a word where a share of a toxic document's words is toxic speech."""
-    return np.log1p(SHARE * np.expm1(np.minimum(SHARPNESS * ratio, 50.0)))
+    return np.log1p(share * np.expm1(np.minimum(power * ratio, 50.0)))
 
 
 class Values:
     """A table of keys in a task's memory, and the words already looked up."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, beyond: float):
-        self.keys, self.values, self.beyond = keys, values, beyond
+    def __init__(self, keys: np.ndarray, values: np.ndarray, weights: np.ndarray, beyond: float):
+        self.keys, self.values, self.weights, self.beyond = keys, values, weights, beyond
         self.forget()
 
     def forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.known = np.zeros((2, 0))  # value, key's bits
+        self.known = np.zeros((3, 0))  # value, weight, key's bits
         self.learn([_START])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values (0 where a key has none) and whether the keys have one."""
+        """Places in the table, and whether the keys have one."""
         if not len(self.keys):
-            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        ok = self.keys[at] == keys
-        return np.where(ok, self.values[at], 0).astype(np.float64), ok
+        return at, self.keys[at] == keys
 
     def learn(self, words: list[str]) -> None:
         keys = word_keys(words)
-        value, ok = self.find(keys)
-        value[~ok] = self.beyond
+        at, ok = self.find(keys)
+        value, weight = np.full(len(keys), self.beyond), np.zeros(len(keys))
+        value[ok], weight[ok] = self.values[at[ok]], self.weights[at[ok]]
         first = self.known.shape[1]
-        self.known = np.concatenate([self.known, np.stack([value, keys.view(np.float64)])], 1)
+        self.known = np.concatenate([self.known, np.stack([value, weight, keys.view(np.float64)])], 1)
         self.places.update(zip(words, range(first, first + len(words))))
 
-    def evidences(self, batch: pa.RecordBatch) -> np.ndarray:
+    def evidences(self, batch: pa.RecordBatch, ways: list[tuple]) -> np.ndarray:
         words, at, of = _tokens(batch)
         if len(self.places) + len(words) > common.TABLE_ENTRIES:
             self.forget()
         if new := [w for w in words if w not in self.places]:
             self.learn(new)
         here = self.known[:, np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
-        value, keys = here[0], np.ascontiguousarray(here[1]).view(np.uint64)
+        value, weight, keys = here[0], here[1], np.ascontiguousarray(here[2]).view(np.uint64)
         same = np.flatnonzero(of[1:] == of[:-1])
-        code, back, n = np.unique(at[same] * len(words) + at[same + 1], return_inverse=True, return_counts=True)
+        code, back = np.unique(at[same] * len(words) + at[same + 1], return_inverse=True)
         a, b = code // max(1, len(words)), code % max(1, len(words))
-        each = mixed(value[b] + self.find(pair_keys(keys[a], keys[b]))[0])
+        place, ok = self.find(pair_keys(keys[a], keys[b]))
+        whole = weight[a] + value[b]
+        whole[ok] = self.values[place[ok]]
         rows = batch.num_rows
-        mean = np.bincount(of[same], each[back], rows) / (np.bincount(of[same], minlength=rows) + PRIOR_WORDS)
-        return np.log(_FLOOR + np.maximum(mean, 0))
+        n = np.bincount(of[same], minlength=rows)
+        return np.stack([np.arcsinh(np.bincount(of[same], mixed(value[b] + trust * (whole - value[b]), share, power)[back], rows) / (n + more) / _UNIT) for share, power, more, trust in ways], 1)
 
 
 _tables: dict[str, Values] = {}
@@ -220,26 +213,32 @@ def _table(name: str, shared) -> Values:
     return _tables[name]
 
 
-def evidences(docs: DataFrame, values: DataFrame, beyond: float, keep: list[str], broadcast_keys: int) -> DataFrame:
-    """The columns `keep` and evidence of each row."""
+def evidences(docs: DataFrame, values: DataFrame, beyond: float, keep: list[str], broadcast_keys: int, ways: list[tuple]) -> DataFrame:
+    """The columns `keep` and evidence of each row, a number for each of the ways (those of TRIED or some of them)."""
     if values.count() > broadcast_keys:
-        return _joined(docs, values, beyond, keep)
+        return _joined(docs, values, beyond, keep, ways)
     table = values.toArrow()
-    keys, of = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+    keys = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared, name = docs.sparkSession.sparkContext.broadcast((keys[order], of[order], beyond)), uuid.uuid4().hex
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", evidence double"
+    shared, name = docs.sparkSession.sparkContext.broadcast((keys[order], *(table.column(c).to_numpy()[order] for c in ("value", "weight")), beyond)), uuid.uuid4().hex
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", evidence array<double>"
 
     def make():
         table = _table(name, shared)
-        return lambda batch: pa.record_batch([*[batch.column(c) for c in keep], pa.array(table.evidences(batch))], [*keep, "evidence"])
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = table.evidences(batch, ways)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(ways), pa.int32()), pa.array(found.ravel()))
+            return pa.record_batch([*[batch.column(c) for c in keep], lists], [*keep, "evidence"])
+
+        return f
 
     return common.map_batches(docs.select(*dict.fromkeys([*keep, "text"])), make, schema)
 
 
-def _joined(docs: DataFrame, values: DataFrame, beyond: float, keep: list[str]) -> DataFrame:
+def _joined(docs: DataFrame, values: DataFrame, beyond: float, keep: list[str], ways: list[tuple]) -> DataFrame:
     """The same by joins: documents' words and pairs meet the table. Equal texts are one."""
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc"])
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).dropDuplicates(["doc"])
 
     def of_docs():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -248,32 +247,29 @@ def _joined(docs: DataFrame, values: DataFrame, beyond: float, keep: list[str])
             code, n = np.unique((of[same] * len(words) + at[same]) * len(words) + at[same + 1], return_counts=True)
             size = max(1, len(words))
             a, b = keys[code // size % size], keys[code % size]
-            return pa.record_batch([batch.column("doc").take(pa.array(code // size**2)), _unsigned(b), _unsigned(pair_keys(a, b)), pa.array(n, pa.int64())], ["doc", "word", "pair", "n"])
+            return pa.record_batch([batch.column("doc").take(pa.array(code // size**2)), _unsigned(a), _unsigned(b), _unsigned(pair_keys(a, b)), pa.array(n, pa.int64())], ["doc", "a", "b", "pair", "n"])
 
         return f
 
-    keys = common.map_batches(texts, of_docs, "doc string, word long, pair long, n long")
-    met = keys.join(values.select(F.col("key").alias("word"), "value"), "word", "left").join(values.select(F.col("key").alias("pair"), F.col("value").alias("more")), "pair", "left")
-    ratio = F.coalesce(F.col("value").cast("double"), F.lit(beyond)) + F.coalesce(F.col("more").cast("double"), F.lit(0.0))
-    ratio = F.least(F.lit(50.0), SHARPNESS * ratio)
-    sums = met.groupBy("doc").agg(F.sum(F.col("n") * F.log1p(SHARE * F.expm1(ratio))).alias("sum"))
-
-    def sizes():
-        return lambda batch: pa.record_batch([batch.column("doc"), pa.array([len(words_of(x)) for x in common.texts(batch)], pa.int64())], ["doc", "words"])
-
-    sums = common.map_batches(texts, sizes, "doc string, words long").join(sums, "doc", "left")
-    sums = sums.select("doc", F.log(_FLOOR + F.greatest(F.lit(0.0), F.coalesce("sum", F.lit(0.0)) / (F.col("words") + PRIOR_WORDS))).alias("evidence"))
-    rows = docs.select(*keep, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("doc"))
-    return rows.join(sums, "doc").select(*keep, "evidence")
-
-
-def fit_probability(bins: list[tuple[int, int, int]], rounds: int = 100) -> tuple[float, float]:
-    """Slope and offset of the probability of label 1, from (bin, label, documents). Both labels weigh the same, so that 0.5
-    lies midway between them; without one of them, a default holds."""
+    keys = common.map_batches(texts, of_docs, "doc binary, a long, b long, pair long, n long")
+    met = keys.join(values.select(F.col("key").alias("b"), F.col("value").cast("double").alias("own")), "b", "left")
+    met = met.join(values.select(F.col("key").alias("a"), F.col("weight").cast("double").alias("weight")), "a", "left")
+    met = met.join(values.select(F.col("key").alias("pair"), F.col("value").cast("double").alias("whole")), "pair", "left")
+    own = F.coalesce("own", F.lit(beyond))
+    met = met.select("doc", "n", own.alias("own"), (F.coalesce("whole", own + F.coalesce("weight", F.lit(0.0))) - own).alias("more"))
+    sums = met.groupBy("doc").agg(F.sum("n").alias("words"), *[F.sum(F.col("n") * F.log1p(share * F.expm1(F.least(F.lit(50.0), power * (F.col("own") + trust * F.col("more")))))).alias(f"s{k}") for k, (share, power, _, trust) in enumerate(ways)])
+    sums = sums.select("doc", F.array(*[F.asinh(F.col(f"s{k}") / (F.col("words") + more) / _UNIT) for k, (_, _, more, _) in enumerate(ways)]).alias("evidence"))
+    rows = docs.select(*keep, F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("doc"))
+    return rows.join(sums, "doc", "left").select(*keep, F.coalesce("evidence", F.array(*[F.lit(0.0)] * len(ways))).alias("evidence"))
+
+
+def fit_probability(bins: list[tuple[int, int, int]], rounds: int = 100) -> tuple[float, float, float]:
+    """Slope and offset of the probability of label 1, from (bin, label, documents), and the mean log loss that it leaves. Both labels weigh
+    the same, so that 0.5 lies midway between them; without one of them, a default holds."""
     x = np.array([_LEAST + (b + 0.5) * (_MOST - _LEAST) / _BINS for b, _, _ in bins])
     y, n = np.array([t for _, t, _ in bins]), np.array([c for _, _, c in bins], float)
     if len(set(y.tolist())) < 2:
-        return 3.0, 15.0
+        return 1.0, 0.0, float("inf")
     n = n / np.where(y == 1, n[y == 1].sum(), n[y == 0].sum())
     mean = (n * x).sum() / n.sum()
     scale = max(1e-3, float(np.sqrt((n * (x - mean) ** 2).sum() / n.sum())))
@@ -287,14 +283,16 @@ def fit_probability(bins: list[tuple[int, int, int]], rounds: int = 100) -> tupl
         w -= step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+    p = np.clip(1 / (1 + np.exp(-np.clip(design @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    loss = float(-(n * np.where(y == 1, np.log(p), np.log(1 - p))).sum() / n.sum())
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale), loss if w[0] > 0 else float("inf")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_labels: int = BROADCAST_LABELS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted.
 
-    Labels come only from ids whose crc32 (as text) leaves a rest other than 0 by `folds`; of these, rest 1 fits the
-    probability and the others fill the models. An id with several labels has the greatest; null labels and ids count as
+    Labels come only from ids whose crc32 (as text) leaves a rest other than 0 by `folds`; of these, rest 1 chooses the mixture and fits
+    the probability, and the others fill the models. An id with several labels has the greatest; null labels and ids count as
     none. Null and empty texts have evidence 0. Repeated rows score alike, a null id is not held out, an empty table
     gives an empty one, and without labels of both kinds scores are the default's. Other columns are ignored.
     """
@@ -305,11 +303,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "
         known = F.broadcast(known)
     labelled = rows.join(known, "doc_id").filter("fold <> 0")
     values, beyond = key_values(labelled.filter("fold <> 1"))
-    tried = evidences(labelled.filter("fold = 1"), values, beyond, ["toxic"], broadcast_keys)
-    width = (_MOST - _LEAST) / _BINS
-    bins = tried.groupBy(F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), F.floor((F.col("evidence") - _LEAST) / width))).cast("int").alias("bin"), "toxic").count()
-    slope, offset = fit_probability([tuple(r) for r in bins.orderBy("bin", "toxic").collect()])
-    scored = evidences(rows, values, beyond, ["doc_id", "fold"], broadcast_keys)
+    tried = evidences(labelled.filter("fold = 1"), values, beyond, ["toxic"], broadcast_keys, TRIED)
+    tried = tried.select("toxic", F.posexplode("evidence").alias("way", "evidence"))
+    bin_ = F.floor((F.col("evidence") - _LEAST) / ((_MOST - _LEAST) / _BINS))
+    bins: dict[int, list[tuple[int, int, int]]] = {k: [] for k in range(len(TRIED))}
+    for r in tried.groupBy("way", F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), bin_)).cast("int").alias("bin"), "toxic").count().collect():  # TRIED x _BINS x 2 rows at most
+        bins[r.way].append((r.bin, r.toxic, r["count"]))
+    fits = {k: fit_probability(sorted(v)) for k, v in bins.items()}
+    best = min(fits, key=lambda k: (fits[k][2], k))
+    slope, offset, _ = fits[best]
+    scored = evidences(rows, values, beyond, ["doc_id", "fold"], broadcast_keys, [TRIED[best]]).withColumn("evidence", F.col("evidence")[0])
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("evidence") + offset))))
     out = scored.select("doc_id", F.coalesce(F.col("fold") == 0, F.lit(False)).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -154,47 +154,68 @@ def test_toxicity(spark):
     assert {r.doc_id: round(r.score, 9) for r in again.collect()} == {i: round(r.score, 9) for i, r in rows.items()}
 
 
-def brute_evidence(train, texts):
-    """The models by dictionaries: train holds (text, toxic)."""
+def brute_models(train):
+    """P(b) and P(b | a) of each class by dictionaries, all entries kept; train holds (text, toxic)."""
     T = toxicity
     seen = [set(), set()]  # by label: (before, a, b)
     for text, label in train:
         w = [None, T._START, *T.words_of(text)]
         seen[label] |= set(zip(w, w[1:], w[2:]))
     pair = [Counter((a, b) for _, a, b in s) for s in seen]
-    both = Counter((a, b) for _, a, b in seen[0] | seen[1])
     word = [Counter(b for _, b in p) for p in pair]
-    words = Counter(b for _, b in both)
-
-    def model(counts, n, discount):
-        """P of each class for entries, as a share of the backoff, given the backoff; and what is left over."""
-        sums = [sum(c.values()) for c in counts]
-        least = min(x for x in sums if x)
-        past = [{k: max(x * least / s - discount, 0) for k, x in c.items() if n[k] >= T.MIN_COUNT} for c, s in zip(counts, sums)]
-        rest = [1 - sum(x.values()) / least for x in past]
-        return [lambda k, back=1.0, p=p, r=r: p.get(k, 0) / least + r * n[k] / sum(n.values()) * back for p, r in zip(past, rest)], rest, past
-
-    P, rest, _ = model(word, words, T.DISCOUNT)
-    Q, rest2, past2 = model(pair, both, T.PAIR_DISCOUNT)
-    beyond = np.log(rest[1] / rest[0])
-    known = lambda w: words[w] >= T.MIN_COUNT
-    own = lambda w: np.log(P[1](w) / P[0](w)) if known(w) else beyond
-    lift = lambda k, w: P[k](w) / (words[w] / sum(words.values())) if known(w) else 1.0
+    shared = Counter(b for _, b in set(pair[0]) | set(pair[1]))
+    n = sum(shared.values())
+
+    def of_word(k, b):
+        total = sum(word[k].values())
+        return max(word[k][b] - 1, 0) / total + len(word[k]) / total * shared[b] / n
+
+    def of_pair(k, a, b):
+        after = {y: c for (x, y), c in pair[k].items() if x == a}
+        if not after:
+            return of_word(k, b)
+        total = sum(after.values())
+        return max(after.get(b, 0) - 1, 0) / total + len(after) / total * of_word(k, b)
+
+    left = [len(w) / sum(w.values()) for w in word]
+    return of_word, of_pair, shared, left
+
+
+def brute_evidence(train, texts, ways):
+    of_word, of_pair, shared, left = brute_models(train)
+    beyond = np.log(left[1] / left[0])
+
     out = []
     for text in texts:
-        w, total = [T._START, *T.words_of(text)], 0.0
+        w = [toxicity._START, *toxicity.words_of(text)]
+        ratios = []
         for a, b in zip(w, w[1:]):
-            r = own(b)
-            if both[a, b] >= T.MIN_COUNT and known(b) and max(p.get((a, b), 0) for p in past2) > 0:
-                q = [Q[k]((a, b), lift(k, a) * lift(k, b)) for k in (0, 1)]
-                r = np.log(q[1] / q[0]) - (own(a) if known(a) else 0.0) - np.log(rest2[1] / rest2[0])
-            total += np.log(1 + T.SHARE * (np.exp(min(T.SHARPNESS * r, 50)) - 1))
-        out.append(np.log(T._FLOOR + max(0.0, total / (len(w) - 1 + T.PRIOR_WORDS))))
-    return out
+            if shared[b]:
+                own, whole = (np.log(p[0] / p[1]) for p in ((of_word(1, b), of_word(0, b)), (of_pair(1, a, b), of_pair(0, a, b))))
+            else:  # a word that neither class knows: what the backoffs' weights say
+                own = beyond
+                after = [weight_after(train, k, a) for k in (0, 1)]
+                whole = beyond + np.log(after[1] / after[0])
+            ratios.append((own, whole))
+        out.append([np.arcsinh(sum(np.log(1 + share * (np.exp(min(power * (o + trust * (x - o)), 50)) - 1)) for o, x in ratios) / (len(w) - 1 + more) / toxicity._UNIT) for share, power, more, trust in ways])
+    return np.array(out)
+
+
+def weight_after(train, k, a):
+    pairs = Counter()
+    seen = set()
+    for text, label in train:
+        if label == k:
+            w = [None, toxicity._START, *toxicity.words_of(text)]
+            seen |= set(zip(w, w[1:], w[2:]))
+    for _, x, y in seen:
+        if x == a:
+            pairs[y] += 1
+    return len(pairs) / sum(pairs.values()) if pairs else 1.0
 
 
 def test_kneser_ney(spark):
-    """Evidence against the same model by dictionaries, with the table broadcast and joined; a phrase of ordinary words tells too."""
+    """Evidence against the same models by dictionaries, with the table broadcast and joined; a phrase of ordinary words tells too."""
     r = np.random.default_rng(8)
     plain = [f"w{k}" for k in range(12)] + ["go", "home", "中文", "한국어", "😀"]
     train = []
@@ -204,15 +225,19 @@ def test_kneser_ney(spark):
             at = int(r.integers(0, len(w)))
             w[at:at] = ["Go", "home"] if k % 8 else ["scum"]
         train.append((" ".join(w) + r.choice(["", ".", "\n!"]), int(k % 4 == 0)))
-    texts = [t for t, _ in train] + ["", "scum", "go home", "home go", "never seen words", "中文 한국어 😀", None, "scum " * 40]
-    want = brute_evidence(train, [t or "" for t in texts])
+    of_word, of_pair, shared, _ = brute_models(train)
+    for k in (0, 1):  # every history's probabilities add up to one
+        assert np.isclose(sum(of_word(k, b) for b in shared), 1) and all(np.isclose(sum(of_pair(k, a, b) for b in shared), 1) for a in [*shared, toxicity._START])
+    texts = [t for t, _ in train][:40] + ["", "scum", "go home", "home go", "never seen words", "w1 never w2", "中文 한국어 😀", None, "scum " * 40]
+    ways = [toxicity.TRIED[k] for k in (0, 5, 9, 25, 41, 50, len(toxicity.TRIED) - 1)]
+    want = brute_evidence(train, [t or "" for t in texts], ways)
     labelled = spark.createDataFrame(train, "text string, toxic int").repartition(3)
     values, beyond = toxicity.key_values(labelled)
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
     for broadcast_keys in (1_000_000, 0):
-        got = {x.id: x.evidence for x in toxicity.evidences(docs, values, beyond, ["id"], broadcast_keys).collect()}
-        assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-5)
-    by = dict(zip(texts, want))
+        got = {x.id: x.evidence for x in toxicity.evidences(docs, values, beyond, ["id"], broadcast_keys, ways).collect()}
+        assert np.allclose([got[k] for k in range(len(texts))], want, rtol=1e-4, atol=1e-3)
+    by = dict(zip(texts, want[:, -1]))
     assert by["scum"] > by["home go"] < by["go home"]
     assert len({toxicity.word_keys([w])[0] for w in ("中文", "한국어", "😀", "中")}) == 4
 
