@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tectra.functions import exprs, tables
 from tectra.operators import clean, coverage, etas, export, forecast, integrity, risk, skill, stats
 from tectra.plans.queries import _FMD, _LATER, _RISK, _SITE, _WIN, NOW_US, RISK, _risk, _series, _sites, query, r6
-from tectra.schemas import NATIONAL
+from tectra.schemas import CATALOG_COLUMNS, NATIONAL
 from tectra.sources import archive, files, http
 from tectra.sources.testdata import catalog, table
 from tectra.streaming import live
@@ -318,6 +318,18 @@ def stream_archive(spark, sf_dir):
     return r6(live.read_archive(spark, path).select("id", exprs.micros(F.col("time")).alias("time_us"), "mag"))
 
 
+@query("SELECT id, epoch_us(time) AS time_us, round(mag, 6) AS mag FROM cat")
+def stream_revisions(spark, sf_dir):
+    """Last records of a stream whose polls bring first guesses, then the catalog, then guesses that come late, in separate micro-batches."""
+    path, df = tables.shared_dir(spark), catalog(spark, sf_dir)
+    polls = [(1, df.withColumn("mag", F.lit(0.0))), (3, df), (2, df.filter(F.col("id").cast("long") % 3 == 0).withColumn("mag", F.lit(9.0)))]
+    for minute, rows in polls:
+        rows = rows.select(*CATALOG_COLUMNS, F.timestamp_seconds(F.lit(60 * minute)).alias("seen_at"), F.lit(0).cast("long").alias("ord"))
+        rows.write.mode("append").parquet(f"{path}/polls")
+        live.revisions_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/polls"), f"{path}/archive", f"{path}/checkpoint").awaitTermination()
+    return r6(live.read_archive(spark, f"{path}/archive").select("id", exprs.micros(F.col("time")).alias("time_us"), "mag"))
+
+
 @query(f"""WITH {_RISK} SELECT ['summary''s source'] AS faults, (SELECT count(*) FROM cat) AS n_events, (SELECT count(*) FROM risk) AS n_cells, (SELECT count(*) FROM cat WHERE mag >= 5.0) AS n_big_events""")
 def output_verdict(spark, sf_dir):
     """The contract of all outputs, on a set whose summary names another source."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tectra.functions import exprs
 from tectra.operators import clean
-from tectra.schemas import CATALOG_COLUMNS
+from tectra.schemas import CATALOG, CATALOG_COLUMNS
 from tectra.sources import archive
 
 LOOKBACK_MINUTES, STALE_MINUTES, POLL_SECONDS = 120, 30, 60
@@ -83,6 +86,63 @@ def upsert_stream(stream: DataFrame, spark, path: str, checkpoint: str, once: bo
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
 
 
+_LAST = f"{CATALOG}, seen_at timestamp, ord long, n_records long, n_late long"
+_HELD = f"{CATALOG.replace('time timestamp', 'time long')}, seen_at long, ord long, n_records long, n_late long"
+
+
+def last_records(stream: DataFrame, late: str = "10 minutes", keep_minutes: int = LOOKBACK_MINUTES) -> DataFrame:
+    """The last record of each id over micro-batches, by seen_at (when a poll saw it) and ord: a row whenever it changes, with how many
+    records of the id there have been and how many of them came after a later one. Runs in update mode.
+
+    An id's record is state for `keep_minutes` after it was last seen, so that polls need not bring a whole lookback again. Records of
+    polls older than the watermark are dropped and counted in the query's progress (numRowsDroppedByWatermark). Rows without an id
+    stay, each for itself: their key is what they hold.
+    """
+    whole = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CATALOG_COLUMNS]), 256)
+    rows = stream.withWatermark("seen_at", late).select(*CATALOG_COLUMNS, "seen_at", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), F.coalesce(F.concat(F.lit("i"), F.col("id")), F.concat(F.lit("r"), whole)).alias("key"))
+    names = [x.split()[0] for x in _LAST.split(", ")]
+
+    def of_id(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(state.get) if state.exists else None
+        before = None if held is None else tuple(held[-4:-2])
+        n, n_late = (held[-2], held[-1]) if held else (0, 0)
+        for frame in frames:
+            frame = frame.assign(time=_us(frame["time"]), seen_at=_us(frame["seen_at"])).astype(object)
+            frame = frame.where(frame.notna(), None)[names[:-2]]
+            for row in frame.itertuples(index=False, name=None):
+                n += 1
+                if held is None or row[-2:] >= tuple(held[-4:-2]):
+                    held = [*row, 0, 0]
+                else:
+                    n_late += 1
+        held[-2:] = n, n_late
+        state.update(tuple(held))
+        state.setTimeoutTimestamp(held[-4] // 1000 + keep_minutes * 60_000)
+        if before != tuple(held[-4:-2]):
+            out = pd.DataFrame([held], columns=names)
+            yield out.assign(time=pd.to_datetime(out["time"], unit="us"), seen_at=pd.to_datetime(out["seen_at"], unit="us"))
+
+    return rows.groupBy("key").applyInPandasWithState(of_id, _LAST, _HELD, "update", "EventTimeTimeout")
+
+
+def _us(times: pd.Series) -> pd.Series:
+    """Microseconds, null where there is no time."""
+    return times.astype("datetime64[us]").astype("int64").astype(object).where(times.notna(), None)
+
+
+def revisions_stream(stream: DataFrame, path: str, checkpoint: str, *, late: str = "10 minutes", keep_minutes: int = LOOKBACK_MINUTES, once: bool = True):
+    """Merges last records into the archive in a folder as they change. Returns the running query."""
+
+    def merge(batch: DataFrame, n: int) -> None:
+        archive.upsert(batch.sparkSession, path, batch, stream=checkpoint, batch=n)
+
+    writer = last_records(stream, late, keep_minutes).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
+
+
 def _version(spark, path: str) -> int | None:
     """The archive's version; None before the first batch."""
     state = archive.current(spark, path)
