@@ -43,8 +43,8 @@ def _gain(p: Params, mag: Column) -> Column:
     return F.lit(p.K) * F.exp(F.lit(p.alpha) * (mag - p.m0))
 
 
-#: Events of a block, and windows of one; pairs are summed within a task, block against block, and are never rows.
-BLOCK, WINDOW_BLOCK = 2000, 256
+#: Events of a block of the fit; its pairs are summed within a task, block against block, and are never rows.
+BLOCK = 2000
 
 
 def _numbered(events: DataFrame) -> tuple[DataFrame, int]:
@@ -55,31 +55,97 @@ def _numbered(events: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("block", F.floor((F.col("idx") - 1) / BLOCK).cast("int")), blocks
 
 
+#: Events of a leaf of the time tree at most, as far as MOST_LEVELS halvings of the time span part them; relative error of a far sum.
+LEAF, MOST_LEVELS, FAR_ERROR = 256, 40, 1e-13
+
+
+@dataclass(frozen=True)
+class _Tree:
+    """Halvings of a time span: cells of level l are the leaves' numbers without their last levels - l bits."""
+
+    start: float
+    width: float  # of a leaf
+    levels: int
+
+    def leaf(self, t: Column) -> Column:
+        return F.floor((t - self.start) / self.width).cast("long")
+
+    def at(self, leaf: Column, level: Column) -> Column:
+        return F.call_function("shiftright", leaf, F.lit(self.levels) - level)
+
+
+def _time_tree(times: DataFrame, sources: DataFrame) -> _Tree:
+    """A tree over all times (t) whose leaves hold few sources (t). A row a leaf is summed for its depth, a few times at most."""
+    r = times.agg(F.min("t"), F.max("t")).first()
+    n = sources.count()
+    start, span = (r[0] or 0.0), max((r[1] or 0.0) - (r[0] or 0.0), 1e-9) * (1 + 1e-9)
+    levels = max(2, math.ceil(math.log2(max(1, n / LEAF))))
+    while True:
+        tree = _Tree(start, span / 2**levels, levels)
+        most = sources.groupBy(tree.leaf(F.col("t"))).count().agg(F.max("count")).first()[0] or 0
+        if most <= LEAF or levels >= MOST_LEVELS:
+            return tree
+        levels = min(MOST_LEVELS, levels + max(1, math.ceil(math.log2(most / LEAF))))
+
+
+def _terms(power: float, error: float = FAR_ERROR) -> list[float]:
+    """Coefficients of (1 - x)^-power up to where, for |x| <= 1/3, all that is left out is less than `error` of the smallest value."""
+    out, k = [1.0], 0
+    while True:
+        k += 1
+        out.append(out[-1] * (power + k - 1) / k)
+        # from here on terms shrink by a third times (power + k) / (k + 1) at most
+        ratio = (power + k) / (k + 1) / 3
+        if ratio < 1 and abs(out[-1]) * 3.0**-k * ratio / (1 - ratio) < error * (4 / 3) ** -abs(power):
+            return out
+
+
+def _moments(sources: DataFrame, tree: _Tree, n: int) -> DataFrame:
+    """level, cell, m0, m1, ...: sums of gain times powers of the place in the cell, from -1 to 1; combined before the shuffle."""
+    levels = F.explode(F.sequence(F.lit(2), F.lit(tree.levels))).alias("level")
+    rows = sources.select("t", "gain", "leaf", levels).withColumn("cell", tree.at(F.col("leaf"), F.col("level")))
+    half = F.lit(tree.width / 2) * F.pow(F.lit(2.0), F.lit(tree.levels) - F.col("level"))
+    rows = rows.withColumn("x", (F.col("t") - tree.start) / half - 2 * F.col("cell") - 1)
+    return rows.groupBy("level", "cell").agg(*[F.sum(F.col("gain") * F.pow("x", F.lit(float(k)))).alias(f"m{k}") for k in range(n)])
+
+
+def _far_cells(tree: _Tree) -> Column:
+    """(level, cell) that lie a cell or more before a leaf's own, while those of the level above don't: one or two a level."""
+    def of(level: Column) -> Column:
+        a = tree.at(F.col("leaf"), level)
+        both = F.array(F.struct(level.alias("level"), (a - 2).alias("cell")), F.struct(level.alias("level"), (a - 3).alias("cell")))
+        return F.filter(F.slice(both, F.lit(1), (1 + a % 2).cast("int")), lambda x: x["cell"] >= 0)
+
+    return F.inline(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(tree.levels)), of)))
+
+
+def _far_sum(tree: _Tree, p: Params, at: Column, power: float, terms: list[float]) -> Column:
+    """Of a row's cell: the sum of gain (at - t + c)^-power by its moments."""
+    half = F.lit(tree.width / 2) * F.pow(F.lit(2.0), F.lit(tree.levels) - F.col("level"))
+    d = at - (tree.start + (2 * F.col("cell") + 1) * half) + p.c
+    z, out = half / d, F.lit(0.0)
+    for k in reversed(range(len(terms))):
+        out = out * z + F.col(f"m{k}") * terms[k]
+    return out * F.pow(d, F.lit(-power))
+
+
 def intensity(events: DataFrame, p: Params, horizon_days: float | None = None, block_days: float = 1.0) -> DataFrame:
     """id, t, rate: background plus what each earlier event (by t, then id) adds.
 
-    Without a horizon every earlier event counts: events are dealt into blocks in order, a task sums one pair of blocks with
-    whole arrays, and what is shuffled grows with events times blocks. With a horizon, an event looks back so many days at
-    most and events meet by an equality of time blocks.
+    Without a horizon every earlier event counts: those of an event's own leaf of a time tree and of the one before it singly, all others by
+    moments of cells that lie far enough away, with an error of FAR_ERROR at most. Rows grow with n log n, and no task holds a group.
+    With a horizon, an event looks back so many days at most and events meet by an equality of time blocks.
     """
     if horizon_days is None:
-        rows, blocks = _numbered(events)
-        own = rows.select("idx", "t", "mag", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("j"))
-        if blocks > 1:
-            later = rows.filter(F.col("block") < blocks - 1)
-            own = own.unionByName(later.select("idx", "t", "mag", F.explode(F.sequence(F.col("block") + 1, F.lit(blocks - 1))).alias("i"), F.col("block").alias("j")))
-
-        def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            block = (frame["idx"].to_numpy() - 1) // BLOCK
-            a, b = frame[block == key[0]], frame[block == key[1]]
-            dt = a["t"].to_numpy()[:, None] - b["t"].to_numpy()[None] + p.c
-            earlier = b["idx"].to_numpy()[None] < a["idx"].to_numpy()[:, None]
-            gain = p.K * np.exp(p.alpha * (b["mag"].to_numpy() - p.m0))
-            part = np.where(earlier, np.where(earlier, dt, 1.0) ** -p.p, 0.0) @ gain
-            return pd.DataFrame({"idx": a["idx"].to_numpy(), "part": part})
-
-        sums = own.groupBy("i", "j").applyInPandas(run, "idx long, part double").groupBy("idx").agg(F.sum("part").alias("part"))
-        return rows.join(sums, "idx").select("id", "t", (F.lit(p.mu) + F.col("part")).alias("rate"))
+        rows = tables.written(events.select(F.monotonically_increasing_id().alias("key"), "id", "t", "mag"))
+        tree, terms = _time_tree(rows, rows), _terms(p.p)
+        rows = rows.select("key", "id", "t", _gain(p, F.col("mag")).alias("gain"), tree.leaf(F.col("t")).alias("leaf"))
+        far = rows.select("key", "t", _far_cells(tree)).join(_moments(rows, tree, len(terms)), ["level", "cell"]).select("key", _far_sum(tree, p, F.col("t"), p.p, terms).alias("part"))
+        before = rows.select(F.explode(F.array(F.col("leaf"), F.col("leaf") + 1)).alias("leaf"), F.col("id").alias("i"), F.col("t").alias("s"), F.col("key").alias("k"), F.col("gain").alias("g"))
+        earlier = (F.col("s") < F.col("t")) | (F.col("s") == F.col("t")) & (F.struct("i", "k") < F.struct("id", "key"))
+        near = rows.join(before, "leaf").filter(earlier).select("key", (F.col("g") * F.pow(F.col("t") - F.col("s") + p.c, F.lit(-p.p))).alias("part"))
+        sums = far.unionByName(near).groupBy("key").agg(F.sum("part").alias("part"))
+        return rows.join(sums, "key", "left").select("id", "t", (F.lit(p.mu) + F.coalesce("part", F.lit(0.0))).alias("rate"))
     a = events.select("id", "t", "mag")
     b = events.select(F.col("id").alias("i"), F.col("t").alias("s"), F.col("mag").alias("m"))
     earlier = (F.col("s") < F.col("t")) | (F.col("s") == F.col("t")) & (F.col("i") < F.col("id"))
@@ -110,25 +176,19 @@ def negative_log_likelihood(events: DataFrame, p: Params, t_start: float, t_end:
 
 
 def expected_counts(windows: DataFrame, events: DataFrame, p: Params) -> DataFrame:
-    """windows: win_idx, ws, we. Adds expected, from events before each window's start. Blocks of windows meet blocks of events in a task,
-    which sums with whole arrays."""
-    rows, blocks = _numbered(events)
-    wins = windows.withColumn("w", F.floor(F.col("win_idx") / WINDOW_BLOCK).cast("int"))
-    n = (wins.agg(F.max("w")).first()[0] or 0) + 1
-    none = F.lit(None).cast("double")
-    left = wins.select("w", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("block"), "win_idx", "ws", "we", none.alias("t"), none.alias("mag"))
-    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("w"), "block", F.lit(None).cast("int").alias("win_idx"), none.alias("ws"), none.alias("we"), "t", "mag")
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        w, e = frame[frame["win_idx"].notna()], frame[frame["win_idx"].isna()]
-        ws, we, t = w["ws"].to_numpy()[:, None], w["we"].to_numpy()[:, None], e["t"].to_numpy()[None]
-        before = t < ws
-        since = np.where(before, t, ws)  # what comes later adds nothing
-        gain = p.K * np.exp(p.alpha * (e["mag"].to_numpy() - p.m0))
-        part = np.where(before, ((we - since + p.c) ** (1 - p.p) - (ws - since + p.c) ** (1 - p.p)) / (1 - p.p), 0.0) @ gain
-        return pd.DataFrame({"win_idx": w["win_idx"].astype("int32"), "part": part})
-
-    sums = left.unionByName(right).groupBy("w", "block").applyInPandas(run, "win_idx int, part double").groupBy("win_idx").agg(F.sum("part").alias("part"))
+    """windows: win_idx, ws, we. Adds expected, from events before each window's start: those of the start's leaf of a time tree and of the
+    one before it singly, all others by moments (see `intensity`)."""
+    rows = tables.written(events.select("t", "mag"))
+    wins = windows.select("win_idx", "ws", "we")
+    q = p.p - 1
+    tree, terms = _time_tree(rows.select("t").unionByName(wins.select(F.col("ws").alias("t"))), rows), _terms(q)
+    rows = rows.select("t", _gain(p, F.col("mag")).alias("gain"), tree.leaf(F.col("t")).alias("leaf"))
+    wins = wins.withColumn("leaf", tree.leaf(F.col("ws")))
+    met = wins.select("win_idx", "ws", "we", _far_cells(tree)).join(_moments(rows, tree, len(terms)), ["level", "cell"])
+    far = met.select("win_idx", ((_far_sum(tree, p, F.col("ws"), q, terms) - _far_sum(tree, p, F.col("we"), q, terms)) / q).alias("part"))
+    before = rows.select("t", "gain", F.explode(F.array(F.col("leaf"), F.col("leaf") + 1)).alias("leaf"))
+    near = wins.join(before, "leaf").filter("t < ws").select("win_idx", (F.col("gain") * _omori(p, F.col("ws") - F.col("t"), F.col("we") - F.col("t"))).alias("part"))
+    sums = far.unionByName(near).groupBy("win_idx").agg(F.sum("part").alias("part"))
     return windows.join(sums, "win_idx", "left").select(*windows.columns, (F.lit(p.mu) * (F.col("we") - F.col("ws")) + F.coalesce("part", F.lit(0.0))).alias("expected"))
 
 

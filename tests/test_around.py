@@ -19,9 +19,8 @@ CALLS = "tests.test_around:"
 
 
 def test_blocks_sum_like_one(spark, monkeypatch):
-    """Intensities and expected counts over many small blocks, with events at one time."""
-    monkeypatch.setattr(etas, "BLOCK", 7)
-    monkeypatch.setattr(etas, "WINDOW_BLOCK", 2)
+    """Intensities and expected counts over a deep tree of small leaves, with events at one time."""
+    monkeypatch.setattr(etas, "LEAF", 3)
     t, m = simulate(0.8, 0.02, 0.05, 1.2, 1.0, 4.0, 60, 5)
     t = np.round(t * 86_400e6) / 86_400e6
     t[5] = t[4]

@@ -50,3 +50,32 @@ def test_catalog_like_a_zone(spark):
         assert got[k] == v if isinstance(v, (str, int)) else v is got[k] is None or np.isclose(got[k], v, rtol=1e-5), k
     assert etas.fit_catalog(df.limit(10), 4.0).first().status == "too few events"
     assert etas.fit_catalog(df, 4.0, window_days=1e4).first().status == "no window fits into training or test"
+
+
+def test_far_sums(spark, monkeypatch):
+    """Sums over a deep tree against all pairs, to eleven digits: bursts, events at one time, windows before and after all events. Differences
+    of times hold some 1e-12 of a day, so that with a small c fewer digits are known."""
+    monkeypatch.setattr(etas, "LEAF", 4)
+    r = np.random.default_rng(2)
+    t = np.sort(np.concatenate([r.uniform(0, 5000, 300), 1000 + r.exponential(0.01, 200), np.full(9, 2500.0)]))
+    m = 4 + r.exponential(0.4, len(t))
+    df = spark.createDataFrame([(f"{i:05d}", float(a), float(b)) for i, (a, b) in enumerate(zip(t, m))], "id string, t double, mag double").repartition(3)
+    for p in (etas.Params(0.5, 0.02, 0.05, 1.2, 1.0, 4.0), etas.Params(0.1, 0.3, 1e-4, 3.0, 0.1, 4.0), etas.Params(0.1, 0.3, 5.0, 1.01, 2.0, 4.0)):
+        gain = p.K * np.exp(p.alpha * (m - 4))
+        want = [p.mu + (gain[:i] * (t[i] - t[:i] + p.c) ** -p.p).sum() for i in range(len(t))]
+        assert np.allclose([x.rate for x in etas.intensity(df, p).orderBy("id").collect()], want, rtol=max(1e-11, 4e-12 * p.p / p.c))
+        wins = spark.createDataFrame([(k, float(a), float(a + w)) for k, (a, w) in enumerate([(-50, 10), (0, 30), (999, 2), (1000.005, 1), (2500, 1), (4990, 30), (9000, 500)])], "win_idx int, ws double, we double")
+        whole = lambda x: x ** (1 - p.p) / (1 - p.p)  # noqa: B023, E731
+        for x in etas.expected_counts(wins, df, p).collect():
+            s = t < x.ws
+            assert np.isclose(x.expected, p.mu * (x.we - x.ws) + (gain[s] * (whole(x.we - t[s] + p.c) - whole(x.ws - t[s] + p.c))).sum(), rtol=1e-7)  # differences of near values
+    none = df.limit(0)
+    assert etas.intensity(none, p).count() == 0 and [x.expected for x in etas.expected_counts(wins.limit(1), none, p).collect()] == [p.mu * 10]
+
+
+def test_terms():
+    """What is left out of the series is as small as stated, at the edge of its range."""
+    for power in (0.01, 0.2, 1.2, 3.0):
+        terms = etas._terms(power)
+        for x in (1 / 3, -1 / 3, 0.1):
+            assert np.isclose(sum(c * x**k for k, c in enumerate(terms)), (1 - x) ** -power, rtol=1e-12)
