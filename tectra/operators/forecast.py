@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tectra.functions import exprs, ordering
+from tectra.functions import exprs, ordering, tables
 from tectra.operators import boosting
 from tectra.schemas import DAY_US, CatalogError
 
@@ -108,13 +108,11 @@ def brier(df: DataFrame, y: str, p: str) -> DataFrame:
     return a.withColumn("skill", skill(F.col("brier"), F.col("base")))
 
 
-def roc_auc(df: DataFrame, y: str, p: str, buckets: int = 1024) -> DataFrame:
-    """auc by average ranks; null without both classes. Scores are summed by distinct value, then by range: the window over ranges has
-    `buckets` rows, and those within a range have its distinct values."""
+def roc_auc(df: DataFrame, y: str, p: str, buckets: int = 200) -> DataFrame:
+    """auc by average ranks; null without both classes. Scores are summed by distinct value, then by `buckets` ranges of about as many distinct
+    values each, however the scores are spread: the window over ranges has a row a range, and those within one its distinct values."""
     by = df.groupBy(F.col(p).cast("double").alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    span = by.agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    place = F.floor((F.col("p") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * (buckets - 1))
-    by = by.crossJoin(F.broadcast(span)).select("p", "pos", "neg", F.coalesce(place, F.lit(0)).cast("int").alias("bucket"))
+    by = tables.written(by.repartitionByRange(buckets, "p").withColumn("bucket", F.spark_partition_id()))
     sums = by.groupBy("bucket").agg(F.sum("neg").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).drop("n")
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by = by.join(F.broadcast(sums), "bucket").withColumn("below", F.col("before") + below)
@@ -151,24 +149,48 @@ def poisson_weights(keys, n_boot: int, seed: int):
     return np.searchsorted(np.array(steps), u, "right")
 
 
+#: Rows of a block that resamples are drawn from.
+RESAMPLE_BLOCK = 10_000
+
+
+def block_draws(block: int, n: int, n_boot: int, seed: int, size: int = RESAMPLE_BLOCK):
+    """How many of a resample's n draws fall into a block of `size` rows (the last block may have fewer), a number for each resample. Draws are
+    split between halves of the blocks, of halves of these, and so on, by binomial variates that all blocks below a half share, so
+    that the blocks' numbers are one multinomial variate and always add up to n."""
+    import numpy as np
+
+    first, end = 0, -(-n // size)
+    draws = np.full(n_boot, n, np.int64)
+    while end - first > 1:
+        mid = (first + end) // 2
+        share = (min(n, mid * size) - first * size) / (min(n, end * size) - first * size)
+        left = np.random.default_rng([seed, first, end]).binomial(draws, share)
+        if block < mid:
+            draws, end = left, mid
+        else:
+            draws, first = draws - left, mid
+    return draws
+
+
 def bootstrap_mean_ci(df: DataFrame, x: str, n_boot: int = 2000, confidence: float = 0.95, seed: int = 0, key: str = "id") -> DataFrame:
-    """mean, low, high. Each row falls into each resample as often as a Poisson variate says, drawn from the row's key and the seed, so
-    that partitions don't matter: no resample is ever gathered, and partial sums are all that is shuffled."""
+    """mean, low, high: resamples of as many rows as there are, drawn with replacement. Rows are numbered by their key's hash and value, so that
+    partitions don't matter, and each block of them draws its own part of every resample: no resample is gathered, and sums alone are
+    shuffled."""
     import numpy as np
     import pandas as pd
 
-    def run(frames):
-        total, weight = np.zeros(n_boot), np.zeros(n_boot)
-        for f in frames:
-            keys, values = f["k"].to_numpy(), f["x"].to_numpy()
-            for i in range(0, len(f), _DRAWN):
-                w = poisson_weights(keys[i : i + _DRAWN], n_boot, seed)
-                total += values[i : i + _DRAWN] @ w
-                weight += w.sum(0)
-        yield pd.DataFrame({"boot": np.arange(n_boot), "s": total, "w": weight})
-
     rows = df.select(F.xxhash64(key).alias("k"), F.col(x).cast("double").alias("x")).dropna()
-    means = rows.mapInPandas(run, "boot int, s double, w double").groupBy("boot").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    size = RESAMPLE_BLOCK
+    rows = ordering.with_index(rows, "k", "x").select(F.floor((F.col("idx") - 1) / size).alias("block"), "idx", "x")
+    n = rows.count()
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        block, values = int(key[0]), frame.sort_values("idx")["x"].to_numpy()
+        rng = np.random.default_rng([seed, n, block, 1])
+        sums = [values[rng.integers(len(values), size=d)].sum() for d in block_draws(block, n, n_boot, seed, size).tolist()]
+        return pd.DataFrame({"boot": np.arange(n_boot), "s": sums})
+
+    means = rows.groupBy("block").applyInPandas(run, "boot int, s double").groupBy("boot").agg((F.sum("s") / n).alias("m"))
     a = (1 - confidence) / 2
     ci = means.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))
     return df.agg(F.avg(x).alias("mean")).crossJoin(ci)

@@ -288,9 +288,9 @@ _AT = 1_706_572_800_000_000
 def live_written(spark, sf_dir):
     """The live feed's features as they are written, read back."""
     path, df = tables.shared_dir(spark), catalog(spark, sf_dir)
-    live.write_live(live.live_events(df.unionByName(df), F.lit(_AT), 1440), path, F.lit(_AT))
+    live.publish_live(live.live_events(df.unionByName(df), F.lit(_AT), 1440), path, F.lit(_AT))
     s = F.from_json("value", "geometry struct<coordinates: array<double>>, properties struct<event_id: string, time: string, mag: double, mag_type: string, depth_km: double, place: string>")
-    p = spark.read.text(f"{path}/live_events.geojsonl").select(s.alias("s"))
+    p = live.read_live(spark, path)[0].select(s.alias("s"))
     return p.select(F.col("s.properties.event_id").alias("id"), F.col("s.geometry.coordinates")[0].alias("lon"), F.col("s.geometry.coordinates")[1].alias("lat"), *[F.col(f"s.properties.{c}").alias(c) for c in ("mag", "depth_km", "time", "mag_type", "place")])
 
 

@@ -459,10 +459,13 @@ def zone_etas(spark, sf_dir):
     return etas.fit_zones(etas.assign_zones(strong, ZONES, 20), 4.0, window_days=1.0).unionByName(etas.fit_catalog(strong, 4.0, window_days=1.0))
 
 
-@query("""SELECT unnest(['sub', 'super', 'undefined']) AS name, unnest([0.4, 1.6, NULL]::DOUBLE[]) AS n, unnest(['sub-critical', 'super-critical', 'undefined']) AS flag""", with_catalog=False)
+@query(f"""WITH {_Z}, n AS (SELECT zone, count(*) AS k, count(*) FILTER (WHERE mag >= 4.0) AS strong FROM cat JOIN z ON latitude BETWEEN a AND b AND longitude BETWEEN c AND d GROUP BY zone)
+SELECT zone, round(4.0 * strong / nullif(k - strong, 0), 6) AS n, CASE WHEN strong = k THEN 'undefined' WHEN 4.0 * strong / (k - strong) < 1 THEN 'sub-critical' ELSE 'super-critical' END AS flag FROM n""")
 def zone_flags(spark, sf_dir):
-    rows = spark.createDataFrame([("sub", 0.4), ("super", 1.6), ("undefined", None)], "name string, n double")
-    return rows.withColumn("flag", etas.zone_flag(F.col("n")))
+    """The flag of each zone by four times its strong events to a weaker one."""
+    rows = etas.assign_zones(catalog(spark, sf_dir), ZONES).groupBy("zone").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("mag") >= 4.0).alias("strong"))
+    n = F.lit(4.0) * F.col("strong") / F.nullif(F.col("k") - F.col("strong"), F.lit(0))
+    return r6(rows.select("zone", n.alias("n"), etas.zone_flag(n).alias("flag")))
 
 
 _RJ = "greatest(0, pow(CAST(10 AS DOUBLE), CAST(-1.67 AS DOUBLE) + (mag - min_mag)) * (pow(t2 + CAST(0.05 AS DOUBLE), CAST(-0.08 AS DOUBLE)) - pow(t1 + CAST(0.05 AS DOUBLE), CAST(-0.08 AS DOUBLE))) / CAST(-0.08 AS DOUBLE))"

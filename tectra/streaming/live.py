@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tectra.functions import exprs
+from tectra.functions import exprs, tables
 from tectra.operators import clean
 from tectra.schemas import CATALOG, CATALOG_COLUMNS
 from tectra.sources import archive
@@ -61,6 +62,53 @@ def write_live(events: DataFrame, path: str, checked_at: Column, **stated) -> No
     live_status(events, checked_at).select(F.to_json(stamp, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}/live_meta.json")
 
 
+def publish_live(events: DataFrame, path: str, checked_at: Column, keep: int = 3, **stated) -> str:
+    """Writes the feed's features and stamp into a folder of their own and then names it in one step, by a pointer file that replaces none.
+    A reader sees the old feed or the new one, never parts of both or nothing, whenever the writer stops. The last `keep` feeds stay
+    for readers that are under way. Returns the folder."""
+    spark = events.sparkSession
+    name = uuid.uuid4().hex
+    write_live(events, f"{path}/feeds/{name}", checked_at, **stated)
+    pointers = _pointers(spark, path)
+    tables.write_text(spark, f"{path}/_current/{int(pointers[-1][:12]) + 1 if pointers else 0:012d}-{name}", name)
+    pointers = _pointers(spark, path)
+    named = {x[13:] for x in pointers[-keep:]}
+    fs, feeds = tables.file_system(spark, f"{path}/feeds")
+    gone = [x.getPath() for x in fs.listStatus(feeds) if x.getPath().getName() not in named]
+    gone += [tables.file_system(spark, f"{path}/_current/{x}")[1] for x in pointers[:-keep]]
+    for x in gone:
+        fs.delete(x, True)
+    return f"{path}/feeds/{name}"
+
+
+def _pointers(spark, path: str) -> list[str]:
+    """Names of the pointers, the oldest first: a number of twelve digits and the feed's name."""
+    fs, at = tables.file_system(spark, f"{path}/_current")
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(x for x in names if len(x) == 45)
+
+
+def read_live(spark, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Features and stamp (value: a line of JSON each) of the feed that is named last; None before the first."""
+    pointers = _pointers(spark, path)
+    if not pointers:
+        return None
+    at = f"{path}/feeds/{pointers[-1][13:]}"
+    return spark.read.text(f"{at}/live_events.geojsonl"), spark.read.text(f"{at}/live_meta.json")
+
+
+def published_stream(stream: DataFrame, path: str, checkpoint: str, *, lookback_minutes: int = LOOKBACK_MINUTES, checked_at: Column | None = None, once: bool = True):
+    """Publishes the feed anew with every poll, as `publish_live` does. A batch that is done again publishes the same feed again. Returns the
+    running query."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        now = F.unix_micros(F.current_timestamp()) if checked_at is None else checked_at
+        publish_live(live_events(batch, now, lookback_minutes), path, now, lookback_minutes=lookback_minutes, stale_after_minutes=STALE_MINUTES)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
+
+
 def live_stream(stream: DataFrame, path: str, checkpoint: str, *, lookback_minutes: int = LOOKBACK_MINUTES, checked_at: Column | None = None, once: bool = True):
     """Writes the feed anew with every poll. A poll holds a whole lookback, so no state is kept between polls. Returns the running query."""
 
