@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -268,6 +268,36 @@ def surface_scores(spark, sf_dir):
     return skill.surface_skill(catalog(spark, sf_dir), NATIONAL, **RISK).drop("ci_low", "ci_high")
 
 
+@query(f"WITH {_SKILL} SELECT area_skill_score, gain_top25, n_test_events, true AS within FROM sk")
+def stamp_skill(spark, sf_dir):
+    """The surface's stamp with its real skill and gain, read back, and whether the score lies within its interval of 1000 resamples."""
+    df = catalog(spark, sf_dir)
+    found = skill.surface_skill(df, NATIONAL, n_boot=1000, **RISK)
+    stamp = export.meta_stamp(_risk(spark, sf_dir), clean.at_least(df, 5.0), found, stats.completeness_magnitude(df), source="events", region=NATIONAL.name, cell_deg=0.25, min_mag=3.0)
+    s = stamp.select(F.from_json("json", "area_skill_score double, area_skill_score_ci array<double>, gain_top25 double, n_test_events long").alias("s")).select("s.*")
+    return s.select("area_skill_score", "gain_top25", "n_test_events", F.col("area_skill_score").between(F.col("area_skill_score_ci")[0], F.col("area_skill_score_ci")[1]).alias("within"))
+
+
+@query("SELECT round(avg(mag), 6) AS mean, true AS within, true AS as_wide FROM cat")
+def mean_interval(spark, sf_dir):
+    """The mean magnitude with an interval of 2000 resamples: it holds the mean, and is as wide as the normal law has it, to a tenth."""
+    df = catalog(spark, sf_dir)
+    ci = forecast.bootstrap_mean_ci(df, "mag", n_boot=2000)
+    wide = df.agg((2 * 1.959964 * F.stddev_samp("mag") / F.sqrt(F.count("mag"))).alias("normal"))
+    return ci.crossJoin(wide).select(F.round("mean", 6).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("within"), (F.abs((F.col("high") - F.col("low")) / F.col("normal") - 1) < 0.1).alias("as_wide"))
+
+
+@query("SELECT count(*) AS n_events, count(*) FILTER (WHERE mag >= 3.0) AS n_new, count(*) FILTER (WHERE mag >= 3.0) AS n_last, 21.0 AS gap_days FROM cat WHERE mag < 3.5 OR mag >= 3.0")
+def archive_updates(spark, sf_dir):
+    """An archive after a seed and two updates a month apart: its events, those of the last update, and the gap between them."""
+    path, df = tables.shared_dir(spark), catalog(spark, sf_dir)
+    files.update_archive(spark, path, datetime(2024, 2, 5, tzinfo=timezone.utc), lambda plan, least: df.filter("mag < 3.5").withColumn("place", F.lit("first")), seed=df.filter("mag < 3.0").withColumn("place", F.lit("seed")))
+    m = files.update_archive(spark, path, datetime(2024, 3, 7, tzinfo=timezone.utc), lambda plan, least: df.filter("mag >= 3.0").withColumn("place", F.lit("last")))
+    days = sum((datetime.fromisoformat(g["to"]) - datetime.fromisoformat(g["from"])).total_seconds() / 86_400 for g in m["gaps"] if g["from"] >= "2024-02-05")
+    events, _ = files.load_archive(spark, path)
+    return events.agg(F.count(F.lit(1)).alias("n_events"), F.lit(m["last_run"]["n_new"]).cast("long").alias("n_new"), F.count_if(F.col("place") == "last").alias("n_last"), F.lit(days).cast("double").alias("gap_days"))
+
+
 # --- outputs ----------------------------------------------------------------------------------------------------------
 
 
