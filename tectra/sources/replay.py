@@ -12,10 +12,15 @@ from urllib.parse import parse_qs, urlsplit
 
 def _events(folder: str, start: str, end: str, least: float) -> list[dict]:
     """Recorded events from start to end, the end left out, in order of time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
     a, b = (datetime.fromisoformat(x).replace(tzinfo=timezone.utc) for x in (start, end))
-    found = pq.read_table(f"{folder}/events.parquet", columns=["event_id", "ts", "user_id", "value", "event_type", "props"]).to_pylist()
+    table = pq.read_table(f"{folder}/events.parquet", columns=["event_id", "ts", "user_id", "value", "event_type", "props"])
+    us = pc.cast(pc.cast(table.column("ts"), pa.timestamp("us", getattr(table.schema.field("ts").type, "tz", None))), pa.int64())
+    low, high = (round(x.timestamp() * 1e6) for x in (a, b))
+    found = table.filter(pc.and_(pc.greater_equal(us, low), pc.less(us, high))).to_pylist()  # only the window's rows become objects
     out = []
     for r in found:
         t = r["ts"] if r["ts"].tzinfo else r["ts"].replace(tzinfo=timezone.utc)
