@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tectra.functions import exprs, tables
 from tectra.operators import clean, coverage, etas, export, forecast, integrity, risk, skill, stats
 from tectra.plans.queries import _FMD, _LATER, _RISK, _SITE, _WIN, NOW_US, RISK, _risk, _series, _sites, query, r6
-from tectra.schemas import CATALOG_COLUMNS, NATIONAL
-from tectra.sources import archive, files, http
+from tectra.schemas import CATALOG_COLUMNS, NATIONAL, CatalogError
+from tectra.sources import archive, files, http, outputs
 from tectra.sources.testdata import catalog, table
 from tectra.streaming import live
 
@@ -363,12 +363,34 @@ def stream_revisions(spark, sf_dir):
 @query(f"""WITH {_RISK} SELECT ['summary''s source'] AS faults, (SELECT count(*) FROM cat) AS n_events, (SELECT count(*) FROM risk) AS n_cells, (SELECT count(*) FROM cat WHERE mag >= 5.0) AS n_big_events""")
 def output_verdict(spark, sf_dir):
     """The contract of all outputs, on a set whose summary names another source."""
+    o = _outputs(spark, sf_dir, "replay")
+    return integrity.output_faults(o["catalog"], o["summary"], o["meta"], o["cells"], o["big_events"], "AFAD", site_layer=False)
+
+
+def _outputs(spark, sf_dir, source):
+    """Catalog, summary of that source, stamp, cells and events."""
     df, cells = catalog(spark, sf_dir), _risk(spark, sf_dir)
     big = clean.at_least(df, 5.0)
     none = spark.createDataFrame([(0.5, 2.0, 0.4, 0.6, 10)], "area_skill_score double, gain_top25 double, ci_low double, ci_high double, n_test_events long")
     meta = export.meta_stamp(cells, big, none, stats.completeness_magnitude(df), source="AFAD", region=NATIONAL.name, cell_deg=0.25, min_mag=3.0, disclaimer="Deprem tahmini değildir.", use_restriction="rating girdisi değildir")
-    summary = clean.completeness_summary(df).select(F.to_json(F.struct(F.lit("replay").alias("source"), "n_events", "date_min", "date_max")).alias("json"))
-    return integrity.output_faults(df, summary, meta, export.cell_features(cells), export.event_features(df, 5.0), "AFAD", site_layer=False)
+    summary = clean.completeness_summary(df).select(F.to_json(F.struct(F.lit(source).alias("source"), "n_events", "date_min", "date_max")).alias("json"))
+    return {"catalog": df, "summary": summary, "meta": meta, "cells": export.cell_features(cells), "big_events": export.event_features(df, 5.0)}
+
+
+@query(f"""WITH {_RISK} SELECT (SELECT count(*) FROM cat) AS n_events, (SELECT count(*) FROM risk) AS n_cells, (SELECT count(*) FROM cat WHERE mag >= 5.0) AS n_big_events, 'AFAD' AS source""")
+def published_outputs(spark, sf_dir):
+    """All outputs, published after a set with a fault has been refused, and read back."""
+    path = tables.shared_dir(spark)
+    for source in ("replay", "AFAD"):
+        try:
+            outputs.publish_outputs(path, _outputs(spark, sf_dir, source), "AFAD", site_layer=False)
+        except CatalogError:
+            if source == "AFAD":
+                raise
+    o = outputs.read_outputs(spark, path)
+    n = lambda k: o[k].agg(F.count(F.lit(1)).alias(f"n_{k}"))
+    counts = n("catalog").crossJoin(n("cells")).crossJoin(n("big_events")).crossJoin(o["summary"].select(F.get_json_object("json", "$.source").alias("source")))
+    return counts.withColumnRenamed("n_catalog", "n_events")
 
 
 # --- learners: no SQL ---------------------------------------------------------------------------------------------------
