@@ -134,8 +134,9 @@ def upsert_stream(stream: DataFrame, spark, path: str, checkpoint: str, once: bo
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
 
 
-_LAST = f"{CATALOG}, seen_at timestamp, ord long, n_records long, n_late long"
-_HELD = f"{CATALOG.replace('time timestamp', 'time long')}, seen_at long, ord long, n_records long, n_late long"
+#: What the state and its function see: times are microseconds, as a row's cost is the frame's that carries it; _NO_TIME is none.
+_HELD = f"{CATALOG.replace('time timestamp', 'time long')}, seen_us long, ord long, n_records long, n_late long"
+_NO_TIME = -(1 << 63)
 
 
 def last_records(stream: DataFrame, late: str = "10 minutes", keep_minutes: int = LOOKBACK_MINUTES) -> DataFrame:
@@ -147,38 +148,34 @@ def last_records(stream: DataFrame, late: str = "10 minutes", keep_minutes: int
     stay, each for itself: their key is what they hold.
     """
     whole = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CATALOG_COLUMNS]), 256)
-    rows = stream.withWatermark("seen_at", late).select(*CATALOG_COLUMNS, "seen_at", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), F.coalesce(F.concat(F.lit("i"), F.col("id")), F.concat(F.lit("r"), whole)).alias("key"))
-    names = [x.split()[0] for x in _LAST.split(", ")]
+    columns = [F.coalesce(F.unix_micros("time"), F.lit(_NO_TIME)).alias(c) if c == "time" else F.col(c) for c in CATALOG_COLUMNS]
+    key = F.coalesce(F.concat(F.lit("i"), F.col("id")), F.concat(F.lit("r"), whole)).alias("key")
+    rows = stream.withWatermark("seen_at", late).select(*columns, "seen_at", F.unix_micros("seen_at").alias("seen_us"), F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), key)
+    names = [x.split()[0] for x in _HELD.split(", ")]
 
     def of_id(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get) if state.exists else None
-        before = None if held is None else tuple(held[-4:-2])
-        n, n_late = (held[-2], held[-1]) if held else (0, 0)
+        held = state.get if state.exists else None
+        before = held and held[-4:-2]
+        n, n_late = held[-2:] if held else (0, 0)
         for frame in frames:
-            frame = frame.assign(time=_us(frame["time"]), seen_at=_us(frame["seen_at"])).astype(object)
-            frame = frame.where(frame.notna(), None)[names[:-2]]
-            for row in frame.itertuples(index=False, name=None):
+            for row in zip(*[frame[c].tolist() for c in names[:-2]]):
                 n += 1
-                if held is None or row[-2:] >= tuple(held[-4:-2]):
-                    held = [*row, 0, 0]
+                if held is None or row[-2:] >= held[-4:-2]:
+                    held = (*(None if x != x else x for x in row), 0, 0)
                 else:
                     n_late += 1
-        held[-2:] = n, n_late
-        state.update(tuple(held))
+        held = (*held[:-2], n, n_late)
+        state.update(held)
         state.setTimeoutTimestamp(held[-4] // 1000 + keep_minutes * 60_000)
-        if before != tuple(held[-4:-2]):
-            out = pd.DataFrame([held], columns=names)
-            yield out.assign(time=pd.to_datetime(out["time"], unit="us"), seen_at=pd.to_datetime(out["seen_at"], unit="us"))
+        if before != held[-4:-2]:
+            yield pd.DataFrame([held], columns=names)
 
-    return rows.groupBy("key").applyInPandasWithState(of_id, _LAST, _HELD, "update", "EventTimeTimeout")
-
-
-def _us(times: pd.Series) -> pd.Series:
-    """Microseconds, null where there is no time."""
-    return times.astype("datetime64[us]").astype("int64").astype(object).where(times.notna(), None)
+    out = rows.groupBy("key").applyInPandasWithState(of_id, _HELD, _HELD, "update", "EventTimeTimeout")
+    time = F.timestamp_micros(F.nullif("time", F.lit(_NO_TIME))).alias("time")
+    return out.select(*[time if c == "time" else F.col(c) for c in CATALOG_COLUMNS], F.timestamp_micros("seen_us").alias("seen_at"), "ord", "n_records", "n_late")
 
 
 def revisions_stream(stream: DataFrame, path: str, checkpoint: str, *, late: str = "10 minutes", keep_minutes: int = LOOKBACK_MINUTES, once: bool = True):
