@@ -1,16 +1,19 @@
 """Licence scans by rules over recognised sentences, with column expressions alone.
 
-A text falls apart into sentences; a sentence in normal form is looked up among known licence sentences; the ids of the
-known ones, in order, are matched against rules, each of which is a sequence of ids.
+A text falls apart into clauses in normal form, at hard marks (the end of a sentence, an empty line) and soft ones (the end of
+a line or a clause, either side of an address). A run of clauses between marks, over soft ones alone, is looked up in a table
+of known licence sentences, many of which may say the same and share an identifier. The identifiers that a text has, in order,
+are matched against rules, each of which is a sequence of identifiers.
 
-Licences come wrapped at some column, so a line feed with its comment prefix may be a blank within a known sentence as
-well as the end of a notice of one line. A known sentence is found where it fills whole lines, sentences or clauses from
-mark to mark, the longest first.
+Licences come wrapped at some column, so a line feed with its comment prefix may be a blank within a known sentence as well
+as the end of a notice of one line. Of the runs that begin at one clause the longest known one counts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,8 +129,70 @@ for _kind in _KINDS:
     for _article in ("a", "the"):
         _add(f"this work is licensed under {_article} creative commons {_words} 4 0 international license", f"cc-{_code}-work-{_article}", f"CC-{_code.upper()}-4.0", _nc)
 
+for _name in IDENTIFIERS:
+    _add("license " + re.sub("[^a-z0-9]+", " ", _name.lower()), f"field-{_name.lower()}", _name)
+
+# Openings and marks of published licence texts: rule, licence, its sentences in order.
+TEXTS = [
+    ("apache-text", "Apache-2.0", ["apache license version 2 0 january 2004", "terms and conditions for use reproduction and distribution"]),
+    ("gpl3-text", "GPL-3.0-only", ["gnu general public license version 3 29 june 2007", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"]),
+    ("gpl2-text", "GPL-2.0-only", ["gnu general public license version 2 june 1991", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"]),
+    ("lgpl3-text", "LGPL-3.0-only", ["gnu lesser general public license version 3 29 june 2007", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"]),
+    ("lgpl21-text", "LGPL-2.1-only", ["gnu lesser general public license version 2 1 february 1999", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"]),
+    ("agpl3-text", "AGPL-3.0-only", ["gnu affero general public license version 3 19 november 2007", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"]),
+    ("cc0-text", "CC0-1.0", ["creative commons legal code", "cc0 1 0 universal"]),
+    ("cc0-deed", "CC0-1.0", ["the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law"]),
+    ("wtfpl-text", "WTFPL", ["do what the fuck you want to public license version 2 december 2004", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"]),
+    ("boost-text", "BSL-1.0", ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"]),
+    ("0bsd-grant", "0BSD", ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"]),
+]
+# Names that notices give to licences, and those of the GNU licences: their initials, long names, versions.
+NAMES = {
+    "MIT": ["mit license", "mit licence"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache 2 0 license", "apache 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "bsd 2 clause"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause"],
+    "ISC": ["isc license"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mpl 2 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "epl 2 0"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0", "boost software license"],
+    "Zlib": ["zlib license"],
+    "Unlicense": ["unlicense", "unlicense license"],
+    "WTFPL": ["wtfpl", "wtfpl license"],
+    "CC0-1.0": ["cc0", "cc0 1 0", "cc0 1 0 universal", "cc0 1 0 universal license"],
+}
+GNU = [("GPL", "general", "2.0"), ("GPL", "general", "3.0"), ("LGPL", "lesser general", "2.1"), ("LGPL", "lesser general", "3.0"), ("AGPL", "affero general", "3.0")]
+VERBS = ["licensed", "released", "distributed", "available"]
+UNDER = ["under", "under the", "under the terms of the"]
+LATER = [" or later", " or any later version", " or at your option any later version"]
+
+for _code, _long, _version in GNU:
+    _names = []
+    for _v in dict.fromkeys([_version.replace(".", " "), _version.removesuffix(".0").replace(".", " ")]):
+        _names += [f"gnu {_long} public license {how}{_v}" for how in ("version ", "v")]
+        _names += [f"{who}{_code.lower()}{how}{_v}" for who in ("", "gnu ") for how in (" ", " v", "v")]
+    NAMES[f"{_code}-{_version}-only"] = _names + [f"{n} license" for n in _names if "license" not in n]
+    NAMES[f"{_code}-{_version}-or-later"] = [n + later for n in _names for later in LATER if later == LATER[0] or "version" in n]
+
+#: Known sentences and their identifiers.
+KNOWN = {s: k for k, s in enumerate(SENTENCES, 1)}
+
+
+def _identifier(sentence: str) -> int:
+    """That of a known sentence, or a new one."""
+    return KNOWN.setdefault(sentence, max(KNOWN.values()) + 1)
+
+
+for _rule, _license, _parts in TEXTS:
+    RULES.append((_rule, _license, [_identifier(s) for s in _parts], False))
+for _license, _names in NAMES.items():  # notices that say the same share an identifier
+    _id = max(KNOWN.values()) + 1
+    RULES.append((f"notice-{_license.lower()}", _license, [_id], False))
+    for _sentence in (f"{verb} {under} {name}" for name in _names for verb in VERBS for under in UNDER):
+        KNOWN.setdefault(_sentence, _id)
+
 _BREAK = "\x1e"
-_ENDS = r"[.!?]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
+_ENDS = r"[.!?][\x20\x09-\x0D]+|[\x0A\x0D]+"
 _OTHER = "[^A-Za-z0-9\x1e]+"
 
 
@@ -139,85 +204,157 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, _BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
-# Marks between words: of a clause or an address, an empty line, a sentence and a line.
+# Marks between words: of a clause, an empty line, a sentence and a line.
 _CLAUSE, _EMPTY, _END, _LINE = "\x1c", "\x1d", "\x1e", "\x1f"
-_MARKS = "\x1c-\x1f"
+_MARKS = "[\x1c-\x1f]"
+_GAP = f"[ {_CLAUSE}{_LINE}]"
+_THINGS = "project|software|program|code|package|library|work|module|repository|tool|plugin|application|app|dataset|data|model|file|files|crate|framework|documentation"
+
+#: Steps (pattern, replacement by numbers of groups) of the text's words in normal form with marks; the step None lowers case.
+#: No pattern tries one place for longer than some words or one run of characters, so that all texts take linear time.
+_STEPS: list[tuple[str, str] | None] = [
+    (_MARKS, " "),
+    (r"\x0D\x0A?", "\n"),
+    (r"(^|[^A-Za-z0-9])[vV]\.[^A-Za-z0-9]{1,20}(?:dnl |rem )?([0-9])", "{1}v {2}"),  # an abbreviated version ends no sentence
+    ("[hH][tT][tT][pP][sS]://", "http://"),
+    (r"[.!?][\x20\x09-\x0D]+", _END),
+    (r"(http://[^\x20\x09-\x0D\x1e]+)[\x20\x09]+", "{1}" + _CLAUSE),
+    (r"[:;][\x20\x09]+", _CLAUSE),
+    ("\n", _LINE),
+    ("[^A-Za-z0-9\x1c-\x1f]+", " "),
+    None,
+    (f" ?({_MARKS}) ?", "{1}"),
+    (f"([{_LINE}{_END}])(?:dnl|rem)(?: |({_MARKS}))", "{1}{2}"),  # comment prefixes of letters, twice as neighbours share a mark
+    (f"([{_LINE}{_END}])(?:dnl|rem)(?: |({_MARKS}))", "{1}{2}"),
+    (f"{_LINE}{{2,}}", _EMPTY),
+    (f"{_EMPTY}http ", f"{_LINE}http "),  # an address may stand by itself between empty lines
+    (f"(^|{_MARKS})((?:this|the|our){_GAP}(?:[a-z0-9]+{_GAP}){{0,2}}(?:{_THINGS}){_GAP}(?:is|are)(?:{_GAP}made)?){_GAP}((?:{'|'.join(VERBS)}){_GAP}under{_GAP})", "{1}{2}" + _CLAUSE + "{3}"),
+    (f"{_GAP}(see{_GAP}(?:the{_GAP})?(?:file{_GAP})?licen[sc]e(?:{_GAP}(?:md|txt|rst|file|licen[sc]e)){{0,4}}{_GAP}for(?:{_GAP}(?:the|more|full|further|complete)){{0,2}}{_GAP}(?:details|information|text|terms))({_MARKS}|$)", f"{_CLAUSE}{{1}}{{2}}"),
+    (f"[{_EMPTY}{_END}]", f"{_LINE}{_END}{_LINE}"),
+    (_CLAUSE, _LINE),
+]
+
+
+def _clauses(text: Column) -> Column:
+    """The text's clauses in normal form; one of the mark alone between those that a hard mark parts."""
+    plain = F.concat(F.coalesce(text, F.lit("")), F.lit(" "))
+    for step in _STEPS:
+        plain = F.trim(F.lower(plain)) if step is None else F.regexp_replace(plain, step[0], re.sub(r"\{(\d)\}", r"$\1", step[1]))
+    return F.filter(F.split(plain, _LINE), lambda c: c != "")
+
+
+def _groups(known: dict[str, int]) -> dict[str, list[tuple[str, int]]]:
+    """Known sentences, in the form that addresses have in clauses, by their first word and by their first two."""
+    groups: dict[str, list[tuple[str, int]]] = {}
+    for sentence, i in known.items():
+        words = sentence.replace("https ", "http ").split(" ")
+        for key in dict.fromkeys([words[0], " ".join(words[:2])]):
+            groups.setdefault(key, []).append((" ".join(words), i))
+    return groups
 
 
-def _marked(text: Column) -> Column:
-    """The text's words in normal form with a mark where a clause, a line or a sentence ends."""
-    plain = F.translate(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), _CLAUSE + _EMPTY + _LINE, "   ")
-    plain = F.regexp_replace(plain, r"[.!?]+[\x20\x09-\x0D]+", _END)
-    plain = F.regexp_replace(plain, r"(https?://[^\x20\x09-\x0D\x1e]+)[\x20\x09]+", f"$1{_CLAUSE}")
-    plain = F.regexp_replace(plain, r"[:;]+[\x20\x09]+", _CLAUSE)
-    plain = F.regexp_replace(plain, r"\x0D\x0A|[\x0A\x0D]", _LINE)
-    plain = F.lower(F.regexp_replace(plain, f"[^A-Za-z0-9{_MARKS}]+", " "))
-    plain = F.regexp_replace(plain, f" ?([{_MARKS}]) ?", "$1")
-    plain = F.regexp_replace(plain, f"([{_LINE}{_END}])(?:dnl|rem)(?: |(?=[{_MARKS}]))", "$1")  # comment prefixes of letters
-    return F.trim(F.regexp_replace(plain, f"{_LINE}{{2,}}", _EMPTY))
+def _anchors(known: dict[str, int]) -> list[str]:
+    """Words of which every known sentence has one, of six letters or more where it has such a word; the most shared first."""
+    left = []
+    for s in known:
+        words = s.split(" ")
+        left.append({w for w in words if len(w) >= 6} or {max(words, key=len)})
+    anchors = []
+    while left:
+        n = Counter(w for words in left for w in words)
+        anchors.append(min(n, key=lambda w: (-n[w], w)))
+        left = [words for words in left if anchors[-1] not in words]
+    return anchors
 
 
-def _pattern(known: list[str]) -> str:
-    """Any known sentence from mark to mark. Lines and clauses may end within it, an address may stand by itself between
-    empty lines, and an abbreviated version ("v. 2.0") ends no sentence."""
+def _found(text: Column, known: dict[str, int]) -> Column:
+    """Identifiers of the known sentences that the text holds, in order. Sentences within the run of another are left out."""
+    groups = _groups(known)
+    if not groups:
+        return F.array().cast("array<int>")
+    table = lambda values: F.split(F.lit(_LINE.join(map(str, values))), _LINE)  # noqa: E731  one literal, split once when the plan is made
+    keys = table(groups)
+    said = F.array(*[table(s for s, _ in g) for g in groups.values()])
+    ids = F.array(*[table(i for _, i in g).cast("array<int>") for g in groups.values()])
+    most = table(max(s.count(" ") + 1 for s, _ in g) for g in groups.values()).cast("array<int>")
 
-    def gap(a: str, b: str) -> str:
-        more = _EMPTY if re.fullmatch("https?", b) else _END if a == "v" and b[:1].isdigit() else ""
-        return f"[ {_CLAUSE}{_LINE}{more}]++"
+    def longest(clauses: Column, start: Column) -> Column:
+        i, g = start["i"], start["g"]
+        runs = F.transform(
+            F.sequence(F.lit(1), F.least(F.element_at(most, g), F.size(clauses) - i)),
+            lambda k: F.struct(i.alias("i"), (i + k).alias("end"), F.array_position(F.element_at(said, g), F.array_join(F.slice(clauses, i + 1, k), " ")).cast("int").alias("at"), g.alias("g")),
+        )
+        return F.try_element_at(F.filter(runs, lambda r: r["at"] > 0), F.lit(-1))
 
-    def one(sentence: str) -> str:
-        words = sentence.split(" ")
-        return "".join((gap(words[k - 1], w) if k else "") + ("https?+" if w in ("http", "https") else w) for k, w in enumerate(words))
+    def within(clauses: Column) -> Column:
+        starts = F.transform(clauses, lambda c, i: F.struct(i.alias("i"), F.array_position(keys, F.substring_index(c, " ", 2)).cast("int").alias("g")))
+        hits = F.transform(F.filter(starts, lambda s: s["g"] > 0), lambda s: longest(clauses, s))
+        return F.filter(hits, lambda h: h.isNotNull())
 
-    longest = sorted({s for s in known if re.fullmatch("[a-z0-9]+(?: [a-z0-9]+)*", s)}, key=lambda s: (-len(s), s))
-    return f"(?<![^{_MARKS}])(?:{'|'.join(map(one, longest))})(?![^{_MARKS}])" if longest else "(?!)"
+    # a transform of one element names its value, so that it is worked out once
+    hits = F.element_at(F.transform(F.array(_clauses(text)), within), 1)
+    reach = max(s.count(" ") + 1 for s in known)  # no run has more clauses
 
+    def outer(hits: Column) -> Column:
+        before = lambda k: F.slice(hits, F.greatest(k - (reach - 1), F.lit(1)), F.least(k, F.lit(reach)))
+        return F.filter(hits, lambda h, k: F.aggregate(before(k), F.lit(0), lambda m, x: F.greatest(m, x["end"])) <= h["i"])
 
-def _found(text: Column, known: list[str]) -> Column:
-    """Ids of the known sentences that the text holds, in order."""
-    plain = lambda s: s.replace("https ", "http ")
-    table = F.array(*[F.lit(plain(s)) for s in known])
-    found = F.regexp_extract_all(_marked(text), F.lit(_pattern(known)), F.lit(0))
-    return F.transform(found, lambda x: F.array_position(table, F.replace(F.regexp_replace(x, f"[{_MARKS} ]+", " "), F.lit("https "), F.lit("http "))))
+    return F.transform(F.element_at(F.transform(F.array(hits), outer), 1), lambda h: F.element_at(F.element_at(ids, h["g"]), h["at"]))
 
 
 def _sequence(ids: list[int]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
-def license_scan(docs: DataFrame, known: list[str] | None = None, rules: list[tuple] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, known: dict[str, int] | list[str] | None = None, rules: list[tuple] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row and rule that it matches: doc_id, rule, license, noncommercial, n_matches, n_sentences (of the text), recognised (ids
     of known sentences in order, as "<7><13>").
 
-    A rule matches where its sentences follow one another among the text's known sentences; others may stand between.
-    Known sentences are in normal form and count wrapped over lines too, also behind comment prefixes; n_sentences has
-    lines as sentences of their own.
-    A rule within a longer one that matches is reported too. Null and empty texts match nothing; repeated rows are
+    `known` maps sentences in normal form to identifiers; in a list a sentence's identifier is its place, from 1. A rule
+    matches where its sentences follow one another among the text's known sentences; others may stand between.
+    Known sentences count wrapped over lines too, also behind comment prefixes; n_sentences has lines as sentences of
+    their own. A rule within a longer one that matches is reported too. Null and empty texts match nothing; repeated rows are
     reported each, a null id stays null, an empty table gives an empty one, other columns are ignored. Whole texts, no
-    shuffle, no Python. Known sentences and rules are literals of the plan: some hundreds at most.
+    shuffle, no Python; a text without any of the few words of which every known sentence has one is not taken apart. Known sentences and rules are parameters of the plan: some thousands of sentences, looked up by their
+    first words, and some hundreds of rules.
     """
-    known, rules = SENTENCES if known is None else known, RULES if rules is None else rules
+    known, rules = KNOWN if known is None else known, RULES if rules is None else rules
+    known = known if isinstance(known, dict) else {s: k for k, s in reversed(list(enumerate(known, 1)))}
+    may = [F.contains(F.lower(F.col(text_col)), F.lit(w)) for w in _anchors(known)]
+    docs = docs.filter(reduce(lambda a, b: a | b, may, F.lit(False)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), sentences(F.col(text_col)).alias("s"), _found(F.col(text_col), known).alias("ids"))
-    ids = F.filter("ids", lambda i: i > 0)
-    rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">")))).alias("recognised"))
-    all_rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"), F.lit(nc).alias("noncommercial"), F.lit(_sequence(seq)).alias("seq")) for name, lic, seq, nc in rules])
-    met = rows.filter("recognised <> ''").withColumn("r", F.explode(F.filter(all_rules, lambda r: F.contains(F.col("recognised"), r["seq"]))))
+    rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">")))).alias("recognised"))
+    all_rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(lic).alias("license"), F.lit(nc).alias("noncommercial"), F.lit(_sequence(seq)).alias("seq")) for name, lic, seq, nc in rules]).cast("array<struct<rule:string,license:string,noncommercial:boolean,seq:string>>")
+    met = rows.withColumn("r", F.explode(F.filter(all_rules, lambda r: F.contains(F.col("recognised"), r["seq"]))))
     n = ((F.length("recognised") - F.length(F.replace("recognised", F.col("r.seq"), F.lit("")))) / F.length("r.seq")).cast("long")
     return met.select("doc_id", "r.rule", "r.license", "r.noncommercial", n.alias("n_matches"), "n_sentences", "recognised")
 
 
 def license_sql() -> str:
-    """The same over `documents`, for DuckDB."""
+    """The same over `documents`, for DuckDB: runs of clauses joined with the known sentences."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(map(q, SENTENCES))
+    plain = "coalesce(text, '') || ' '"
+    for step in _STEPS:
+        plain = f"trim(lower({plain}))" if step is None else f"regexp_replace({plain}, {q(step[0])}, {q(re.sub(r'{(.)}', lambda m: chr(92) + m[1], step[1]))}, 'g')"
+    said = {s.replace("https ", "http "): i for s, i in KNOWN.items()}
+    known = ", ".join(f"({q(s)}, {i})" for s, i in said.items())
+    first = ", ".join(q(w) for w in sorted({s.split(" ")[0] for s in said}))
+    reach = max(s.count(" ") + 1 for s in said)
     rules = ", ".join(f"({q(n)}, {q(lic)}, {nc}, {q(_sequence(s))})" for n, lic, s, nc in RULES)
     return rf"""
-WITH plain AS (
-    SELECT doc_id, lower(regexp_replace(regexp_replace(coalesce(text, '') || ' ', '{_ENDS}', chr(30), 'g'), '[^A-Za-z0-9\x1e]+', ' ', 'g')) AS p FROM documents),
-found AS (
-    SELECT doc_id, list_transform(list_filter(string_split(p, chr(30)), lambda x: trim(x) <> ''), lambda x: coalesce(list_position([{known}], trim(x)), 0)) AS ids FROM plain),
-seq AS (
-    SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(list_transform(list_filter(ids, lambda i: i > 0), lambda i: '<' || i || '>'), '') AS recognised FROM found),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+plain AS (
+    SELECT rid, doc_id, lower(regexp_replace(regexp_replace(coalesce(text, '') || ' ', '{_ENDS}', chr(30), 'g'), '[^A-Za-z0-9]+', ' ', 'g')) AS p,
+        list_filter(string_split({plain}, chr(31)), lambda c: c <> '') AS clauses FROM docs),
+known(sentence, id) AS (VALUES {known}),
+starts AS (SELECT * FROM (SELECT rid, clauses, unnest(range(1, len(clauses) + 1)) AS i FROM plain) WHERE string_split(clauses[i], ' ')[1] IN ({first})),
+runs AS (SELECT rid, i, unnest(range(1, least({reach}, len(clauses) - i + 1) + 1)) AS k, clauses FROM starts),
+hits AS (
+    SELECT rid, i, max(i + k) AS until, max_by(id, k) AS id
+    FROM (SELECT rid, i, k, array_to_string(clauses[i:i + k - 1], ' ') AS run FROM runs) r JOIN known ON sentence = run GROUP BY rid, i),
+outermost AS (SELECT rid, i, id FROM (SELECT *, max(until) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM hits) WHERE coalesce(covered, 0) <= i),
+recognised AS (SELECT rid, string_agg('<' || id || '>', '' ORDER BY i) AS recognised FROM outermost GROUP BY rid),
 rules(rule, license, noncommercial, seq) AS (VALUES {rules})
-SELECT doc_id, rule, license, noncommercial, CAST((length(recognised) - length(replace(recognised, seq, ''))) // length(seq) AS BIGINT) AS n_matches, n_sentences, recognised
-FROM seq JOIN rules ON contains(recognised, seq) WHERE recognised <> ''""".replace("FROM seq JOIN rules ON contains(recognised, seq)", "FROM (SELECT doc_id, n_sentences, recognised FROM seq) s JOIN rules r ON contains(s.recognised, r.seq)")
+SELECT doc_id, rule, license, noncommercial, CAST((length(recognised) - length(replace(recognised, seq, ''))) // length(seq) AS BIGINT) AS n_matches,
+    CAST(len(list_filter(string_split(p, chr(30)), lambda x: trim(x) <> '')) AS BIGINT) AS n_sentences, recognised
+FROM plain JOIN recognised USING (rid) JOIN rules ON contains(recognised, seq)"""
