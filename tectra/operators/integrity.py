@@ -90,7 +90,8 @@ def has_restriction(text: Column) -> Column:
 
 
 def missing_keys(json: Column, required: list[str]) -> Column:
-    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    """Required keys that an object lacks; all of them where there is no object. Numbers that aren't finite may stand in it."""
+    keys = F.coalesce(F.json_object_keys(json), F.map_keys(F.from_json(json, "map<string, string>")), F.array().cast("array<string>"))
     return F.array_sort(F.array_except(F.array(*map(F.lit, required)), keys))
 
 
@@ -209,27 +210,42 @@ def science_gate(df: DataFrame, region: Region, stamped: dict, *, min_mag: float
 META_KEYS = ["source", "region", "cell_deg", "min_mag", "mc", "area_skill_score", "gain_top25", "n_cells", "disclaimer", "use_restriction"]
 
 
+def surface_faults(meta: DataFrame, cells: DataFrame, known_sources: tuple[str, ...] = ("AFAD", "USGS")) -> DataFrame:
+    """Rows of meta with `faults`, what a served surface is refused for, in order; needs no catalog.
+
+    meta: stamps in a column json; cells: GeoJSON features in a column feature, read once whatever the number of stamps. A number of
+    another JSON kind, a missing one and a null count as not finite, a cell without a ring as one of another size."""
+    m = F.from_json("json", "source string, cell_deg double, min_mag double, mc double, area_skill_score double, gain_top25 double, n_cells long, disclaimer string, use_restriction string")
+    edge = polygon_edge(F.from_json("feature", "geometry struct<coordinates: array<array<array<double>>>>")["geometry"]["coordinates"][0])
+    measured = cells.select(edge.alias("edge")).agg(F.count(F.lit(1)).alias("n"), F.count("edge").alias("with_edge"), F.min("edge").alias("least"), F.max("edge").alias("most"))
+    denial = fold(F.coalesce(F.col("m.disclaimer"), F.lit("")))
+    gone = missing_keys(F.col("json"), META_KEYS)
+    edges = (F.col("c.with_edge") == F.col("c.n")) & (F.col("c.least") >= F.col("m.cell_deg") - 1e-6) & (F.col("c.most") <= F.col("m.cell_deg") + 1e-6)
+    before = [
+        (F.size(gone) > 0, F.concat(F.lit("missing "), F.array_join(gone, ", "))),
+        (~F.col("m.source").isin(*known_sources), F.lit("unknown source")),
+        (~has_restriction(F.col("m.use_restriction")), F.lit("use isn't restricted")),
+        (~(denial.contains("tahmini") & (denial.contains("değil") | denial.contains("degil"))), F.lit("prediction isn't denied")),
+    ]
+    after = [
+        (F.col("c.n") == 0, F.lit("no cells")),
+        ((F.col("c.n") > 0) & ~F.coalesce(edges, F.lit(False)), F.lit("cells of another size")),
+        (F.col("c.n") != F.col("m.n_cells"), F.lit("cells of another number")),
+    ]
+    named = lambda faults: F.array(*[F.when(F.coalesce(bad, F.lit(True)), name) for bad, name in faults])
+    numbers = stamp_faults(F.col("m.min_mag"), F.col("m.mc"), F.col("m.area_skill_score"), F.col("m.gain_top25"))
+    faults = F.filter(F.concat(named(before), numbers, named(after)), lambda x: x.isNotNull())
+    judged = meta.withColumn("m", m).crossJoin(F.broadcast(measured.select(F.struct("*").alias("c"))))  # one row of four numbers
+    return judged.withColumn("faults", faults).select(*meta.columns, "faults")
+
+
 def surface_gate(meta: DataFrame, cells: DataFrame, known_sources: tuple[str, ...] = ("AFAD", "USGS")) -> None:
-    """meta: one row with json; cells: GeoJSON features in a column feature. Refuses missing keys, unknown sources, unsound stamps and cells
-    of another size. Needs no catalog."""
-    m = meta.select(missing_keys(F.col("json"), META_KEYS).alias("gone"), F.from_json("json", "source string, cell_deg double, min_mag double, mc double, area_skill_score double, gain_top25 double, n_cells long, disclaimer string, use_restriction string").alias("m"), has_restriction(F.get_json_object("json", "$.use_restriction")).alias("restricted"), fold(F.get_json_object("json", "$.disclaimer")).alias("d")).first()
-    if m is None or m.gone:
-        raise CatalogError(f"the stamp lacks {m.gone if m else 'everything'}")
-    if m.m.source not in known_sources:
-        raise CatalogError(f"unknown source {m.m.source}")
-    if not m.restricted:
-        raise CatalogError("the use isn't restricted")
-    if not ("tahmini" in m.d and ("değil" in m.d or "degil" in m.d)):
-        raise CatalogError("the disclaimer doesn't deny prediction")
-    require_finite(m.m.area_skill_score, "area_skill_score", 0)
-    require_finite(m.m.gain_top25, "gain_top25", 1)
-    require_complete(m.m.min_mag, m.m.mc)
-    shape = cells.select(F.from_json("feature", "geometry struct<coordinates: array<array<array<double>>>>").alias("f"))
-    require_rows(shape)
-    require_grid(shape.select(F.col("f.geometry.coordinates")[0].alias("ring")), "ring", m.m.cell_deg)
-    n = cells.count()
-    if n != m.m.n_cells:
-        raise CatalogError(f"{n} cells, {m.m.n_cells} stamped")
+    """Refuses a surface whose one stamp is missing or has any of `surface_faults`."""
+    found = surface_faults(meta.select("json"), cells, known_sources).select("faults").first()
+    if found is None:
+        raise CatalogError("there is no stamp")
+    if found.faults:
+        raise CatalogError("; ".join(found.faults))
 
 
 def etas_gate(stamp: dict) -> None:

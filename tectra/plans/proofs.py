@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tectra.functions import exprs, tables
 from tectra.operators import clean, coverage, etas, export, forecast, integrity, risk, skill, stats
-from tectra.plans.queries import _FMD, _LATER, _RISK, _SITE, _WIN, NOW_US, RISK, _risk, _series, _sites, query, r6
+from tectra.plans.queries import _FMD, _LATER, _MC, _RISK, _SITE, _WIN, NOW_US, RISK, _risk, _series, _sites, query, r6
 from tectra.schemas import CATALOG_COLUMNS, NATIONAL, CatalogError
 from tectra.sources import archive, files, http, outputs
 from tectra.sources.testdata import catalog, table
@@ -369,6 +369,22 @@ def output_verdict(spark, sf_dir):
     return integrity.output_faults(o["catalog"], o["summary"], o["meta"], o["cells"], o["big_events"], "AFAD", site_layer=False)
 
 
+_DENIED = "prediction isn''t denied"
+_FREE = "use isn''t restricted"
+
+
+@query(f"""WITH {_RISK}, {_MC.replace('span AS', 'mspan AS').replace('FROM span', 'FROM mspan')},
+v(variant, before, low, after) AS (VALUES ('as it is', [], [], []), ('source', ['unknown source'], [], []), ('region', ['missing region'], [], []), ('texts', ['{_FREE}', '{_DENIED}'], [], []),
+    ('skill', [], ['skill isn''t finite'], []), ('gain', [], ['no gain'], []), ('edge', [], [], ['cells of another size']), ('number', [], [], ['cells of another number']))
+SELECT variant, list_concat(list_concat(before, CASE WHEN (SELECT mc FROM mc) > 3.0 THEN ['below completeness'] ELSE [] END), list_concat(low, after)) AS faults, (SELECT count(*) FROM risk) AS n_cells FROM v""")
+def surface_verdict(spark, sf_dir):
+    """The served surface's contract on its stamp and on stamps with one change each."""
+    o = _outputs(spark, sf_dir, "AFAD")
+    changes = [("as it is", "", ""), ("source", '"AFAD"', '"replay"'), ("region", '"region"', '"place"'), ("texts", "değildir", ""), ("skill", '"area_skill_score":0.5', '"area_skill_score":NaN'), ("gain", '"gain_top25":2.0', '"gain_top25":1.0'), ("edge", '"cell_deg":0.25', '"cell_deg":0.5'), ("number", '"n_cells":', '"n_cells":1')]
+    each = F.array(*[F.struct(F.lit(name).alias("variant"), (F.replace("json", F.lit(old), F.lit(new)) if old else F.col("json")).alias("json"), F.get_json_object("json", "$.n_cells").cast("long").alias("n_cells")) for name, old, new in changes])
+    return integrity.surface_faults(o["meta"].select(F.explode(each).alias("s")).select("s.*"), o["cells"]).select("variant", "faults", "n_cells")
+
+
 def _outputs(spark, sf_dir, source):
     """Catalog, summary of that source, stamp, cells and events."""
     df, cells = catalog(spark, sf_dir), _risk(spark, sf_dir)

@@ -206,6 +206,14 @@ def test_surface_gate(spark):
     for old, new in (("0.5", "NaN"), ("AFAD", "?"), ("0.25,", "0.5,"), ('"n_cells": 1', '"n_cells": 2'), ("DEĞİLDİR", "dir"), ('"mc": 2.85', '"mc": 3.5'), ('"region"', '"regio"')):
         with pytest.raises(CatalogError):
             integrity.surface_gate(frame(meta.replace(old, new, 1), "json"), frame(cell, "feature"))
+    with pytest.raises(CatalogError):
+        integrity.surface_gate(frame(meta, "json").limit(0), frame(cell, "feature"))
+    faults = lambda m, c: integrity.surface_faults(frame(m, "json"), c).first().faults
+    assert faults(meta, frame(cell, "feature")) == []
+    assert faults(meta, frame(cell, "feature").limit(0)) == ["no cells", "cells of another number"]
+    assert faults(meta, frame("{}", "feature")) == ["cells of another size"] == faults(meta, frame(None, "feature"))
+    assert faults(meta.replace("0.5", "true", 1), frame(cell, "feature")) == ["skill isn't finite"]
+    assert len(faults(None, frame(cell, "feature"))) == 9
     good = {"canonical_etas": {"mu": 0.1, "K": 0.1, "c": 0.1, "p": 1.1, "alpha": 1.0, "skill_vs_climatology_pct": 10.0, "branching_ratio": None, "source": "AFAD"}}
     integrity.etas_gate(good)
     for k, v in (("mu", True), ("p", "1"), ("source", "UNKNOWN"), ("skill_vs_climatology_pct", float("nan"))):
