@@ -10,7 +10,7 @@ from tectra.functions import exprs, tables
 from tectra.operators import clean, coverage, etas, export, forecast, integrity, risk, skill, stats
 from tectra.plans.queries import _FMD, _LATER, _MC, _RISK, _SITE, _WIN, NOW_US, RISK, _risk, _series, _sites, query, r6
 from tectra.schemas import CATALOG_COLUMNS, NATIONAL, CatalogError
-from tectra.sources import archive, files, http, outputs
+from tectra.sources import archive, files, http, outputs, replay
 from tectra.sources.testdata import catalog, table
 from tectra.streaming import live
 
@@ -28,14 +28,14 @@ def _typed(df):
 @query(f"SELECT {_TYPED} FROM cat WHERE time < TIMESTAMP '2024-01-31' AND mag >= 2.5")
 def service_csv(spark, sf_dir):
     """The service in CSV, a window a day, one row an id."""
-    got = http.fetch_windows(spark, "fdsn", _DAYS, transport=f"tectra.sources.replay:fdsn:{sf_dir}", tries=1)
+    got = http.fetch_windows(spark, "fdsn", _DAYS, transport=f"tectra.sources.replay:fdsn:{replay.record(catalog(spark, sf_dir))}", tries=1)
     return _typed(clean.conform(clean.one_per_id(got.filter("not failed").drop("failed"), ["window", "ord"])))
 
 
 @query(f"SELECT {_TYPED} FROM cat WHERE time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-13' AND mag >= CAST(3.0 AS DOUBLE)")
 def service_json(spark, sf_dir):
     """Three days of the service in JSON, in chunks of eight hours, all or nothing."""
-    got = http.window_events(spark, datetime(2024, 1, 10), datetime(2024, 1, 13), chunk_hours=8, min_mag=3.0, transport=f"tectra.sources.replay:afad:{sf_dir}", tries=1)
+    got = http.window_events(spark, datetime(2024, 1, 10), datetime(2024, 1, 13), chunk_hours=8, min_mag=3.0, transport=f"tectra.sources.replay:afad:{replay.record(catalog(spark, sf_dir))}", tries=1)
     return _typed(clean.conform(got))
 
 
@@ -43,7 +43,7 @@ def service_json(spark, sf_dir):
 FROM range(30) r(i) LEFT JOIN cat ON CAST(time AS DATE) = DATE '2024-01-01' + CAST(i AS INT) AND mag >= 4.0 GROUP BY i HAVING i = 4 OR count(id) > 0""")
 def service_gaps(spark, sf_dir):
     """Windows with a broken one, which is counted and not hidden."""
-    got = http.fetch_windows(spark, "afad", _DAYS, min_mag=4.0, transport=f"tectra.sources.replay:afad:{sf_dir}?2024-01-05", tries=1, on_gap="allow")
+    got = http.fetch_windows(spark, "afad", _DAYS, min_mag=4.0, transport=f"tectra.sources.replay:afad:{replay.record(catalog(spark, sf_dir))}?2024-01-05", tries=1, on_gap="allow")
     return got.groupBy("window").agg(F.max("failed").alias("failed"), F.count_if(~F.col("failed")).alias("n"))
 
 

@@ -10,10 +10,13 @@ import csv
 import importlib
 import io
 import json
+import pickle
+import tempfile
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from itertools import chain
 from urllib.parse import quote, urlencode
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
@@ -32,10 +35,17 @@ RECORD = "id string, time string, latitude string, longitude string, depth strin
 
 
 def get(url: str, timeout: float = 90) -> bytes | None:
+    """No content is None; a service that refuses a window for its number of rows is TooMany."""
+    from urllib.error import HTTPError
     from urllib.request import urlopen
 
-    with urlopen(url, timeout=timeout) as r:  # noqa: S310
-        return None if r.status == 204 else r.read()
+    try:
+        with urlopen(url, timeout=timeout) as r:  # noqa: S310
+            return None if r.status == 204 else r.read()
+    except HTTPError as e:
+        if e.code == 413 or e.code == 400 and b"exceeds search limit" in e.read():
+            raise TooMany(f"a window holds too many rows: {url}") from e
+        raise
 
 
 def load(name: str) -> Callable:
@@ -67,12 +77,16 @@ def with_retry(call: Callable, tries: int = 4, backoff: float = 5.0, sleep: Call
             sleep(backoff * 2**k)
 
 
+class TooMany(CatalogError):
+    """A window of more rows than a service answers at once; shorter ones have to be asked for."""
+
+
 def parse_csv(body: bytes | None) -> list[dict]:
     if not body or not body.strip():
         return []
     rows = list(csv.DictReader(io.StringIO(body.decode())))
     if len(rows) >= FDSN_LIMIT:
-        raise CatalogError(f"a window holds {FDSN_LIMIT} rows or more; take shorter windows")
+        raise TooMany(f"a window holds {FDSN_LIMIT} rows or more; take shorter windows")
     return rows
 
 
@@ -99,6 +113,35 @@ def hour_windows(start: datetime, end: datetime, hours: float = 24) -> list[tupl
     return out
 
 
+def answers(o: dict, start: str, end: str) -> Iterator[list[dict]]:
+    """A window's rows, in order of time, an answer at a time. A window of too many rows for one answer is asked for in halves, at whole
+    seconds as long as there are any, so that a task holds one answer whatever the window holds. Only an instant can't be halved: an error."""
+    service = (fdsn_url, parse_csv) if o["service"] == "fdsn" else (afad_url, parse_json)
+    region, fetch = Region(**json.loads(o["region"])), load(o["transport"])
+    left = [(start, end)]
+    while left:
+        a, b = left.pop()
+
+        def ask():
+            url, parse = service
+            try:
+                return parse(fetch(url(region, a, b, float(o["min_mag"]))))  # noqa: B023
+            except TooMany as e:  # asking again wouldn't help
+                return e
+
+        found = with_retry(ask, int(o.get("tries", 4)), float(o.get("backoff", 5)))
+        if not isinstance(found, TooMany):
+            yield found
+            continue
+        first, last = datetime.fromisoformat(a), datetime.fromisoformat(b)
+        middle = first + (last - first) / 2
+        whole = middle.replace(microsecond=0)
+        cut = whole if first < whole else middle
+        if not first < cut < last:
+            raise found
+        left += [(cut.isoformat(), b), (a, cut.isoformat())]
+
+
 @dataclass
 class Window(InputPartition):
     number: int
@@ -106,6 +149,17 @@ class Window(InputPartition):
     end: str
 
 
+def _whole(found: Iterator[list[dict]]) -> Iterator[list[dict]]:
+    """All answers or an error, before the first is given; they wait in a file of the task's."""
+    held = tempfile.TemporaryFile()
+    n = 0
+    for rows in found:
+        pickle.dump(rows, held)
+        n += 1
+    held.seek(0)
+    return (pickle.load(held) for _ in range(n))  # noqa: S301
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.o = options
@@ -114,18 +168,14 @@ class _Reader(DataSourceReader):
         return [Window(k, *w) for k, w in enumerate(json.loads(self.o["windows"]))]
 
     def read(self, window: Window) -> Iterator[tuple]:
-        o = self.o
-        region = Region(**json.loads(o["region"]))
-        url, parse = (fdsn_url, parse_csv) if o["service"] == "fdsn" else (afad_url, parse_json)
-        fetch = load(o["transport"])
-        try:
-            rows = with_retry(lambda: parse(fetch(url(region, window.start, window.end, float(o["min_mag"])))), int(o["tries"]), float(o["backoff"]))
-        except Exception:
-            if o["fail"] == "true":
-                raise
-            yield (None,) * 8 + (0, window.number, True)
-            return
-        for k, r in enumerate(rows):
+        found = answers(self.o, window.start, window.end)
+        if self.o["fail"] != "true":
+            try:
+                found = _whole(found)
+            except Exception:
+                yield (None,) * 8 + (0, window.number, True)
+                return
+        for k, r in enumerate(chain.from_iterable(found)):
             text = lambda c: None if r.get(c) in (None, "") else str(r[c])  # noqa: E731, B023
             yield tuple(text(c) for c in ("id", "time", "latitude", "longitude", "depth", "mag", "magType", "place")) + (k, window.number, False)
 
@@ -292,8 +342,7 @@ class _LiveReader(SimpleDataSourceStreamReader):
         o = self.o
         if end["to"] is None:
             return iter(())
-        url = afad_url(Region(**json.loads(o["region"])), end["from"], end["to"], float(o["min_mag"]))
-        rows = with_retry(lambda: parse_json(load(o["transport"])(url)), int(o.get("tries", 4)), float(o.get("backoff", 5)))
+        rows = chain.from_iterable(answers(o | {"service": "afad"}, end["from"], end["to"]))
         return iter([tuple(None if r[c] is None else str(r[c]) for c in ("id", "time", "latitude", "longitude", "depth", "mag", "magType", "place")) + (k, end["poll"], False) for k, r in enumerate(rows)])
 
 
