@@ -4,9 +4,10 @@ from datetime import datetime, timedelta, timezone
 from urllib.parse import parse_qs, urlsplit
 
 import pytest
+from pyspark.sql import functions as F
 
 from tectra.schemas import CatalogError
-from tectra.sources import http
+from tectra.sources import http, replay
 
 HERE = "tests.test_windows_split:"
 DAY = ("2024-01-01T00:00:00", "2024-01-02T00:00:00")
@@ -52,3 +53,22 @@ def test_crowded_instant_is_an_error():
     o = {"service": "fdsn", "transport": HERE + "instant", "min_mag": "2.5", "region": '{"name": "n", "min_lat": 1, "max_lat": 2, "min_lon": 1, "max_lon": 2}'}
     with pytest.raises(CatalogError):
         list(http.answers(o, *DAY))
+
+
+def test_recording_is_read_by_stretches(spark, monkeypatch):
+    """An answer opens the row groups of its own time alone, and one that would hold too many rows is refused early."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(replay, "GROUP_BYTES", 1 << 12)
+    monkeypatch.setattr(http, "FDSN_LIMIT", 4000)
+    rows = spark.range(50_000).select(F.col("id").cast("string").alias("id"), F.timestamp_seconds(F.lit(T0.timestamp()).cast("long") + F.col("id")).alias("time"), *[F.lit(4.0).alias(c) for c in ("latitude", "longitude", "depth", "mag")], F.sha2(F.col("id").cast("string"), 256).alias("magType"), F.lit("p").alias("place"))
+    path, read = replay.record(rows), []
+    whole = pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, k, **o: read.append((t := whole(self, k, **o)).num_rows) or t)
+    found = replay._recorded(path)
+    got = found("2024-01-01T05:00:00", "2024-01-01T05:10:00", 2.5)
+    assert [r["id"] for r in got] == [str(k) for k in range(18_000, 18_600)] and sum(read) < 10_000
+    read.clear()
+    with pytest.raises(http.TooMany):
+        found("2024-01-01T00:00:00", "2024-01-02T00:00:00", 2.5)
+    assert sum(read) < 10_000
