@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,58 +135,93 @@ def upsert_stream(stream: DataFrame, spark, path: str, checkpoint: str, once: bo
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
 
 
-#: What the state and its function see: times are microseconds, as a row's cost is the frame's that carries it; _NO_TIME is none.
+#: Ids are held in so many groups of state: a group's call, frame and state serve all of its ids, as each costs some milliseconds.
+GROUPS = 256
+#: What the function sees and gives: times are microseconds; _NO_TIME is none. The state is a table of _IDS.
 _HELD = f"{CATALOG.replace('time timestamp', 'time long')}, seen_us long, ord long, n_records long, n_late long"
+_IDS = ["key", "seen_us", "ord", "n_records", "n_late"]
 _NO_TIME = -(1 << 63)
 
 
-def last_records(stream: DataFrame, late: str = "10 minutes", keep_minutes: int = LOOKBACK_MINUTES) -> DataFrame:
+def _packed(ids: dict[str, tuple]) -> bytes:
+    table = pa.table([pa.array(ids, pa.string()), *(pa.array(x, pa.int64()) for x in zip(*ids.values()))], _IDS)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> dict[str, tuple]:
+    keys, *columns = (c.to_pylist() for c in pa.ipc.open_stream(data).read_all().columns)
+    return dict(zip(keys, zip(*columns)))
+
+
+def last_records(stream: DataFrame, late: str = "10 minutes", keep_minutes: int = LOOKBACK_MINUTES, groups: int = GROUPS) -> DataFrame:
     """The last record of each id over micro-batches, by seen_at (when a poll saw it) and ord: a row whenever it changes, with how many
     records of the id there have been and how many of them came after a later one. Runs in update mode.
 
-    An id's record is state for `keep_minutes` after it was last seen, so that polls need not bring a whole lookback again. Records of
-    polls older than the watermark are dropped and counted in the query's progress (numRowsDroppedByWatermark). Rows without an id
-    stay, each for itself: their key is what they hold.
+    What is known of an id is state for `keep_minutes` after it was last seen, so that polls need not bring a whole lookback again. State
+    holds an id's last place and counts, in `groups` groups of ids by hash; a record that changes is in the batch itself. A stream keeps
+    its number of groups. Records of polls older than the watermark are dropped and counted in the query's progress
+    (numRowsDroppedByWatermark). Rows without an id stay, each for itself: their key is what they hold.
     """
     whole = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CATALOG_COLUMNS]), 256)
     columns = [F.coalesce(F.unix_micros("time"), F.lit(_NO_TIME)).alias(c) if c == "time" else F.col(c) for c in CATALOG_COLUMNS]
     key = F.coalesce(F.concat(F.lit("i"), F.col("id")), F.concat(F.lit("r"), whole)).alias("key")
     rows = stream.withWatermark("seen_at", late).select(*columns, "seen_at", F.unix_micros("seen_at").alias("seen_us"), F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), key)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
     names = [x.split()[0] for x in _HELD.split(", ")]
-
-    def of_id(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else None
-        before = held and held[-4:-2]
-        n, n_late = held[-2:] if held else (0, 0)
-        for frame in frames:
-            for row in zip(*[frame[c].tolist() for c in names[:-2]]):
-                n += 1
-                if held is None or row[-2:] >= held[-4:-2]:
-                    held = (*(None if x != x else x for x in row), 0, 0)
+    ends = lambda x: x[0] // 1000 + keep_minutes * 60_000
+
+    def of_group(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ids = _unpacked(state.get[0]) if state.exists else {}
+        came, last = set(), {}
+        frames = [] if state.hasTimedOut else [f.reset_index(drop=True) for f in frames]
+        for k, frame in enumerate(frames):
+            for i, (x, *at) in enumerate(zip(*[frame[c].tolist() for c in _IDS[:3]])):
+                came.add(x)
+                seen, order, n, n_late = ids.get(x, (None, None, 0, 0))
+                if seen is None or at >= [seen, order]:
+                    if at != [seen, order] or x in last:
+                        last[x] = k, i
+                    ids[x] = (*at, n + 1, n_late)
                 else:
-                    n_late += 1
-        held = (*held[:-2], n, n_late)
-        state.update(held)
-        state.setTimeoutTimestamp(held[-4] // 1000 + keep_minutes * 60_000)
-        if before != held[-4:-2]:
-            yield pd.DataFrame([held], columns=names)
-
-    out = rows.groupBy("key").applyInPandasWithState(of_id, _HELD, _HELD, "update", "EventTimeTimeout")
+                    ids[x] = seen, order, n + 1, n_late + 1
+        passed = state.getCurrentWatermarkMs()
+        ids = {x: held for x, held in ids.items() if x in came or ends(held) >= passed}
+        if ids:
+            state.update((_packed(ids),))
+            state.setTimeoutTimestamp(max(min(map(ends, ids.values())), passed + 1))
+        elif state.exists:
+            state.remove()
+        for k, frame in enumerate(frames):
+            mine = {i: x for x, (at, i) in last.items() if at == k}
+            if mine:
+                counts = pd.DataFrame([ids[x][2:] for x in mine.values()], columns=names[-2:])
+                yield pd.concat([frame.iloc[list(mine)][names[:-2]].reset_index(drop=True), counts], axis=1)
+
+    out = rows.groupBy("group").applyInPandasWithState(of_group, _HELD, "ids binary", "update", "EventTimeTimeout")
     time = F.timestamp_micros(F.nullif("time", F.lit(_NO_TIME))).alias("time")
     return out.select(*[time if c == "time" else F.col(c) for c in CATALOG_COLUMNS], F.timestamp_micros("seen_us").alias("seen_at"), "ord", "n_records", "n_late")
 
 
-def revisions_stream(stream: DataFrame, path: str, checkpoint: str, *, late: str = "10 minutes", keep_minutes: int = LOOKBACK_MINUTES, once: bool = True):
-    """Merges last records into the archive in a folder as they change. Returns the running query."""
+def revisions_stream(stream: DataFrame, path: str, checkpoint: str, *, late: str = "10 minutes", keep_minutes: int = LOOKBACK_MINUTES, partitions: int | None = None, once: bool = True):
+    """Merges last records into the archive in a folder as they change. Returns the running query. Each partition of state costs some files
+    a batch, however little it holds: a new stream has `partitions` of them, two a core of the cluster if none is given, and keeps them."""
+    spark = stream.sparkSession
 
     def merge(batch: DataFrame, n: int) -> None:
-        archive.upsert(batch.sparkSession, path, batch, stream=checkpoint, batch=n)
+        once_read = tables.written(batch)  # the merge reads it twice, which would run the state's function twice
+        archive.upsert(batch.sparkSession, path, once_read, stream=checkpoint, batch=n)
+        tables.forget(once_read)
 
     writer = last_records(stream, late, keep_minutes).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions or min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:  # a query keeps the settings that it was started with
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def _version(spark, path: str) -> int | None:

@@ -61,3 +61,36 @@ def test_revisions_reach_the_archive(spark, tmp_path):
     got = live.read_archive(spark, path)
     assert got.columns == CATALOG_COLUMNS and [(r.id, r.mag) for r in got.orderBy("id").collect()] == [("a", 2.0), ("b", 1.0)]
     assert got.filter(F.col("time") == datetime(2020, 1, 1)).count() == 2
+
+
+def test_groups_of_ids(spark, tmp_path):
+    """Many ids share a group's state, which forgets each in its own time; ties of one batch and of two."""
+    src = str(tmp_path / "in")
+    states = []
+
+    def poll(rows, groups):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        changes = {}
+
+        def keep(batch, n):
+            for r in batch.collect():
+                assert r.id not in changes
+                changes[r.id] = (r.mag, r.time, r.n_records, r.n_late)
+
+        q = live.last_records(spark.readStream.schema(SCHEMA).parquet(src), groups=groups).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+        return changes
+
+    at = datetime(2020, 1, 1)
+    many = [row(str(k), float(k), 0) for k in range(3000)]
+    assert poll(many, 2) == {str(k): (float(k), at, 1, 0) for k in range(3000)} and states[-1] == 2
+    third = [row(str(k), None, 1, k % 2) for k in range(0, 3000, 3)] + [row("0", 7.0, 1, 0), row("0", 8.0, 0), row("1", 9.0, 0)]
+    want = {str(k): (None, at, 2, 0) for k in range(3, 3000, 3)} | {"0": (7.0, at, 4, 1)}
+    assert poll(third, 2) == want  # "1" came again with the place that it had
+    assert poll([row("new", 1.0, 100)], 2) == {"new": (1.0, at, 1, 0)}
+    assert poll([row("new", 2.0, 125), row("5", 2.0, 125)], 2) == {"new": (2.0, at, 2, 0), "5": (2.0, at, 2, 0)}
+    # 120 minutes after their last records were seen, all but "new" and "5" are forgotten
+    assert poll([row("new", 3.0, 140)], 2) == {"new": (3.0, at, 3, 0)}
+    assert poll([row("6", 1.0, 141), row("5", 3.0, 141)], 2) == {"6": (1.0, at, 1, 0), "5": (3.0, at, 3, 0)}
