@@ -385,26 +385,33 @@ def surface_verdict(spark, sf_dir):
     return integrity.surface_faults(o["meta"].select(F.explode(each).alias("s")).select("s.*"), o["cells"]).select("variant", "faults", "n_cells")
 
 
-def _outputs(spark, sf_dir, source):
-    """Catalog, summary of that source, stamp, cells and events."""
-    df, cells = catalog(spark, sf_dir), _risk(spark, sf_dir)
+def _output_sets(spark, sf_dir, *sources):
+    """For each source: catalog, summary of that source, stamp, cells and events. Sets share one written catalog, and cells, stamp and the
+    summary's numbers of it, each made once."""
+    df = tables.written(catalog(spark, sf_dir))
+    cells = tables.written(risk.risk_cells(df, NATIONAL, **RISK))
     big = clean.at_least(df, 5.0)
     none = spark.createDataFrame([(0.5, 2.0, 0.4, 0.6, 10)], "area_skill_score double, gain_top25 double, ci_low double, ci_high double, n_test_events long")
-    meta = export.meta_stamp(cells, big, none, stats.completeness_magnitude(df), source="AFAD", region=NATIONAL.name, cell_deg=0.25, min_mag=3.0, disclaimer="Deprem tahmini değildir.", use_restriction="rating girdisi değildir")
-    summary = clean.completeness_summary(df).select(F.to_json(F.struct(F.lit(source).alias("source"), "n_events", "date_min", "date_max")).alias("json"))
-    return {"catalog": df, "summary": summary, "meta": meta, "cells": export.cell_features(cells), "big_events": export.event_features(df, 5.0)}
+    meta = tables.written(export.meta_stamp(cells, big, none, stats.completeness_magnitude(df), source="AFAD", region=NATIONAL.name, cell_deg=0.25, min_mag=3.0, disclaimer="Deprem tahmini değildir.", use_restriction="rating girdisi değildir"))
+    numbers = tables.written(clean.completeness_summary(df).select("n_events", "date_min", "date_max"))
+    summary = lambda source: numbers.select(F.to_json(F.struct(F.lit(source).alias("source"), "*")).alias("json"))
+    return [{"catalog": df, "summary": summary(x), "meta": meta, "cells": export.cell_features(cells), "big_events": export.event_features(df, 5.0)} for x in sources]
+
+
+def _outputs(spark, sf_dir, source):
+    return _output_sets(spark, sf_dir, source)[0]
 
 
 @query(f"""WITH {_RISK} SELECT (SELECT count(*) FROM cat) AS n_events, (SELECT count(*) FROM risk) AS n_cells, (SELECT count(*) FROM cat WHERE mag >= 5.0) AS n_big_events, 'AFAD' AS source""")
 def published_outputs(spark, sf_dir):
     """All outputs, published after a set with a fault has been refused, and read back."""
     path = tables.shared_dir(spark)
-    for source in ("replay", "AFAD"):
-        try:
-            outputs.publish_outputs(path, _outputs(spark, sf_dir, source), "AFAD", site_layer=False)
-        except CatalogError:
-            if source == "AFAD":
-                raise
+    refused, sound = _output_sets(spark, sf_dir, "replay", "AFAD")
+    try:
+        outputs.publish_outputs(path, refused, "AFAD", site_layer=False)
+    except CatalogError:
+        pass
+    outputs.publish_outputs(path, sound, "AFAD", site_layer=False)
     o = outputs.read_outputs(spark, path)
     n = lambda k: o[k].agg(F.count(F.lit(1)).alias(f"n_{k}"))
     counts = n("catalog").crossJoin(n("cells")).crossJoin(n("big_events")).crossJoin(o["summary"].select(F.get_json_object("json", "$.source").alias("source")))

@@ -60,3 +60,20 @@ def test_one_scan_a_table(spark, tmp_path):
     assert outputs.read_outputs(spark, str(tmp_path / "none")) is None
     with pytest.raises(CatalogError):
         outputs.publish_outputs(str(tmp_path), {"catalog": o["catalog"]}, "AFAD")
+
+
+def test_sets_share_one_catalog(spark, monkeypatch):
+    """Two sets of outputs, one of them refused, make each of the catalog's rows once."""
+    from tectra.plans import proofs
+    from tests.conftest import DATA
+
+    made = spark.sparkContext.accumulator(0)
+    plain = proofs.catalog
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    monkeypatch.setattr(proofs, "catalog", lambda *a: plain(*a).withColumn("mag", F.udf(counted, "double")("mag")))
+    got = proofs.published_outputs(spark, f"{DATA}/sf0.001").first()
+    assert got.source == "AFAD" and got.n_events == made.value == plain(spark, f"{DATA}/sf0.001").count()
