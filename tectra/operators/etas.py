@@ -217,7 +217,7 @@ def branching_ratio(p: Params, b: float) -> float | None:
     return p.K * p.c ** (1 - p.p) / (p.p - 1) * beta / (beta - p.alpha)
 
 
-# --- fitting: strong events of one zone are thousands, and one task fits one zone --------------------------------------
+# --- fitting: one task fits one zone of some thousand strong events -----------------------------------------------------
 
 
 def _nll(x: np.ndarray, t: np.ndarray, m: np.ndarray, m0: float, t1: float) -> tuple[float, np.ndarray]:
@@ -285,32 +285,142 @@ def _descent(z: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int):
     return z, f
 
 
-def greatest_likelihood(objective, n: int, m0: float, t1: float, rounds: int = 200) -> tuple[Params, float]:
-    """Parameters of greatest likelihood of n events over (0, t1) and minus its logarithm. `objective` takes points (mu, K, c, p, alpha) and
-    gives each one's minus log-likelihood and gradient; two starts go side by side, so that one call serves both."""
+def searches(objective, groups: dict, m0: float, rounds: int = 200) -> dict:
+    """Of each group of n events over (0, t1), {key: (n, t1)}, the parameters of greatest likelihood and minus its logarithm. `objective` takes
+    points (mu, K, c, p, alpha) by group and gives each one's minus log-likelihood and gradient; two starts of each group, and all groups, go
+    side by side, so that one call serves them all."""
     low, high = np.log(LOWER), np.log(np.where(np.isinf(UPPER), 1e6, UPPER))
-    starts = ([0.5 * n / max(t1, 1e-9), 0.1, 0.01, 1.1, 1.0], [0.8 * n / max(t1, 1e-9), 0.02, 0.05, 1.3, 0.6])
-    runs = [_descent(np.clip(np.log(np.maximum(x, 1e-12)), low, high), low, high, rounds) for x in starts]
-    asked, ends = {k: next(run) for k, run in enumerate(runs)}, {}
+    runs = {}
+    for key, (n, t1) in groups.items():
+        starts = ([0.5 * n / max(t1, 1e-9), 0.1, 0.01, 1.1, 1.0], [0.8 * n / max(t1, 1e-9), 0.02, 0.05, 1.3, 0.6])
+        runs |= {(key, k): _descent(np.clip(np.log(np.maximum(x, 1e-12)), low, high), low, high, rounds) for k, x in enumerate(starts)}
+    asked, ends = {k: next(run) for k, run in runs.items()}, {}
     while asked:
-        answers = iter(objective([x for points in asked.values() for x in points]))
+        found = objective({key: [x for k in (0, 1) for x in asked.get((key, k), [])] for key in dict.fromkeys(key for key, _ in asked)})
+        answers = {key: iter(values) for key, values in found.items()}
         again = {}
-        for k, points in asked.items():
+        for at, points in asked.items():
             try:
-                again[k] = runs[k].send([next(answers) for _ in points])
+                again[at] = runs[at].send([next(answers[at[0]]) for _ in points])
             except StopIteration as end:
-                ends[k] = end.value
+                ends[at] = end.value
         asked = again
-    z, f = min((ends[k] for k in sorted(ends)), key=lambda x: x[1])
-    return Params(*map(float, np.exp(z)), m0), float(f)
+    best = {key: min((ends[key, 0], ends[key, 1]), key=lambda x: x[1]) for key in groups}
+    return {key: (Params(*map(float, np.exp(z)), m0), float(f)) for key, (z, f) in best.items()}
+
+
+def greatest_likelihood(objective, n: int, m0: float, t1: float, rounds: int = 200) -> tuple[Params, float]:
+    """`searches` of one group; `objective` takes its points alone."""
+    return searches(lambda asked: {0: objective(asked[0])}, {0: (n, t1)}, m0, rounds)[0]
 
 
 def fit_vectors(t: np.ndarray, m: np.ndarray, m0: float, t1: float, rounds: int = 200) -> tuple[Params, float]:
-    """The fit of a zone's events within one task."""
-    return greatest_likelihood(lambda points: [_nll(x, t, m, m0, t1) for x in points], len(t), m0, t1, rounds)
+    """The fit of a zone's events within one task; of more than FEW events not by all pairs."""
+    t, m = np.asarray(t, float), np.asarray(m, float)
+    return greatest_likelihood(lambda points: [_nll(x, t, m, m0, t1) for x in points] if len(t) <= FEW else _scanned(points, t, m, m0, t1), len(t), m0, t1, rounds)
+
+
+# --- likelihoods without all pairs: the kernel as a sum of exponentials, whose sums over earlier events are carried along ----
+
+#: Events up to which a fit takes all pairs; of a slab, within which pairs are summed singly; of a part at most; of a zone that a task fits.
+FEW, SLAB, PART, ZONE = 512, 64, 50_000, 5000
+#: Step of the nodes.
+STEP = 0.22
+
+
+def _nodes(span: float) -> np.ndarray:
+    """u of the rates e^u with x^-q = STEP / gamma(q) * sum e^(q u - x e^u), to some 1e-13 for q from 1 to 4 and x from the least c to the span
+    and the greatest c: the trapezoidal rule for the gamma function's integral, whose error falls as e^(-pi^2 / STEP)."""
+    return np.arange(-33 - math.log(span + UPPER[2]), math.log(45 / LOWER[2]) + STEP, STEP)
+
+
+def _digamma(x: float) -> float:
+    out = 0.0
+    while x < 20:
+        out, x = out - 1 / x, x + 1
+    return out + math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def _weights(u: np.ndarray, c: float, p: float) -> np.ndarray:
+    return STEP * np.exp(p * u - c * np.exp(u) - math.lgamma(p))
+
+
+def _gains(m: np.ndarray, points: list[np.ndarray], m0: float) -> np.ndarray:
+    """For each point, gains and the same times m - m0."""
+    g = np.exp(np.outer([x[4] for x in points], m - m0))
+    return np.stack([g, g * (m - m0)], 1)
+
+
+def _left(t: np.ndarray, gains: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """For each point, sums over events of `_gains` times e^(-s (end - t)), by rate s; the end is the last time."""
+    out = np.zeros((*gains.shape[:2], len(s)))
+    for lo in range(0, len(t), 512):
+        out += gains[:, :, lo : lo + 512] @ np.exp(-np.outer(t[-1] - t[lo : lo + 512], s))
+    return out
+
+
+def _slab_sums(t: np.ndarray, gains: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """`_pair_sums` of each slab with itself: pairs a lag apart at once, over all slabs."""
+    _, _, c, p, _ = x
+    n = -(-len(t) // SLAB) * SLAB
+    whole = lambda v: np.concatenate([v, np.full(n - len(v), v[-1])]).reshape(-1, SLAB)
+    t, (g, gdm), out = whole(t), map(whole, gains), np.zeros((4, n // SLAB, SLAB))
+    for d in range(1, min(SLAB, t.size)):
+        dt = t[:, d:] - t[:, :-d]
+        dt += c
+        ld = np.log(dt)
+        kernel = np.exp(-p * ld)
+        base = kernel * g[:, :-d]
+        kernel *= gdm[:, :-d]
+        out[0, :, d:] += base
+        out[3, :, d:] += kernel
+        ld *= base
+        out[2, :, d:] += ld
+        base /= dt
+        out[1, :, d:] += base
+    return out.reshape(4, -1)
+
+
+def _scan(t: np.ndarray, m: np.ndarray, points: list[np.ndarray], m0: float, t1: float, u: np.ndarray, carried: np.ndarray | None = None) -> np.ndarray:
+    """What a part's events add to minus the log-likelihood and to its gradient, a row a point; without the background's integral. `carried` is
+    `_left` of all earlier events at the part's first time. A rate that isn't positive makes the row NaN."""
+    s, held, at = np.exp(u), np.zeros((len(points), 2, len(u))) if carried is None else carried.copy(), t[0]
+    sums = np.array([_integral_parts(t, m, x, m0, t1) for x in points])
+    gains = _gains(m, points, m0)
+    weights = np.array([[w := _weights(u, x[2], x[3]), w * s / x[3], w * (_digamma(x[3]) - u), w] for x in points])
+    for block in range(0, len(t), 128 * SLAB):  # some slabs at once, so that memory stays small
+        own = slice(block, block + 128 * SLAB)
+        v = np.stack([_slab_sums(t[own], gains[k, :, own], x)[:, : len(t[own])] for k, x in enumerate(points)])
+        for lo in range(block, min(len(t), own.stop), SLAB):
+            ti = t[lo : lo + SLAB]
+            held *= np.exp(-s * (ti[0] - at))
+            far = weights * held[:, [0, 0, 0, 1]]
+            v[:, :, lo - block : lo - block + len(ti)] += far @ np.exp(-np.outer(s, ti - ti[0]))
+            at = ti[-1]
+            held = held * np.exp(-s * (at - ti[0])) + _left(ti, gains[:, :, lo : lo + SLAB], s)
+        for k, (mu, K, _, p, _) in enumerate(points):
+            rate = mu + K * v[k, 0]
+            if not (rate > 0).all():
+                sums[k] = np.nan
+                continue
+            r = 1 / rate
+            sums[k] -= [np.log(rate).sum(), r.sum(), v[k, 0] @ r, -K * p * (v[k, 1] @ r), -K * (v[k, 2] @ r), K * (v[k, 3] @ r)]
+    return sums
 
 
-# --- fitting over the cluster: pairs of time blocks are summed in tasks, the driver sees six numbers a point -------------
+def _answers(points: list[np.ndarray], sums: np.ndarray, t1: float) -> list[tuple[float, np.ndarray]]:
+    """Minus log-likelihoods and gradients from all parts' sums."""
+    whole = [v + [x[0] * t1, t1, 0, 0, 0, 0] for x, v in zip(points, sums)]
+    return [(float(v[0]), v[1:]) if np.isfinite(v).all() else (1e12, np.zeros(5)) for v in whole]
+
+
+def _scanned(points: list[np.ndarray], t: np.ndarray, m: np.ndarray, m0: float, t1: float) -> list[tuple[float, np.ndarray]]:
+    """`_nll` at each point, in a time that grows with the number of events."""
+    with np.errstate(all="ignore"):
+        return _answers(points, _scan(t, m, points, m0, t1, _nodes(t1)), t1)
+
+
+# --- fitting over the cluster: parts of the events are summed in tasks, the driver sees few numbers a part and point -----
 
 
 def _block_pairs(events: DataFrame) -> DataFrame:
@@ -402,11 +512,77 @@ def _evaluate(pairs: DataFrame, points: list[np.ndarray], m0: float, t1: float)
     return out
 
 
-def fit_events(events: DataFrame, m0: float, t1: float, rounds: int = 200) -> tuple[Params, float]:
+def _parts(rows: DataFrame) -> DataFrame:
+    """zone, part, start, t, m: a row for each stretch of a zone's events (zone, n from 1 in order of time, t, mag), as a written table. A part
+    is as large as the cluster's cores ask for, and PART events at most."""
+    size = min(PART, max(2000, -(-rows.count() // (3 * rows.sparkSession.sparkContext.defaultParallelism))))
+    n = sum(-(-r["n"] // size) for r in rows.groupBy("zone").agg(F.max("n").alias("n")).collect())
+    dealt = rows.withColumn("part", F.floor((F.col("n") - 1) / size).cast("int")).groupBy("zone", "part").agg(F.array_sort(F.collect_list(F.struct("n", "t", "mag"))).alias("e"))
+    dealt = dealt.select("zone", "part", (F.col("part").cast("long") * size).alias("start"), F.transform("e", lambda x: x["t"]).alias("t"), F.transform("e", lambda x: x["mag"]).alias("m"))
+    return tables.written(dealt.repartitionByRange(max(1, n), "zone", "part"))
+
+
+def _each_part(parts: DataFrame, run, schema: str) -> DataFrame:
+    """Rows of run(zone, part, start, t, m) for every part, one at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    shape = pa.schema([(n, types[x.split()[1]]) for n, x in zip(names, schema.split(", "))])
+
+    def batches(found):
+        for b in found:
+            for r in range(b.num_rows):
+                zone, part, start = (b.column(c)[r].as_py() for c in ("zone", "part", "start"))
+                rows = run(zone, part, start, *(b.column(c)[r].values.to_numpy() for c in ("t", "m")))
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows], shape)
+
+    return parts.mapInArrow(batches, schema)
+
+
+def _carried(parts: DataFrame, asked: dict, counts: dict, spans: dict, m0: float) -> dict:
+    """By zone and part, `_left` of all events before the part at its first time, for each point asked; of each zone's first `counts` events.
+    Tasks sum their parts; the driver sees 4 KB a part and point."""
+
+    def run(zone, part, start, t, m):
+        k = min(len(t), counts.get(zone, 0) - start) if zone in asked else 0
+        if k <= 0:
+            return []
+        own = _left(t[:k], _gains(m[:k], asked[zone], m0), np.exp(_nodes(spans[zone]))).tobytes() if start + k < counts[zone] else b""
+        return [(zone, part, float(t[0]), float(t[k - 1]), own)]
+
+    out, state, at = {}, None, None
+    for r in sorted(_each_part(parts, run, "zone string, part int, first double, last double, own binary").collect(), key=lambda r: (r["zone"], r["part"])):
+        s = np.exp(_nodes(spans[r["zone"]]))
+        state = np.zeros((len(asked[r["zone"]]), 2, len(s))) if r["part"] == 0 else state * np.exp(-s * (r["first"] - at))
+        out[r["zone"], r["part"]], at = state, r["last"]
+        if r["own"]:
+            state = state * np.exp(-s * (at - r["first"])) + np.frombuffer(r["own"], float).reshape(state.shape)
+    return out
+
+
+def _likelihoods(parts: DataFrame, asked: dict, counts: dict, spans: dict, m0: float) -> dict:
+    """Minus log-likelihoods and gradients of each zone's first `counts` events over (0, spans) at the points asked, {zone: points}: a job for
+    what parts leave to later ones, where a zone has several, and one for their sums."""
+    before = _carried(parts, asked, counts, spans, m0)
+
+    def run(zone, part, start, t, m):
+        if (zone, part) not in before:
+            return []
+        k = min(len(t), counts[zone] - start)
+        with np.errstate(all="ignore"):
+            return [(zone, part, _scan(t[:k], m[:k], asked[zone], m0, spans[zone], _nodes(spans[zone]), before[zone, part]).tobytes())]
+
+    sums = {zone: np.zeros((len(points), 6)) for zone, points in asked.items()}
+    for r in sorted(_each_part(parts, run, "zone string, part int, sums binary").collect(), key=lambda r: (r["zone"], r["part"])):
+        sums[r["zone"]] += np.frombuffer(r["sums"], float).reshape(-1, 6)
+    return {zone: _answers(points, sums[zone], spans[zone]) for zone, points in asked.items()}
+
+
+def fit_events(events: DataFrame, m0: float, t1: float, rounds: int = 200, all_pairs: bool = False) -> tuple[Params, float]:
     """The fit of any number of events (id, t, mag; t in days from the start), like `fit_vectors` on one task's: each point of the search is a
-    job over pairs of time blocks, whose tasks keep one pair and a block's sums."""
+    job or two over parts of the events. With all_pairs it sums over all pairs of time blocks instead, which is quadratic: for checks."""
     n = events.count()
-    if n <= BLOCK:  # one block: its pairs are one task's in any case, and so is the whole search
+    if n <= BLOCK:  # one task's in any case, and so is the whole search
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["t", "id"])
@@ -415,47 +591,109 @@ def fit_events(events: DataFrame, m0: float, t1: float, rounds: int = 200) -> tu
 
         r = events.select("id", "t", "mag").groupBy().applyInPandas(run, "mu double, K double, c double, p double, alpha double, f double").first()
         return Params(r.mu, r.K, r.c, r.p, r.alpha, m0), r.f
-    pairs = _block_pairs(events)
-    best = greatest_likelihood(lambda points: _evaluate(pairs, points, m0, t1), n, m0, t1, rounds)
-    tables.forget(pairs)
+    if all_pairs:
+        pairs = _block_pairs(events)
+        best = greatest_likelihood(lambda points: _evaluate(pairs, points, m0, t1), n, m0, t1, rounds)
+        tables.forget(pairs)
+        return best
+    parts = _parts(_numbered(events)[0].select(F.lit("").alias("zone"), F.col("idx").alias("n"), "t", "mag"))
+    best = searches(lambda asked: _likelihoods(parts, asked, {"": n}, {"": t1}, m0), {"": (n, t1)}, m0, rounds)[""]
+    tables.forget(parts)
     return best
 
 
-def fit_catalog(events: DataFrame, m0: float, train_frac: float = 0.75, window_days: float = 30.0, least_train: int = 30, least_test: int = 8, bin_width: float = 0.1, label: str = "national") -> DataFrame:
-    """events: time, mag (strong ones). One row like `fit_zones`' of all events together, as jobs over blocks of them: fit, expected counts
-    of later windows, and their deviance against climatology and persistence."""
+def _window_sums(parts: DataFrame, fitted: dict, counts: dict, bounds: dict, m0: float, width: float) -> DataFrame:
+    """zone, test, win_idx, n, expected: what each part holds of a zone's windows, (0, split) and then (split, end) of `bounds`. A later window
+    is expected by the last part that begins before it, of its own events singly and of all earlier ones by what they left."""
+    ends = {zone: bounds[zone][1] for zone in fitted}
+    before = _carried(parts, {zone: [np.array([p.mu, p.K, p.c, p.p, p.alpha])] for zone, p in fitted.items()}, counts, ends, m0)
+    first = {zone: dict(enumerate(sorted(x for x in before if x[0] == zone))) for zone in fitted}
+    starts = {(r["zone"], r["part"]): r["first"] for r in _each_part(parts, lambda zone, part, start, t, m: [(zone, part, float(t[0]))], "zone string, part int, first double").collect()}
+    until = {key: starts[following] if (following := first[key[0]].get(k + 1)) else math.inf for zone in fitted for k, key in first[zone].items()}
+
+    def run(zone, part, start, t, m):
+        if zone not in fitted:
+            return []
+        p, (split, end), out = fitted[zone], bounds[zone], []
+        for test, ws in ((False, _windows(0.0, split, width)), (True, _windows(split, end, width))):
+            n = np.searchsorted(t, ws + width) - np.searchsorted(t, ws)
+            own = (t[0] < ws) & (ws <= until[zone, part]) if test else np.zeros(len(ws), bool)
+            for k in np.flatnonzero((n > 0) | own):
+                expected = None
+                if own[k]:
+                    u, a, b = _nodes(end), ws[k] - t[t < ws[k]], ws[k] - t[0]
+                    s, gain = np.exp(u), p.K * np.exp(p.alpha * (m[: len(a)] - m0))
+                    far = p.K * (_weights(u, p.c, p.p) * -np.expm1(-s * width) / s * np.exp(-s * b)) @ before[zone, part][0, 0]
+                    expected = p.mu * width + float(far) + float(gain @ (_vector_omori(p, 0.0, a + width) - _vector_omori(p, 0.0, a)))
+                out.append((zone, int(test), int(k), int(n[k]), expected))
+        return out
+
+    return _each_part(parts, run, "zone string, test int, win_idx int, n long, expected double").groupBy("zone", "test", "win_idx").agg(F.sum("n").alias("n"), F.sum("expected").alias("expected"))
+
+
+def fit_large(events: DataFrame, m0: float, train_frac: float = 0.75, window_days: float = 30.0, least_train: int = 30, least_test: int = 8, bin_width: float = 0.1) -> DataFrame:
+    """events: zone, time, mag (strong ones). Rows like `fit_zones`' for zones of any size, as jobs over parts of all of them: fits, whose
+    searches go side by side, expected counts of later windows, and their deviance against climatology and persistence."""
     spark = events.sparkSession
-    numbered = ordering.with_index(events.select("time", "mag").withColumn("id", F.xxhash64("time", "mag").cast("string")), "time", "mag", "id", index="n")
-    first = numbered.agg(F.min(exprs.micros(F.col("time"))).alias("t0"))
-    rows = numbered.crossJoin(F.broadcast(first)).select("n", F.lpad(F.col("n").cast("string"), 12, "0").alias("id"), "mag", exprs.days((exprs.micros(F.col("time")) - F.col("t0")).cast("double")).alias("t"))
-    n = rows.count()
-    k = int(n * train_frac)
-    row = dict.fromkeys([x.split()[0] for x in ZONE_SCHEMA.split(", ")]) | {"zone": label, "n_events": n}
-
-    def out(**found) -> DataFrame:
-        return spark.createDataFrame([tuple((row | found).values())], ZONE_SCHEMA)
-
-    if k < least_train or n - k < least_test:
-        return out(status="too few events")
-    split, end = (rows.filter(F.col("n") == x).first()["t"] for x in (k + 1, n))
-    wins, past = fixed_windows(rows, split, end, window_days), fixed_windows(rows, 0.0, split, window_days)
-    if not wins.count() or not past.count():
-        return out(status="no window fits into training or test")
-    p, _ = fit_events(rows.filter(F.col("n") <= k).select("id", "t", "mag"), m0, split)
-    history = past.agg(F.avg("n").alias("mean"), F.max_by("n", "win_idx").alias("last")).first()
-    seen = expected_counts(wins, rows.select("id", "t", "mag"), p).withColumn("before", F.coalesce(F.lag("n").over(Window.orderBy("win_idx")), F.lit(history["last"])))
-
-    def deviance(q: Column) -> Column:
-        q = F.greatest(q.cast("double"), F.lit(1e-9))
-        return 2 * F.avg(F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / q)).otherwise(0.0) - (F.col("n") - q))
-
-    d = seen.agg(F.count(F.lit(1)).alias("n"), *[deviance(q).alias(c) for c, q in (("etas", F.col("expected")), ("climatology", F.lit(history["mean"])), ("persistence", F.col("before")))]).first()
-    against = lambda b: 0.0 if d[b] == 0 else 1 - d["etas"] / d[b]
+    order = ordering.with_index(events.select("zone", "time", "mag"), "zone", "time", "mag", index="at")
+    us = exprs.micros(F.col("time"))
+    zones = order.groupBy("zone").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("of"), F.min(us).alias("t0"))
+    rows = tables.written(order.join(F.broadcast(zones), "zone").select("zone", (F.col("at") - F.col("first") + 1).alias("n"), "of", exprs.days((us - F.col("t0")).cast("double")).alias("t"), "mag"))
+    k = F.floor(F.col("of") * train_frac)
+    known = {r["zone"]: r for r in rows.groupBy("zone", "of").agg(F.max(F.when(F.col("n") == k + 1, F.col("t"))).alias("split"), F.max("t").alias("end")).collect()}
+    names = [x.split()[0] for x in ZONE_SCHEMA.split(", ")]
+    out = {zone: dict.fromkeys(names) | {"zone": zone, "n_events": r["of"]} for zone, r in known.items()}
+    counts, bounds = {}, {}
+    for zone, r in known.items():
+        train = int(r["of"] * train_frac)
+        if train < least_train or r["of"] - train < least_test:
+            out[zone]["status"] = "too few events"
+        elif not len(_windows(r["split"], r["end"], window_days)) or not len(_windows(0.0, r["split"], window_days)):
+            out[zone]["status"] = "no window fits into training or test"
+        else:
+            counts[zone], bounds[zone] = train, (r["split"], r["end"])
+    if counts:
+        parts = _parts(rows.filter(F.col("zone").isin(list(counts))))
+        splits = {zone: split for zone, (split, _) in bounds.items()}
+        found = searches(lambda asked: _likelihoods(parts, asked, counts, splits, m0), {zone: (n, splits[zone]) for zone, n in counts.items()}, m0)
+        fitted = {zone: p for zone, (p, _) in found.items()}
+        seen = tables.written(_window_sums(parts, fitted, {zone: known[zone]["of"] for zone in counts}, bounds, m0, window_days))
+        tables.forget(parts)
+        for zone, p in fitted.items():
+            trains, tests = (len(_windows(*x, window_days)) for x in ((0.0, bounds[zone][0]), bounds[zone]))
+            of = seen.filter(F.col("zone") == zone)
+            history = of.filter("test = 0").agg((F.coalesce(F.sum("n"), F.lit(0)) / trains).alias("mean"), F.coalesce(F.max(F.when(F.col("win_idx") == trains - 1, F.col("n"))), F.lit(0)).alias("last")).first()
+            later = spark.range(tests).select(F.col("id").cast("int").alias("win_idx")).join(of.filter("test = 1"), "win_idx", "left").select("win_idx", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("expected", F.lit(p.mu * window_days)).alias("expected"))
+            later = later.withColumn("before", F.coalesce(F.lag("n").over(Window.orderBy("win_idx")), F.lit(history["last"])))
+            d = later.agg(*[_deviance(q).alias(c) for c, q in (("etas", F.col("expected")), ("climatology", F.lit(history["mean"])), ("persistence", F.col("before")))]).first()
+            against = lambda b: 0.0 if d[b] == 0 else 1 - d["etas"] / d[b]  # noqa: B023, E731
+            b = _large_b_value(rows.filter(F.col("zone") == zone), bin_width)
+            out[zone] |= {"status": "fitted", "mu": p.mu, "K": p.K, "c": p.c, "p": p.p, "alpha": p.alpha, "b_value": b, "branching": branching_ratio(p, b), "n_windows": tests, "skill_climatology": against("climatology"), "skill_persistence": against("persistence")}
+        tables.forget(seen)
+    tables.forget(rows)
+    return spark.createDataFrame([tuple(row.values()) for row in out.values()], ZONE_SCHEMA)
+
+
+def _deviance(q: Column) -> Column:
+    """Of counts n from what was expected."""
+    q = F.greatest(q.cast("double"), F.lit(1e-9))
+    return 2 * F.avg(F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / q)).otherwise(0.0) - (F.col("n") - q))
+
+
+def _large_b_value(events: DataFrame, bin_width: float) -> float:
+    """`_b_value` of a table's events."""
     mc = stats.completeness_magnitude(events, bin_width).first()["mc"]
     above = events.filter(F.col("mag") >= mc - 1e-9).agg(F.count(F.lit(1)).alias("n"), F.avg("mag").alias("mean")).first()
     room = above["mean"] - (mc - bin_width / 2) if above["n"] >= 2 else 0
-    b = math.log10(math.e) / room if room > 0 else 1.0
-    return out(status="fitted", mu=p.mu, K=p.K, c=p.c, p=p.p, alpha=p.alpha, b_value=b, branching=branching_ratio(p, b), n_windows=d["n"], skill_climatology=against("climatology"), skill_persistence=against("persistence"))
+    return math.log10(math.e) / room if room > 0 else 1.0
+
+
+def fit_catalog(events: DataFrame, m0: float, *args, label: str = "national", **options) -> DataFrame:
+    """events: time, mag (strong ones). One row like `fit_zones`' of all events together."""
+    spark = events.sparkSession
+    if events.isEmpty():
+        return spark.createDataFrame([(label, 0, "too few events", *[None] * 10)], ZONE_SCHEMA)
+    return fit_large(events.withColumn("zone", F.lit(label)), m0, *args, **options)
 
 
 def _windows(start: float, end: float, width: float) -> np.ndarray:
@@ -508,8 +746,17 @@ def assign_zones(df: DataFrame, zones: list[Region], least: int = 0) -> DataFram
 
 
 def fit_zones(events: DataFrame, m0: float, train_frac: float = 0.75, window_days: float = 30.0, least_train: int = 30, least_test: int = 8, bin_width: float = 0.1) -> DataFrame:
-    """events: zone, time, mag (strong ones). A row a zone with its fit and skill, or why there is none. A task fits a zone at a time."""
+    """events: zone, time, mag (strong ones). A row a zone with its fit and skill, or why there is none. A task fits a zone at a time; zones of
+    more than ZONE events are fitted by jobs over parts of them, all side by side."""
+    options = (m0, train_frac, window_days, least_train, least_test, bin_width)
+    large = [r["zone"] for r in events.groupBy("zone").count().filter(F.col("count") > ZONE).collect()]
+    if large:
+        few = events.filter(F.col("zone").isNull() | ~F.col("zone").isin(large))
+        return _fit_small(few, *options).unionByName(fit_large(events.filter(F.col("zone").isin(large)), *options))
+    return _fit_small(events, *options)
+
 
+def _fit_small(events: DataFrame, m0: float, train_frac: float, window_days: float, least_train: int, least_test: int, bin_width: float) -> DataFrame:
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["us", "mag"], kind="stable")
         t, m = (frame["us"].to_numpy() - frame["us"].iloc[0]) / 86_400e6, frame["mag"].to_numpy()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tectra.functions import exprs
+from tectra.functions import exprs, tables
 from tectra.operators import clean, etas, export, forecast, integrity, risk, skill, stats
 from tectra.schemas import NATIONAL, ZONES
 from tectra.sources.testdata import CATALOG_SQL, catalog, table
@@ -454,9 +454,9 @@ def zone_assign(spark, sf_dir):
 
 @query()
 def zone_etas(spark, sf_dir):
-    """Fits of zones, each within a task, and of all strong events, over blocks of them."""
-    strong = clean.at_least(catalog(spark, sf_dir), 4.0)
-    return etas.fit_zones(etas.assign_zones(strong, ZONES, 20), 4.0, window_days=1.0).unionByName(etas.fit_catalog(strong, 4.0, window_days=1.0))
+    """Fits of zones and of all strong events: within a task where they are few, else over parts of them, side by side."""
+    strong = tables.written(clean.at_least(catalog(spark, sf_dir), 4.0).select("time", "latitude", "longitude", "mag"))
+    return etas.fit_zones(etas.assign_zones(strong, ZONES, 20).unionByName(strong.withColumn("zone", F.lit(NATIONAL.name))), 4.0, window_days=1.0)
 
 
 @query(f"""WITH {_Z}, n AS (SELECT zone, count(*) AS k, count(*) FILTER (WHERE mag >= 4.0) AS strong FROM cat JOIN z ON latitude BETWEEN a AND b AND longitude BETWEEN c AND d GROUP BY zone)

@@ -79,3 +79,33 @@ def test_terms():
         terms = etas._terms(power)
         for x in (1 / 3, -1 / 3, 0.1):
             assert np.isclose(sum(c * x**k for k, c in enumerate(terms)), (1 - x) ** -power, rtol=1e-12)
+
+
+def test_likelihood_grows_with_the_events():
+    """Sums of exponentials against all pairs, where times tie and parameters lie at their bounds; a fit of many events takes no pairs."""
+    t, m = simulate(0.3, 0.02, 0.05, 1.2, 1.0, 4.0, 1500, 5)
+    t[40:60] = t[40]
+    points = [np.array(x) for x in ([0.3, 0.02, 0.05, 1.2, 1.0], [0.1, 0.1, 1e-4, 1.01, 4.0], [1e-6, 1e-6, 5.0, 3.0, 0.1], [0.2, 1e-3, 1e-4, 3.0, 1.0])]
+    for (f, g), x in zip(etas._scanned(points, t, m, 4.0, 1500.0), points):
+        f1, g1 = etas._nll(x, t, m, 4.0, 1500.0)
+        assert np.isclose(f, f1, rtol=1e-12) and np.allclose(g, g1, rtol=1e-10)
+    assert etas._scanned([np.array([-1.0, 1e-6, 0.01, 1.1, 1.0])], t, m, 4.0, 1500.0)[0][0] == 1e12
+
+
+def test_zones_in_parts(spark, monkeypatch):
+    """Large zones as jobs over parts give what a task gives, with no pairs of blocks; a zone of few events stays a task's."""
+    frames = []
+    for name, seed, end in (("a", 3, 500), ("b", 4, 700), ("few", 5, 30)):
+        t, m = simulate(0.4, 0.02, 0.05, 1.2, 1.0, 4.0, end, seed)
+        t[8:11] = t[8]
+        frames += [(name, int(round(x * 86_400e6)), float(y)) for x, y in zip(t, m)]
+    df = spark.createDataFrame(frames, "zone string, us long, mag double").select("zone", F.timestamp_micros("us").alias("time"), "mag")
+    want = {r.zone: r.asDict() for r in etas.fit_zones(df, 4.0).collect()}
+    monkeypatch.setattr(etas, "ZONE", 50)
+    monkeypatch.setattr(etas, "PART", 70)
+    monkeypatch.setattr(etas, "_block_pairs", None)
+    got = {r.zone: r.asDict() for r in etas.fit_zones(df, 4.0).collect()}
+    assert want.keys() == got.keys() and [want[z]["status"] for z in ("a", "b", "few")] == ["fitted", "fitted", "too few events"]
+    for z in want:
+        for k, v in want[z].items():
+            assert got[z][k] == v if isinstance(v, (str, int)) else v is got[z][k] is None or np.isclose(got[z][k], v, rtol=1e-5), (z, k)
