@@ -245,6 +245,32 @@ def test_kneser_ney(spark):
     assert len({toxicity.word_keys([w])[0] for w in ("中文", "한국어", "😀", "中")}) == 4
 
 
+def test_toxicity_of_a_large_table(spark, monkeypatch):
+    """A table beyond what is broadcast gives the same evidence, and its lookups move less than the texts do."""
+    docs = common.keyed(common.table(spark, f"{DATA}/sf0.01", "documents"), "doc_id", "text").repartition(3)
+    labels = common.table(spark, f"{DATA}/sf0.01", "labels").select("doc_id", "toxic").dropna()
+    values, beyond = toxicity.key_values(docs.join(labels, "doc_id"))
+    n = values.count()
+    monkeypatch.setattr(toxicity, "SHARD_KEYS", n // 10, raising=False)
+
+    def found(broadcast_keys, ways):
+        return {r.doc_id: r.evidence for r in toxicity.evidences(docs, values, beyond, ["doc_id"], broadcast_keys, ways).collect()}
+
+    def moved():
+        of = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(of.apply(k).totalShuffleWrite() for k in range(of.size()))
+
+    ways = [toxicity.TRIED[k] for k in (0, 25, len(toxicity.TRIED) - 1)]
+    want, size = found(n, ways), docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    for some, most in ((n * 3 // 4, 1.2), (n // 2, 1.2), (n // 10, None)):  # the last ones leave out words as well
+        before = moved()
+        got = found(some, ways)
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-6, atol=1e-6) for k in want)
+        assert most is None or moved() - before < most * size
+    got, want = found(n // 2, ways[:1]), found(n, ways[:1])  # the word before isn't trusted
+    assert ways[0][3] == 0 and all(np.allclose(got[k], want[k], rtol=1e-6, atol=1e-6) for k in want)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)] + [(7, None), (None, 1), (8, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
